@@ -104,6 +104,10 @@ def is_secret(s: Column) -> Column:
     return least.isNotNull() & digits & ~allowed & (F.round(best_entropy(s), 9) >= least)
 
 
+def _named(n: int, kind: str):
+    return lambda x: F.struct(x["start"].alias("start"), F.lit(n).alias("kind_no"), F.lit(kind).alias("kind"), x["end"].alias("end"))
+
+
 def scan_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds secrets: array of (start, kind_no, kind, end), ordered by start, then kind as listed in KINDS."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -115,5 +119,5 @@ def scan_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     known = F.concat("_assign", "_access", "_hex")
     free = lambda x: ~F.exists(known, lambda k: (k["start"] < x["end"]) & (x["start"] < k["end"]))
     docs = docs.withColumn("_entropy", F.filter(spans_of(text, CANDIDATE), lambda x: free(x) & is_secret(x["s"])))
-    named = [F.transform(f"_{kind}", lambda x, n=n, kind=kind: F.struct(x["start"].alias("start"), F.lit(n).alias("kind_no"), F.lit(kind).alias("kind"), x["end"].alias("end"))) for n, kind in enumerate(KINDS)]
+    named = [F.transform(f"_{kind}", _named(n, kind)) for n, kind in enumerate(KINDS)]
     return docs.withColumn("secrets", F.array_sort(F.concat(*named))).drop("_text", *[f"_{k}" for k in KINDS])
