@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import importlib
+
+#: The modules that register queries.
+MODULES = ("retrieval",)
+
 _QUERIES: dict = {}
 _SQL: dict = {}
 
@@ -22,6 +27,8 @@ def register(name: str, sql: str | None = None):
 
 def _load() -> None:
     """Imports the modules that register queries."""
+    for name in MODULES:
+        importlib.import_module(f"papyra.plans.{name}")
 
 
 def queries() -> dict:
