@@ -197,9 +197,9 @@ def json_extraction(spark, d):
     return _read(spark, d, "documents").select("doc_id", t.alias("t")).select("doc_id", X.extract_json(F.col("t")).alias("found"))
 
 
-@register("list_items", """SELECT item_id, trim(left(text, 10)) || '|second|third|4th|*bold' AS items FROM benchmark""")
+@register("list_items", """SELECT item_id, trim(replace(left(text, 10), chr(10), ' ')) || '|second|third|4th|*bold' AS items FROM benchmark""")
 def list_items(spark, d):
-    t = F.concat(F.lit("1. "), F.substring("text", 1, 10), F.lit("\n2) second\n\n- third\n  • 4th\n* *bold\n3、last"))
+    t = F.concat(F.lit("1. "), F.replace(F.substring("text", 1, 10), F.lit("\n"), F.lit(" ")), F.lit("\n2) second\n\n- third\n  • 4th\n* *bold\n3、last"))
     return _read(spark, d, "benchmark").select("item_id", F.array_join(X.list_items(t), "|").alias("items"))
 
 
