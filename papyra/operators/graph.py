@@ -55,7 +55,7 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
 
 
-def louvain(pairs: DataFrame, rounds: int = 10, levels: int = 3, cut=None) -> DataFrame:
+def louvain(pairs: DataFrame, rounds: int = 6, levels: int = 2, cut=None) -> DataFrame:
     """(id, community) of the nodes of pairs (a, b), by greedy modularity gains in rounds, then on the graph of
     communities, level by level.
 
@@ -149,3 +149,25 @@ def unsupported_relations(relations: DataFrame, mentions: DataFrame) -> DataFram
     of_src = ends.join(mentions.select(F.col("entity_id").alias("src"), "chunk_id"), "src")
     together = of_src.join(mentions.select(F.col("entity_id").alias("dst"), "chunk_id"), ["dst", "chunk_id"]).select("src", "dst").distinct()
     return relations.join(together, ["src", "dst"], "left_anti")
+
+
+def entity_cards(entities: DataFrame, edges: DataFrame, hits: DataFrame, names: int = 10) -> DataFrame:
+    """Hits (query_id, rank, key) on entities (entity_id, name, description) as cards with their first neighbours' names."""
+    near = both_ways(edges).join(entities.select(F.col("entity_id").alias("dst"), F.col("name").alias("near")), "dst").select("src", "near").distinct()
+    order = Window.partitionBy("src").orderBy("near")
+    near = near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= names).groupBy("src").agg(F.array_join(F.array_sort(F.collect_list("near")), ", ").alias("near"))
+    rows = hits.join(entities, hits["key"] == entities["entity_id"]).join(near, F.col("entity_id") == F.col("src"), "left")
+    card = F.concat("name", F.lit(": "), "description", F.when(F.col("near").isNotNull(), F.concat(F.lit(" [related: "), "near", F.lit("]"))).otherwise(""))
+    return rows.select("query_id", "rank", "key", card.alias("content"))
+
+
+def dual_level(entity_hits: DataFrame, relation_hits: DataFrame, edges: DataFrame, k: int) -> DataFrame:
+    """(query_id, key, list_no, rank): entities found by name, then relations (keys `a::b`), then the neighbours of the
+    ends of both; each key once, the first list that has it wins; cut to k."""
+    from papyra.operators.retrieval import first_wins
+
+    low = entity_hits.select("query_id", "rank", F.col("key").cast("string").alias("key"))
+    high = relation_hits.select("query_id", "rank", F.concat_ws("::", "src", "dst").alias("key"))
+    seeds = low.union(high).select("query_id", F.explode(F.filter(F.split("key", "::"), lambda x: x != "")).alias("id")).select("query_id", F.col("id").cast("long").alias("id")).distinct()
+    wide = one_hop(edges, seeds).select("query_id", "rank", F.col("near").cast("string").alias("key"))
+    return first_wins([low, high, wide], k, "key").select("query_id", "key", "list_no", "rank")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from papyra.operators import entities as E
 from papyra.operators import graph as G
 from papyra.plans.registry import register
+from papyra.sources.scratch import cut
 
 
 def _read(spark, d, t):
@@ -43,9 +44,9 @@ def subgraph_nodes(spark, d):
     return G.subgraph(_nodes(spark, d), _edges(spark, d), 400, ["Document", "Reference"], "1")[0]
 
 
-@register("subgraph_edges", f"WITH {NODES}, {EDGES}, sub AS (SELECT * FROM nodes ORDER BY CASE label WHEN 'Document' THEN 0 WHEN 'Entity' THEN 1 ELSE 3 END, name, id LIMIT 500) SELECT DISTINCT src, dst, type FROM edges WHERE src IN (SELECT id FROM sub) AND dst IN (SELECT id FROM sub)")
+@register("subgraph_edges", f"WITH {NODES}, {EDGES}, sub AS (SELECT * FROM nodes WHERE label = 'Entity' AND contains(lower(name), 'i') OR regexp_matches(id, '^D:[0-9]{{1,2}}$') AND contains(lower(name), 'i') ORDER BY CASE label WHEN 'Document' THEN 0 WHEN 'Entity' THEN 1 ELSE 3 END, name, id LIMIT 500) SELECT DISTINCT src, dst, type FROM edges WHERE src IN (SELECT id FROM sub) AND dst IN (SELECT id FROM sub)")
 def subgraph_edges(spark, d):
-    return G.subgraph(_nodes(spark, d), _edges(spark, d), 5000)[1]
+    return G.subgraph(_nodes(spark, d).where("label <> 'Document' OR id RLIKE '^D:[0-9]{1,2}$'"), _edges(spark, d), 5000, ["Entity", "Document"], "I")[1]
 
 
 @register("display_names", "SELECT page_id, coalesce(nullif(CASE WHEN page_id % 3 = 0 THEN '' ELSE left(html, 9) END, ''), nullif(url, ''), 'x') AS name FROM pages")
@@ -78,13 +79,16 @@ def one_hop_neighbours(spark, d):
     return G.one_hop(_relations(spark, d), seeds)
 
 
+NAMES = ("ring", "WIDGET", "small", "red", "blue")
+
+
 def _keywords(spark, d):
-    """Keywords of a query: brands and types of parts by number."""
-    rows = _read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.posexplode(F.array(F.col("item_id").cast("string"), (F.col("item_id") * 3).cast("string"))).alias("pos", "keyword"))
+    """Keywords of a query: a word of parts' names and a number."""
+    rows = _read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.posexplode(F.array(F.element_at(F.array(*map(F.lit, NAMES)), (F.col("item_id") % len(NAMES) + 1).cast("int")), (F.col("item_id") * 3).cast("string"))).alias("pos", "keyword"))
     return rows
 
 
-KEYS = "keys AS (SELECT item_id AS query_id, unnest([CAST(item_id AS VARCHAR), CAST(item_id * 3 AS VARCHAR)]) AS keyword FROM benchmark)"
+KEYS = f"keys AS (SELECT item_id AS query_id, unnest([{list(NAMES)!r}[item_id % {len(NAMES)} + 1], CAST(item_id * 3 AS VARCHAR)]) AS keyword FROM benchmark)"
 
 
 @register(
@@ -178,7 +182,7 @@ def relation_resolution(spark, d):
 def louvain_communities(spark, d):
     """Communities of customers and the parts that they order most; tested by modularity and planted blocks."""
     pairs = _read(spark, d, "lineitem").where("l_quantity >= 49").select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 1_000_000).alias("dst"))
-    return G.louvain(G.undirected(pairs))
+    return G.louvain(G.undirected(pairs), cut=cut)
 
 
 GIVEN = "mem AS (SELECT p_partkey AS id, p_size % 17 AS community, p_name AS name, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_type END AS description FROM part)"
