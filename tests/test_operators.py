@@ -1,0 +1,105 @@
+"""What SQL doesn't say: properties, round trips, and edge cases."""
+
+from __future__ import annotations
+
+import io
+import json
+import zipfile
+
+from pyspark.sql import functions as F
+
+from papyra.functions import text as X
+from papyra.operators import chunking as C
+from papyra.operators import graph as G
+from papyra.operators import retrieval as R
+from papyra.operators import sessions as S
+from papyra.sources import files
+from papyra.sources.scratch import cut
+
+
+def test_louvain_finds_planted_blocks(spark):
+    pairs = [(b * 10 + i, b * 10 + j) for b in range(3) for i in range(6) for j in range(i + 1, 6)] + [(0, 10), (10, 20)]
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    members = {r["id"]: r["community"] for r in G.louvain(edges, rounds=4, levels=1, cut=cut).collect()}
+    assert {frozenset(k for k in members if members[k] == c) for c in set(members.values())} == {frozenset(range(b * 10, b * 10 + 6)) for b in range(3)}
+
+
+def test_louvain_of_no_edges(spark):
+    assert G.louvain(spark.createDataFrame([], "a long, b long"), cut=cut).collect() == []
+
+
+def test_recursive_chunks_keep_all_words_within_size(spark):
+    text = "\n\n".join(" ".join(f"w{p}x{k}" for k in range(60)) + "." for p in range(9))
+    rows = C.recursive_chunks(spark.createDataFrame([(1, text), (2, ""), (3, None), (4, "x" * 2500)], "doc_id long, text string"), 300, 60).collect()
+    chunks = [r["content"] for r in rows if r["doc_id"] == 1]
+    assert all(len(c) <= 300 for c in chunks)
+    assert set(text.split()) == {w for c in chunks for w in c.split()}
+    assert {r["doc_id"] for r in rows} == {1, 4}
+
+
+def test_section_chunks_fit_their_sections_and_overlap(spark):
+    paragraph = "A sentence of some words. " * 8
+    df = spark.createDataFrame([(1, 0, "abstract", "\n\n".join([paragraph] * 4)), (1, 1, "odd", "y" * 1200)], "doc_id long, section_no int, section_type string, text string")
+    rows = C.section_chunks(df, overlap=30).orderBy("section_no", "chunk_index").collect()
+    first = [r["content"] for r in rows if r["section_no"] == 0]
+    assert all(len(c) <= 300 + 30 for c in first) and len(first) > 1
+    assert len([r for r in rows if r["section_no"] == 1]) == 3
+
+
+def test_page_groups_join_untitled_pages(spark):
+    pages = spark.createDataFrame([(1, n, s, t, f"p{n}") for n, (s, t) in enumerate([("abstract", "A"), ("abstract", ""), ("abstract", "B"), ("method", ""), ("method", "M")])], "doc_id int, page_no int, section string, title string, text string")
+    rows = C.group_pages(pages).orderBy("section_no").collect()
+    assert [(r["section_type"], r["title"], r["text"]) for r in rows] == [("abstract", "A", "p0\n\np1"), ("abstract", "B", "p2"), ("method", "M", "p3\n\np4")]
+
+
+def test_limiter_denies_without_counting(spark):
+    calls = spark.createDataFrame([(1, "t", t, t) for t in range(6)], "session_id long, tool string, s long, event_id long").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    allowed = [r["allowed"] for r in S.limit_calls(calls, 2, 3).orderBy("event_id").collect()]
+    assert allowed == [True, True, False, False, True, True]
+
+
+def test_docx_and_text_scans(spark, tmp_path):
+    ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    body = "".join(f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>" for t in ("one ", "  ", "two"))
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        z.writestr("word/document.xml", f"<w:document {ns}><w:body>{body}</w:body></w:document>")
+    (tmp_path / "a.docx").write_bytes(buffer.getvalue())
+    (tmp_path / "b.docx").write_bytes(b"not a file of this kind")
+    (tmp_path / "c.txt").write_text(" text \n")
+    (tmp_path / "d.txt").write_text("  ")
+    (tmp_path / "e.md").write_text("no")
+    found = files.discover(spark, str(tmp_path))
+    assert sorted(r["name"] for r in found.collect()) == ["a.docx", "b.docx", "c.txt", "d.txt"]
+    texts = {r["path"][-6:]: (r["text"], r["error"] is None) for r in files.docx_texts(found).collect()}
+    assert texts == {"a.docx": ("one\ntwo", True), "b.docx": (None, False)}
+    assert [r["text"] for r in files.read_texts(spark, str(tmp_path)).collect()] == ["text"]
+
+
+def test_session_log_skips_corrupt_lines(spark, tmp_path):
+    (tmp_path / "s.jsonl").write_text(json.dumps({"session_id": "a", "type": "messages", "turn_id": "1"}) + "\n\n{broken\n")
+    good, bad = files.read_session_log(spark, str(tmp_path))
+    assert [r["session_id"] for r in good.collect()] == ["a"] and bad.count() == 1
+    files.append_session_log(good, str(tmp_path / "out"))
+    files.append_session_log(good, str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).count() == 2
+
+
+def test_vectors_saved_empty_stay_empty(spark, tmp_path):
+    rows = spark.createDataFrame([(1, [0.5])], "key long, embedding array<float>")
+    files.save_vectors(rows, str(tmp_path / "v"))
+    files.save_vectors(rows.where("key < 0"), str(tmp_path / "v"))
+    assert files.load_vectors(spark, str(tmp_path / "v"), rows.schema).count() == 0
+
+
+def test_relaxation_tiers(spark):
+    rows = [(q, n, y, 2020, None) for q, years in ((1, (2020, 2021, 2022, 2010)), (2, (2018, 2019, 2021, 2010)), (3, (2010, 2011, 2021))) for n, y in enumerate(years)]
+    hits = spark.createDataFrame(rows, "query_id int, rank int, year int, year_from int, year_to int")
+    kept = R.relaxed_years(hits).groupBy("query_id").count().collect()
+    assert {r["query_id"]: r["count"] for r in kept} == {1: 3, 2: 3, 3: 3}
+
+
+def test_reference_paragraphs_and_numbers(spark):
+    texts = [("x\nReferences\n[1] first entry here\n[2] second entry here",), ("x\nBibliography\na paragraph entry\n\nanother paragraph\n\nshort",), ("no references",)]
+    got = spark.createDataFrame(texts, "t string").select(X.split_references(X.reference_section(F.col("t"))).alias("r")).collect()
+    assert [r["r"] for r in got] == [["first entry here", "second entry here"], ["a paragraph entry", "another paragraph"], []]
