@@ -1,18 +1,20 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes.
 
-The classifier is fitted on at most MAX_LABELLED labelled rows: a documented bound. Terms are words and their
-prefixes (inflected forms of one stem then meet). It is counted in how many documents of each label a term occurs; those much more frequent in one label than in the other (a lift of
+The classifier is fitted on at most MAX_LABELLED labelled rows: a documented bound. Terms are short words,
+prefixes of longer ones (inflected forms of one stem then meet) and prefixes that several different words share. It is counted in how many documents of each label a term occurs; those much more frequent in one label than in the other (a lift of
 LIFT and a z-score of LEAST_Z at least) are the terms that tell them apart, at most MAX_TERMS, the highest z first.
-All other words of a text are one more term, REST, of constant weight. A text's vector is tf-idf over these terms,
-tf = 1 + ln(count), idf = ln(1 + documents / documents with the term), scaled to length 1.
+All other words of a text are one more term, REST, whose weight grows with the logarithm of the text's length. A
+text's vector is tf-idf over these terms, tf = 1 + ln(count), idf = ln(1 + n / (n with the term + 0.5)) over the n
+documents of label 0, scaled to length 1.
 
-Of one half of the labelled rows the index is made, with at most MAX_EXAMPLES vectors of each label; the other half
+Of two thirds of the labelled rows the index is made, with at most MAX_EXAMPLES vectors of each label; the rest
 calibrates. An inverted list
 keeps for each block of examples the greatest weight in it; blocks are read by falling bound and reading stops when
 no block can reach the k-th best, so the k nearest are exact. Ties go to the example with the smaller number, which
-follows from its text.
+follows from its label and text.
 
-The raw vote is the share of label 1 in the k nearest, each with its cosine as weight. Calibration maps it to the
+Examples with the same vector are one entry with the number of its labels. The raw vote is the share of label 1 in
+the k nearest entries, each weighted by the root of its number and a power of its cosine. Calibration maps it to the
 share of label 1 that the calibration rows with such a vote have, made monotone; a text without words has the score
 of texts without any telling term. A score depends on the text only.
 
@@ -29,13 +31,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from papyra.llm.common import append_columns, bound_batches, cut, raw_texts, words_of
 
-PREFIXES = (4, 5)
+PREFIXES = (4, 5, 7)
+#: A prefix that so many different words of a text share is a term of its own.
+REPEATS = (2, 3)
 LIFT, LEAST_Z = 3.0, 5.0
 #: Documents with this score or more are rejected.
 REJECT = 0.7
@@ -43,11 +47,13 @@ REJECT = 0.7
 MAX_LABELLED = 24_000
 MAX_TERMS = 4096
 MAX_EXAMPLES = 2048
-BLOCK = 64
-K = 15
+BLOCK = 128
+K = 9
+#: A neighbour's vote counts as its cosine to this power.
+STEEPNESS = 8
 VOTE_BINS = 20
 FLUSH_TERMS = 300_000
-REST, REST_WEIGHT = b"", 0.7
+REST, REST_WEIGHT, REST_WORDS = b"", 0.7, 50
 #: What calibration adds to each bin: this much weight of the overall share.
 PRIOR = 1.0
 
@@ -62,10 +68,20 @@ def learnable(labels: DataFrame) -> DataFrame:
     return labels.where(fold() != 1)
 
 
-def terms_of_word(word: bytes) -> tuple[bytes, ...]:
-    """The word, marked, and its prefixes, in characters; a Latin-1 reading would cut characters apart."""
+def prefixes_of(word: bytes) -> tuple[bytes, ...]:
+    """The word's beginnings, cut between characters; a shorter word's is the word itself, marked."""
     text = word.decode()
-    return (b"=" + word, *(text[:n].encode() for n in PREFIXES if len(text) > n))
+    return tuple(text[:n].encode() for n in PREFIXES if len(text) > n) or (b"=" + word,)
+
+
+def terms_of_text(words: list[bytes]) -> set[bytes]:
+    """All terms of a text: prefixes, and those that several different words share once more (marked 2, 3)."""
+    shared: Counter = Counter()
+    for w in set(words):
+        shared.update(prefixes_of(w))
+    terms = set(shared)
+    terms.update(b"%d" % n + p for p, m in shared.items() for n in REPEATS if m >= n)
+    return terms
 
 
 @dataclass
@@ -73,9 +89,10 @@ class Model:
     """The index and what scoring needs; bounded by MAX_TERMS and MAX_EXAMPLES."""
 
     idf: dict[bytes, float]
-    labels: np.ndarray
-    names: list
     k: int = K
+    names: list = field(default_factory=list)
+    ones: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    times: np.ndarray = field(default_factory=lambda: np.zeros(0))
     cuts: list[float] = field(default_factory=list)
     values: list[float] = field(default_factory=list)
     share: float = 0.0
@@ -107,18 +124,29 @@ class Model:
         kept = self.of_word
         if len(kept) > 500_000:
             kept.clear()
-        found: Counter = Counter()
+        hits = []
         for w in words:
             terms = kept.get(w)
             if terms is None:
-                terms = kept[w] = tuple(t for t in terms_of_word(w) if t in self.idf)
+                before = prefixes_of(w)
+                known = tuple(t for t in before if t in self.idf)
+                repeated = tuple(p for p in before if any(b"%d" % n + p in self.idf for n in REPEATS))
+                terms = kept[w] = (known, repeated) if known or repeated else ()
             if terms:
-                found.update(terms)
+                hits.append((w, terms))
+        found: Counter = Counter()
+        for _, (known, _) in hits:
+            found.update(known)
+        shared: Counter = Counter()
+        for _, repeated in {w: repeated for w, (_, repeated) in hits}.items():
+            shared.update(repeated)
+        found.update({t: 1 for p, m in shared.items() for n in REPEATS if m >= n and (t := b"%d" % n + p) in self.idf})
+        found[REST] = max(1, len(words) // REST_WORDS).bit_length() if found else 1
         return found
 
     def vector(self, found: Counter) -> dict[bytes, float]:
-        v = {t: (1.0 + math.log(n)) * self.idf[t] for t, n in found.items()}
-        v[REST] = REST_WEIGHT
+        v = {t: (1.0 + math.log(n)) * self.idf[t] for t, n in found.items() if t != REST}
+        v[REST] = REST_WEIGHT * found.get(REST, 1)
         norm = math.sqrt(sum(w * w for w in v.values()))
         return {t: w / norm for t, w in sorted(v.items())}
 
@@ -145,8 +173,9 @@ class Model:
         key = tuple(sorted(found.items()))
         if (done := self.known.get(key)) is None:
             near = self.nearest(self.vector(found))
-            total = sum(s for s, _ in near)
-            done = (sum(s * self.labels[n] for s, n in near) / total if total else 0.0, near)
+            weights = [max(s, 0.0) ** STEEPNESS * math.sqrt(self.times[n]) for s, n in near]
+            total = sum(weights)
+            done = (sum(w * self.ones[n] / self.times[n] for w, (_, n) in zip(weights, near, strict=True)) / total if total else 0.0, near)
             if len(self.known) < 100_000:
                 self.known[key] = done
         return done
@@ -169,7 +198,7 @@ def count_terms(labelled: DataFrame, text_col: str) -> DataFrame:
 
         for batch in batches:
             for raw, label in zip(raw_texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                counts[label].update({t for w in set(words_of(raw)) for t in terms_of_word(w)})
+                counts[label].update(terms_of_text(words_of(raw)))
                 if len(counts[0]) + len(counts[1]) > FLUSH_TERMS:
                     yield out()
                     for c in counts:
@@ -181,13 +210,13 @@ def count_terms(labelled: DataFrame, text_col: str) -> DataFrame:
 
 
 def telling_terms(counts: DataFrame, n0: int, n1: int, max_terms: int = MAX_TERMS) -> dict[bytes, int]:
-    """At most max_terms terms that tell the labels apart, with the number of documents that have them."""
+    """At most max_terms terms that tell the labels apart, with the number of documents of label 0 that have them."""
     p0, p1 = (F.col("n0") + 0.5) / (n0 + 1.0), (F.col("n1") + 0.5) / (n1 + 1.0)
     p = (F.col("n0") + F.col("n1") + 1.0) / (n0 + n1 + 2.0)
     z = F.abs(p1 - p0) / F.sqrt(p * (1.0 - p) * (1.0 / (n0 + 1.0) + 1.0 / (n1 + 1.0)))
     lift = F.greatest(p1 / p0, p0 / p1)
     best = counts.where((F.col("n0") + F.col("n1")) > 1).withColumn("z", z).where((z >= LEAST_Z) & (lift >= LIFT)).orderBy(F.desc("z"), "term").limit(max_terms)
-    return {bytes(r["term"]): r["n0"] + r["n1"] for r in best.collect()}
+    return {bytes(r["term"]): r["n0"] for r in best.collect()}
 
 
 def monotone(counts: list[tuple[int, int]], share: float) -> list[float]:
@@ -212,27 +241,34 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     sizes = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     share = n1 / (n0 + n1) if n0 + n1 else 0.0
-    model = Model({}, np.zeros(0), [], k, share=share)
+    model = Model({}, k, share=share)
     if not n0 or not n1:
         return model
     found = telling_terms(count_terms(labelled, "text"), n0, n1, max_terms)
-    model.idf = {t: math.log(1.0 + (n0 + n1) / n) for t, n in found.items()}
+    model.idf = {t: math.log(1.0 + n0 / (n + 0.5)) for t, n in found.items()}
 
-    # examples: every second row by hash, texts that are the same only once, at most max_examples of each label;
-    # only their telling terms go to the driver
-    first = labelled.where(F.pmod("h", F.lit(2)) == 0).groupBy("h", "toxic").agg(F.min_by("text", "doc_id").alias("text"), F.min("doc_id").alias("doc_id"))
-    place = F.row_number().over(Window.partitionBy("toxic").orderBy("h"))
-    first = first.withColumn("place", place).where(F.col("place") <= max_examples).drop("place")
+    # examples: two rows in three by hash, texts that are the same only once, at most max_examples of each label; those
+    # with the same vector are one entry; only their telling terms go to the driver
     shared_terms = spark.sparkContext.broadcast(model)
     found_terms = T.StructType([T.StructField("found", T.MapType(T.BinaryType(), T.LongType()))])
-    rows = append_columns(first, found_terms, lambda: _found(shared_terms.value)).select("h", "doc_id", "toxic", "found").collect()
-    rows.sort(key=lambda r: (r["h"], r["toxic"]))
-    vectors = [model.vector(Counter({bytes(t): n for t, n in r["found"].items()})) for r in rows]
-    model.labels, model.names = np.array([r["toxic"] for r in rows], dtype=float), [r["doc_id"] for r in rows]
-    model.index(vectors)
+    first = append_columns(labelled.where(F.pmod("h", F.lit(3)) > 0), found_terms, lambda: _found(shared_terms.value))
+    rows = sorted(first.select("h", "doc_id", "toxic", "found").collect(), key=lambda r: (-r["toxic"], r["h"], r["doc_id"]))
+    taken, places = Counter(), {}
+    last = None
+    for r in rows:
+        key = (r["toxic"], r["h"])
+        if key == last or taken[r["toxic"]] == max_examples:
+            continue
+        last = key
+        taken[r["toxic"]] += 1
+        place = places.setdefault(tuple(sorted((bytes(t), n) for t, n in r["found"].items())), [r["doc_id"], 0, 0])
+        place[1] += r["toxic"]
+        place[2] += 1
+    model.names, model.ones, model.times = [p[0] for p in places.values()], np.array([p[1] for p in places.values()], float), np.array([p[2] for p in places.values()], float)
+    model.index([model.vector(Counter(dict(terms))) for terms in places])
 
     shared = spark.sparkContext.broadcast(model)
-    votes = append_columns(labelled.where(F.pmod("h", F.lit(2)) == 1).select("text", "toxic"), T.StructType([T.StructField("vote", T.DoubleType())]), lambda: _votes(shared.value))
+    votes = append_columns(labelled.where(F.pmod("h", F.lit(3)) == 0).select("text", "toxic"), T.StructType([T.StructField("vote", T.DoubleType())]), lambda: _votes(shared.value))
     bins = F.least(F.floor(F.col("vote") * VOTE_BINS), F.lit(VOTE_BINS - 1)).cast("int")
     table = {(r["bin"], r["toxic"]): r["n"] for r in votes.groupBy(bins.alias("bin"), "toxic").agg(F.count("*").alias("n")).collect()}
     model.cuts = [(b + 1) / VOTE_BINS for b in range(VOTE_BINS - 1)]
@@ -265,7 +301,7 @@ def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", n_evid
             for raw in raw_texts(batch.column(text_col)):
                 vote, near = own.vote(own.counts(words_of(raw)))
                 scores.append(own.score(vote))
-                evidence.append([{"doc_id": own.names[n], "toxic": int(own.labels[n]), "cosine": s} for s, n in near[:n_evidence]])
+                evidence.append([{"doc_id": own.names[n], "toxic": int(2 * own.ones[n] >= own.times[n]), "cosine": s} for s, n in near[:n_evidence]])
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
             return [pa.array(scores, pa.float64()), pa.array(evidence, kind)]
 
