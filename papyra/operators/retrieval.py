@@ -46,8 +46,11 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, key: str = "key", text: st
     """BM25 Okapi. queries: (query_id, text). A query's term counts as often as it occurs; scores of 0 or less go
     after the cut. Terms found in more than half of the documents have NEGATIVE_IDF times the mean idf instead."""
     index = postings(docs, key, text)
-    totals = docs.select(F.count("*").alias("n_docs"), F.avg(F.size(tokens(F.col(text)))).alias("avgdl"))
-    df = index.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(totals))  # totals is one row
+    # texts are cut into words once: what follows reads the postings, whose shuffle Spark reuses
+    by_term = index.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
+    words = by_term.agg(F.sum("n").alias("words"))
+    totals = docs.agg(F.count("*").alias("n_docs")).crossJoin(words).select("n_docs", (F.col("words") / F.col("n_docs")).alias("avgdl"))
+    df = by_term.drop("n").crossJoin(F.broadcast(totals))  # totals is one row
     idf = F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     df = df.withColumn("raw", idf)
     mean = df.agg(F.avg("raw").alias("mean_idf"))
