@@ -4,7 +4,8 @@ A document's size is its number of words. Each source gets a target: its weight'
 `max_copies` times the source's own size, the excess shared again by weight among the others. A document's expected
 number of copies is target / source size. Its whole part is taken for certain; the rest, p, is its inclusion
 probability in a Pareto order sample: documents are ranked by the random odds u/(1-u) divided by the inclusion odds
-p/(1-p), and are taken in that order up to the fixed size (in words) that the target leaves.
+p/(1-p), and are taken in that order up to the fixed size (in words) that the target leaves. At most FILL_ROUNDS
+more documents a source, each the nearest to the words still missing, make the size as good as fixed.
 
 u comes from a hash of the id and the seed, so reruns agree. Rows are ranked by (odds ratio, id, size); rows that
 are equal in all of these are interchangeable. The cut of each source is found from sums over bins of the odds
@@ -26,6 +27,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 BINS = 1024
 #: 13 hexadecimal digits: random numbers that doubles hold exactly.
 RANDOM_DIGITS = 13
+FILL_ROUNDS = 3
 
 
 def uniform(id_col: Column, seed: str) -> Column:
@@ -105,16 +107,35 @@ def mix_sizes(rows: DataFrame, weights: DataFrame, max_copies: int = 3, seed: st
     cuts = _cut_bins(finer, "rest")
     finer = finer.join(cuts, same, "left").drop("_source")
     order = Window.partitionBy("source", "bin").orderBy("value", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    at_cut = finer.where("bin = cut_bin").withColumn("reach", F.col("before") + F.sum("size").over(order) - F.col("size") / F.lit(2.0))
+    at_cut = finer.where("bin = cut_bin").withColumn("reach", F.col("before") + F.sum("size").over(order))
     at_cut = at_cut.withColumn("state", F.when(F.col("reach") <= F.col("rest"), 1).otherwise(0))
     around = finer.where("cut_bin IS NULL OR bin <> cut_bin").withColumn("state", F.when(F.col("cut_bin").isNull() | (F.col("bin") < F.col("cut_bin")), 1).otherwise(0))
 
-    cols = ["doc_id", "source", "size", "source_size", "target", "whole", "state"]
+    cols = ["doc_id", "source", "size", "source_size", "target", "whole", "left", "value", "state"]
     done = sure.select(cols).unionByName(around.select(cols)).unionByName(at_cut.select(cols))
+    for n in range(FILL_ROUNDS):
+        done = _fill(cut(done), last=n == FILL_ROUNDS - 1)
     copies = F.when(F.col("size") > 0, F.col("whole") + F.col("state")).otherwise(F.lit(0))
     return done.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"))
 
 
+def _fill(done: DataFrame, last: bool) -> DataFrame:
+    """One more document for each source whose sample leaves words: the largest that fits or, in the last round, the
+    one whose size comes nearest; of equal ones the first."""
+    gaps = done.groupBy(F.col("source").alias("_source")).agg((F.max("left") - F.sum(F.col("size") * F.col("state"))).alias("gap"))
+    same = F.col("source").eqNullSafe(F.col("_source"))
+    free = done.where("state = 0 AND size > 0").join(gaps.where("gap > 0"), same).where("size < 2 * gap" if last else "size <= gap")
+    off = F.abs(F.col("gap") - F.col("size"))
+    best = free.groupBy("_source").agg(F.min(F.struct(off.alias("off"), "value", "doc_id", "size")).alias("best"))
+    joined = done.join(best, same, "left")
+    picked = (F.col("state") == 0) & (F.col("best.value") == F.col("value")) & F.col("best.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("best.size") == F.col("size"))
+    joined = joined.withColumn("_picked", F.coalesce(picked, F.lit(False))).drop("_source", "best")
+    # of rows that are the same one is taken
+    once = Window.partitionBy("source").orderBy("doc_id")
+    more = joined.where("_picked").withColumn("state", F.when(F.row_number().over(once) == 1, 1).otherwise(0))
+    return joined.where("NOT _picked").unionByName(more).drop("_picked")
+
+
 def cyclic_weights(docs: DataFrame, cycle: tuple[int, ...] = (5, 2, 1), source_col: str = "source") -> DataFrame:
     """(source, weight): the sources by code point, null last, weigh as `cycle`, repeating. One row a source."""
     sources = docs.select(F.col(source_col).alias("source")).distinct()

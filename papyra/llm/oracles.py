@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from papyra.llm.mixing import FILL_ROUNDS
 from papyra.llm.secrets import ACCESS, ASSIGN, ASSIGN_HEAD, CANDIDATE, HEX, THRESHOLDS, WINDOW
 
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -121,6 +122,11 @@ def _op7() -> str:
     for n in range(_ROUNDS):
         rounds += f""",
 h{n + 1} AS (SELECT source, source_size, w, held OR share > 3 * source_size AS held FROM (SELECT *, CAST((sum(source_size) OVER () - sum(CASE WHEN held THEN 3 * source_size ELSE 0 END) OVER ()) * w AS DOUBLE) / CAST(sum(CASE WHEN held THEN 0 ELSE w END) OVER () AS DOUBLE) AS share FROM h{n}))"""
+    fills = ",".join(
+        f"""f{n} AS (SELECT n FROM (SELECT *, rest - sum(CASE WHEN taken THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap FROM g{n}) WHERE NOT taken AND size > 0 AND gap > 0 AND size {"< 2 * gap" if n == FILL_ROUNDS - 1 else "<= gap"} QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(gap - size), value, doc_id, size) = 1),
+g{n + 1} AS (SELECT * EXCLUDE (taken), taken OR n IN (SELECT n FROM f{n}) AS taken FROM g{n})"""
+        for n in range(FILL_ROUNDS)
+    )
     return rf"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
@@ -132,8 +138,10 @@ x AS (SELECT doc_id, size, d.source, source_size, target, CASE WHEN source_size
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 p AS (SELECT *, ratio - floor(ratio) AS p, target - floor(ratio) * source_size AS rest FROM x),
 v AS (SELECT *, CASE WHEN u * (1 - p) + (1 - u) * p > 0 THEN u * (1 - p) / (u * (1 - p) + (1 - u) * p) ELSE 1 END AS value FROM p),
-r AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY value, doc_id, size ROWS UNBOUNDED PRECEDING) - size / 2 AS reach FROM v)
-SELECT doc_id, size, source_size, target, CAST((floor(ratio) + CASE WHEN reach <= rest THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM r
+r AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY value, doc_id, size ROWS UNBOUNDED PRECEDING) AS reach FROM v),
+g0 AS (SELECT *, row_number() OVER () AS n, reach <= rest AS taken FROM r),
+{fills}
+SELECT doc_id, size, source_size, target, CAST((floor(ratio) + CASE WHEN taken THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM g{FILL_ROUNDS}
 """
 
 
