@@ -103,3 +103,12 @@ def test_reference_paragraphs_and_numbers(spark):
     texts = [("x\nReferences\n[1] first entry here\n[2] second entry here",), ("x\nBibliography\na paragraph entry\n\nanother paragraph\n\nshort",), ("no references",)]
     got = spark.createDataFrame(texts, "t string").select(X.split_references(X.reference_section(F.col("t"))).alias("r")).collect()
     assert [r["r"] for r in got] == [["first entry here", "second entry here"], ["a paragraph entry", "another paragraph"], []]
+
+
+def test_keywords_of_fixed_questions(spark):
+    from papyra.operators.keywords import extract_keywords
+
+    asked = [(1, "CLIP和GraphSAGE在OGB-Arxiv上的表现差异是什么"), (2, "图神经网络研究趋势和应用挑战有哪些"), (3, "the of and"), (4, None)]
+    got = {r["query_id"]: (r["ll"], r["hl"]) for r in extract_keywords(spark.createDataFrame(asked, "query_id int, text string")).collect()}
+    assert {"CLIP", "GraphSAGE", "OGB-Arxiv"} <= set(got[1][0]) | {p for x in got[1][0] for p in x.replace("和", " ").replace("在", " ").split()}
+    assert got[2][1] and got[3] == ([], []) and got[4] == ([], [])
