@@ -28,6 +28,8 @@ BINS = 1024
 #: 13 hexadecimal digits: random numbers that doubles hold exactly.
 RANDOM_DIGITS = 13
 FILL_ROUNDS = 3
+#: Tables of one row a source are broadcast up to so many sources, and joined beyond.
+BROADCAST_SOURCES = 100_000
 
 
 def uniform(id_col: Column, seed: str) -> Column:
@@ -88,7 +90,9 @@ def mix_sizes(rows: DataFrame, weights: DataFrame, max_copies: int = 3, seed: st
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     joined = sources.join(weights.select(F.col("source").alias("_w"), "weight"), F.col("source").eqNullSafe(F.col("_w")), "left").drop("_w")
     plan = targets(joined.select("source", "source_size", F.coalesce("weight", F.lit(0)).alias("weight")), max_copies).drop("weight").withColumnRenamed("source", "_source")
-    rows = rows.join(plan, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
+    plan = cut(plan)
+    by_source = F.broadcast if plan.count() <= BROADCAST_SOURCES else (lambda df: df)
+    rows = rows.join(by_source(plan), F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rows = rows.withColumn("whole", F.floor(ratio)).withColumn("left", F.col("target") - F.col("whole") * F.col("source_size"))
     rows = rows.withColumn("value", rank_value(uniform(F.col("doc_id"), seed), ratio - F.floor(ratio)))
@@ -96,7 +100,7 @@ def mix_sizes(rows: DataFrame, weights: DataFrame, max_copies: int = 3, seed: st
 
     first = _binned(rows, F.col("value"))
     cuts = cut(_cut_bins(first, "left"))
-    first = first.join(cuts, same, "left").drop("_source")
+    first = first.join(by_source(cuts), same, "left").drop("_source")
     # a source without a cut takes all its documents or, where nothing is left, none
     state = F.when(F.col("left") <= 0, F.lit(0)).when(F.col("cut_bin").isNull() | (F.col("bin") < F.col("cut_bin")), 1).when(F.col("bin") == F.col("cut_bin"), 2).otherwise(0)
     first = first.withColumn("state", state).withColumn("rest", F.col("left") - F.col("before")).drop("cut_bin", "before")
@@ -105,7 +109,7 @@ def mix_sizes(rows: DataFrame, weights: DataFrame, max_copies: int = 3, seed: st
     finer = first.where("state = 2").withColumn("value2", F.col("value") * BINS - F.col("bin"))
     finer = _binned(finer, F.col("value2"))
     cuts = _cut_bins(finer, "rest")
-    finer = finer.join(cuts, same, "left").drop("_source")
+    finer = finer.join(by_source(cuts), same, "left").drop("_source")
     order = Window.partitionBy("source", "bin").orderBy("value", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     at_cut = finer.where("bin = cut_bin").withColumn("reach", F.col("before") + F.sum("size").over(order))
     at_cut = at_cut.withColumn("state", F.when(F.col("reach") <= F.col("rest"), 1).otherwise(0))
@@ -114,20 +118,20 @@ def mix_sizes(rows: DataFrame, weights: DataFrame, max_copies: int = 3, seed: st
     cols = ["doc_id", "source", "size", "source_size", "target", "whole", "left", "value", "state"]
     done = sure.select(cols).unionByName(around.select(cols)).unionByName(at_cut.select(cols))
     for n in range(FILL_ROUNDS):
-        done = _fill(cut(done), last=n == FILL_ROUNDS - 1)
+        done = _fill(cut(done), by_source, last=n == FILL_ROUNDS - 1)
     copies = F.when(F.col("size") > 0, F.col("whole") + F.col("state")).otherwise(F.lit(0))
     return done.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"))
 
 
-def _fill(done: DataFrame, last: bool) -> DataFrame:
+def _fill(done: DataFrame, by_source, last: bool) -> DataFrame:
     """One more document for each source whose sample leaves words: the largest that fits or, in the last round, the
     one whose size comes nearest; of equal ones the first."""
     gaps = done.groupBy(F.col("source").alias("_source")).agg((F.max("left") - F.sum(F.col("size") * F.col("state"))).alias("gap"))
     same = F.col("source").eqNullSafe(F.col("_source"))
-    free = done.where("state = 0 AND size > 0").join(gaps.where("gap > 0"), same).where("size < 2 * gap" if last else "size <= gap")
+    free = done.where("state = 0 AND size > 0").join(by_source(gaps.where("gap > 0")), same).where("size < 2 * gap" if last else "size <= gap")
     off = F.abs(F.col("gap") - F.col("size"))
     best = free.groupBy("_source").agg(F.min(F.struct(off.alias("off"), "value", "doc_id", "size")).alias("best"))
-    joined = done.join(best, same, "left")
+    joined = done.join(by_source(best), same, "left")
     picked = (F.col("state") == 0) & (F.col("best.value") == F.col("value")) & F.col("best.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("best.size") == F.col("size"))
     joined = joined.withColumn("_picked", F.coalesce(picked, F.lit(False))).drop("_source", "best")
     # of rows that are the same one is taken
