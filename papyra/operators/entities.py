@@ -11,14 +11,13 @@ from pyspark.sql import functions as F
 SEPARATOR, LONGEST = "\n---\n", 2000
 
 
-@F.pandas_udf("string")
 def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
 def nfc(df: DataFrame, column: str) -> DataFrame:
-    """The column in normal form C, for which Spark has no function; plain ASCII never leaves the JVM's columns."""
-    return df.withColumn(column, _nfc(F.col(column)))
+    """The column in normal form C, for which Spark has no function; batches go to Python through Arrow."""
+    return df.withColumn(column, F.pandas_udf(_nfc, "string")(F.col(column)))
 
 
 def normal_name(name: Column) -> Column:

@@ -18,7 +18,6 @@ PHRASES = (
 )
 
 
-@F.pandas_udf("array<string>")
 def _phrases(texts: pd.Series) -> pd.Series:
     """All patterns' matches in order of their places, which Spark's own functions don't give."""
     patterns = [re.compile(p) for p in PHRASES]
@@ -33,7 +32,7 @@ def _phrases(texts: pd.Series) -> pd.Series:
 
 def extract_keywords(queries: DataFrame) -> DataFrame:
     """Adds ll and hl to queries (query_id, text): names of things and topics; a topic that is also a name is a name."""
-    rows = queries.withColumn("_p", F.filter(F.transform(_phrases("text"), clean_phrase), lambda p: p != ""))
+    rows = queries.withColumn("_p", F.filter(F.transform(F.pandas_udf(_phrases, "array<string>")("text"), clean_phrase), lambda p: p != ""))
     of = lambda level: F.filter("_p", lambda p: phrase_level(p) == level)
     ll = distinct_keywords(of("ll"))
     hl = distinct_keywords(F.flatten(F.transform(of("hl"), expand_topic)))
