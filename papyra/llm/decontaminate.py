@@ -26,6 +26,8 @@ from papyra.llm.common import WORD_BYTES, append_columns, cut, raw_texts, words_
 #: after the other, so that what is broadcast and what a worker holds stay bounded.
 BLOCK_CHARS = 2_000_000
 
+#: The column that carries hits from block to block.
+CARRIED = "_hits_so_far"
 HITS = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType()), T.StructField("item", T.StringType())]))
 HITS_ARROW = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("item", pa.string())]))
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
@@ -89,7 +91,7 @@ def original_spans(raw: bytes, intervals: list[list[int]]) -> list[dict]:
 
 
 def _scan(docs: DataFrame, items, window: int, text_col: str, carried: bool, last: bool) -> DataFrame:
-    hits_field = T.StructField("hits", HITS)
+    hits_field = T.StructField(CARRIED, HITS)
     added = [
         T.StructField("n_words", T.LongType()),
         T.StructField("n_hit", T.LongType()),
@@ -102,7 +104,7 @@ def _scan(docs: DataFrame, items, window: int, text_col: str, carried: bool, las
 
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
             raws = raw_texts(batch.column(text_col))
-            before = batch.column("hits").to_pylist() if carried else [None] * len(raws)
+            before = batch.column(CARRIED).to_pylist() if carried else [None] * len(raws)
             out: list[list] = [[], [], [], [], []]
             for raw, old in zip(raws, before, strict=True):
                 words = words_of(raw)
@@ -122,7 +124,7 @@ def _scan(docs: DataFrame, items, window: int, text_col: str, carried: bool, las
         return work
 
     done = append_columns(docs, T.StructType(added if last else [hits_field]), start)
-    return done.drop("hits") if last and carried else done
+    return done.drop(CARRIED) if last and carried else done
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -134,7 +136,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, text_col:
     items = items.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
     total = items.agg(F.sum(F.length("text") + 16)).first()[0] or 0
     n_blocks = max(1, -(-int(total) // block_chars))
-    docs = docs.drop("hits")
+    docs = docs.drop(CARRIED)
     for k in range(n_blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k) if n_blocks > 1 else items
         shared = spark.sparkContext.broadcast([(r[0], r[1]) for r in block.collect()])

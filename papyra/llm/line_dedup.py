@@ -172,8 +172,9 @@ def _drop_joined(docs: DataFrame, frequent: DataFrame, text_col: str, min_chars:
 
 
 def batches_of(docs: DataFrame, n_batches: int, id_col: str) -> list[DataFrame]:
-    """The documents in n_batches batches by id, in order of arrival; the bounds reach the scan as filters."""
-    if n_batches <= 1:
+    """The documents in n_batches batches by id, in order of arrival; the bounds reach the scan as filters. Ids that
+    aren't numbers make one batch."""
+    if n_batches <= 1 or not isinstance(docs.schema[id_col].dataType, T.NumericType):
         return [docs]
     cuts = docs.agg(F.percentile_approx(id_col, [i / n_batches for i in range(1, n_batches)], 1000)).first()[0]
     cuts = sorted(set(cuts or []))

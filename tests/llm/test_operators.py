@@ -52,6 +52,7 @@ def brute_decontaminate(text, window):
 def test_decontamination(spark, block_chars):
     docs = spark.createDataFrame([(n, t, "own", 1) for n, t in enumerate(TEXTS)], "doc_id int, text string, hits string, n_words int")
     rows = decontaminate.decontaminate(docs, spark.createDataFrame(ITEMS, "item_id string, text string"), 3, block_chars=block_chars).orderBy("doc_id").collect()
+    assert {r["hits"] for r in rows} == {"own"}
     for r, text in zip(rows, TEXTS, strict=True):
         assert (r["n_words"], r["n_hit"], r["item_ids"]) == brute_decontaminate(text, 3)
         assert sum(len(words(text[s["start"] : s["end"]])) for s in r["spans"]) == r["n_hit"]
