@@ -37,6 +37,16 @@ def subgraph(nodes: DataFrame, edges: DataFrame, limit: int, labels: list[str] |
     return kept, inside.select("src", "dst", "type").distinct()
 
 
+def entity_search(nodes: DataFrame, edges: DataFrame, search: str, relation_type: str | None = None, n_nodes: int = 10, n_relations: int = 15, within: int = 50) -> DataFrame:
+    """(kind, a, b): ids and names of the first nodes of the subgraph, then the ends of its first relations."""
+    kept, inside = subgraph(nodes, edges, within, ["Entity"], search)
+    if relation_type:
+        inside = inside.where(F.col("type") == relation_type)
+    named = kept.orderBy("name", "id").limit(n_nodes).select(F.lit("node").alias("kind"), F.col("id").alias("a"), F.col("name").alias("b"))
+    ends = inside.orderBy("src", "dst", "type").limit(n_relations).select(F.lit("relation").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"))
+    return named.union(ends)
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 

@@ -104,6 +104,40 @@ def new_memories(candidates: DataFrame, memories: DataFrame, threshold: float =
     return left.join(near.select("slug").distinct(), "slug", "left_anti")
 
 
+def similar_memories(memories: DataFrame, id_col: str, threshold: float = 0.7) -> DataFrame:
+    """memories: (id, type, text). One row each: class_id, the smallest id with the same type and set of words, and
+    n_links, how many other rows of the type share more than the threshold of its words, copies among them.
+
+    Copies collapse to one class first, and only classes are compared. Words are ordered from rare to frequent; a pair
+    over the threshold shares one of the first n - ceil(threshold * n) + 1 words of both. A meeting counts only if the
+    sizes and what can still follow the two places leave the threshold in reach; the first shared word always does.
+    Texts without words have no links. Null texts are empty; a null type is like no other."""
+    text = F.lower(F.coalesce("text", F.lit("")))
+    words = F.array_sort(F.array_distinct(F.filter(F.split(text, r"\s+"), lambda w: w != "")))
+    rows = memories.select(F.col(id_col).alias("_id"), "type", words.alias("w")).withColumn("h", F.sha2(F.array_join("w", " "), 256))
+    classes = rows.groupBy("type", "h").agg(F.min("_id").alias("class_id"), F.count("*").alias("copies"))
+    sets = rows.select(F.col("_id").alias("class_id"), "type", "w", F.size("w").alias("n")).join(classes.select("class_id"), "class_id", "left_semi")
+    each = sets.select("class_id", "type", "n", F.explode("w").alias("x"))
+    often = each.groupBy("x").agg(F.count("*").alias("df"))
+    order = F.transform(F.array_sort(F.collect_list(F.struct("df", "x"))), lambda o: o["x"])
+    first = each.join(often, "x").groupBy("class_id", "type", "n").agg(order.alias("o"))
+    first = first.select("class_id", "type", "n", F.posexplode(F.slice("o", F.lit(1), F.col("n") - F.ceil(F.col("n") * threshold).cast("int") + 1)).alias("at", "x"))
+    a, b = first.alias("a"), first.alias("b")
+    left, right = F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")  # words from here on
+    need = (F.col("a.n") + F.col("b.n")) * (threshold / (1 + threshold))
+    meets = (F.col("a.type") == F.col("b.type")) & (F.col("a.x") == F.col("b.x")) & (F.col("a.class_id") < F.col("b.class_id"))
+    pairs = a.join(b, meets & (F.least(left, right) >= need - 1e-6)).select(F.col("a.class_id").alias("a"), F.col("b.class_id").alias("b")).distinct()
+    own = lambda n: sets.select(F.col("class_id").alias(n), F.col("w").alias(f"w{n}"))
+    shared = F.size(F.array_intersect("wa", "wb"))
+    pairs = pairs.join(own("a"), "a").join(own("b"), "b").where(shared > (F.size("wa") + F.size("wb") - shared) * threshold).select("a", "b")
+    links = pairs.union(pairs.select("b", "a")).toDF("class_id", "b").join(classes.select(F.col("class_id").alias("b"), "copies"), "b")
+    links = links.groupBy("class_id").agg(F.sum("copies").alias("links"))
+    classes = classes.join(links, "class_id", "left")
+    n = F.when(F.size("w") == 0, F.lit(0)).otherwise(F.col("copies") - 1 + F.coalesce("links", F.lit(0)))
+    out = rows.alias("r").join(classes.alias("c"), F.col("r.type").eqNullSafe(F.col("c.type")) & (F.col("r.h") == F.col("c.h")))
+    return out.select(F.col("_id").alias(id_col), "class_id", n.cast("long").alias("n_links"))
+
+
 def limit_calls(calls: DataFrame, most: int, window_s: float) -> DataFrame:
     """Adds allowed to calls (session_id, tool, ts, event_id): at most `most` allowed calls of a session and tool in any
     window; denied calls don't count. Each key's calls are gone through in order, with `most` times held."""

@@ -95,7 +95,7 @@ def section_chunks(spark, d):
     return C.section_chunks(C.group_pages(pages))
 
 
-@register("modal_chunks", """SELECT page_id, '[TABLE] ' || url || chr(10) || left(html, 40) AS content, (SELECT count(*) FROM documents d WHERE d.doc_id = page_id) + row_number() OVER (PARTITION BY page_id ORDER BY url) - 1 AS chunk_index FROM pages WHERE trim(html) <> ''""")
+@register("modal_chunks", """SELECT page_id, '[TABLE] ' || url || chr(10) || html AS content, (SELECT count(*) FROM documents d WHERE d.doc_id = page_id) + row_number() OVER (PARTITION BY page_id ORDER BY url) - 1 AS chunk_index FROM pages WHERE trim(html) <> ''""")
 def modal_chunks(spark, d):
     """Modal items are numbered after the document's text chunks (one here); blank ones are left out."""
     from pyspark.sql import Window
@@ -104,4 +104,4 @@ def modal_chunks(spark, d):
     texts = _docs(spark, d).groupBy(F.col("doc_id").alias("page_id")).agg(F.count("*").alias("n"))
     order = Window.partitionBy("page_id").orderBy("url")
     rows = items.join(texts, "page_id", "left").withColumn("chunk_index", F.coalesce("n", F.lit(0)) + F.row_number().over(order) - 1)
-    return rows.select("page_id", C.modal_text(F.lit("table"), F.col("url"), F.substring("html", 1, 40)).alias("content"), "chunk_index")
+    return rows.select("page_id", C.modal_text(F.lit("table"), F.col("url"), F.col("html")).alias("content"), "chunk_index")

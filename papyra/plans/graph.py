@@ -44,14 +44,36 @@ def subgraph_nodes(spark, d):
     return G.subgraph(_nodes(spark, d), _edges(spark, d), 400, ["Document", "Reference"], "1")[0]
 
 
-@register("subgraph_edges", f"WITH {NODES}, {EDGES}, sub AS (SELECT * FROM nodes WHERE label = 'Entity' AND contains(lower(name), 'i') OR regexp_matches(id, '^D:[0-9]{{1,2}}$') AND contains(lower(name), 'i') ORDER BY CASE label WHEN 'Document' THEN 0 WHEN 'Entity' THEN 1 ELSE 3 END, name, id LIMIT 500) SELECT DISTINCT src, dst, type FROM edges WHERE src IN (SELECT id FROM sub) AND dst IN (SELECT id FROM sub)")
+ENTITIES = """ents AS (SELECT 'P:' || p_partkey AS id, 'Entity' AS label, p_name AS name FROM part UNION ALL SELECT 'S:' || s_suppkey, 'Entity', s_name FROM supplier),
+links AS (SELECT DISTINCT 'P:' || l_partkey AS src, 'S:' || l_suppkey AS dst, l_returnflag AS type FROM lineitem),
+sub AS (SELECT * FROM ents WHERE contains(lower(name), 'i') ORDER BY name, id LIMIT 500)"""
+
+
+def _entities(spark, d):
+    """Parts and suppliers as entity nodes, and the relations between them."""
+    one = lambda t, mark, key, name: _read(spark, d, t).select(F.concat(F.lit(mark), F.col(key)).alias("id"), F.lit("Entity").alias("label"), F.col(name).alias("name"))
+    links = _read(spark, d, "lineitem").select(F.concat(F.lit("P:"), "l_partkey").alias("src"), F.concat(F.lit("S:"), "l_suppkey").alias("dst"), F.col("l_returnflag").alias("type"))
+    return one("part", "P:", "p_partkey", "p_name").union(one("supplier", "S:", "s_suppkey", "s_name")), links
+
+
+@register("subgraph_edges", f"WITH {ENTITIES} SELECT src, dst, type FROM links WHERE src IN (SELECT id FROM sub) AND dst IN (SELECT id FROM sub)")
 def subgraph_edges(spark, d):
-    return G.subgraph(_nodes(spark, d).where("label <> 'Document' OR id RLIKE '^D:[0-9]{1,2}$'"), _edges(spark, d), 5000, ["Entity", "Document"], "I")[1]
+    return G.subgraph(*_entities(spark, d), 5000, ["Entity"], "I")[1]
+
+
+@register(
+    "entity_search",
+    f"""WITH {ENTITIES}, top AS (SELECT * FROM sub ORDER BY name, id LIMIT 50), rel AS (SELECT * FROM links WHERE src IN (SELECT id FROM top) AND dst IN (SELECT id FROM top) AND type = 'R' ORDER BY src, dst LIMIT 15)
+    SELECT 'node' AS kind, id AS a, name AS b FROM (SELECT * FROM top ORDER BY name, id LIMIT 10) UNION ALL SELECT 'relation', src, dst FROM rel""",
+)
+def entity_search(spark, d):
+    """The first nodes and relations of a subgraph of 50, as the report shows them."""
+    return G.entity_search(*_entities(spark, d), "i", relation_type="R")
 
 
-@register("display_names", "SELECT page_id, coalesce(nullif(CASE WHEN page_id % 3 = 0 THEN '' ELSE left(html, 9) END, ''), nullif(url, ''), 'x') AS name FROM pages")
+@register("display_names", "SELECT page_id, coalesce(nullif(CASE WHEN page_id % 3 = 0 THEN '' ELSE html END, ''), nullif(url, ''), 'x') AS name FROM pages")
 def display_names(spark, d):
-    rows = _read(spark, d, "pages").select("page_id", F.when(F.col("page_id") % 3 == 0, "").otherwise(F.substring("html", 1, 9)).alias("title"), "url", F.lit("x").alias("kind"))
+    rows = _read(spark, d, "pages").select("page_id", F.when(F.col("page_id") % 3 == 0, "").otherwise(F.col("html")).alias("title"), "url", F.lit("x").alias("kind"))
     return rows.select("page_id", G.display_name("title", "url", "kind").alias("name"))
 
 

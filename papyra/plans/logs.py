@@ -266,13 +266,13 @@ def _typed(n):
 
 @register(
     "relevant_memories",
-    f"""WITH m AS (SELECT doc_id AS slug, {TYPE.format('doc_id')} AS t, unnest({WORDS.format('left(text, 200)')}) AS w FROM documents), q AS (SELECT item_id AS query_id, {TYPE.format('item_id')} AS t, unnest({WORDS.format('text')}) AS w FROM benchmark),
+    f"""WITH m AS (SELECT doc_id AS slug, {TYPE.format('doc_id')} AS t, unnest({WORDS.format('text')}) AS w FROM documents), q AS (SELECT item_id AS query_id, {TYPE.format('item_id')} AS t, unnest({WORDS.format('text')}) AS w FROM benchmark),
     p AS (SELECT query_id, slug, count(*) AS p FROM q JOIN m USING (w) GROUP BY ALL UNION ALL SELECT item_id, doc_id, 3 FROM benchmark, documents WHERE {TYPE.format('item_id')} = {TYPE.format('doc_id')}),
     s AS (SELECT query_id, slug, CAST(sum(p) AS BIGINT) AS score FROM p GROUP BY ALL)
     SELECT query_id, slug, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, slug) AS INTEGER) AS rank FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, slug) <= 5""",
 )
 def relevant_memories(spark, d):
-    memories = _read(spark, d, "documents").select(F.col("doc_id").alias("slug"), _typed(F.col("doc_id")).alias("question_type"), F.substring("text", 1, 200).alias("text"))
+    memories = _read(spark, d, "documents").select(F.col("doc_id").alias("slug"), _typed(F.col("doc_id")).alias("question_type"), "text")
     queries = _read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), _typed(F.col("item_id")).alias("question_type"), "text")
     return S.relevant_memories(memories, queries)
 
@@ -297,18 +297,15 @@ def memory_save(spark, d):
     return _read(spark, d, "documents").select("doc_id", kind.alias("type"), F.coalesce(F.nullif(first, F.lit("")), "source").alias("description"))
 
 
-@register("similar_memories", f"""WITH m AS (SELECT doc_id, source AS type, {WORDS.format('text')} AS w FROM documents WHERE doc_id % 4 = 0) SELECT a.doc_id AS a, b.doc_id AS b FROM m a JOIN m b ON a.type = b.type AND a.doc_id < b.doc_id AND len(a.w) > 0 AND len(b.w) > 0 AND len(list_intersect(a.w, b.w)) > 0.7 * len(list_distinct(a.w || b.w))""")
+@register(
+    "similar_memories",
+    f"""WITH m AS (SELECT doc_id, source AS type, list_sort({WORDS.format('text')}) AS w FROM documents), c AS (SELECT type, w, min(doc_id) AS class_id, count(*) AS n FROM m GROUP BY ALL),
+    l AS (SELECT a.class_id, sum(b.n) AS links FROM c a JOIN c b ON a.type = b.type AND a.class_id <> b.class_id AND len(a.w) > 0.7 * len(b.w) AND len(b.w) > 0.7 * len(a.w) AND len(list_intersect(a.w, b.w)) > 0.7 * len(list_distinct(a.w || b.w)) GROUP BY ALL)
+    SELECT doc_id, class_id, CAST(CASE WHEN len(m.w) = 0 THEN 0 ELSE n - 1 + coalesce(links, 0) END AS BIGINT) AS n_links FROM m JOIN c ON m.type IS NOT DISTINCT FROM c.type AND m.w = c.w LEFT JOIN l USING (class_id)""",
+)
 def similar_memories(spark, d):
-    """Pairs of one type that share more than 0.7 of their words, from pairs that share a rare enough word."""
-    rows = _read(spark, d, "documents").where("doc_id % 4 = 0").select("doc_id", F.col("source").alias("type"), X.words(F.col("text")).alias("w"), "text")
-    each = rows.select("doc_id", "type", F.explode("w").alias("x"))
-    df = each.groupBy("x").agg(F.count("*").alias("df"))
-    rare = F.transform(F.slice(F.array_sort("o"), F.lit(1), F.size("o") - F.ceil(F.size("o") * 0.7).cast("int") + 1), lambda o: o["x"])
-    prefix = each.join(df, "x").groupBy("doc_id", "type").agg(F.collect_list(F.struct("df", "x")).alias("o")).select("doc_id", "type", F.explode(rare).alias("x"))
-    other = prefix.select(F.col("doc_id").alias("b"), "type", "x")
-    pairs = prefix.withColumnRenamed("doc_id", "a").join(other, ["type", "x"]).where("a < b").select("a", "b").distinct()
-    texts = rows.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), rows.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(texts[0], "a").join(texts[1], "b").where(X.word_jaccard(F.col("ta"), F.col("tb")) > 0.7).select("a", "b")
+    """Every memory's class and how many others of its type share more than 0.7 of its words."""
+    return S.similar_memories(_read(spark, d, "documents").select(F.col("doc_id"), F.col("source").alias("type"), "text"), "doc_id")
 
 
 @register("usage_rollup", "SELECT user_id, event_type, count(*) AS n, CAST(sum(CASE WHEN value > 20 THEN NULL ELSE event_id END) AS BIGINT) AS tokens FROM events GROUP BY ALL")

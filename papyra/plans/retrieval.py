@@ -44,13 +44,13 @@ def _vectors(spark, d):
 
 
 def _vector_queries(spark, d):
-    """Every 25th vector, asking with its own id."""
-    return _read(spark, d, "embeddings").where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    """Every vector whose id is divisible by 20, asking with its own id."""
+    return _read(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
 VEC_CTE = """
 vs AS (SELECT q.vec_id AS query_id, c.vec_id AS key, c.label, round(list_sum(list_transform(range(1, len(q.embedding) + 1), lambda i: (CAST(q.embedding[i] AS DOUBLE) - CAST(c.embedding[i] AS DOUBLE)) * (CAST(q.embedding[i] AS DOUBLE) - CAST(c.embedding[i] AS DOUBLE)))), 6) AS score
-  FROM embeddings q JOIN embeddings c ON q.vec_id % 25 = 0 {where}),
+  FROM embeddings q JOIN embeddings c ON q.vec_id % 20 = 0 {where}),
 vr AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, key) AS INTEGER) AS rank, key, score FROM vs)
 """
 
@@ -167,12 +167,12 @@ def progressive_relaxation(spark, d):
 
 @register(
     "context_assembly",
-    f"""WITH {BM25_CTE.format(k=4)} SELECT query_id, string_agg('[' || rank || '] lib/' || bm.key || '.txt#chunk-' || (bm.key % 7) || chr(10) || substr(text, 1, 60), chr(10) || chr(10) ORDER BY rank) AS context,
+    f"""WITH {BM25_CTE.format(k=4)} SELECT query_id, string_agg('[' || rank || '] lib/' || bm.key || '.txt#chunk-' || (bm.key % 7) || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context,
     string_agg('lib/' || bm.key || '.txt', ';' ORDER BY rank) AS sources FROM bm JOIN documents ON doc_id = bm.key GROUP BY query_id""",
 )
 def context_assembly(spark, d):
     hits = R.bm25(_docs(spark, d), _asked(spark, d), 4).join(_docs(spark, d), "key")
-    hits = hits.withColumn("file_path", F.concat(F.lit("lib/"), F.col("key"), F.lit(".txt"))).withColumn("chunk_index", F.col("key") % 7).withColumn("content", F.substring("text", 1, 60))
+    hits = hits.withColumn("file_path", F.concat(F.lit("lib/"), F.col("key"), F.lit(".txt"))).withColumn("chunk_index", F.col("key") % 7).withColumn("content", F.col("text"))
     return R.context(hits)
 
 

@@ -26,16 +26,16 @@ def _e(s: str) -> str:
     return s.replace("'", "''")
 
 
-@register("slug", "SELECT doc_id, left(trim(regexp_replace(regexp_replace(lower(left(text, 90)), '[^a-z0-9_-]', '_', 'g'), '_+', '_', 'g'), '_'), 60) AS slug FROM documents")
+@register("slug", "SELECT doc_id, left(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9_-]', '_', 'g'), '_+', '_', 'g'), '_'), 60) AS slug FROM documents")
 def slug(spark, d):
-    return _read(spark, d, "documents").select("doc_id", X.slug(F.substring("text", 1, 90)).alias("slug"))
+    return _read(spark, d, "documents").select("doc_id", X.slug(F.col("text")).alias("slug"))
 
 
-@register("entity_key", r"SELECT doc_id, md5('model::' || trim(regexp_replace(lower(nfc_normalize(left(text, 60))), '\s+', ' ', 'g'))) AS entity_id FROM documents")
+@register("entity_key", r"SELECT doc_id, md5('model::' || trim(regexp_replace(lower(nfc_normalize(text)), '\s+', ' ', 'g'))) AS entity_id FROM documents")
 def entity_key(spark, d):
     from papyra.operators.entities import entity_id, nfc
 
-    docs = nfc(_read(spark, d, "documents").select("doc_id", F.substring("text", 1, 60).alias("name")), "name")
+    docs = nfc(_read(spark, d, "documents").select("doc_id", F.col("text").alias("name")), "name")
     return docs.select("doc_id", entity_id(F.lit("Model"), F.col("name")).alias("entity_id"))
 
 
@@ -49,7 +49,7 @@ HEADS = ("Abstract", "1. Introduction", "2 Related Work", "METHODOLOGY", "Experi
 
 def _heading_sql() -> str:
     cases = " ".join(f"WHEN regexp_matches(l, '(?i){_e(p)}') THEN '{s}'" for p, s in X.HEADINGS)
-    return f"""WITH p AS (SELECT doc_id, left(text, 200) || chr(10) || chr(10) || '  ' || {_pick_sql("doc_id", *HEADS)} || chr(10) || substr(text, 201, 300) AS page FROM documents),
+    return f"""WITH p AS (SELECT doc_id, left(text, 200) || chr(10) || chr(10) || '  ' || {_pick_sql("doc_id", *HEADS)} || chr(10) || substr(text, 201) AS page FROM documents),
     l AS (SELECT doc_id, list_filter(list_transform(string_split(page, chr(10)), lambda x: trim(x)), lambda x: x <> '')[1:10] AS ls FROM p),
     u AS (SELECT doc_id, k, CASE WHEN length(l) > 80 THEN NULL {cases} END AS section, l FROM (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS k, unnest(ls) AS l FROM l))
     SELECT doc_id, min_by(section, k) FILTER (section IS NOT NULL) AS section, min_by(l, k) FILTER (section IS NOT NULL) AS title FROM u GROUP BY doc_id"""
@@ -58,7 +58,7 @@ def _heading_sql() -> str:
 @register("heading_detection", _heading_sql())
 def heading_detection(spark, d):
     docs = _read(spark, d, "documents")
-    page = F.concat(F.substring("text", 1, 200), F.lit("\n\n  "), _pick(F.col("doc_id"), *HEADS), F.lit("\n"), F.substring("text", 201, 300))
+    page = F.concat(F.substring("text", 1, 200), F.lit("\n\n  "), _pick(F.col("doc_id"), *HEADS), F.lit("\n"), F.expr("substring(text, 201)"))
     return docs.select("doc_id", X.heading(page).alias("h")).select("doc_id", "h.section", "h.title")
 
 
@@ -72,7 +72,7 @@ REF_HEADS = ("References", "Bibliography", "REFERENCE", "Notes")
 
 def _papers(spark, d):
     """Documents with a reference section made of their own words; every third uses paragraphs instead of numbers."""
-    docs = _read(spark, d, "documents").select("doc_id", F.regexp_replace(F.substring("text", 1, 400), r"\n", " ").alias("t"))
+    docs = _read(spark, d, "documents").select("doc_id", F.regexp_replace("text", r"\n", " ").alias("t"))
     entry = lambda n, mark: F.concat(F.lit(mark), F.substring("t", n, 30), F.lit(', "'), F.substring("t", n + 40, 20), F.lit('", '), (1980 + F.pmod(F.col("doc_id") + n, F.lit(60))).cast("string"), F.lit(". doi:10.1234/"), F.col("doc_id").cast("string"))
     numbered = F.concat(entry(1, "[1] "), F.lit("\n"), entry(70, "[2] "), F.lit("\n"), entry(140, "[3] "))
     loose = F.concat(entry(1, ""), F.lit("\n\n"), entry(70, ""), F.lit("\n \n"), F.lit("short"))
@@ -84,7 +84,7 @@ def _entry_sql(n: int, mark: str) -> str:
     return f"""'{mark}' || substr(t, {n}, 30) || ', "' || substr(t, {n + 40}, 20) || '", ' || (1980 + (doc_id + {n}) % 60) || '. doi:10.1234/' || doc_id"""
 
 
-PAPERS = f"""d0 AS (SELECT doc_id, regexp_replace(left(text, 400), '\\n', ' ', 'g') AS t FROM documents),
+PAPERS = f"""d0 AS (SELECT doc_id, regexp_replace(text, '\\n', ' ', 'g') AS t FROM documents),
 papers AS (SELECT doc_id, t || chr(10) || {_pick_sql("doc_id", *REF_HEADS)} || chr(10) || CASE WHEN doc_id % 3 = 0 THEN {_entry_sql(1, "")} || chr(10) || chr(10) || {_entry_sql(70, "")} || chr(10) || ' ' || chr(10) || 'short'
   ELSE {_entry_sql(1, "[1] ")} || chr(10) || {_entry_sql(70, "[2] ")} || chr(10) || {_entry_sql(140, "[3] ")} END AS text FROM d0),
 secs AS (SELECT doc_id, regexp_extract(text, '(?is)(?:^|\\n)(?:References?|Bibliography|参考文献)\\s*\\n(.*)', 1) AS s FROM papers),
@@ -128,14 +128,14 @@ META_TAILS = ("\n\nrest", "\nKeywords: alpha; beta, gamma\nmore", "\nIntroductio
 
 @register(
     "metadata_rules",
-    f"""WITH p AS (SELECT doc_id, 'Title line 20' || lpad(CAST(doc_id % 45 AS VARCHAR), 2, '0') || chr(10) || 'Abstract: ' || regexp_replace(left(text, 120), '\\n', ' ', 'g') || {"[" + ", ".join("'" + t.replace(chr(10), "' || chr(10) || '") + "'" for t in META_TAILS) + "]"}[doc_id % 4 + 1] AS t FROM documents)
+    f"""WITH p AS (SELECT doc_id, 'Title line 20' || lpad(CAST(doc_id % 45 AS VARCHAR), 2, '0') || chr(10) || 'Abstract: ' || regexp_replace(text, '\\n', ' ', 'g') || {"[" + ", ".join("'" + t.replace(chr(10), "' || chr(10) || '") + "'" for t in META_TAILS) + "]"}[doc_id % 4 + 1] AS t FROM documents)
     SELECT doc_id, 'Unknown' AS title, CAST(nullif(regexp_extract(t, '\\b(20[0-2]\\d)\\b', 1), '') AS INTEGER) AS year,
       nullif(trim(regexp_extract(t, '(?is)abstract[.\\s:—-]*(.+?)(?:\\n\\s*\\n|\\nintroduction|\\nkeywords|\\n1\\b)', 1), ' ' || chr(9) || chr(10) || chr(13)), '') AS abstract,
       array_to_string(list_filter(list_transform(regexp_split_to_array(trim(regexp_extract(t, '(?i)keywords?[.\\s:—-]*(.+)', 1)), '[;,·•]'), lambda x: trim(x)), lambda x: x <> ''), '; ') AS keywords FROM p""",
 )
 def metadata_rules(spark, d):
     docs = _read(spark, d, "documents")
-    t = F.concat(F.lit("Title line 20"), F.lpad((F.col("doc_id") % 45).cast("string"), 2, "0"), F.lit("\nAbstract: "), F.regexp_replace(F.substring("text", 1, 120), r"\n", " "), _pick(F.col("doc_id"), *META_TAILS))
+    t = F.concat(F.lit("Title line 20"), F.lpad((F.col("doc_id") % 45).cast("string"), 2, "0"), F.lit("\nAbstract: "), F.regexp_replace("text", r"\n", " "), _pick(F.col("doc_id"), *META_TAILS))
     docs = docs.select("doc_id", t.alias("t"))
     t = F.col("t")
     return docs.select("doc_id", F.lit("Unknown").alias("title"), X.rule_year(t).alias("year"), X.rule_abstract(t).alias("abstract"), F.array_join(X.rule_keywords(t), "; ").alias("keywords"))
@@ -147,7 +147,7 @@ AS_OF = 2024
 
 @register(
     "time_constraint",
-    f"""WITH q AS (SELECT doc_id, {_pick_sql("doc_id", *ASKS)} || ' ' || regexp_replace(left(text, 30), '[0-9]', '', 'g') AS q FROM documents),
+    f"""WITH q AS (SELECT doc_id, {_pick_sql("doc_id", *ASKS)} || ' ' || regexp_replace(text, '[0-9]', '', 'g') AS q FROM documents),
     x AS (SELECT doc_id, q, regexp_extract(q, '近([一二三四五六七八九十0-9]{{1,2}})年', 1) AS r, TRY_CAST(nullif(regexp_extract(q, '(20[0-9]{{2}})年?\\s*[-~至到]\\s*(20[0-9]{{2}})年?', 1), '') AS INTEGER) AS a, TRY_CAST(nullif(regexp_extract(q, '(20[0-9]{{2}})年?\\s*[-~至到]\\s*(20[0-9]{{2}})年?', 2), '') AS INTEGER) AS b,
       TRY_CAST(nullif(regexp_extract(q, '(20[0-9]{{2}})年\\s*(?:以来|之后|起|后)', 1), '') AS INTEGER) AS s, TRY_CAST(nullif(regexp_extract(q, '(?:^|[^0-9])(20[0-9]{{2}})(?:[^0-9]|$)', 1), '') AS INTEGER) AS o FROM q),
     y AS (SELECT *, CASE {" ".join(f"WHEN r = '{k}' THEN {v}" for k, v in X.NUMERALS.items())} WHEN regexp_matches(r, '^[0-9]+$') THEN TRY_CAST(r AS INTEGER) END AS n FROM x),
@@ -155,7 +155,7 @@ AS_OF = 2024
     SELECT doc_id, CASE rule WHEN 1 THEN {AS_OF + 1} - n WHEN 2 THEN a WHEN 3 THEN s WHEN 4 THEN o WHEN 5 THEN {AS_OF - 2} END AS year_from, CASE rule WHEN 2 THEN b WHEN 4 THEN o END AS year_to FROM z""",
 )
 def time_constraint(spark, d):
-    q = F.concat(_pick(F.col("doc_id"), *ASKS), F.lit(" "), F.regexp_replace(F.substring("text", 1, 30), "[0-9]", ""))
+    q = F.concat(_pick(F.col("doc_id"), *ASKS), F.lit(" "), F.regexp_replace("text", "[0-9]", ""))
     rows = _read(spark, d, "documents").select("doc_id", q.alias("q")).select("doc_id", X.time_constraint(F.col("q"), AS_OF).alias("t"))
     return rows.select("doc_id", "t.year_from", "t.year_to")
 
@@ -197,9 +197,9 @@ def json_extraction(spark, d):
     return _read(spark, d, "documents").select("doc_id", t.alias("t")).select("doc_id", X.extract_json(F.col("t")).alias("found"))
 
 
-@register("list_items", """SELECT item_id, trim(replace(left(text, 10), chr(10), ' ')) || '|second|third|4th|*bold' AS items FROM benchmark""")
+@register("list_items", """SELECT item_id, trim(replace(text, chr(10), ' ')) || '|second|third|4th|*bold' AS items FROM benchmark""")
 def list_items(spark, d):
-    t = F.concat(F.lit("1. "), F.replace(F.substring("text", 1, 10), F.lit("\n"), F.lit(" ")), F.lit("\n2) second\n\n- third\n  • 4th\n* *bold\n3、last"))
+    t = F.concat(F.lit("1. "), F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("\n2) second\n\n- third\n  • 4th\n* *bold\n3、last"))
     return _read(spark, d, "benchmark").select("item_id", F.array_join(X.list_items(t), "|").alias("items"))
 
 
@@ -215,7 +215,7 @@ def one_line_summary(spark, d):
 
 @register("source_tags", "SELECT item_id, 'a.pdf|b ' || item_id AS tags FROM benchmark")
 def source_tags(spark, d):
-    t = F.concat(F.substring("text", 1, 20), F.lit(" [来源: a.pdf] and [来源:b "), F.col("item_id"), F.lit("] end"))
+    t = F.concat("text", F.lit(" [来源: a.pdf] and [来源:b "), F.col("item_id"), F.lit("] end"))
     return _read(spark, d, "benchmark").select("item_id", F.array_join(X.source_tags(t), "|").alias("tags"))
 
 
@@ -230,16 +230,16 @@ def table_items(spark, d):
     return _read(spark, d, "orders").select("o_orderkey", X.table_text(cells).alias("t"))
 
 
-@register("front_matter", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 0 ELSE 2 END AS n_keys, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE lang END AS lang, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 'a: b' END AS note, left(text, 50) AS body FROM documents")
+@register("front_matter", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 0 ELSE 2 END AS n_keys, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE lang END AS lang, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 'a: b' END AS note, text AS body FROM documents")
 def front_matter(spark, d):
-    text = F.when(F.col("doc_id") % 4 == 0, F.substring("text", 1, 50)).otherwise(F.concat(F.lit("---\nlang: "), F.col("lang"), F.lit("\nnote: a: b\n---\n"), F.substring("text", 1, 50)))
+    text = F.when(F.col("doc_id") % 4 == 0, F.col("text")).otherwise(F.concat(F.lit("---\nlang: "), F.col("lang"), F.lit("\nnote: a: b\n---\n"), F.col("text")))
     rows = _read(spark, d, "documents").select("doc_id", X.front_matter(text).alias("f"))
     return rows.select("doc_id", F.size("f.meta").alias("n_keys"), F.try_element_at("f.meta", F.lit("lang")).alias("lang"), F.try_element_at("f.meta", F.lit("note")).alias("note"), F.col("f.body").alias("body"))
 
 
-@register("front_matter_format", "SELECT item_id, '---' || chr(10) || 'id: ' || item_id || chr(10) || 'text: ' || trim(regexp_replace(left(text, 80), '\\s*\\n\\s*', ' ', 'g')) || chr(10) || '---' || chr(10) || 'body' AS file FROM benchmark")
+@register("front_matter_format", "SELECT item_id, '---' || chr(10) || 'id: ' || item_id || chr(10) || 'text: ' || trim(regexp_replace(text, '\\s*\\n\\s*', ' ', 'g')) || chr(10) || '---' || chr(10) || 'body' AS file FROM benchmark")
 def front_matter_format(spark, d):
-    meta = F.create_map(F.lit("id"), F.col("item_id").cast("string"), F.lit("text"), F.trim(F.substring("text", 1, 80)))
+    meta = F.create_map(F.lit("id"), F.col("item_id").cast("string"), F.lit("text"), F.trim("text"))
     return _read(spark, d, "benchmark").select("item_id", X.format_front_matter(meta, F.lit("body")).alias("file"))
 
 
