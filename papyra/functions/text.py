@@ -276,3 +276,38 @@ def index_line(line: Column) -> Column:
     """(title, file, hook) of a line `- [title](file) — hook`."""
     pattern = r"^- \[(.*?)\]\((.*?)\)(?:\s*—\s*(.*))?$"
     return F.when(F.rlike(line, F.lit(pattern)), F.struct(*[F.regexp_extract(line, pattern, n).alias(name) for n, name in ((1, "title"), (2, "file"), (3, "hook"))]))
+
+
+# The list and text fields of a structured report, and their headings.
+REPORT_LISTS = {"research_gaps": "Research Gaps", "method_comparisons": "方法对比", "suggested_directions": "建议方向"}
+REPORT_TEXTS = {"evidence_basis": "证据依据", "confidence_note": "证据充分度说明"}
+NOT_GIVEN = "（未提供）"
+
+
+def report_fields(answer: Column) -> Column:
+    """A model's structured report as a struct. A string in place of a list is a list of one, a blank one of none; what
+    is missing gets a default; a bare list is taken as directions; without JSON the answer's beginning is the evidence."""
+    found = extract_json(answer)
+    bare, none = F.startswith(found, F.lit("[")), found.isNull()
+    strings = lambda s: F.coalesce(F.from_json(s, "array<string>"), F.array().cast("array<string>"))
+
+    def listed(name: str) -> Column:
+        value = F.get_json_object(found, f"$.{name}")
+        many = F.when(F.startswith(value, F.lit("[")), strings(value)).when(F.trim(value) != "", F.array(value)).otherwise(F.array().cast("array<string>"))
+        return F.when(bare, strings(found) if name == "suggested_directions" else F.array().cast("array<string>")).otherwise(many)
+
+    def said(name: str) -> Column:
+        value = F.coalesce(F.get_json_object(found, f"$.{name}"), F.lit(NOT_GIVEN))
+        return F.when(none & F.lit(name == "evidence_basis"), F.substring(answer, 1, 1000)).otherwise(value)
+
+    return F.struct(*[listed(n).alias(n) for n in REPORT_LISTS], *[said(n).alias(n) for n in REPORT_TEXTS])
+
+
+def report_markdown(report: Column) -> Column:
+    """The report of report_fields as Markdown: lists as bullets, texts as they are."""
+    lines = F.array(F.lit("# Idea 报告"))
+    for name, head in REPORT_LISTS.items():
+        lines = F.concat(lines, F.array(F.lit(""), F.lit(f"## {head}")), F.transform(report[name], lambda x: F.concat(F.lit("- "), x)))
+    for name, head in REPORT_TEXTS.items():
+        lines = F.concat(lines, F.array(F.lit(""), F.lit(f"## {head}"), report[name]))
+    return F.array_join(lines, "\n")

@@ -131,6 +131,16 @@ def community_table(members: DataFrame, entities: DataFrame, least: int = 3) ->
     return rows.where(F.col("entity_count") >= least).select(F.concat(F.lit("community-"), F.col("community")).alias("community_id"), F.col("community").alias("label"), "entity_count", F.array_join("l.line", "\n").alias("summary"))
 
 
+def with_perspective(contexts: DataFrame, communities: DataFrame, most: int = 5) -> DataFrame:
+    """contexts (query_id, context) with lines of the largest communities (community_id, entity_count) before them."""
+    first = communities.orderBy(F.desc("entity_count"), "community_id").limit(most)
+    order = F.array_sort(F.collect_list(F.struct((-F.col("entity_count")).alias("n"), F.col("community_id").alias("id"))))
+    lines = F.transform(order, lambda c: F.concat(F.lit("- "), c["id"], F.lit(" ("), -c["n"], F.lit(")")))
+    head = first.agg(F.array_join(lines, "\n").alias("_head"))
+    text = F.when(F.col("_head") != "", F.concat("_head", F.lit("\n\n"), "context")).otherwise(F.col("context"))
+    return contexts.crossJoin(F.broadcast(head)).withColumn("context", text).drop("_head")  # one row
+
+
 def matching_chunks(keywords: DataFrame, entities: DataFrame, mentions: DataFrame, k: int) -> DataFrame:
     """keywords: (query_id, keyword); entities: (entity_id, name); mentions: (chunk_id, entity_id).
 

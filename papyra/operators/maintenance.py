@@ -69,6 +69,12 @@ def delete_cascade(tables: dict[str, DataFrame], doc_ids: DataFrame) -> tuple[di
     return out, reduce(DataFrame.unionByName, map(count, out))
 
 
+def clean_old_versions(tables: dict[str, DataFrame], doc_ids: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """delete_cascade for documents that are about to be read again: their own rows stay."""
+    out, counts = delete_cascade(tables, doc_ids)
+    return out | {"documents": tables["documents"]}, counts.where(F.col("table") != "documents")
+
+
 def current_status(log: DataFrame) -> DataFrame:
     """(doc_id, file_path, status, step, error) now, from the log (seq, ...); rows with unknown states are left out."""
     return latest(log.where(F.col("status").isin(*STATES)), ["doc_id"], F.desc("seq"))

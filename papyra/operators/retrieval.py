@@ -99,6 +99,11 @@ def first_wins(lists: list[DataFrame], k: int, *key: str) -> DataFrame:
     return top_k(rows, k, F.asc("list_no"), F.asc("pos"))
 
 
+def or_else(hits: DataFrame, others: DataFrame) -> DataFrame:
+    """The hits; for queries that have none, the others."""
+    return hits.unionByName(others.join(hits.select("query_id").distinct(), "query_id", "left_anti"))
+
+
 def rerank(candidates: DataFrame, score: Column | None, depth: int = 50, top_n: int = 5) -> DataFrame:
     """The first `depth` candidates scored again; where the score is null (a failed scorer), and without a scorer,
     the original order holds."""

@@ -64,6 +64,50 @@ def dialogue(turns: DataFrame) -> DataFrame:
     return rows.select("session_id", F.array_join("l.line", "\n").alias("text"))
 
 
+def pair_calls(events: DataFrame) -> DataFrame:
+    """events: (session_id, tool, seq, kind), kind start or end. One row a start, first in first out: end_seq is the end
+    that belongs to it, null while it runs. Ends without a running start are passed over: those that raise the running
+    number of ends less starts above all it had been, and above 0."""
+    key = Window.partitionBy("session_id", "tool").orderBy("seq")
+    step = F.when(F.col("kind") == "end", 1).otherwise(-1)
+    rows = events.where("kind IN ('start', 'end')").withColumn("_b", F.sum(step).over(key))
+    most = F.greatest(F.lit(0), F.coalesce(F.max("_b").over(key.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rows = rows.withColumn("_orphan", (F.col("kind") == "end") & (F.col("_b") > most)).where("NOT _orphan")
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("session_id", "tool", "kind").orderBy("seq")))
+    ends = rows.where("kind = 'end'").select("session_id", "tool", "_n", F.col("seq").alias("end_seq"))
+    return rows.where("kind = 'start'").join(ends, ["session_id", "tool", "_n"], "left").select("session_id", "tool", F.col("seq").alias("start_seq"), "end_seq")
+
+
+def turn_records(events: DataFrame) -> DataFrame:
+    """events: (session_id, turn, seq, delta, tool, usage). One row a turn: the deltas joined in order, how many tools
+    there were, and the latest usage that isn't null."""
+    parts = F.array_sort(F.collect_list(F.struct("seq", F.coalesce("delta", F.lit("")).alias("d"))))
+    rows = events.groupBy("session_id", "turn").agg(parts.alias("p"), F.count_distinct("tool").alias("n_tools"), F.max_by("usage", F.when(F.col("usage").isNotNull(), F.col("seq"))).alias("usage"))
+    return rows.select("session_id", "turn", F.array_join("p.d", "").alias("text"), "n_tools", "usage")
+
+
+def display_history(turns: DataFrame) -> DataFrame:
+    """What a reader sees: the messages of user and assistant that aren't blank."""
+    return turns.where(F.col("role").isin("user", "assistant") & (F.btrim("content", F.lit(" \t\r\n")) != ""))
+
+
+def harvest(answers: DataFrame, memories: DataFrame) -> DataFrame:
+    """Memories worth keeping, from a model's answers (answer_id, answer) about turns. An answer counts if it is a JSON
+    object with should_save true, a title and a body; unknown types become preferences; the description is the
+    answer's, else the body's first line. Of answers with one slug the first stays; what is a memory already goes."""
+    from papyra.functions.text import extract_json, slug
+
+    found = answers.select("answer_id", extract_json(F.col("answer")).alias("j"))
+    field = lambda name: F.btrim(F.coalesce(F.get_json_object("j", f"$.{name}"), F.lit("")), F.lit(" \t\r\n"))
+    rows = found.where(F.startswith("j", F.lit("{")) & (F.get_json_object("j", "$.should_save") == "true"))
+    rows = rows.select("answer_id", *[field(n).alias(n) for n in ("title", "body", "type", "description")]).where("title <> '' AND body <> ''")
+    line = F.substring(F.trim(F.element_at(F.split("body", "\n"), 1)), 1, 100)
+    rows = rows.withColumn("type", F.when(F.col("type").isin("preference", "rule", "note"), F.col("type")).otherwise("preference"))
+    rows = rows.withColumn("text", F.when(F.col("description") != "", F.col("description")).otherwise(line)).withColumn("slug", slug(F.col("title")))
+    first = rows.groupBy("slug").agg(F.min_by(F.struct("answer_id", "title", "type", "text", "body"), "answer_id").alias("r")).select("slug", "r.*")
+    return new_memories(first, memories)
+
+
 def strategy_stats(log: DataFrame) -> DataFrame:
     """log: (question_type, mode, result_count, continued). Samples and successes."""
     success = (F.col("result_count") > 0) & F.col("continued")
@@ -138,18 +182,46 @@ def similar_memories(memories: DataFrame, id_col: str, threshold: float = 0.7) -
     return out.select(F.col("_id").alias(id_col), "class_id", n.cast("long").alias("n_links"))
 
 
-def limit_calls(calls: DataFrame, most: int, window_s: float) -> DataFrame:
+def _resets_before(calls: DataFrame, resets: DataFrame, on: list[str], name: str) -> DataFrame:
+    """Adds how many resets there were up to each call, among those equal in `on`. Counts are summed by day; only the
+    call's own day is looked at in detail."""
+    day = F.to_date("ts").alias("_day")
+    daily = resets.groupBy(*on, day).agg(F.collect_list("ts").alias("_times"))
+    days = calls.select(*on, day).distinct().join(daily, [*on, "_day"], "full")
+    before = Window.partitionBy(*on).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    n = F.when(F.col("_times").isNull(), 0).otherwise(F.size("_times"))
+    days = days.withColumn("_before", F.coalesce(F.sum(n).over(before), F.lit(0)))
+    rows = calls.withColumn("_day", F.to_date("ts")).join(days, [*on, "_day"], "left")
+    today = F.coalesce(F.size(F.filter("_times", lambda t: t <= F.col("ts"))), F.lit(0))
+    return rows.withColumn(name, F.col("_before") + F.when(F.col("_times").isNull(), 0).otherwise(today)).drop("_day", "_times", "_before")
+
+
+def limit_calls_with_resets(calls: DataFrame, resets: DataFrame, most: int, window_s: float) -> DataFrame:
+    """The limiter with resets (session_id, tool, ts): of one tool of a session, of a session where tool is null, of
+    all where both are null. What was held before a reset doesn't count after it."""
+    columns = calls.columns
+    whole, session = F.col("session_id").isNull(), F.col("tool").isNull()
+    rows = _resets_before(calls, resets.where(whole), [], "_all")
+    rows = _resets_before(rows, resets.where(~whole & session), ["session_id"], "_session")
+    rows = _resets_before(rows, resets.where(~whole & ~session), ["session_id", "tool"], "_tool")
+    rows = rows.withColumn("_epoch", (F.col("_all") + F.col("_session") + F.col("_tool")).cast("long"))
+    return limit_calls(rows.select(*columns, "_epoch"), most, window_s, "_epoch").drop("_epoch")
+
+
+def limit_calls(calls: DataFrame, most: int, window_s: float, epoch: str | None = None) -> DataFrame:
     """Adds allowed to calls (session_id, tool, ts, event_id): at most `most` allowed calls of a session and tool in any
-    window; denied calls don't count. Each key's calls are gone through in order, with `most` times held."""
+    window; denied calls don't count. Each key's calls are gone through in order, with `most` times held. A change of
+    the epoch column, if there is one, lets go of them."""
     columns = calls.columns
 
     def run(batches):
         key, held = None, deque()
         for pdf in batches:
             allowed = []
-            for session, tool, ts in zip(pdf["session_id"], pdf["tool"], pdf["ts"].astype("datetime64[us]").astype("int64"), strict=True):
-                if (session, tool) != key:
-                    key, held = (session, tool), deque()
+            epochs = pdf[epoch] if epoch else [0] * len(pdf)
+            for session, tool, at, ts in zip(pdf["session_id"], pdf["tool"], epochs, pdf["ts"].astype("datetime64[us]").astype("int64"), strict=True):
+                if (session, tool, at) != key:
+                    key, held = (session, tool, at), deque()
                 while held and ts - held[0] > window_s * 1e6:
                     held.popleft()
                 allowed.append(len(held) < most)

@@ -1,7 +1,7 @@
 """Retrieval modes put together: local, global, dual, mix, and the router that sends each query to its mode.
 
 Chunks are numbered like the vectors: a chunk's mentions are those of the line items whose order has its number
-modulo the number of vectors kept here.
+modulo the number of vectors.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ from papyra.operators import retrieval as R
 from papyra.plans.graph import KEYS, _keywords
 from papyra.plans.registry import register
 
-CHUNKS = 400
+#: In SQL, the number of chunks.
+CHUNKS = "(SELECT count(*) FROM embeddings)"
 
 
 def _read(spark, d, t):
@@ -24,14 +25,14 @@ def _read(spark, d, t):
 
 def _vector_hits(spark, d, k):
     """Each benchmark item asks with the vector of its number."""
-    vectors = _read(spark, d, "embeddings").where(F.col("vec_id") < CHUNKS).select(F.col("vec_id").alias("key"), "embedding")
+    vectors = _read(spark, d, "embeddings").select(F.col("vec_id").alias("key"), "embedding")
     asked = _read(spark, d, "benchmark").select(F.col("item_id").alias("query_id")).join(vectors, F.col("query_id") == F.col("key")).select("query_id", F.col("embedding").alias("vector"))
     return R.vector_top_k(vectors, asked, k)
 
 
 def _graph_hits(spark, d, k):
     entities = _read(spark, d, "part").select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("name"))
-    mentions = _read(spark, d, "lineitem").select((F.col("l_orderkey") % CHUNKS).alias("chunk_id"), F.col("l_partkey").alias("entity_id")).distinct()
+    mentions = _read(spark, d, "lineitem").select((F.col("l_orderkey") % _read(spark, d, "embeddings").count()).alias("chunk_id"), F.col("l_partkey").alias("entity_id")).distinct()
     return G.matching_chunks(_keywords(spark, d), entities, mentions, k).select("query_id", "rank", F.col("chunk_id").alias("key"), F.col("hits").alias("score"))
 
 
@@ -58,7 +59,7 @@ def _edges(spark, d):
 
 def _vector_sql(k: int) -> str:
     distance = "list_sum(list_transform(range(1, len(q.embedding) + 1), lambda i: (CAST(q.embedding[i] AS DOUBLE) - CAST(c.embedding[i] AS DOUBLE)) * (CAST(q.embedding[i] AS DOUBLE) - CAST(c.embedding[i] AS DOUBLE))))"
-    return f"""vh AS (SELECT * FROM (SELECT query_id, key, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s, key) AS INTEGER) AS rank FROM (SELECT q.vec_id AS query_id, c.vec_id AS key, round({distance}, 6) AS s FROM embeddings q JOIN benchmark ON q.vec_id = item_id AND q.vec_id < {CHUNKS} JOIN embeddings c ON c.vec_id < {CHUNKS})) WHERE rank <= {k})"""
+    return f"""vh AS (SELECT * FROM (SELECT query_id, key, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s, key) AS INTEGER) AS rank FROM (SELECT q.vec_id AS query_id, c.vec_id AS key, round({distance}, 6) AS s FROM embeddings q JOIN benchmark ON q.vec_id = item_id CROSS JOIN embeddings c)) WHERE rank <= {k})"""
 
 
 def _graph_sql(k: int) -> str:
