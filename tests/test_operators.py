@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import datetime
 import io
 import json
+import random
 import zipfile
 
 from pyspark.sql import functions as F
@@ -11,8 +13,10 @@ from pyspark.sql import functions as F
 from papyra.functions import text as X
 from papyra.operators import chunking as C
 from papyra.operators import graph as G
+from papyra.operators import hooks as H
 from papyra.operators import retrieval as R
 from papyra.operators import sessions as S
+from papyra.operators.ingest import ingest
 from papyra.sources import files
 from papyra.sources.scratch import cut
 
@@ -112,3 +116,90 @@ def test_keywords_of_fixed_questions(spark):
     got = {r["query_id"]: (r["ll"], r["hl"]) for r in extract_keywords(spark.createDataFrame(asked, "query_id int, text string")).collect()}
     assert {"CLIP", "GraphSAGE", "OGB-Arxiv"} <= set(got[1][0]) | {p for x in got[1][0] for p in x.replace("和", " ").replace("在", " ").split()}
     assert got[2][1] and got[3] == ([], []) and got[4] == ([], [])
+
+
+def test_calls_pair_first_in_first_out(spark):
+    rng = random.Random(5)
+    rows = [(n % 3, rng.choice("ab"), n, rng.choice(["start", "end", "other"])) for n in range(300)]
+    got = {(r.session_id, r.tool, r.start_seq): r.end_seq for r in S.pair_calls(spark.createDataFrame(rows, "session_id long, tool string, seq long, kind string")).collect()}
+    want, waiting = {}, {}
+    for session, tool, seq, kind in rows:
+        queue = waiting.setdefault((session, tool), [])
+        if kind == "start":
+            queue.append(seq)
+            want[session, tool, seq] = None
+        elif kind == "end" and queue:
+            want[session, tool, queue.pop(0)] = seq
+    assert got == want
+
+
+def test_resets_let_go_of_calls(spark):
+    rng = random.Random(6)
+    at = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
+    calls = [(rng.randrange(3), rng.choice("ab"), at(n * 5000), n) for n in range(200)]
+    resets = [(rng.choice([0, 1, None]), rng.choice(["a", None]), at(rng.randrange(10**6))) for _ in range(12)]
+    resets = [(s, None if s is None else t, ts) for s, t, ts in resets]
+    for chosen in (resets, []):
+        out = S.limit_calls_with_resets(spark.createDataFrame(calls, "session_id long, tool string, ts timestamp, event_id long"), spark.createDataFrame(chosen, "session_id long, tool string, ts timestamp"), 2, 40000)
+        got = {r.event_id: r.allowed for r in out.collect()}
+        held, want = {}, {}
+        for session, tool, ts, n in calls:
+            last = max([r[2] for r in chosen if r[2] <= ts and r[0] in (None, session) and r[1] in (None, tool)], default=None)
+            mine = [t for t in held.get((session, tool), []) if (ts - t).total_seconds() <= 40000 and (last is None or t < ts and t >= last)]
+            want[n] = len(mine) < 2
+            held[session, tool] = mine + [ts] * want[n]
+        assert got == want
+
+
+def test_hooks_keep_failures_to_their_rows(spark):
+    def call(rows):
+        if any(t == "bad" for (t,) in rows):
+            raise ValueError("no")
+        return [None if t is None else t.upper() for (t,) in rows]
+
+    rows = spark.createDataFrame([(1, "a"), (2, "bad"), (3, None), (4, "")], "id long, t string").coalesce(1)
+    got = {r.id: (r.answer, r.answer_error) for r in H.complete(rows, "t", call).collect()}
+    assert got == {1: ("A", None), 2: (None, "ValueError: no"), 3: (None, None), 4: ("", None)}
+    assert H.embed(rows.where("id > 9"), "t").count() == 0
+    assert [r.embedding for r in H.embed(rows.where("id = 3"), "t").collect()] == [[0.0] * 64]
+
+
+def test_harvest_drops_what_is_known_or_broken(spark):
+    said = lambda **f: json.dumps({"should_save": True, "title": "T one", "body": "first line\nmore", **f})
+    answers = [(1, said(type="rule")), (2, said()), (3, said(title="Known")), (4, said(title=" ")), (5, said(should_save=False)), (6, "no json"), (7, None), (8, "[1]"), (9, said(title="U", type="note", description="alpha beta gamma"))]
+    known = spark.createDataFrame([("x", "Known", "rule", "words"), ("y", "Y", "note", "alpha beta gamma")], "slug string, title string, type string, text string")
+    got = S.harvest(spark.createDataFrame(answers, "answer_id long, answer string"), known).select("answer_id", "slug", "type", "text").collect()
+    assert [tuple(r) for r in got] == [(1, "t_one", "rule", "first line")]
+
+
+def test_similar_memories_against_all_pairs(spark):
+    rng = random.Random(7)
+    texts = [" ".join(rng.choices("abcdefghijkl", k=rng.randrange(1, 12))) for _ in range(60)]
+    rows = [(n, rng.choice(["x", "y", None]), t) for n, t in enumerate([*texts, *texts[:15], "", None, " "])]
+    got = {r.id: (r.class_id, r.n_links) for r in S.similar_memories(spark.createDataFrame(rows, "id long, type string, text string"), "id").collect()}
+    sets = {n: (k, frozenset((t or "").split())) for n, k, t in rows}
+    want = {}
+    for n, (k, w) in sets.items():
+        like = [m for m, (k2, w2) in sets.items() if m != n and k == k2 and w and w2 and len(w & w2) > 0.7 * len(w | w2) and (k is not None or w == w2)]
+        want[n] = (min(m for m, s in sets.items() if s == (k, w)), len(like))
+    assert got == want
+
+
+def test_reports_take_any_shape(spark):
+    answers = ["", None, "{}", '{"research_gaps": "one", "evidence_basis": "e"}', '["a"]', "prose"]
+    rows = spark.createDataFrame([(n, a) for n, a in enumerate(answers)], "id long, a string").select("id", X.report_fields(F.col("a")).alias("r"))
+    got = {r.id: r.r for r in rows.collect()}
+    assert got[3].research_gaps == ["one"] and got[3].evidence_basis == "e" and got[3].confidence_note == X.NOT_GIVEN
+    assert got[4].suggested_directions == ["a"] and got[5].evidence_basis == "prose" and got[2].research_gaps == []
+
+
+def test_ingest_tables_fit_together(spark):
+    text = "An abstract of 2021.\n\n" + "Words and words. " * 200 + '\nReferences\n[1] A name, "A title of some length", 2019. doi:10.1234/ab\n[2] Another name, 2020'
+    docs = spark.createDataFrame([("a", "p/2", text), ("b", "p/1", text), ("c", "p/3", ""), ("d", "p/4", None), ("e", "p/5", "short")], "doc_id string, file_path string, text string")
+    t = ingest(docs)
+    assert sorted(r.doc_id for r in t["documents"].collect()) == ["b", "c", "e"]
+    chunks = t["chunks"].collect()
+    assert {c.doc_id for c in chunks} == {"b", "e"} and len({c.chunk_id for c in chunks}) == len(chunks)
+    assert t["vectors"].count() == len(chunks) and t["cites"].count() == 2 and t["references"].count() == 2
+    empty = ingest(docs.where("doc_id = 'none'"))
+    assert all(df.count() == 0 for df in empty.values())
