@@ -8,8 +8,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from papyra.functions.text import word_jaccard
-
 # Retrieval modes, and how many samples a mode needs before it is recommended.
 MODES = ("dual", "local", "global", "mix", "hybrid", "semantic")
 LEAST_SAMPLES = 5
@@ -132,54 +130,68 @@ def relevant_memories(memories: DataFrame, queries: DataFrame, k: int = 5) -> Da
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _word_sets(rows: DataFrame, *kept: str) -> DataFrame:
+    """The rows' ids with _type, their sorted distinct words w and a digest of both, _set; null texts are empty."""
+    text = F.lower(F.coalesce("text", F.lit("")))
+    words = F.array_sort(F.array_distinct(F.filter(F.split(text, r"\s+"), lambda w: w != "")))
+    out = rows.select(*kept, F.col("type").alias("_type"), words.alias("w"))
+    return out.withColumn("_set", F.sha2(F.concat(F.coalesce("_type", F.lit("")), F.lit("\n"), F.array_join("w", " ")), 256))
+
+
+def _similar_sets(left: DataFrame, right: DataFrame, threshold: float, own: bool = False) -> DataFrame:
+    """(a, b): different sets (_set, _type, w) of one type that share more than the threshold of their words. With own,
+    left is right, and each pair comes once.
+
+    Words are ordered from rare to frequent; such a pair shares one of the first n - ceil(threshold * n) + 1 words of
+    both. A meeting counts only if what can still follow the two places leaves the threshold in reach; that of the first
+    shared word always does. Words that nothing else has never meet. Only ids and places meet; word lists are joined to
+    the pairs that are left."""
+    each = right.select("_type", F.explode("w").alias("x"))
+    often = each.groupBy("_type", "x").agg(F.count("*").alias("df"))
+
+    def beginnings(sets: DataFrame) -> DataFrame:
+        rows = sets.where("_type IS NOT NULL").select("_set", "_type", F.size("w").alias("n"), F.explode("w").alias("x")).join(often, ["_type", "x"], "left")
+        o = F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "x")))
+        rows = rows.groupBy("_set", "_type", "n").agg(o.alias("o"))
+        first = F.slice("o", F.lit(1), F.col("n") - F.ceil(F.col("n") * threshold).cast("int") + 1)
+        rows = rows.select("_set", "_type", "n", F.posexplode(first).alias("at", "o")).where(F.col("o.df") > (1 if own else 0))
+        return rows.select("_set", "n", "at", F.xxhash64("_type", "o.x").alias("x"))
+
+    a, b = beginnings(left).alias("a"), beginnings(right).alias("b")
+    need = (F.col("a.n") + F.col("b.n")) * (threshold / (1 + threshold))
+    reach = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) >= need - 1e-6
+    meets = (F.col("a.x") == F.col("b.x")) & reach & (F.col("a._set") < F.col("b._set") if own else F.lit(True))
+    pairs = a.join(b, meets).select(F.col("a._set").alias("a"), F.col("b._set").alias("b")).distinct()
+    pairs = pairs.join(left.select(F.col("_set").alias("a"), F.col("_type").alias("_ta"), F.col("w").alias("wa")), "a").join(right.select(F.col("_set").alias("b"), F.col("_type").alias("_tb"), F.col("w").alias("wb")), "b")
+    shared = F.size(F.array_intersect("wa", "wb"))
+    return pairs.where((F.col("_ta") == F.col("_tb")) & (shared > (F.size("wa") + F.size("wb") - shared) * threshold)).select("a", "b")
+
+
 def new_memories(candidates: DataFrame, memories: DataFrame, threshold: float = 0.7) -> DataFrame:
     """Candidates (slug, title, type, text) that aren't memories yet: neither slug nor title is known, and no memory of
-    the same type shares more than the threshold of its words. A pair over the threshold shares a word, so only pairs
-    that share one of a candidate's rarest words (as many as it must share) are compared."""
+    the same type shares more than the threshold of its words."""
     left = candidates.join(memories.select("slug"), "slug", "left_anti").join(memories.select("title"), "title", "left_anti")
-    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != ""))
-    known = memories.select(F.col("type").alias("_type"), F.col("text").alias("_text"), F.explode(words).alias("w"))
-    df = known.groupBy("w").agg(F.count("*").alias("df"))
-    mine = left.select("slug", "type", "text", F.explode(words).alias("w")).join(df, "w", "left")
-    need = F.count("*").over(Window.partitionBy("slug"))
-    rare = F.row_number().over(Window.partitionBy("slug").orderBy(F.coalesce("df", F.lit(0)), "w"))
-    mine = mine.withColumn("_n", need).withColumn("_r", rare).where(F.col("_r") <= F.col("_n") - F.ceil(F.col("_n") * threshold) + 1)
-    near = mine.join(known, "w").where((F.col("type") == F.col("_type")) & (word_jaccard(F.col("text"), F.col("_text")) > threshold))
-    return left.join(near.select("slug").distinct(), "slug", "left_anti")
+    mine = _word_sets(left, "slug").where("size(w) > 0")
+    known = _word_sets(memories).where("size(w) > 0").dropDuplicates(["_set"])
+    near = _similar_sets(mine.drop("slug").dropDuplicates(["_set"]), known, threshold).select(F.col("a").alias("_set")).distinct()
+    return left.join(mine.select("slug", "_set").join(near, "_set").select("slug"), "slug", "left_anti")
 
 
 def similar_memories(memories: DataFrame, id_col: str, threshold: float = 0.7) -> DataFrame:
     """memories: (id, type, text). One row each: class_id, the smallest id with the same type and set of words, and
     n_links, how many other rows of the type share more than the threshold of its words, copies among them.
 
-    Copies collapse to one class first, and only classes are compared. Words are ordered from rare to frequent; a pair
-    over the threshold shares one of the first n - ceil(threshold * n) + 1 words of both. A meeting counts only if the
-    sizes and what can still follow the two places leave the threshold in reach; the first shared word always does.
-    Texts without words have no links. Null texts are empty; a null type is like no other."""
-    text = F.lower(F.coalesce("text", F.lit("")))
-    words = F.array_sort(F.array_distinct(F.filter(F.split(text, r"\s+"), lambda w: w != "")))
-    rows = memories.select(F.col(id_col).alias("_id"), "type", words.alias("w")).withColumn("h", F.sha2(F.array_join("w", " "), 256))
-    classes = rows.groupBy("type", "h").agg(F.min("_id").alias("class_id"), F.count("*").alias("copies"))
-    sets = rows.select(F.col("_id").alias("class_id"), "type", "w", F.size("w").alias("n")).join(classes.select("class_id"), "class_id", "left_semi")
-    each = sets.select("class_id", "type", "n", F.explode("w").alias("x"))
-    often = each.groupBy("x").agg(F.count("*").alias("df"))
-    order = F.transform(F.array_sort(F.collect_list(F.struct("df", "x"))), lambda o: o["x"])
-    first = each.join(often, "x").groupBy("class_id", "type", "n").agg(order.alias("o"))
-    first = first.select("class_id", "type", "n", F.posexplode(F.slice("o", F.lit(1), F.col("n") - F.ceil(F.col("n") * threshold).cast("int") + 1)).alias("at", "x"))
-    a, b = first.alias("a"), first.alias("b")
-    left, right = F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")  # words from here on
-    need = (F.col("a.n") + F.col("b.n")) * (threshold / (1 + threshold))
-    meets = (F.col("a.type") == F.col("b.type")) & (F.col("a.x") == F.col("b.x")) & (F.col("a.class_id") < F.col("b.class_id"))
-    pairs = a.join(b, meets & (F.least(left, right) >= need - 1e-6)).select(F.col("a.class_id").alias("a"), F.col("b.class_id").alias("b")).distinct()
-    own = lambda n: sets.select(F.col("class_id").alias(n), F.col("w").alias(f"w{n}"))
-    shared = F.size(F.array_intersect("wa", "wb"))
-    pairs = pairs.join(own("a"), "a").join(own("b"), "b").where(shared > (F.size("wa") + F.size("wb") - shared) * threshold).select("a", "b")
-    links = pairs.union(pairs.select("b", "a")).toDF("class_id", "b").join(classes.select(F.col("class_id").alias("b"), "copies"), "b")
-    links = links.groupBy("class_id").agg(F.sum("copies").alias("links"))
-    classes = classes.join(links, "class_id", "left")
+    Copies collapse to one class first, and only classes are compared. Texts without words have no links. Null texts
+    are empty; rows of null type are linked to their copies only."""
+    rows = _word_sets(memories, F.col(id_col).alias("_id")).withColumn("_null", F.col("_type").isNull())
+    classes = rows.groupBy("_set", "_null").agg(F.min("_id").alias("class_id"), F.count("*").alias("copies"))
+    sets = rows.where("size(w) > 0 AND NOT _null").select("_set", "_type", "w").dropDuplicates(["_set"])
+    pairs = _similar_sets(sets, sets, threshold, own=True)
+    links = pairs.union(pairs.select("b", "a")).toDF("_set", "b").join(classes.where("NOT _null").select(F.col("_set").alias("b"), "copies"), "b")
+    links = links.groupBy("_set").agg(F.sum("copies").alias("links")).withColumn("_null", F.lit(False))
+    classes = classes.join(links, ["_set", "_null"], "left")
     n = F.when(F.size("w") == 0, F.lit(0)).otherwise(F.col("copies") - 1 + F.coalesce("links", F.lit(0)))
-    out = rows.alias("r").join(classes.alias("c"), F.col("r.type").eqNullSafe(F.col("c.type")) & (F.col("r.h") == F.col("c.h")))
-    return out.select(F.col("_id").alias(id_col), "class_id", n.cast("long").alias("n_links"))
+    return rows.join(classes, ["_set", "_null"]).select(F.col("_id").alias(id_col), "class_id", n.cast("long").alias("n_links"))
 
 
 def _resets_before(calls: DataFrame, resets: DataFrame, on: list[str], name: str) -> DataFrame:
