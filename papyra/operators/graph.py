@@ -141,13 +141,22 @@ def with_perspective(contexts: DataFrame, communities: DataFrame, most: int = 5)
     return contexts.crossJoin(F.broadcast(head)).withColumn("context", text).drop("_head")  # one row
 
 
+def containing(rows: DataFrame, column: str, keywords: DataFrame) -> DataFrame:
+    """rows joined with the keywords (query_id, keyword) that their column has, in whatever case. Each different
+    keyword is looked for once, in texts lower-cased once; then it finds its queries by an equi-join."""
+    asked = keywords.withColumn("_kw", F.lower("keyword"))
+    few = asked.select("_kw").distinct()
+    found = rows.withColumn("_text", F.lower(column)).join(few, F.contains("_text", "_kw")).drop("_text")
+    return found.join(asked, "_kw").drop("_kw")
+
+
 def matching_chunks(keywords: DataFrame, entities: DataFrame, mentions: DataFrame, k: int) -> DataFrame:
     """keywords: (query_id, keyword); entities: (entity_id, name); mentions: (chunk_id, entity_id).
 
     Chunks that mention an entity whose name has a keyword, in whatever case: the number of such entities and their
     names, the k best of each query. The keywords of a batch of queries are few; Spark broadcasts them if they are.
     """
-    hit = entities.join(keywords, F.contains(F.lower("name"), F.lower("keyword"))).select("query_id", "entity_id", "name").distinct()
+    hit = containing(entities, "name", keywords).select("query_id", "entity_id", "name").distinct()
     rows = hit.join(mentions, "entity_id").groupBy("query_id", "chunk_id").agg(F.count("*").alias("hits"), F.array_sort(F.collect_set("name")).alias("names"))
     order = Window.partitionBy("query_id").orderBy(F.desc("hits"), "chunk_id")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "hits", F.array_join("names", "|").alias("names"))
@@ -157,8 +166,7 @@ def matching_relations(keywords: DataFrame, relations: DataFrame, k: int, most:
     """keywords: (query_id, pos, keyword). Relations (src, dst, type, description) by the number of a query's first
     `most` keywords that their description has."""
     few = keywords.where(F.col("pos") < most)
-    rows = relations.join(few, F.contains(F.lower("description"), F.lower("keyword")))
-    scored = rows.groupBy("query_id", "src", "dst", "type").agg(F.countDistinct("keyword").alias("score"))
+    scored = containing(relations, "description", few).groupBy("query_id", "src", "dst", "type").agg(F.countDistinct("keyword").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "src", "dst", "type")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -49,7 +49,7 @@ def _relation_hits(spark, d, k):
 def _entity_hits(spark, d, k):
     """Entities by name: the first of those whose name has a keyword."""
     entities = _read(spark, d, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("name"))
-    hit = entities.join(_keywords(spark, d), F.contains(F.lower("name"), F.lower("keyword"))).select("query_id", "key", F.lit(1).alias("score")).distinct()
+    hit = G.containing(entities, "name", _keywords(spark, d)).select("query_id", "key", F.lit(1).alias("score")).distinct()
     return R.top_k(hit, k).select("query_id", "rank", "key", "score")
 
 
