@@ -65,14 +65,66 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
 
 
-def louvain(pairs: DataFrame, rounds: int = 6, levels: int = 2, cut=None) -> DataFrame:
+#: So many rounds of a level are kept whatever they bring; single nodes' first moves cross each other.
+FREE_ROUNDS = 6
+
+
+def _options(weighted: DataFrame, place: DataFrame, whole: float) -> DataFrame:
+    """place: (id, c, k, loop), each node's community, degree and own loop. Adds inside (the weight that stays in the
+    community), best (the community that it would gain most by) and more (how much that is above staying, or 0)."""
+    total = place.groupBy(F.col("c").alias("to")).agg(F.sum("k").alias("tot"))
+    of_dst = place.select(F.col("id").alias("dst"), F.col("c").alias("to"))
+    links = weighted.where("src <> dst").join(of_dst, "dst").select(F.col("src").alias("id"), "to", "w")
+    own = place.select("id", F.col("c").alias("to"), F.lit(0.0).alias("w"))
+    options = links.union(own).groupBy("id", "to").agg(F.sum("w").alias("w_in")).join(place, "id").join(total, "to")
+    here = F.col("to") == F.col("c")
+    rest = F.col("tot") - F.when(here, F.col("k")).otherwise(0.0)
+    options = options.withColumn("gain", F.round(F.col("w_in") - F.col("k") * rest / F.lit(whole), 9))
+    best = options.groupBy("id", "c", "k", "loop").agg(F.max_by("to", F.struct("gain", F.struct(-F.col("to")))).alias("best"), F.max("gain").alias("top"), F.max(F.when(here, F.col("gain"))).alias("now"), F.max(F.when(here, F.col("w_in"))).alias("w_in"))
+    gains = (F.col("top") > F.col("now") + 1e-9) & (F.col("best") != F.col("c"))
+    return best.select("id", "c", "k", "loop", (F.col("w_in") + F.col("loop")).alias("inside"), "best", F.when(gains, F.col("top") - F.col("now")).otherwise(0.0).alias("more"))
+
+
+def _settled(weighted: DataFrame, whole: float, rounds: int | None, cut) -> DataFrame | None:
+    """(id, c) when no node gains by a move, or after `rounds` rounds that were kept; None if no node has moved."""
+    loop = F.sum(F.when(F.col("src") == F.col("dst"), F.col("w")).otherwise(0.0))
+    first = cut(weighted.groupBy(F.col("src").alias("id")).agg(F.first("src").alias("c"), F.sum("w").alias("k"), loop.alias("loop")))
+
+    def looked(place):
+        table = cut(_options(weighted, place, whole))
+        by_c = table.groupBy("c").agg(F.sum("k").alias("tot"), F.sum("inside").alias("inside"), F.count_if(F.col("more") > 0).alias("n"))
+        row = by_c.agg(F.sum("inside"), F.sum(F.col("tot") * F.col("tot")), F.sum("n")).first()
+        return table, whole * row[0] - row[1], row[2]
+
+    table, score, n = looked(first)
+    kept, share, round_ = 0, 2, 0
+    while n and (rounds is None or kept < rounds):
+        alone = n <= share and kept >= FREE_ROUNDS
+        turn = F.pmod(F.xxhash64("id", F.lit(round_)), F.lit(share)) == 0
+        if alone:
+            turn = F.col("id") == F.lit(table.where("more > 0").orderBy(F.desc("more"), "id").first()["id"])
+        moves = turn & (F.col("more") > 0)
+        tried = looked(table.select("id", F.when(moves, F.col("best")).otherwise(F.col("c")).alias("c"), "k", "loop"))
+        round_ += 1
+        if tried[1] > score or kept < FREE_ROUNDS:
+            (table, score, n), kept, share = tried, kept + 1, max(2, share // 2)
+        elif alone:
+            break  # a gain too small for double precision
+        else:
+            share *= 4
+    return table.select("id", "c") if kept else None
+
+
+def louvain(pairs: DataFrame, rounds: int | None = None, levels: int | None = None, cut=None) -> DataFrame:
     """(id, community) of the nodes of pairs (a, b), by greedy modularity gains in rounds, then on the graph of
-    communities, level by level.
+    communities, level by level, until no node gains; `rounds` (in a level) and `levels` may be bounded.
 
     In a round every node looks at the communities of its neighbours and at its own: joining c gains
-    w(node, c) - degree(node) * degree(c) / 2m, degree(c) without the node itself. Half of the nodes (by a hash that
-    changes with the round) move at a time, which keeps two nodes from swapping for ever; of equal gains the smallest
-    community wins. The community's id is its smallest node.
+    w(node, c) - degree(node) * degree(c) / 2m, degree(c) without the node itself; of equal gains the smallest
+    community wins. Half of the nodes (by a hash that changes with the round) move at a time. After a level's
+    first FREE_ROUNDS, a round that doesn't raise the modularity is taken back and fewer nodes move in the next, in the
+    end the one that gains most. So modularity rises with each round that is kept, and nodes can't swap for ever.
+    The community's id is its smallest node.
     """
     cut = cut or (lambda df: df.checkpoint())
     weighted = cut(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(1.0).alias("w")).union(pairs.select("b", "a", F.lit(1.0))))
@@ -80,31 +132,12 @@ def louvain(pairs: DataFrame, rounds: int = 6, levels: int = 2, cut=None) -> Dat
     members = cut(weighted.select("src").distinct().select(F.col("src").alias("id"), F.col("src").alias("community")))
     if not whole:
         return members
-    for _ in range(levels):
-        degree = cut(weighted.groupBy("src").agg(F.sum("w").alias("k")))
-        place = cut(degree.select(F.col("src").alias("id"), F.col("src").alias("c")))
-        moved_any = False
-        for round_ in range(rounds):
-            total = place.join(degree, F.col("id") == F.col("src")).groupBy("c").agg(F.sum("k").alias("tot"))
-            of_dst = place.select(F.col("id").alias("dst"), F.col("c").alias("to"))
-            links = weighted.where("src <> dst").join(of_dst, "dst").groupBy("src", "to").agg(F.sum("w").alias("w_in"))
-            own = place.select(F.col("id").alias("src"), F.col("c").alias("to"), F.lit(0.0).alias("w_in"))
-            options = links.union(own.select("src", "to", "w_in")).groupBy("src", "to").agg(F.sum("w_in").alias("w_in"))
-            options = options.join(degree, "src").join(total.withColumnRenamed("c", "to"), "to").join(place.withColumnRenamed("id", "src"), "src")
-            rest = F.col("tot") - F.when(F.col("to") == F.col("c"), F.col("k")).otherwise(0.0)
-            options = options.withColumn("gain", F.round(F.col("w_in") - F.col("k") * rest / F.lit(whole), 9))
-            stay = F.max(F.when(F.col("to") == F.col("c"), F.col("gain")))
-            best = options.groupBy("src", "c").agg(F.max_by("to", F.struct("gain", F.struct(-F.col("to")))).alias("best"), F.max("gain").alias("top"), stay.alias("now"))
-            turn = F.pmod(F.xxhash64("src", F.lit(round_)), F.lit(2)) == 0
-            step = best.withColumn("moves", turn & (F.col("top") > F.col("now") + 1e-9) & (F.col("best") != F.col("c")))
-            step = cut(step.select(F.col("src").alias("id"), F.when(F.col("moves"), F.col("best")).otherwise(F.col("c")).alias("c"), "moves"))
-            place = step.select("id", "c")
-            if step.where("moves").head(1):
-                moved_any = True
-            elif round_ % 2:
-                break
-        if not moved_any:
+    level = 0
+    while levels is None or level < levels:
+        place = _settled(weighted, whole, rounds, cut)
+        if place is None:
             break
+        level += 1
         name = place.groupBy("c").agg(F.min("id").alias("named"))
         place = cut(place.join(name, "c").select("id", F.col("named").alias("to")))
         members = cut(members.join(place, F.col("community") == place["id"]).select(members["id"], F.col("to").alias("community")))

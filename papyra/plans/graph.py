@@ -202,9 +202,8 @@ def relation_resolution(spark, d):
 
 @register("louvain_communities")
 def louvain_communities(spark, d):
-    """Communities of customers and the parts that they order most; tested by modularity and planted blocks."""
-    pairs = _read(spark, d, "lineitem").where("l_quantity >= 49").select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 1_000_000).alias("dst"))
-    return G.louvain(G.undirected(pairs), cut=cut)
+    """Communities of parts and suppliers over all relations; tested by modularity and planted blocks."""
+    return G.louvain(G.undirected(_relations(spark, d)), cut=cut)
 
 
 GIVEN = "mem AS (SELECT p_partkey AS id, p_size % 17 AS community, p_name AS name, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_type END AS description FROM part)"

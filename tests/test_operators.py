@@ -32,6 +32,23 @@ def test_louvain_of_no_edges(spark):
     assert G.louvain(spark.createDataFrame([], "a long, b long"), cut=cut).collect() == []
 
 
+def test_louvain_moves_until_no_node_gains(spark):
+    edges = spark.createDataFrame([(n, n + 1) for n in range(39)], "src long, dst long")
+    both = cut(G.both_ways(edges).withColumn("w", F.lit(1.0)))
+    place = G._settled(both, 78.0, None, cut)
+    degree = both.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k")).withColumn("loop", F.lit(0.0))
+    assert G._options(both, place.join(degree, "id"), 78.0).where("more > 0").count() == 0
+
+
+def test_louvain_communities_reads_all_relations(spark, monkeypatch):
+    from conftest import DATA
+
+    from papyra.plans import graph as P
+
+    monkeypatch.setattr(P.G, "louvain", lambda pairs, **_: pairs)
+    assert P.louvain_communities(spark, DATA).count() == P.edge_list(spark, DATA).count()
+
+
 def test_recursive_chunks_keep_all_words_within_size(spark):
     text = "\n\n".join(" ".join(f"w{p}x{k}" for k in range(60)) + "." for p in range(9))
     rows = C.recursive_chunks(spark.createDataFrame([(1, text), (2, ""), (3, None), (4, "x" * 2500)], "doc_id long, text string"), 300, 60).collect()
