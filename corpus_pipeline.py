@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from papyra.llm.common import checkpoint_dir
 from papyra.llm.decontaminate import decontaminate
-from papyra.llm.line_dedup import dedup_lines
+from papyra.llm.line_dedup import dedup_lines, one_of_each
 from papyra.llm.mixing import cyclic_weights, mix
 from papyra.llm.near_duplicates import keep_one
 from papyra.llm.toxicity import REJECT, fit, learnable, score_toxicity
@@ -36,9 +36,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines found in ten documents or more; documents stay, with an empty text if nothing is left."""
+    """Drops lines found in ten different texts or more: copies of a document count once, so that near_duplicates gets
+    them whole. Documents stay, with an empty text if nothing is left."""
     text = F.col("kept_text")
-    return _judged(docs, dedup_lines, F.lit(True), text=text, n_chars=F.length(text).cast("long"))
+    return _judged(docs, lambda d: dedup_lines(d, counted=one_of_each(d)), F.lit(True), text=text, n_chars=F.length(text).cast("long"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

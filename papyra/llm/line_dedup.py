@@ -185,11 +185,18 @@ def batches_of(docs: DataFrame, n_batches: int, id_col: str) -> list[DataFrame]:
     return [first, *middle, docs.where(F.col(id_col) > cuts[-1])]
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, n_batches: int = 4, fanout: int = 4, text_col: str = "text", id_col: str = "doc_id", broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
-    """Adds kept_text (the lines whose key is in fewer than min_docs documents), n_lines and n_dropped."""
+def one_of_each(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(text) of one row of each different text, known by a 128-bit digest; copies are dropped first within tasks."""
+    digest = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+    return docs.select(text_col).withColumn("_digest", digest).dropDuplicates(["_digest"]).drop("_digest")
+
+
+def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, n_batches: int = 4, fanout: int = 4, text_col: str = "text", id_col: str = "doc_id", broadcast_keys: int = BROADCAST_KEYS, counted: DataFrame | None = None) -> DataFrame:
+    """Adds kept_text (the lines whose key is in fewer than min_docs documents), n_lines and n_dropped. The documents
+    are counted in `counted`, if it is given, in one batch."""
     spark = docs.sparkSession
     runs = LineRuns(spark, fanout)
-    for batch in batches_of(docs, n_batches, id_col):
+    for batch in batches_of(docs, n_batches, id_col) if counted is None else [counted]:
         runs.add(batch_keys(batch, text_col, min_chars))
     frequent = cut(runs.frequent(min_docs))
     if frequent.count() > broadcast_keys:

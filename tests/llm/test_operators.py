@@ -451,3 +451,16 @@ def test_pipeline_stages(spark, tmp_path):
             assert kept == {r["doc_id"] for r in before}
 
 
+
+
+def test_pipeline_keeps_one_of_many_copies(spark):
+    import corpus_pipeline as P
+
+    copied = "first line of a text\nsecond line of a text\nthird line of a text"
+    texts = [copied] * 25 + [f"a line in all texts\nown line {n} {'xyz' * n}" for n in range(12)] + [None] * 11
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long"))
+    lines = P.line_dedup(spark, docs, DATA)
+    got = {r["doc_id"]: r["text"] for r in lines.collect()}
+    assert [got[n] for n in range(25)] == [copied] * 25
+    assert [got[25 + n] for n in range(12)] == [f"own line {n} {'xyz' * n}" for n in range(12)]
+    assert [r["doc_id"] for r in P.near_duplicates(spark, lines, DATA).where(F.col("text") == copied).collect()] == [0]
