@@ -12,19 +12,19 @@ from papyra.sources.scratch import shared_folder
 
 def limit_calls_stream(calls: DataFrame, most: int, window_s: float) -> DataFrame:
     """The sliding-window limiter on a stream of calls (session_id, tool, ts, event_id). A key's state is the times of
-    its allowed calls in the window, at most `most`. Calls of one trigger are taken in order of ts."""
+    its allowed calls in the window, at most `most`. A key's calls of one trigger are taken in order of ts, in however many
+    Arrow batches they come: their times and ids (no other columns) are held together, so triggers should be bounded."""
 
     def step(key, batches, state: GroupState):
         held = list(state.get[0]) if state.exists else []
-        for pdf in batches:
-            pdf = pdf.sort_values(["ts", "event_id"])
-            out = []
-            for ts in pdf["ts"].astype("datetime64[us]").astype("int64"):
-                held = [t for t in held if ts - t <= window_s * 1e6]
-                out.append(len(held) < most)
-                if out[-1]:
-                    held.append(int(ts))
-            yield pd.DataFrame({"session_id": key[0], "tool": key[1], "event_id": pdf["event_id"], "allowed": out})
+        pdf = pd.concat([pdf[["ts", "event_id"]] for pdf in batches]).sort_values(["ts", "event_id"])
+        out = []
+        for ts in pdf["ts"].astype("datetime64[us]").astype("int64"):
+            held = [t for t in held if ts - t <= window_s * 1e6]
+            out.append(len(held) < most)
+            if out[-1]:
+                held.append(int(ts))
+        yield pd.DataFrame({"session_id": key[0], "tool": key[1], "event_id": pdf["event_id"], "allowed": out})
         state.update((held,))
 
     return calls.groupBy("session_id", "tool").applyInPandasWithState(step, "session_id long, tool string, event_id long, allowed boolean", "held array<long>", "append", GroupStateTimeout.NoTimeout)

@@ -79,6 +79,24 @@ def test_limiter_denies_without_counting(spark):
     assert allowed == [True, True, False, False, True, True]
 
 
+def test_streamed_limiter_takes_a_hot_key_in_order(spark, tmp_path):
+    from papyra.streaming.jobs import limit_calls_stream, run_available
+
+    order = list(range(60))
+    random.Random(8).shuffle(order)
+    calls = spark.createDataFrame([(1, "t", t, t) for t in order], "session_id long, tool string, s long, event_id long").withColumn("ts", F.timestamp_seconds("s")).drop("s").coalesce(1)
+    calls.write.parquet(str(tmp_path / "calls"))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "7")
+    try:
+        stream = spark.readStream.schema(calls.schema).parquet(str(tmp_path / "calls"))
+        got = {r.event_id: r.allowed for r in run_available(limit_calls_stream(stream, 2, 3)).collect()}
+    finally:
+        spark.conf.set(key, before)
+    assert got == {r.event_id: r.allowed for r in S.limit_calls(calls, 2, 3).collect()}
+
+
 def test_docx_and_text_scans(spark, tmp_path):
     ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     body = "".join(f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>" for t in ("one ", "  ", "two"))
