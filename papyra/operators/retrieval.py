@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from papyra.sources.scratch import cut
+
 K1, B, NEGATIVE_IDF = 1.5, 0.75, 0.25
 RRF_K = 60
 SCORE_PLACES = 6
@@ -141,3 +143,18 @@ def context(hits: DataFrame, path: str = "file_path", index: str = "chunk_index"
     line = F.concat(F.lit("["), F.col("rank"), F.lit("] "), F.col(path), F.lit("#chunk-"), F.col(index), F.lit("\n"), F.col(content))
     rows = hits.withColumn("_line", line).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("_line").alias("line"), F.col(path).alias("path")))).alias("rows"))
     return rows.select("query_id", F.array_join("rows.line", "\n\n").alias("context"), F.array_join(F.array_distinct("rows.path"), ";").alias("sources"))
+
+
+def placed(rows: DataFrame, *order) -> DataFrame:
+    """All rows with their place (from 1) in the order, which should be total. Ranges are sorted apart; a row's place is
+    its place within its range and the number of rows in the ranges before."""
+    # the low 33 bits of the id are the row's number within its partition, the others the partition's
+    ranges = cut(rows.orderBy(*order)).withColumn("_id", F.monotonically_increasing_id())
+    of_range = F.shiftright("_id", 33)
+    before, offsets = 0, []
+    for r in ranges.groupBy(of_range.alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect():
+        offsets.append((r["p"], before))
+        before += r["n"]
+    counted = F.broadcast(rows.sparkSession.createDataFrame(offsets, "_p long, _before long"))  # a row a range
+    place = F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return ranges.withColumn("_p", of_range).join(counted, "_p").withColumn("place", place).drop("_p", "_id", "_before")

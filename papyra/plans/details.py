@@ -263,6 +263,13 @@ def session_list(spark, d):
     return first.select("conv_id", "n", F.row_number().over(Window.orderBy(F.desc("last"), "conv_id")).alias("place"))
 
 
+@register("session_list_all", "SELECT conv_id, n, row_number() OVER (ORDER BY last DESC, conv_id) AS place FROM (SELECT conv_id, count(*) AS n, max(turn) AS last FROM conversations GROUP BY conv_id)")
+def session_list_all(spark, d):
+    """All sessions, newest first."""
+    rows = _read(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.max("turn").alias("last"))
+    return R.placed(rows, F.desc("last"), "conv_id").select("conv_id", "n", "place")
+
+
 @register("rejection_messages", "SELECT user_id, event_type, format('Tool {} was called {} times; wait a little.', event_type, count(*)) AS message FROM events GROUP BY user_id, event_type")
 def rejection_messages(spark, d):
     n = _read(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))

@@ -163,6 +163,16 @@ def library_sort(spark, d):
     return first.select("o_orderkey", F.row_number().over(Window.orderBy(F.desc("y"), "p", "o_orderkey")).alias("place"))
 
 
+@register("library_sort_all", "SELECT o_orderkey, row_number() OVER (ORDER BY coalesce(CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE year(o_orderdate) END, 0) DESC, coalesce(o_orderpriority, ''), o_orderkey) AS place FROM orders")
+def library_sort_all(spark, d):
+    """The whole library, newest first; unknown years last."""
+    from papyra.operators.retrieval import placed
+
+    year = F.coalesce(F.when(F.col("o_orderkey") % 9 != 0, F.year("o_orderdate")), F.lit(0))
+    rows = _read(spark, d, "orders").select("o_orderkey", year.alias("y"), F.coalesce("o_orderpriority", F.lit("")).alias("p"))
+    return placed(rows, F.desc("y"), "p", "o_orderkey").select("o_orderkey", "place")
+
+
 @register("extraction_cache_misses", "SELECT md5('lib/' || doc_id || '::' || md5(lang)) AS cache_key, doc_id FROM documents WHERE doc_id % 3 <> 0")
 def extraction_cache_misses(spark, d):
     """Documents whose key (file and configuration) has no cached result; here every third one has."""

@@ -97,6 +97,19 @@ def test_streamed_limiter_takes_a_hot_key_in_order(spark, tmp_path):
     assert got == {r.event_id: r.allowed for r in S.limit_calls(calls, 2, 3).collect()}
 
 
+def test_places_run_on_across_ranges(spark):
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        got = R.placed(spark.range(999).repartition(3), F.desc("id"))
+        assert got.rdd.getNumPartitions() > 1
+        assert {r.id: r.place for r in got.collect()} == {n: 999 - n for n in range(999)}
+    finally:
+        spark.conf.set(key, before)
+    assert R.placed(spark.range(0), "id").collect() == []
+
+
 def test_docx_and_text_scans(spark, tmp_path):
     ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     body = "".join(f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>" for t in ("one ", "  ", "two"))
