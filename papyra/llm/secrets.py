@@ -13,9 +13,13 @@ Spans are code points, end exclusive. Null and empty texts have none. Rows that
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from papyra.llm.common import free_names
+
 
 def either_case(word: str) -> str:
     """A pattern for the ASCII letters of a word in either case."""
@@ -46,51 +50,97 @@ ALLOWED = (
 KINDS = ("assign", "access", "hex", "entropy")
 
 
+SPANS = "array<struct<start:int,end:int,s:string>>"
+#: Matches of a text are placed block by block, so that no long array is copied once a match.
+SPAN_BLOCK = 256
+
+
+def bound(value: Column, body) -> Column:
+    """body(value), with the value computed once however often body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def spans_of(text: Column, pattern: str) -> Column:
     """(start, end, text) of the leftmost matches that don't overlap, from the pieces between them."""
-    pieces, found = F.split(text, pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    none = F.array().cast("array<struct<start:int,end:int,s:string>>")
-    step = lambda acc, m: F.struct(
-        F.concat(acc["done"], F.array(F.struct(
-            (acc["at"] + F.length(F.element_at(pieces, F.size(acc["done"]) + 1))).alias("start"),
-            (acc["at"] + F.length(F.element_at(pieces, F.size(acc["done"]) + 1)) + F.length(m)).alias("end"),
-            m.alias("s"),
-        ))).alias("done"),
-        (acc["at"] + F.length(F.element_at(pieces, F.size(acc["done"]) + 1)) + F.length(m)).alias("at"),
-    )
-    folded = F.aggregate(found, F.struct(none.alias("done"), F.lit(0).alias("at")), step, lambda acc: acc["done"])
+    none = F.array().cast(SPANS)
+    # one entry a match: the length of the piece before it, and the match; the piece after the last one has no match
+    pairs = F.zip_with(F.split(text, pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("s")))
+    pairs = F.filter(pairs, lambda x: x["s"].isNotNull())
+
+    def one(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["gap"]
+        end = start + F.length(x["s"])
+        return F.struct(F.concat(acc["done"], F.array(F.struct(start.alias("start"), end.alias("end"), x["s"].alias("s")))).alias("done"), end.alias("at"))
+
+    def placed(block: Column, at: Column) -> Column:
+        return F.aggregate(block, F.struct(none.alias("done"), at.alias("at")), one, lambda acc: acc["done"])
+
+    def many(pairs: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(1), F.size(pairs), F.lit(SPAN_BLOCK)), lambda k: F.slice(pairs, k, F.lit(SPAN_BLOCK)))
+        blocks = F.transform(blocks, lambda b: F.struct(b.alias("b"), F.aggregate(b, F.lit(0), lambda n, x: n + x["gap"] + F.length(x["s"])).alias("n")))
+        starts = lambda acc, x: F.struct(F.concat(acc["done"], F.array(acc["at"])).alias("done"), (acc["at"] + x["n"]).alias("at"))
+        at = lambda blocks: F.aggregate(blocks, F.struct(F.array().cast("array<int>").alias("done"), F.lit(0).alias("at")), starts, lambda acc: acc["done"])
+        return bound(blocks, lambda blocks: F.flatten(F.zip_with(blocks, at(blocks), lambda x, start: placed(x["b"], start))))
+
     # most texts have no match; for them the text is scanned once
-    return F.when(F.rlike(text, F.lit(pattern)), folded).otherwise(none)
+    return F.when(F.rlike(text, F.lit(pattern)), bound(pairs, many)).otherwise(none)
+
+
+def overlaps(spans: Column, x: Column) -> Column:
+    """Whether x overlaps one of `spans`, which are in order and disjoint: by bisection, the last that starts before
+    x's end is the one to look at."""
+    step = lambda n, bit: F.when(F.get(spans, n + bit - 1)["start"] < x["end"], n + bit).otherwise(n)
+    before = F.aggregate(F.array(*[F.lit(1 << k) for k in range(30, -1, -1)]), F.lit(0), step)
+    return F.coalesce(F.get(spans, before - 1)["end"] > x["start"], F.lit(False))
 
 
-def _weight(n: Column) -> Column:
-    """n log2 n, for counts from 0."""
-    return F.when(n > 1, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
+#: The characters of candidates; each has a counter of COUNTER_BITS bits, and a long holds COUNTERS of them.
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+COUNTER_BITS, COUNTERS = 5, 12
+#: c log2 c is kept in units of 2^-40, so sums are exact and don't drift however far the window slides.
+UNIT = 2.0**40
 
 
 def best_entropy(s: Column, window: int = WINDOW) -> Column:
     """The greatest entropy of a window of s, by incremental counts; null if s is shorter than the window.
 
-    The entropy of counts c of n characters is log2 n - (sum of c log2 c) / n. When the window moves by one, only
-    two counts change, so only two terms of the sum do.
+    The entropy of counts c of n characters is log2 n - (sum of c log2 c) / n. When the window moves by one, only the
+    counts of the character that leaves and of the one that enters change, so a step costs the same whatever the
+    window and the length of s. s has characters of ALPHABET only; window is below 2^COUNTER_BITS.
     """
-    count = lambda part, c: F.length(part) - F.length(F.replace(part, c, F.lit("")))
-    letter = lambda i: F.substring(s, i, F.lit(1))
-
-    def move(acc: Column, i: Column) -> Column:
-        # the window ends at i (from 1); before, it held the `window` characters up to i - 1
-        first = F.greatest(i - window, F.lit(1))
-        held = F.substring(s, first, i - first)
-        leaves = i > window
-        gone = F.when(leaves, count(held, letter(first))).otherwise(F.lit(0))
-        kept = F.when(leaves, F.substring(held, F.lit(2), F.length(held))).otherwise(held)
-        come = count(kept, letter(i))
-        total = acc["total"] - F.when(leaves, _weight(gone) - _weight(gone - 1)).otherwise(F.lit(0.0)) + _weight(come + 1) - _weight(come)
-        return F.struct(total.alias("total"), F.when(i >= window, F.least(acc["least"], total)).otherwise(acc["least"]).alias("least"))
-
-    start = F.struct(F.lit(0.0).alias("total"), F.lit(float("inf")).alias("least"))
-    least = F.aggregate(F.sequence(F.lit(1), F.length(s)), start, move, lambda acc: acc["least"])
-    return F.when(F.length(s) >= window, F.log2(F.lit(float(window))) - least / F.lit(float(window)))
+    words = [f"w{n}" for n in range(-(-len(ALPHABET) // COUNTERS))]
+    #: What the sum grows by when a count goes from c to c + 1.
+    weight = [int(c * math.log2(c) * UNIT + 0.5) if c > 1 else 0 for c in range(window + 2)]
+    growth = F.array(*[F.lit(b - a).cast("long") for a, b in zip(weight, weight[1:], strict=False)])
+    codes = F.transform(F.split(s, ""), lambda c: (F.instr(F.lit(ALPHABET), c) - 1).cast("int"))
+    moves = lambda codes: F.zip_with(codes, F.slice(F.concat(F.array_repeat(F.lit(-1), window), codes), 1, F.size(codes)), lambda i, o: F.struct(i.alias("i"), o.alias("o")))
+
+    def shift(code: Column) -> Column:
+        return F.when(code >= 0, F.lit(COUNTER_BITS) * (code % COUNTERS)).otherwise(F.lit(0))
+
+    def held(acc: Column, code: Column) -> Column:
+        which = (code / COUNTERS).cast("int")
+        word = acc[words[-1]]
+        for n in range(len(words) - 2, -1, -1):
+            word = F.when(which == n, acc[words[n]]).otherwise(word)
+        return F.call_function("shiftright", word, shift(code)).bitwiseAND(F.lit(2**COUNTER_BITS - 1))
+
+    def move(acc: Column, x: Column) -> Column:
+        come, gone = x["i"], x["o"]
+        leaves = gone >= 0
+        # counts before the step; of the character that enters, without the one that leaves
+        had = held(acc, gone)
+        has = held(acc, come) - F.when(come == gone, 1).otherwise(0)
+        total = acc["total"] - F.when(leaves, F.get(growth, (had - 1).cast("int"))).otherwise(F.lit(0)) + F.get(growth, has.cast("int"))
+        place = lambda code, n: F.when((code >= COUNTERS * n) & (code < COUNTERS * (n + 1)), F.call_function("shiftleft", F.lit(1).cast("long"), shift(code))).otherwise(F.lit(0).cast("long"))
+        new = [(acc[w] + place(come, n) - place(gone, n)).alias(w) for n, w in enumerate(words)]
+        seen = acc["seen"] + 1
+        return F.struct(*new, total.alias("total"), seen.alias("seen"), F.when(seen >= window, F.least(acc["least"], total)).otherwise(acc["least"]).alias("least"))
+
+    zero = F.lit(0).cast("long")
+    start = F.struct(*[zero.alias(w) for w in words], zero.alias("total"), F.lit(0).alias("seen"), F.lit(2**62).cast("long").alias("least"))
+    least = bound(codes, lambda codes: F.aggregate(moves(codes), start, move, lambda acc: acc["least"]))
+    return F.when(F.length(s) >= window, F.lit(math.log2(window)) - least.cast("double") / F.lit(UNIT * window))
 
 
 def is_secret(s: Column) -> Column:
@@ -109,15 +159,14 @@ def _named(n: int, kind: str):
 
 
 def scan_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds secrets: array of (start, kind_no, kind, end), ordered by start, then kind as listed in KINDS."""
+    """Adds secrets: array of (start, kind_no, kind, end), ordered by start, then kind as listed in KINDS. Other
+    columns stay whatever they are called, but for one that is called secrets."""
+    own = free_names(docs, *KINDS)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = docs.withColumn("_text", text)
-    text = F.col("_text")
     value = lambda x: F.length(F.regexp_replace(x["s"], "^" + ASSIGN_HEAD, ""))
-    docs = docs.withColumn("_assign", F.filter(spans_of(text, ASSIGN), lambda x: value(x) >= MIN_VALUE))
-    docs = docs.withColumn("_access", spans_of(text, ACCESS)).withColumn("_hex", spans_of(text, HEX))
-    known = F.concat("_assign", "_access", "_hex")
-    free = lambda x: ~F.exists(known, lambda k: (k["start"] < x["end"]) & (x["start"] < k["end"]))
-    docs = docs.withColumn("_entropy", F.filter(spans_of(text, CANDIDATE), lambda x: free(x) & is_secret(x["s"])))
-    named = [F.transform(f"_{kind}", _named(n, kind)) for n, kind in enumerate(KINDS)]
-    return docs.withColumn("secrets", F.array_sort(F.concat(*named))).drop("_text", *[f"_{k}" for k in KINDS])
+    found = [F.filter(spans_of(text, ASSIGN), lambda x: value(x) >= MIN_VALUE), spans_of(text, ACCESS), spans_of(text, HEX)]
+    scanned = docs.withColumns(dict(zip(own, found, strict=False)))
+    free = lambda x: ~(overlaps(F.col(own[0]), x) | overlaps(F.col(own[1]), x) | overlaps(F.col(own[2]), x))
+    scanned = scanned.withColumn(own[3], F.filter(spans_of(text, CANDIDATE), lambda x: free(x) & is_secret(x["s"])))
+    named = [F.transform(name, _named(n, kind)) for n, (name, kind) in enumerate(zip(own, KINDS, strict=True))]
+    return scanned.withColumn("secrets", F.array_sort(F.concat(*named))).drop(*own)
