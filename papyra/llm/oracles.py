@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from papyra.llm.mixing import FILL_ROUNDS
-from papyra.llm.secrets import ACCESS, ASSIGN, ASSIGN_HEAD, CANDIDATE, HEX, THRESHOLDS, WINDOW
-
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 OP1 = rf"""
@@ -22,6 +19,13 @@ FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 """
 
 
+# The contract's patterns, written out, and those of the entropy scan.
+ASSIGN_HEAD = r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?"""
+ASSIGN = ASSIGN_HEAD + "[A-Za-z0-9+/_.=-]+"
+ACCESS, HEX, CANDIDATE = "AKIA[A-Z0-9]{16,}", "[0-9a-f]{24,}", "[A-Za-z0-9+/_=-]{20,}"
+WINDOW, LEAST_HEX, LEAST_BASE64 = 20, 2.9, 3.7
+
+
 def _q(pattern: str) -> str:
     return pattern.replace("'", "''")
 
@@ -43,7 +47,7 @@ base AS (
   UNION ALL SELECT 2, * FROM ({_found("hex", HEX)})),
 b AS (SELECT r, o, kind, CAST(s0 AS BIGINT) AS s0, CAST(s0 + length(s) AS BIGINT) AS e0 FROM base),
 c0 AS (SELECT r, CAST(s0 AS BIGINT) AS s0, CAST(s0 + length(s) AS BIGINT) AS e0, s FROM ({_found("entropy", CANDIDATE)})),
-c AS (SELECT *, CASE WHEN regexp_matches(s, '^[0-9a-fA-F]+$') THEN {THRESHOLDS["hex"]} ELSE {THRESHOLDS["base64"]} END AS least FROM c0
+c AS (SELECT *, CASE WHEN regexp_matches(s, '^[0-9a-fA-F]+$') THEN {LEAST_HEX} ELSE {LEAST_BASE64} END AS least FROM c0
       WHERE regexp_matches(s, '[0-9]')
         AND (regexp_matches(s, '^[0-9a-fA-F]+$') OR regexp_matches(s, '[A-Z]') OR regexp_matches(s, '[a-z]'))
         AND NOT regexp_matches(s, '^[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{12}}$|^(sha1|sha256|sha384|sha512|md5)-|(?i:example|placeholder|changeme|dummy|sample)|0123456789|abcdefghij')
@@ -114,34 +118,46 @@ SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 20
 
 #: How many times the held sources are found; each round holds one source at least until none is above its limit.
 _ROUNDS = 8
+#: How many times documents that reach three copies are set apart: a weight that isn't full below one that is can be
+#: so only a few times over.
+_UNIT_ROUNDS = 16
+_FILLS = 4
 
 
 def _op7() -> str:
-    """Targets round by round, then each source's documents in Pareto order up to what its target leaves."""
+    """Targets round by round; then each source's copies a unit of weight, round by round; then its documents in
+    Pareto order up to the words that whole copies leave, and more documents into what is still missing."""
     rounds = "h0 AS (SELECT source, source_size, w, FALSE AS held FROM s)"
     for n in range(_ROUNDS):
         rounds += f""",
 h{n + 1} AS (SELECT source, source_size, w, held OR share > 3 * source_size AS held FROM (SELECT *, CAST((sum(source_size) OVER () - sum(CASE WHEN held THEN 3 * source_size ELSE 0 END) OVER ()) * w AS DOUBLE) / CAST(sum(CASE WHEN held THEN 0 ELSE w END) OVER () AS DOUBLE) AS share FROM h{n}))"""
+    units = "u0 AS (SELECT d.source, m, sum(size) AS words, max(target) >= 3 * max(source_size) AS atop FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source GROUP BY d.source, m)"
+    per_unit = "CASE WHEN sum(CASE WHEN atop THEN 0 ELSE m * words END) OVER (PARTITION BY x.source) > 0 THEN (target - CAST(3 * sum(CASE WHEN atop THEN words ELSE 0 END) OVER (PARTITION BY x.source) AS DOUBLE)) / CAST(sum(CASE WHEN atop THEN 0 ELSE m * words END) OVER (PARTITION BY x.source) AS DOUBLE) ELSE 0 END"
+    for n in range(_UNIT_ROUNDS):
+        units += f""",
+u{n + 1} AS (SELECT source, m, words, atop OR c * m >= 3 AS atop FROM (SELECT x.*, {per_unit} AS c FROM u{n} x JOIN t ON x.source IS NOT DISTINCT FROM t.source))"""
     fills = ",".join(
-        f"""f{n} AS (SELECT n FROM (SELECT *, rest - sum(CASE WHEN taken THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap FROM g{n}) WHERE NOT taken AND size > 0 AND gap > 0 AND size {"< 2 * gap" if n == FILL_ROUNDS - 1 else "<= gap"} QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(gap - size), value, doc_id, size) = 1),
+        f"""f{n} AS (SELECT n FROM (SELECT *, rest - sum(CASE WHEN taken THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap FROM g{n}) WHERE NOT taken AND p > 0 AND size <= gap AND 2 * size > gap QUALIFY row_number() OVER (PARTITION BY source ORDER BY value, doc_id, size) = 1),
 g{n + 1} AS (SELECT * EXCLUDE (taken), taken OR n IN (SELECT n FROM f{n}) AS taken FROM g{n})"""
-        for n in range(FILL_ROUNDS)
+        for n in range(_FILLS)
     )
     return rf"""
-WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+WITH d AS (SELECT *, length(bin(size)) AS m FROM (SELECT doc_id, source, text, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents)),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 s AS (SELECT source, source_size, CAST([5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS BIGINT) AS w FROM s0),
 {rounds},
 t AS (SELECT source, source_size, CASE WHEN held THEN CAST(3 * source_size AS DOUBLE) ELSE coalesce(share, 0) END AS target FROM (SELECT *, CAST((sum(source_size) OVER () - sum(CASE WHEN held THEN 3 * source_size ELSE 0 END) OVER ()) * w AS DOUBLE) / CAST(sum(CASE WHEN held THEN 0 ELSE w END) OVER () AS DOUBLE) AS share FROM h{_ROUNDS})),
-x AS (SELECT doc_id, size, d.source, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS ratio,
-             (CAST('0x' || substr(md5('mix' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-p AS (SELECT *, ratio - floor(ratio) AS p, target - floor(ratio) * source_size AS rest FROM x),
+{units},
+c AS (SELECT source, m, CASE WHEN atop THEN 3.0::DOUBLE ELSE c * m END AS copies FROM (SELECT x.*, {per_unit} AS c FROM u{_UNIT_ROUNDS} x JOIN t ON x.source IS NOT DISTINCT FROM t.source)),
+x AS (SELECT doc_id, size, d.source, source_size, target, CASE WHEN size > 0 THEN copies ELSE 0 END AS copies,
+             (CAST('0x' || substr(md5('mix' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || coalesce(text, '')), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source JOIN c ON d.source IS NOT DISTINCT FROM c.source AND d.m = c.m),
+p AS (SELECT *, copies - floor(copies) AS p, target - CAST(sum(floor(copies) * size) OVER (PARTITION BY source) AS DOUBLE) AS rest FROM x),
 v AS (SELECT *, CASE WHEN u * (1 - p) + (1 - u) * p > 0 THEN u * (1 - p) / (u * (1 - p) + (1 - u) * p) ELSE 1 END AS value FROM p),
-r AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY value, doc_id, size ROWS UNBOUNDED PRECEDING) AS reach FROM v),
-g0 AS (SELECT *, row_number() OVER () AS n, reach <= rest AS taken FROM r),
+r AS (SELECT *, sum(CASE WHEN p > 0 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY value, doc_id, size ROWS UNBOUNDED PRECEDING) AS reach FROM v),
+g0 AS (SELECT *, row_number() OVER () AS n, p > 0 AND reach <= rest AS taken FROM r),
 {fills}
-SELECT doc_id, size, source_size, target, CAST((floor(ratio) + CASE WHEN taken THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM g{FILL_ROUNDS}
+SELECT doc_id, size, source_size, target, CAST((floor(copies) + CASE WHEN taken THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM g{_FILLS}
 """
 
 
