@@ -1,26 +1,31 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes.
 
-The classifier is fitted on at most MAX_LABELLED labelled rows: a documented bound. Terms are short words,
-prefixes of longer ones (inflected forms of one stem then meet) and prefixes that several different words share. It is counted in how many documents of each label a term occurs; those much more frequent in one label than in the other (a lift of
-LIFT and a z-score of LEAST_Z at least) are the terms that tell them apart, at most MAX_TERMS, the highest z first.
-All other words of a text are one more term, REST, whose weight grows with the logarithm of the text's length. A
-text's vector is tf-idf over these terms, tf = 1 + ln(count), idf = ln(1 + n / (n with the term + 0.5)) over the n
-documents of label 0, scaled to length 1.
-
-Of two thirds of the labelled rows the index is made, with at most MAX_EXAMPLES vectors of each label; the rest
-calibrates. An inverted list
-keeps for each block of examples the greatest weight in it; blocks are read by falling bound and reading stops when
-no block can reach the k-th best, so the k nearest are exact. Ties go to the example with the smaller number, which
-follows from its label and text.
-
-Examples with the same vector are one entry with the number of its labels. The raw vote is the share of label 1 in
-the k nearest entries, each weighted by the root of its number and a power of its cosine. Calibration maps it to the
-share of label 1 that the calibration rows with such a vote have, made monotone; a text without words has the score
-of texts without any telling term. A score depends on the text only.
+The classifier is fitted on a bounded sample of labelled rows: at most MAX_LABELLED of them, of which the index has at
+most MAX_EXAMPLES texts of each label with MAX_POSTINGS different words in all. Everything else is counted over all
+documents.
+
+A text's vector has two parts. The first is its full TF-IDF vector over words, tf = 1 + ln(count), idf = ln(1 + n /
+(df + 0.5)), with n and df counted over all documents; a word that no example has counts in the length only, with the
+idf of a word of one document. This part is scaled to REST_WEIGHT times the number of binary digits of the text's
+length in units of REST_WORDS. The second part adds weight to telling terms: short words, prefixes of longer ones
+(inflected forms of one stem then meet) and prefixes that several different words share. How many documents of each
+label have a term is counted; those much more frequent in one label than in the other (a lift of LIFT and a z-score of
+LEAST_Z at least) are telling, at most MAX_TERMS, the highest z first. The whole is scaled to length 1. So a copy of an
+example has the cosine 1 to it whatever its words are, and telling terms count most where there are any.
+
+Of two thirds of the labelled rows the index is made; the rest calibrates. An inverted list keeps for each block of
+examples the greatest weight in it; the blocks with the highest bounds are read first, then those whose bound reaches
+the k-th best, so the k nearest are exact. Ties go to the example with the smaller number, which follows from its text
+and label.
+
+The raw vote is the share of label 1 in the k nearest examples, each weighted by a power of its cosine. Calibration
+maps it to the share of label 1 that the calibration rows with such a vote have, made monotone; a text without words
+has the score of the lowest vote. A score depends on the text only.
 
 Null texts are empty. Labels other than 0 and 1 and labels of unknown documents are left out; a document with
-several labels counts as 1 if any is 1. Without labels of both kinds all scores are the share of label 1, or 0.
-Rows that repeat are scored one by one; other columns stay, except those that have the name of an added column.
+several labels counts as 1 if any is 1; of rows that bear the same id one text is learned from. Ids may be of any type.
+Without labels of both kinds all scores are the share of label 1, or 0. Rows that repeat are scored one by one; other
+columns stay, except those that have the name of an added column.
 """
 
 from __future__ import annotations
@@ -31,9 +36,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from papyra.llm.common import append_columns, bound_batches, cut, raw_texts, words_of
 
@@ -47,13 +54,18 @@ REJECT = 0.7
 MAX_LABELLED = 24_000
 MAX_TERMS = 4096
 MAX_EXAMPLES = 2048
-BLOCK = 128
-K = 9
+#: Different words of all examples together; an example that would exceed it is passed over.
+MAX_POSTINGS = 1_000_000
+BLOCK = 64
+#: So many blocks are read first.
+FIRST_BLOCKS = 2
+K = 15
 #: A neighbour's vote counts as its cosine to this power.
 STEEPNESS = 8
 VOTE_BINS = 20
 FLUSH_TERMS = 300_000
-REST, REST_WEIGHT, REST_WORDS = b"", 0.7, 50
+REST_WEIGHT, REST_WORDS = 0.7, 50
+WORDS_KEPT = 500_000
 #: What calibration adds to each bin: this much weight of the overall share.
 PRIOR = 1.0
 
@@ -84,101 +96,141 @@ def terms_of_text(words: list[bytes]) -> set[bytes]:
     return terms
 
 
+def word_key(word: bytes) -> int:
+    """Words are known by 64-bit hashes, so a vocabulary's size doesn't depend on their lengths."""
+    return xxhash.xxh3_64_intdigest(word)
+
+
+def ragged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places from starts[i] to ends[i], for every i in turn, and the i of each."""
+    lengths = ends - starts
+    owner = np.repeat(np.arange(len(starts)), lengths)
+    return np.arange(len(owner)) + np.repeat(starts - np.cumsum(lengths) + lengths, lengths), owner
+
+
 @dataclass
 class Model:
-    """The index and what scoring needs; bounded by MAX_TERMS and MAX_EXAMPLES."""
+    """The index and what scoring needs; bounded by MAX_TERMS, MAX_EXAMPLES and MAX_POSTINGS.
+
+    Features are numbered: words first, in order of their keys, then telling terms. entry_* has one entry for each
+    feature and each block in which it occurs; posting_* the examples of each entry.
+    """
 
-    idf: dict[bytes, float]
+    telling: dict[bytes, float] = field(default_factory=dict)
     k: int = K
+    share: float = 0.0
+    id_type: T.DataType = field(default_factory=T.LongType)
     names: list = field(default_factory=list)
-    ones: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    times: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    labels: np.ndarray = field(default_factory=lambda: np.zeros(0))
     cuts: list[float] = field(default_factory=list)
     values: list[float] = field(default_factory=list)
-    share: float = 0.0
-    postings: dict = field(default_factory=dict)
-    block_max: dict = field(default_factory=dict)
+    vocabulary: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    idf: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    rarest: float = 1.0
+    entries: tuple = ()
 
     def __post_init__(self):
-        self.of_word: dict[bytes, tuple[bytes, ...]] = {}
-        self.known: dict[tuple, tuple] = {}
+        self.of_word: dict[bytes, tuple] = {}
+        self.place = {t: n for n, t in enumerate(sorted(self.telling))}
+        self.twice = {t[1:] for t in self.telling if t[:1].isdigit() and int(t[:1]) in REPEATS}
 
     def __getstate__(self):
-        return self.__dict__ | {"of_word": {}, "known": {}}
-
-    def index(self, vectors: list[dict[bytes, float]]) -> None:
-        lists: dict[bytes, list[tuple[int, float]]] = {}
-        for n, v in enumerate(vectors):
-            for t, w in v.items():
-                lists.setdefault(t, []).append((n, w))
-        n_blocks = -(-max(1, len(vectors)) // BLOCK)
-        for t, pairs in lists.items():
-            at, weights = np.array([n for n, _ in pairs]), np.array([w for _, w in pairs])
-            starts = np.searchsorted(at, np.arange(n_blocks + 1) * BLOCK)
-            most = np.zeros(n_blocks)
-            np.maximum.at(most, at // BLOCK, weights)
-            self.postings[t], self.block_max[t] = (at, weights, starts), most
-
-    def counts(self, words: list[bytes]) -> Counter:
-        """How often each telling term occurs."""
-        kept = self.of_word
-        if len(kept) > 500_000:
-            kept.clear()
-        hits = []
-        for w in words:
-            terms = kept.get(w)
-            if terms is None:
-                before = prefixes_of(w)
-                known = tuple(t for t in before if t in self.idf)
-                repeated = tuple(p for p in before if any(b"%d" % n + p in self.idf for n in REPEATS))
-                terms = kept[w] = (known, repeated) if known or repeated else ()
-            if terms:
-                hits.append((w, terms))
-        found: Counter = Counter()
-        for _, (known, _) in hits:
-            found.update(known)
-        shared: Counter = Counter()
-        for _, repeated in {w: repeated for w, (_, repeated) in hits}.items():
-            shared.update(repeated)
-        found.update({t: 1 for p, m in shared.items() for n in REPEATS if m >= n and (t := b"%d" % n + p) in self.idf})
-        found[REST] = max(1, len(words) // REST_WORDS).bit_length() if found else 1
+        return self.__dict__ | {"of_word": {}}
+
+    def set_telling(self, telling: dict[bytes, float]) -> None:
+        self.telling = telling
+        self.__post_init__()
+
+    def _known(self, word: bytes) -> tuple:
+        """(number of the word or -1, its telling terms, those of its prefixes that may count once more)."""
+        if len(self.of_word) > WORDS_KEPT:
+            self.of_word.clear()
+        key = word_key(word)
+        at = int(np.searchsorted(self.vocabulary, np.uint64(key)))
+        before = prefixes_of(word)
+        number = at if at < len(self.vocabulary) and int(self.vocabulary[at]) == key else -1
+        found = self.of_word[word] = (number, tuple(t for t in before if t in self.telling), tuple(p for p in before if p in self.twice))
         return found
 
-    def vector(self, found: Counter) -> dict[bytes, float]:
-        v = {t: (1.0 + math.log(n)) * self.idf[t] for t, n in found.items() if t != REST}
-        v[REST] = REST_WEIGHT * found.get(REST, 1)
-        norm = math.sqrt(sum(w * w for w in v.values()))
-        return {t: w / norm for t, w in sorted(v.items())}
-
-    def nearest(self, v: dict[bytes, float]) -> list[tuple[float, int]]:
+    def features(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers, weights) of the text's vector, in order of numbers, without the words that no example has."""
+        if not words:
+            return np.zeros(0, np.int64), np.zeros(0)
+        counts = Counter(words)
+        kept = self.of_word
+        telling: Counter = Counter()
+        shared: Counter = Counter()
+        numbers = np.empty(len(counts), np.int64)
+        for n, (w, times) in enumerate(counts.items()):
+            number, known, repeated = kept.get(w) or self._known(w)
+            numbers[n] = number
+            if known:
+                for t in known:
+                    telling[t] += times
+            if repeated:
+                shared.update(repeated)
+        telling.update({t: 1 for p, m in shared.items() for n in REPEATS if m >= n and (t := b"%d" % n + p) in self.telling})
+        weights = 1.0 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))
+        seen = numbers >= 0
+        weights[seen] *= self.idf[numbers[seen]]
+        weights[~seen] *= self.rarest
+        length = REST_WEIGHT * (max(1, len(words) // REST_WORDS).bit_length() if telling else 1)
+        numbers, weights = numbers[seen], weights[seen] * (length / math.sqrt(float(weights @ weights)))
+        order = np.argsort(numbers)
+        more = sorted((self.place[t], (1.0 + math.log(n)) * self.telling[t]) for t, n in telling.items())
+        extra = np.array([w for _, w in more])
+        numbers = np.concatenate([numbers[order], np.array([n for n, _ in more], np.int64) + len(self.vocabulary)])
+        return numbers, np.concatenate([weights[order], extra]) / math.sqrt(length * length + float(extra @ extra))
+
+    def index(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Makes the inverted lists of the examples' vectors."""
+        features = np.concatenate([f for f, _ in vectors])
+        examples = np.repeat(np.arange(len(vectors)), [len(f) for f, _ in vectors])
+        weights = np.concatenate([w for _, w in vectors])
+        order = np.lexsort((examples, features))
+        features, examples, weights = features[order], examples[order], weights[order]
+        blocks = examples // BLOCK
+        new = np.ones(len(features), bool)
+        new[1:] = (features[1:] != features[:-1]) | (blocks[1:] != blocks[:-1])
+        entry_at = np.flatnonzero(new)
+        most = np.maximum.reduceat(weights, entry_at)
+        starts = np.searchsorted(features[entry_at], np.arange(len(self.vocabulary) + len(self.telling) + 1))
+        self.entries = (starts, blocks[entry_at], most, np.append(entry_at, len(features)), examples, weights)
+
+    def nearest(self, numbers: np.ndarray, weights: np.ndarray) -> list[tuple[float, int]]:
         """The k examples of the highest cosine, exactly; (cosine to 9 places, number), best first."""
-        terms = [t for t in v if t in self.postings]
-        if not terms:
+        if not self.entries or not len(numbers):
             return []
-        bounds = sum(v[t] * self.block_max[t] for t in terms)
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(best) == self.k and bounds[b] < -best[-1][0] - 1e-8:
-                break
-            scores = np.zeros(BLOCK)
-            for t in terms:
-                at, weights, starts = self.postings[t]
-                part = slice(starts[b], starts[b + 1])
-                scores[at[part] - b * BLOCK] += v[t] * weights[part]
-            scores = np.round(scores, 9)
-            best = sorted(best + [(-float(s), int(b * BLOCK + i)) for i, s in enumerate(scores) if s > 0])[: self.k]
-        return [(-s, n) for s, n in best]
-
-    def vote(self, found: Counter) -> tuple[float, list[tuple[float, int]]]:
-        key = tuple(sorted(found.items()))
-        if (done := self.known.get(key)) is None:
-            near = self.nearest(self.vector(found))
-            weights = [max(s, 0.0) ** STEEPNESS * math.sqrt(self.times[n]) for s, n in near]
-            total = sum(weights)
-            done = (sum(w * self.ones[n] / self.times[n] for w, (_, n) in zip(weights, near, strict=True)) / total if total else 0.0, near)
-            if len(self.known) < 100_000:
-                self.known[key] = done
-        return done
+        starts, entry_block, most, posting_at, examples, posting_weights = self.entries
+        entries, owner = ragged(starts[numbers], starts[numbers + 1])
+        entry_weights, of_block = weights[owner], entry_block[entries]
+        n_blocks = -(-len(self.labels) // BLOCK)
+        bounds = np.bincount(of_block, entry_weights * most[entries], n_blocks)
+        scores = np.zeros(len(self.labels))
+
+        def read(chosen: np.ndarray) -> None:
+            which = chosen[of_block]
+            places, entry = ragged(posting_at[entries[which]], posting_at[entries[which] + 1])
+            scores[:] += np.bincount(examples[places], posting_weights[places] * entry_weights[which][entry], len(scores))
+
+        first = np.zeros(n_blocks, bool)
+        first[np.argsort(-bounds, kind="stable")[:FIRST_BLOCKS]] = True
+        read(first)
+        reach = np.partition(scores, -self.k)[-self.k] if len(scores) >= self.k else 0.0
+        rest = ~first & (bounds >= max(reach - 1e-8, 1e-12))
+        if rest.any():
+            read(rest)
+        rounded = np.round(scores, 9)
+        last = np.partition(rounded, -self.k)[-self.k] if len(rounded) >= self.k else 0.0
+        there = np.flatnonzero((rounded >= last) & (rounded > 0))
+        best = there[np.lexsort((there, -rounded[there]))][: self.k]
+        return [(float(rounded[n]), int(n)) for n in best]
+
+    def vote(self, words: list[bytes]) -> tuple[float, list[tuple[float, int]]]:
+        near = self.nearest(*self.features(words))
+        weights = [s**STEEPNESS for s, _ in near]
+        total = sum(weights)
+        return (sum(w * self.labels[n] for w, (_, n) in zip(weights, near, strict=True)) / total if total else 0.0, near)
 
     def score(self, vote: float) -> float:
         return float(self.values[int(np.searchsorted(self.cuts, vote, side="right"))]) if self.values else self.share
@@ -230,68 +282,113 @@ def monotone(counts: list[tuple[int, int]], share: float) -> list[float]:
     return [b[0] / b[1] for b in blocks for _ in range(int(b[2]))]
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS, k: int = K, text_col: str = "text", id_col: str = "doc_id") -> Model:
-    """The model from labels (doc_id, toxic) and the texts of their documents, at most max_labelled of them."""
+def document_frequencies(docs: DataFrame, vocabulary: np.ndarray, text_col: str) -> tuple[int, np.ndarray]:
+    """The number of documents, and in how many of them each word of the vocabulary (sorted keys) occurs: all documents
+    are counted, and summed within tasks first."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    bound_batches(docs.sparkSession)
+
+    def run(batches):
+        keys = shared.value
+        numbers = {int(k): n for n, k in enumerate(keys)}
+        counts, n_docs, of_word = np.zeros(len(keys) + 1, np.int64), 0, {}
+        for batch in batches:
+            for raw in raw_texts(batch.column(0)):
+                n_docs += 1
+                for w in set(words_of(raw)):
+                    if (n := of_word.get(w)) is None:
+                        if len(of_word) > WORDS_KEPT:
+                            of_word.clear()
+                        n = of_word[w] = numbers.get(word_key(w), len(keys))
+                    counts[n] += 1
+        found = np.flatnonzero(counts[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *found.tolist()], pa.int64()), pa.array([n_docs, *counts[found].tolist()], pa.int64())], ["word", "n"])
+
+    sums = docs.select(F.col(text_col)).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    df, n_docs = np.zeros(len(vocabulary), np.int64), 0
+    for r in sums.collect():  # at most one row a word of the vocabulary
+        if r["word"] < 0:
+            n_docs = r["n"]
+        else:
+            df[r["word"]] = r["n"]
+    return n_docs, df
+
+
+def choose(labelled: DataFrame, max_examples: int, max_postings: int) -> list:
+    """The examples, (toxic, h, doc_id, keys, n_words, raw): two rows in three by hash, texts that are the same once a
+    label, at most max_examples of each label in order of hash, and at most max_postings different words in all."""
+    picks = []
+    for label in (1, 0):
+        one = labelled.where((F.col("toxic") == label) & (F.pmod("h", F.lit(3)) > 0)).dropDuplicates(["h"])
+        picks.append(one.orderBy("h", "doc_id").limit(max_examples))
+    examples = cut(append_columns(picks[0].unionByName(picks[1]), T.StructType([T.StructField("bag", T.MapType(T.BinaryType(), T.IntegerType()))]), _bags))
+    left, chosen = max_postings, []
+    sizes = examples.select("toxic", "h", F.size("bag").alias("n")).collect()
+    # labels take turns, so that neither uses up what there is
+    ranked = {label: sorted((r["h"], r["n"]) for r in sizes if r["toxic"] == label) for label in (1, 0)}
+    for place in range(max(map(len, ranked.values()))):
+        for label in (1, 0):
+            if place < len(ranked[label]) and ranked[label][place][1] <= left:
+                chosen.append((label, ranked[label][place][0]))
+                left -= ranked[label][place][1]
+    kept = examples.sparkSession.createDataFrame(chosen, "toxic int, h long") if chosen else None
+    rows = examples.join(F.broadcast(kept), ["toxic", "h"]).select("toxic", "h", "doc_id", "bag").collect() if chosen else []
+    # texts with the same most frequent word lie together, so that a block's greatest weights tell something about it
+    top = lambda bag: max(bag.items(), key=lambda x: (x[1], bytes(x[0])), default=(b"", 0))[0]
+    return sorted(rows, key=lambda r: (bytes(top(r["bag"])), r["toxic"], r["h"]))
+
+
+def _bags():
+    kind = pa.map_(pa.binary(), pa.int32())
+    return lambda batch: [pa.array([list(Counter(words_of(raw)).items()) for raw in raw_texts(batch.column("text"))], kind)]
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS, max_postings: int = MAX_POSTINGS, k: int = K, text_col: str = "text", id_col: str = "doc_id") -> Model:
+    """The model from labels (doc_id, toxic) and the texts of their documents, at most max_labelled of them, and from
+    the words of all documents."""
     spark = docs.sparkSession
     labels = labels.where("toxic IN (0, 1)").groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     sample = labels.orderBy(F.xxhash64("_id"), "_id").limit(max_labelled)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    labelled = texts.join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic", F.xxhash64("text").alias("h"))
-    labelled = cut(labelled)
+    labelled = texts.join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("doc_id", "toxic", F.struct(F.xxhash64("text").alias("h"), "text").alias("t"))
+    # one text an id, so there are no more rows than ids, however often an id is repeated
+    labelled = cut(labelled.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("t").alias("t")).select("doc_id", "toxic", "t.h", "t.text"))
     sizes = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
-    share = n1 / (n0 + n1) if n0 + n1 else 0.0
-    model = Model({}, k, share=share)
+    model = Model(k=k, share=n1 / (n0 + n1) if n0 + n1 else 0.0, id_type=labelled.schema["doc_id"].dataType)
     if not n0 or not n1:
         return model
     found = telling_terms(count_terms(labelled, "text"), n0, n1, max_terms)
-    model.idf = {t: math.log(1.0 + n0 / (n + 0.5)) for t, n in found.items()}
-
-    # examples: two rows in three by hash, texts that are the same only once, at most max_examples of each label; those
-    # with the same vector are one entry; only their telling terms go to the driver
-    shared_terms = spark.sparkContext.broadcast(model)
-    found_terms = T.StructType([T.StructField("found", T.MapType(T.BinaryType(), T.LongType()))])
-    first = append_columns(labelled.where(F.pmod("h", F.lit(3)) > 0), found_terms, lambda: _found(shared_terms.value))
-    rows = sorted(first.select("h", "doc_id", "toxic", "found").collect(), key=lambda r: (-r["toxic"], r["h"], r["doc_id"]))
-    taken, places = Counter(), {}
-    last = None
-    for r in rows:
-        key = (r["toxic"], r["h"])
-        if key == last or taken[r["toxic"]] == max_examples:
-            continue
-        last = key
-        taken[r["toxic"]] += 1
-        place = places.setdefault(tuple(sorted((bytes(t), n) for t, n in r["found"].items())), [r["doc_id"], 0, 0])
-        place[1] += r["toxic"]
-        place[2] += 1
-    model.names, model.ones, model.times = [p[0] for p in places.values()], np.array([p[1] for p in places.values()], float), np.array([p[2] for p in places.values()], float)
-    model.index([model.vector(Counter(dict(terms))) for terms in places])
+    model.set_telling({t: math.log(1.0 + n0 / (n + 0.5)) for t, n in found.items()})
+
+    examples = choose(labelled, max_examples, max_postings)
+    model.vocabulary = np.unique(np.fromiter((word_key(bytes(w)) for r in examples for w in r["bag"]), np.uint64))
+    n_docs, df = document_frequencies(docs, model.vocabulary, text_col)
+    model.idf, model.rarest = np.log(1.0 + n_docs / (df + 0.5)), math.log(1.0 + n_docs / 1.5)
+    vectors = [model.features([bytes(w) for w, n in r["bag"].items() for _ in range(n)]) for r in examples]
+    model.names, model.labels = [r["doc_id"] for r in examples], np.array([r["toxic"] for r in examples], float)
+    if vectors:
+        model.index(vectors)
 
     shared = spark.sparkContext.broadcast(model)
     votes = append_columns(labelled.where(F.pmod("h", F.lit(3)) == 0).select("text", "toxic"), T.StructType([T.StructField("vote", T.DoubleType())]), lambda: _votes(shared.value))
     bins = F.least(F.floor(F.col("vote") * VOTE_BINS), F.lit(VOTE_BINS - 1)).cast("int")
     table = {(r["bin"], r["toxic"]): r["n"] for r in votes.groupBy(bins.alias("bin"), "toxic").agg(F.count("*").alias("n")).collect()}
     model.cuts = [(b + 1) / VOTE_BINS for b in range(VOTE_BINS - 1)]
-    model.values = monotone([(table.get((b, 0), 0), table.get((b, 1), 0)) for b in range(VOTE_BINS)], share)
+    model.values = monotone([(table.get((b, 0), 0), table.get((b, 1), 0)) for b in range(VOTE_BINS)], model.share)
     return model
 
 
-def _found(model: Model):
-    kind = pa.map_(pa.binary(), pa.int64())
-    return lambda batch: [pa.array([list(model.counts(words_of(raw)).items()) for raw in raw_texts(batch.column("text"))], kind)]
-
-
 def _votes(model: Model):
-    return lambda batch: [pa.array([model.vote(model.counts(words_of(raw)))[0] for raw in raw_texts(batch.column("text"))], pa.float64())]
-
-
-EVIDENCE = T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("toxic", T.IntegerType()), T.StructField("cosine", T.DoubleType())]))
+    return lambda batch: [pa.array([model.vote(words_of(raw))[0] for raw in raw_texts(batch.column("text"))], pa.float64())]
 
 
 def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", n_evidence: int = 3) -> DataFrame:
     """Adds toxicity (0 to 1) and evidence: the nearest examples with their labels and cosines."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    added = T.StructType([T.StructField("toxicity", T.DoubleType()), T.StructField("evidence", EVIDENCE)])
+    evidence_type = T.StructType([T.StructField("doc_id", model.id_type), T.StructField("toxic", T.IntegerType()), T.StructField("cosine", T.DoubleType())])
+    added = T.StructType([T.StructField("toxicity", T.DoubleType()), T.StructField("evidence", T.ArrayType(evidence_type))])
+    kind = pa.list_(to_arrow_type(evidence_type))
 
     def start():
         own = shared.value
@@ -299,10 +396,9 @@ def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", n_evid
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
             scores, evidence = [], []
             for raw in raw_texts(batch.column(text_col)):
-                vote, near = own.vote(own.counts(words_of(raw)))
+                vote, near = own.vote(words_of(raw))
                 scores.append(own.score(vote))
-                evidence.append([{"doc_id": own.names[n], "toxic": int(2 * own.ones[n] >= own.times[n]), "cosine": s} for s, n in near[:n_evidence]])
-            kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
+                evidence.append([{"doc_id": own.names[n], "toxic": int(own.labels[n]), "cosine": s} for s, n in near[:n_evidence]])
             return [pa.array(scores, pa.float64()), pa.array(evidence, kind)]
 
         return work
