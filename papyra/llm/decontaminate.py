@@ -13,6 +13,7 @@ all its other columns stay, except those that have the name of an added column.
 from __future__ import annotations
 
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -90,7 +91,19 @@ def original_spans(raw: bytes, intervals: list[list[int]]) -> list[dict]:
     return [{"start": int(points[at[a][0]]), "end": int(points[at[b - 1][1]])} for a, b in intervals]
 
 
+_KEPT: dict[str, object] = {}
+
+
+def _automaton(key: str, items, window: int):
+    """The worker's automaton of one scan; it serves all the worker's tasks."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = build_automaton(items.value, window)
+    return _KEPT[key]
+
+
 def _scan(docs: DataFrame, items, window: int, text_col: str, carried: bool, last: bool) -> DataFrame:
+    key = uuid.uuid4().hex
     hits_field = T.StructField(CARRIED, HITS)
     added = [
         T.StructField("n_words", T.LongType()),
@@ -100,7 +113,7 @@ def _scan(docs: DataFrame, items, window: int, text_col: str, carried: bool, las
     ]
 
     def start():
-        automaton = build_automaton(items.value, window)
+        automaton = _automaton(key, items, window)
 
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
             raws = raw_texts(batch.column(text_col))
