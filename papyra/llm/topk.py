@@ -21,6 +21,8 @@ and queries of their own. Ties go to the smaller id, null ids last. Queries with
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -40,7 +42,7 @@ LARGE_CHUNK, LARGE_TILE = 512, 16
 #: Rows that give the first k-th best scores, and at most so many components of them.
 SEEDS, SEED_COMPONENTS = 2048, 1 << 20
 #: Blocks are smaller where they would be fewer pairs than this.
-LEAST_PAIRS = 48
+LEAST_PAIRS = 16
 NONE = np.iinfo(np.int64).max
 
 FOUND = T.StructType([T.StructField("q", T.LongType()), T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("c", T.LongType()), T.StructField("score", T.LongType())])
@@ -187,9 +189,10 @@ def topk(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id_
     rows = vectors.select(F.monotonically_increasing_id().alias("r"), F.col(id_col).cast("long").alias("id"), F.coalesce(is_query, F.lit(False)).alias("asks"), F.when(F.col(vector_col).isNotNull() & finite, whole).alias("x"))
     rows = cut(rows.where("x IS NOT NULL").withColumn("n", F.size("x")))
     counts = rows.agg(F.count("*"), F.count_if("asks"), F.max("n")).first()
-    pairs = max(LEAST_PAIRS, 2 * parallel)
-    query_blocks = max(1, -(-counts[1] // QUERY_BLOCK))
-    row_blocks = max(1, -(-counts[0] // ROW_BLOCK), min(-(-pairs // query_blocks), counts[0] // 64))
+    # as many blocks of queries as of rows: what is copied, and what each query gets from all blocks, stays small
+    side = math.isqrt(max(LEAST_PAIRS, 2 * parallel) - 1) + 1
+    query_blocks = max(1, -(-counts[1] // QUERY_BLOCK), min(side, counts[1] // 64))
+    row_blocks = max(1, -(-counts[0] // ROW_BLOCK), min(side, counts[0] // 64))
 
     def block(n: int) -> Column:
         return F.pmod(F.xxhash64("r"), F.lit(n)).cast("int")

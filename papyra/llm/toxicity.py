@@ -53,10 +53,12 @@ REJECT = 0.7
 #: The classifier is fitted on at most so many labelled rows, those with the smallest hashes of their ids.
 MAX_LABELLED = 24_000
 MAX_TERMS = 4096
-MAX_EXAMPLES = 2048
+MAX_EXAMPLES = 1024
 #: Different words of all examples together; an example that would exceed it is passed over.
 MAX_POSTINGS = 1_000_000
 BLOCK = 64
+#: Features of at least this share of the examples are held as rows, not as lists.
+DENSE = 0.06
 #: So many blocks are read first.
 FIRST_BLOCKS = 2
 K = 15
@@ -108,12 +110,50 @@ def ragged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.arange(len(owner)) + np.repeat(starts - np.cumsum(lengths) + lengths, lengths), owner
 
 
+class WordNumbers(dict):
+    """Word -> its number in the vocabulary, or -1. The telling terms of words that have any are kept beside."""
+
+    def __init__(self, vocabulary: np.ndarray, telling: dict[bytes, float]):
+        super().__init__()
+        self.vocabulary, self.telling = vocabulary, telling
+        self.twice = {t[1:] for t in telling if t[:1].isdigit() and int(t[:1]) in REPEATS}
+        self.terms: dict[bytes, tuple] = {}
+
+    def __missing__(self, word: bytes) -> int:
+        before = prefixes_of(word)
+        terms = tuple(t for t in before if t in self.telling), tuple(p for p in before if p in self.twice)
+        if terms[0] or terms[1]:
+            self.terms[word] = terms
+        key = np.uint64(word_key(word))
+        at = int(np.searchsorted(self.vocabulary, key))
+        n = self[word] = at if at < len(self.vocabulary) and self.vocabulary[at] == key else -1
+        return n
+
+    def of(self, counts: Counter) -> tuple[np.ndarray, Counter]:
+        """The numbers of a text's words, and how often each telling term occurs."""
+        if len(self) > WORDS_KEPT:
+            self.clear()
+            self.terms.clear()
+        numbers = np.fromiter(map(self.__getitem__, counts), np.int64, len(counts))
+        telling: Counter = Counter()
+        shared: Counter = Counter()
+        for w in counts.keys() & self.terms.keys():
+            known, repeated = self.terms[w]
+            for t in known:
+                telling[t] += counts[w]
+            shared.update(repeated)
+        telling.update({t: 1 for p, m in shared.items() for n in REPEATS if m >= n and (t := b"%d" % n + p) in self.telling})
+        return numbers, telling
+
+
 @dataclass
 class Model:
     """The index and what scoring needs; bounded by MAX_TERMS, MAX_EXAMPLES and MAX_POSTINGS.
 
-    Features are numbered: words first, in order of their keys, then telling terms. entry_* has one entry for each
-    feature and each block in which it occurs; posting_* the examples of each entry.
+    Features are numbered: words first, in order of their keys, then telling terms. An entry is a feature in a block of
+    examples: `starts` has the place of each feature's first entry, `blocks` and `most` the block and the greatest
+    weight of each entry, `at` the place of its first posting; `examples` and `weights` are the postings. Features that
+    occur in many examples have a row in `dense` instead of postings (`row` has its number, or -1).
     """
 
     telling: dict[bytes, float] = field(default_factory=dict)
@@ -127,60 +167,44 @@ class Model:
     vocabulary: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     idf: np.ndarray = field(default_factory=lambda: np.zeros(0))
     rarest: float = 1.0
-    entries: tuple = ()
+    lists: dict[str, np.ndarray] = field(default_factory=dict)
 
-    def __post_init__(self):
-        self.of_word: dict[bytes, tuple] = {}
+    def ready(self) -> Model:
+        """Makes what isn't sent with the model: a worker does it once."""
+        self.numbers = WordNumbers(self.vocabulary, self.telling)
         self.place = {t: n for n, t in enumerate(sorted(self.telling))}
-        self.twice = {t[1:] for t in self.telling if t[:1].isdigit() and int(t[:1]) in REPEATS}
+        return self
 
     def __getstate__(self):
-        return self.__dict__ | {"of_word": {}}
-
-    def set_telling(self, telling: dict[bytes, float]) -> None:
-        self.telling = telling
-        self.__post_init__()
-
-    def _known(self, word: bytes) -> tuple:
-        """(number of the word or -1, its telling terms, those of its prefixes that may count once more)."""
-        if len(self.of_word) > WORDS_KEPT:
-            self.of_word.clear()
-        key = word_key(word)
-        at = int(np.searchsorted(self.vocabulary, np.uint64(key)))
-        before = prefixes_of(word)
-        number = at if at < len(self.vocabulary) and int(self.vocabulary[at]) == key else -1
-        found = self.of_word[word] = (number, tuple(t for t in before if t in self.telling), tuple(p for p in before if p in self.twice))
-        return found
+        return {k: v for k, v in self.__dict__.items() if k not in ("numbers", "place")}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self.ready()
 
     def features(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(numbers, weights) of the text's vector, in order of numbers, without the words that no example has."""
-        if not words:
-            return np.zeros(0, np.int64), np.zeros(0)
         counts = Counter(words)
-        kept = self.of_word
-        telling: Counter = Counter()
-        shared: Counter = Counter()
-        numbers = np.empty(len(counts), np.int64)
-        for n, (w, times) in enumerate(counts.items()):
-            number, known, repeated = kept.get(w) or self._known(w)
-            numbers[n] = number
-            if known:
-                for t in known:
-                    telling[t] += times
-            if repeated:
-                shared.update(repeated)
-        telling.update({t: 1 for p, m in shared.items() for n in REPEATS if m >= n and (t := b"%d" % n + p) in self.telling})
-        weights = 1.0 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))
+        numbers, telling = self.numbers.of(counts)
+        return self.vector(numbers, np.fromiter(counts.values(), np.float64, len(counts)), telling)
+
+    def vector(self, numbers: np.ndarray, times: np.ndarray, telling: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+        if not len(numbers):
+            return np.zeros(0, np.int64), np.zeros(0)
         seen = numbers >= 0
-        weights[seen] *= self.idf[numbers[seen]]
-        weights[~seen] *= self.rarest
-        length = REST_WEIGHT * (max(1, len(words) // REST_WORDS).bit_length() if telling else 1)
-        numbers, weights = numbers[seen], weights[seen] * (length / math.sqrt(float(weights @ weights)))
+        weights = 1.0 + np.log(times)
+        weights *= np.where(seen, self.idf[numbers], self.rarest) if len(self.idf) else self.rarest
+        length = REST_WEIGHT * (max(1, int(times.sum()) // REST_WORDS).bit_length() if telling else 1)
+        weights = weights[seen] * (length / math.sqrt(float(weights @ weights)))
+        numbers = numbers[seen]
         order = np.argsort(numbers)
-        more = sorted((self.place[t], (1.0 + math.log(n)) * self.telling[t]) for t, n in telling.items())
-        extra = np.array([w for _, w in more])
-        numbers = np.concatenate([numbers[order], np.array([n for n, _ in more], np.int64) + len(self.vocabulary)])
-        return numbers, np.concatenate([weights[order], extra]) / math.sqrt(length * length + float(extra @ extra))
+        numbers, weights = numbers[order], weights[order]
+        if telling:
+            more = sorted((self.place[t], (1.0 + math.log(n)) * self.telling[t]) for t, n in telling.items())
+            numbers = np.concatenate([numbers, np.array([n for n, _ in more], np.int64) + len(self.vocabulary)])
+            weights = np.concatenate([weights, np.array([w for _, w in more])])
+            length = math.sqrt(length * length + sum(w * w for _, w in more))
+        return numbers, weights / length
 
     def index(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
         """Makes the inverted lists of the examples' vectors."""
@@ -189,42 +213,66 @@ class Model:
         weights = np.concatenate([w for _, w in vectors])
         order = np.lexsort((examples, features))
         features, examples, weights = features[order], examples[order], weights[order]
+        n_features, n_blocks = len(self.vocabulary) + len(self.telling), -(-len(vectors) // BLOCK)
         blocks = examples // BLOCK
         new = np.ones(len(features), bool)
         new[1:] = (features[1:] != features[:-1]) | (blocks[1:] != blocks[:-1])
         entry_at = np.flatnonzero(new)
-        most = np.maximum.reduceat(weights, entry_at)
-        starts = np.searchsorted(features[entry_at], np.arange(len(self.vocabulary) + len(self.telling) + 1))
-        self.entries = (starts, blocks[entry_at], most, np.append(entry_at, len(features)), examples, weights)
+        found = np.bincount(features, minlength=n_features)
+        often = np.flatnonzero(found >= max(BLOCK, DENSE * len(vectors)))
+        row = np.full(n_features, -1)
+        row[often] = np.arange(len(often))
+        dense = np.zeros((len(often), n_blocks * BLOCK), np.float32)
+        held = row[features] >= 0
+        dense[row[features[held]], examples[held]] = weights[held]
+        self.lists = {
+            "starts": np.searchsorted(features[entry_at], np.arange(n_features + 1)),
+            "blocks": blocks[entry_at],
+            "most": np.maximum.reduceat(weights, entry_at),
+            "at": np.append(entry_at, len(features)),
+            "examples": examples,
+            "weights": weights,
+            "row": row,
+            "dense": dense.reshape(len(often), n_blocks, BLOCK),
+        }
 
     def nearest(self, numbers: np.ndarray, weights: np.ndarray) -> list[tuple[float, int]]:
-        """The k examples of the highest cosine, exactly; (cosine to 9 places, number), best first."""
-        if not self.entries or not len(numbers):
+        """The k examples of the highest cosine, exactly; (cosine to 6 places, number), best first."""
+        if not self.lists or not len(numbers):
             return []
-        starts, entry_block, most, posting_at, examples, posting_weights = self.entries
-        entries, owner = ragged(starts[numbers], starts[numbers + 1])
-        entry_weights, of_block = weights[owner], entry_block[entries]
-        n_blocks = -(-len(self.labels) // BLOCK)
-        bounds = np.bincount(of_block, entry_weights * most[entries], n_blocks)
-        scores = np.zeros(len(self.labels))
+        lists = self.lists
+        n, n_blocks = len(self.labels), lists["dense"].shape[1]
+        entries, owner = ragged(lists["starts"][numbers], lists["starts"][numbers + 1])
+        of_block, entry_weights = lists["blocks"][entries], weights[owner]
+        bounds = np.bincount(of_block, entry_weights * lists["most"][entries], n_blocks)
+        rows = lists["row"][numbers]
+        often = rows >= 0
+        rows, row_weights, sparse = rows[often], weights[often].astype(np.float32), ~often[owner]
+        scores = np.zeros(n_blocks * BLOCK)
 
         def read(chosen: np.ndarray) -> None:
-            which = chosen[of_block]
-            places, entry = ragged(posting_at[entries[which]], posting_at[entries[which] + 1])
-            scores[:] += np.bincount(examples[places], posting_weights[places] * entry_weights[which][entry], len(scores))
+            if len(rows):
+                where = np.flatnonzero(chosen)
+                part = lists["dense"][rows[:, None], where[None]].reshape(len(rows), -1)
+                scores.reshape(n_blocks, BLOCK)[where] += (row_weights @ part).reshape(len(where), BLOCK)
+            which = sparse & chosen[of_block]
+            at = entries[which]
+            places, entry = ragged(lists["at"][at], lists["at"][at + 1])
+            if len(places):
+                scores[:] += np.bincount(lists["examples"][places], lists["weights"][places] * entry_weights[which][entry], len(scores))
 
         first = np.zeros(n_blocks, bool)
         first[np.argsort(-bounds, kind="stable")[:FIRST_BLOCKS]] = True
         read(first)
-        reach = np.partition(scores, -self.k)[-self.k] if len(scores) >= self.k else 0.0
-        rest = ~first & (bounds >= max(reach - 1e-8, 1e-12))
+        reach = np.partition(scores, -self.k)[-self.k] if n >= self.k else 0.0
+        rest = ~first & (bounds >= max(reach - 1e-5, 1e-12))
         if rest.any():
             read(rest)
-        rounded = np.round(scores, 9)
-        last = np.partition(rounded, -self.k)[-self.k] if len(rounded) >= self.k else 0.0
+        rounded = np.round(scores[:n], 6)
+        last = np.partition(rounded, -self.k)[-self.k] if n >= self.k else 0.0
         there = np.flatnonzero((rounded >= last) & (rounded > 0))
         best = there[np.lexsort((there, -rounded[there]))][: self.k]
-        return [(float(rounded[n]), int(n)) for n in best]
+        return [(float(rounded[i]), int(i)) for i in best]
 
     def vote(self, words: list[bytes]) -> tuple[float, list[tuple[float, int]]]:
         near = self.nearest(*self.features(words))
@@ -289,58 +337,74 @@ def document_frequencies(docs: DataFrame, vocabulary: np.ndarray, text_col: str)
     bound_batches(docs.sparkSession)
 
     def run(batches):
-        keys = shared.value
-        numbers = {int(k): n for n, k in enumerate(keys)}
-        counts, n_docs, of_word = np.zeros(len(keys) + 1, np.int64), 0, {}
+        numbers = WordNumbers(shared.value, {})
+        counts, n_docs = np.zeros(len(shared.value) + 1, np.int64), 0  # the last place is that of other words
         for batch in batches:
             for raw in raw_texts(batch.column(0)):
                 n_docs += 1
-                for w in set(words_of(raw)):
-                    if (n := of_word.get(w)) is None:
-                        if len(of_word) > WORDS_KEPT:
-                            of_word.clear()
-                        n = of_word[w] = numbers.get(word_key(w), len(keys))
-                    counts[n] += 1
+                counts[numbers.of(dict.fromkeys(words_of(raw), 1))[0]] += 1
         found = np.flatnonzero(counts[:-1])
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *found.tolist()], pa.int64()), pa.array([n_docs, *counts[found].tolist()], pa.int64())], ["word", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, found)), pa.array(np.append(n_docs, counts[found]))], ["word", "n"])
 
     sums = docs.select(F.col(text_col)).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    df, n_docs = np.zeros(len(vocabulary), np.int64), 0
-    for r in sums.collect():  # at most one row a word of the vocabulary
-        if r["word"] < 0:
-            n_docs = r["n"]
-        else:
-            df[r["word"]] = r["n"]
-    return n_docs, df
-
-
-def choose(labelled: DataFrame, max_examples: int, max_postings: int) -> list:
-    """The examples, (toxic, h, doc_id, keys, n_words, raw): two rows in three by hash, texts that are the same once a
-    label, at most max_examples of each label in order of hash, and at most max_postings different words in all."""
+    table = sums.toArrow()  # at most one row a word of the vocabulary
+    words, n = table.column("word").to_numpy(), table.column("n").to_numpy()
+    df = np.zeros(len(vocabulary), np.int64)
+    df[words[words >= 0]] = n[words >= 0]
+    return int(n[words < 0].sum()), df
+
+
+BAG = T.StructType([T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("times", T.ArrayType(T.LongType())), T.StructField("terms", T.ArrayType(T.BinaryType())), T.StructField("term_times", T.ArrayType(T.LongType()))])
+
+
+def choose(labelled: DataFrame, model: Model, max_examples: int, max_postings: int) -> list[dict]:
+    """The examples (toxic, h, doc_id, keys and times of words, terms and times of telling terms): two rows in three by
+    hash, texts that are the same once a label, at most max_examples of each label in order of hash, and at most
+    max_postings different words in all."""
+    shared = labelled.sparkSession.sparkContext.broadcast(model)
     picks = []
     for label in (1, 0):
         one = labelled.where((F.col("toxic") == label) & (F.pmod("h", F.lit(3)) > 0)).dropDuplicates(["h"])
         picks.append(one.orderBy("h", "doc_id").limit(max_examples))
-    examples = cut(append_columns(picks[0].unionByName(picks[1]), T.StructType([T.StructField("bag", T.MapType(T.BinaryType(), T.IntegerType()))]), _bags))
+    examples = cut(append_columns(picks[0].unionByName(picks[1]), BAG, lambda: _bags(shared.value)).drop("text"))
     left, chosen = max_postings, []
-    sizes = examples.select("toxic", "h", F.size("bag").alias("n")).collect()
     # labels take turns, so that neither uses up what there is
-    ranked = {label: sorted((r["h"], r["n"]) for r in sizes if r["toxic"] == label) for label in (1, 0)}
+    ranked: dict[int, list] = {1: [], 0: []}
+    for r in examples.select("toxic", "h", F.size("keys").alias("n")).orderBy("h").collect():
+        ranked[r["toxic"]].append((r["h"], r["n"]))
     for place in range(max(map(len, ranked.values()))):
         for label in (1, 0):
             if place < len(ranked[label]) and ranked[label][place][1] <= left:
                 chosen.append((label, ranked[label][place][0]))
                 left -= ranked[label][place][1]
-    kept = examples.sparkSession.createDataFrame(chosen, "toxic int, h long") if chosen else None
-    rows = examples.join(F.broadcast(kept), ["toxic", "h"]).select("toxic", "h", "doc_id", "bag").collect() if chosen else []
+    if not chosen:
+        return []
+    kept = examples.sparkSession.createDataFrame(chosen, "toxic int, h long")
+    table = examples.join(F.broadcast(kept), ["toxic", "h"]).toArrow()
+    ids = table.column("doc_id").to_pylist()
+    rows = []
+    for n in range(len(table)):
+        row = {name: table.column(name)[n] for name in ("toxic", "h", *BAG.names)}
+        array = lambda x, kind: np.asarray(x.values.to_numpy(zero_copy_only=False), kind)
+        rows.append({"toxic": row["toxic"].as_py(), "h": row["h"].as_py(), "doc_id": ids[n], "keys": array(row["keys"], np.int64).view(np.uint64), "times": array(row["times"], np.float64), "telling": dict(zip(row["terms"].as_py(), row["term_times"].as_py(), strict=True))})
     # texts with the same most frequent word lie together, so that a block's greatest weights tell something about it
-    top = lambda bag: max(bag.items(), key=lambda x: (x[1], bytes(x[0])), default=(b"", 0))[0]
-    return sorted(rows, key=lambda r: (bytes(top(r["bag"])), r["toxic"], r["h"]))
+    top = lambda r: int(r["keys"][np.lexsort((r["keys"], -r["times"]))[0]]) if len(r["keys"]) else 0
+    return sorted(rows, key=lambda r: (top(r), r["toxic"], r["h"]))
+
 
+def _bags(model: Model):
+    def work(batch: pa.RecordBatch) -> list[pa.Array]:
+        out: list[list] = [[], [], [], []]
+        for raw in raw_texts(batch.column("text")):
+            counts = Counter(words_of(raw))
+            telling = model.numbers.of(counts)[1]
+            out[0].append(np.fromiter(map(word_key, counts), np.uint64, len(counts)).view(np.int64))
+            out[1].append(list(counts.values()))
+            out[2].append(list(telling))
+            out[3].append(list(telling.values()))
+        return [pa.array(x, pa.list_(kind)) for x, kind in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.int64()), strict=True)]
 
-def _bags():
-    kind = pa.map_(pa.binary(), pa.int32())
-    return lambda batch: [pa.array([list(Counter(words_of(raw)).items()) for raw in raw_texts(batch.column("text"))], kind)]
+    return work
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS, max_postings: int = MAX_POSTINGS, k: int = K, text_col: str = "text", id_col: str = "doc_id") -> Model:
@@ -355,20 +419,20 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     labelled = cut(labelled.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("t").alias("t")).select("doc_id", "toxic", "t.h", "t.text"))
     sizes = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
-    model = Model(k=k, share=n1 / (n0 + n1) if n0 + n1 else 0.0, id_type=labelled.schema["doc_id"].dataType)
+    model = Model(k=k, share=n1 / (n0 + n1) if n0 + n1 else 0.0, id_type=labelled.schema["doc_id"].dataType).ready()
     if not n0 or not n1:
         return model
     found = telling_terms(count_terms(labelled, "text"), n0, n1, max_terms)
-    model.set_telling({t: math.log(1.0 + n0 / (n + 0.5)) for t, n in found.items()})
-
-    examples = choose(labelled, max_examples, max_postings)
-    model.vocabulary = np.unique(np.fromiter((word_key(bytes(w)) for r in examples for w in r["bag"]), np.uint64))
-    n_docs, df = document_frequencies(docs, model.vocabulary, text_col)
-    model.idf, model.rarest = np.log(1.0 + n_docs / (df + 0.5)), math.log(1.0 + n_docs / 1.5)
-    vectors = [model.features([bytes(w) for w, n in r["bag"].items() for _ in range(n)]) for r in examples]
-    model.names, model.labels = [r["doc_id"] for r in examples], np.array([r["toxic"] for r in examples], float)
-    if vectors:
-        model.index(vectors)
+    model.telling = {t: math.log(1.0 + n0 / (n + 0.5)) for t, n in found.items()}
+    model.ready()
+
+    examples = choose(labelled, model, max_examples, max_postings)
+    if examples:
+        model.vocabulary = np.unique(np.concatenate([r["keys"] for r in examples]))
+        n_docs, df = document_frequencies(docs, model.vocabulary, text_col)
+        model.idf, model.rarest = np.log(1.0 + n_docs / (df + 0.5)), math.log(1.0 + n_docs / 1.5)
+        model.names, model.labels = [r["doc_id"] for r in examples], np.array([r["toxic"] for r in examples], float)
+        model.ready().index([model.vector(np.searchsorted(model.vocabulary, r["keys"]), r["times"], r["telling"]) for r in examples])
 
     shared = spark.sparkContext.broadcast(model)
     votes = append_columns(labelled.where(F.pmod("h", F.lit(3)) == 0).select("text", "toxic"), T.StructType([T.StructField("vote", T.DoubleType())]), lambda: _votes(shared.value))
