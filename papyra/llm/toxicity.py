@@ -31,6 +31,7 @@ columns stay, except those that have the name of an added column.
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -84,6 +85,10 @@ def learnable(labels: DataFrame) -> DataFrame:
 
 def prefixes_of(word: bytes) -> tuple[bytes, ...]:
     """The word's beginnings, cut between characters; a shorter word's is the word itself, marked."""
+    if len(word) <= PREFIXES[0]:
+        return (b"=" + word,)
+    if word.isascii():
+        return tuple(word[:n] for n in PREFIXES if len(word) > n)
     text = word.decode()
     return tuple(text[:n].encode() for n in PREFIXES if len(text) > n) or (b"=" + word,)
 
@@ -115,18 +120,19 @@ class WordNumbers(dict):
 
     def __init__(self, vocabulary: np.ndarray, telling: dict[bytes, float]):
         super().__init__()
-        self.vocabulary, self.telling = vocabulary, telling
+        self.number_of = {k: n for n, k in enumerate(vocabulary.tolist())}
+        self.telling = telling
         self.twice = {t[1:] for t in telling if t[:1].isdigit() and int(t[:1]) in REPEATS}
         self.terms: dict[bytes, tuple] = {}
 
     def __missing__(self, word: bytes) -> int:
-        before = prefixes_of(word)
-        terms = tuple(t for t in before if t in self.telling), tuple(p for p in before if p in self.twice)
-        if terms[0] or terms[1]:
-            self.terms[word] = terms
-        key = np.uint64(word_key(word))
-        at = int(np.searchsorted(self.vocabulary, key))
-        n = self[word] = at if at < len(self.vocabulary) and self.vocabulary[at] == key else -1
+        if self.telling:
+            before = prefixes_of(word)
+            known = [t for t in before if t in self.telling]
+            repeated = [p for p in before if p in self.twice]
+            if known or repeated:
+                self.terms[word] = known, repeated
+        n = self[word] = self.number_of.get(word_key(word), -1)
         return n
 
     def of(self, counts: Counter) -> tuple[np.ndarray, Counter]:
@@ -330,14 +336,20 @@ def monotone(counts: list[tuple[int, int]], share: float) -> list[float]:
     return [b[0] / b[1] for b in blocks for _ in range(int(b[2]))]
 
 
+_KEPT: dict[str, WordNumbers] = {}
+
+
 def document_frequencies(docs: DataFrame, vocabulary: np.ndarray, text_col: str) -> tuple[int, np.ndarray]:
     """The number of documents, and in how many of them each word of the vocabulary (sorted keys) occurs: all documents
     are counted, and summed within tasks first."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    shared, key = docs.sparkSession.sparkContext.broadcast(vocabulary), uuid.uuid4().hex
     bound_batches(docs.sparkSession)
 
     def run(batches):
-        numbers = WordNumbers(shared.value, {})
+        if key not in _KEPT:  # a worker's numbers serve all its tasks
+            _KEPT.clear()
+            _KEPT[key] = WordNumbers(shared.value, {})
+        numbers = _KEPT[key]
         counts, n_docs = np.zeros(len(shared.value) + 1, np.int64), 0  # the last place is that of other words
         for batch in batches:
             for raw in raw_texts(batch.column(0)):
