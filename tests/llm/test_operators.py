@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 import re
@@ -101,6 +102,24 @@ def test_entropy_by_incremental_counts(spark):
     assert got[:-1] == pytest.approx([brute_entropy(t) for t in texts[:-1]])
 
 
+def test_secrets_of_very_long_texts(spark):
+    rng = random.Random(8)
+    run = "".join(rng.choice("ABCDEFGHghijklmn0123456789+/") for _ in range(1_000_000))
+    calls = " ".join(f"token={rng.randrange(10**9)}abc key AKIA{rng.randrange(10**20):020d}" for _ in range(5000))
+    rows = secrets.scan_secrets(spark.createDataFrame([(0, f"é {run} é"), (1, calls)], "doc_id int, text string")).orderBy("doc_id").collect()
+    assert [tuple(s) for s in rows[0]["secrets"]] == [(2, 3, "entropy", 1_000_002)]
+    assert [tuple(s) for s in rows[1]["secrets"]] == brute_base(calls)
+
+
+def test_secrets_keep_columns_of_any_name(spark):
+    names = ["_text", "_assign", "assign", "Access", "hex", "entropy", "__entropy", "secrets"]
+    docs = spark.createDataFrame([(1, SECRET_TEXTS[2], *range(8))], ["doc_id", "text", *names])
+    got = secrets.scan_secrets(docs)
+    assert sorted(got.columns) == sorted(docs.columns)
+    row = got.first()
+    assert [row[n] for n in names[:-1]] == list(range(7)) and len(row["secrets"]) == len(brute_base(SECRET_TEXTS[2]))
+
+
 # --- 3 -----------------------------------------------------------------------------------------------------------
 
 
@@ -118,6 +137,9 @@ def test_urls(spark):
         return (page_id, host, path, max(fits)[3] if fits else None, max(fits)[4] if fits else "allow")
 
     assert got == Counter([brute(n % 5, u) for n, u in enumerate(urls)] + [brute(None, "http://com/en/")])
+    # with one hexadecimal digit most prefixes that meet aren't matches
+    short = url_filter.judge_urls(pages, spark.createDataFrame(rules, "host string, path string, verdict string"), prefix_hex=1)
+    assert Counter(tuple(r) for r in short.collect()) == got
     none = spark.createDataFrame([], "host string, path string, verdict string")
     assert {r["verdict"] for r in url_filter.judge_urls(pages, none, default="block").collect()} == {"block"}
 
@@ -243,7 +265,7 @@ def test_line_dedup(spark, limit):
     rng = random.Random(5)
     texts = [None, ""] + ["\n".join(rng.choice(["  Same LINE\t", "same line", "Ünïq", "ünïq", "", " ", f"l{rng.randint(0, 40)}", "\x0bq"]) for _ in range(rng.randint(1, 8))) for _ in range(40)]
     texts += texts[5:8]
-    docs = spark.createDataFrame([(n // 2, t, "own") for n, t in enumerate(texts)], "doc_id long, text string, n_lines string")
+    docs = spark.createDataFrame([(n // 2, t, "own", "drop", "t") for n, t in enumerate(texts)], "doc_id long, text string, n_lines string, _drop string, t string")
     rows = line_dedup.dedup_lines(docs, min_docs=10, broadcast_keys=limit, n_batches=5, fanout=2).collect()
     key = lambda x: lower(x.strip(" \t\n\x0b\x0c\r"))
     df = Counter(k for t in texts for k in {key(x) for x in (t or "").split("\n")} if k)
@@ -253,16 +275,39 @@ def test_line_dedup(spark, limit):
         kept = [x for x in lines if df[key(x)] < 10]
         want[(n // 2, "\n".join(kept), len(lines), len(lines) - len(kept))] += 1
     assert Counter((r["doc_id"], r["kept_text"], r["n_lines"], r["n_dropped"]) for r in rows) == want
+    assert {(r["_drop"], r["t"]) for r in rows} == {("drop", "t")}
+
 
+def test_line_dedup_of_a_very_long_text(spark):
+    long = "\n".join(f"line {n % 70_000}" for n in range(200_000))
+    rows = line_dedup.dedup_lines(spark.createDataFrame([(1, long), (2, "line 5\nown"), (3, None)], "doc_id int, text string"), min_docs=2).orderBy("doc_id").collect()
+    assert [(r["n_lines"], r["n_dropped"]) for r in rows] == [(200_000, 3), (2, 1), (1, 0)]
 
-def test_line_runs_anti_join(spark):
-    runs = line_dedup.LineRuns(spark, fanout=2)
-    keys = lambda ids: spark.createDataFrame([(i, -i, 1) for i in ids], line_dedup.RUN)
-    for ids in ([1, 2], [2, 3], [3, 9]):
-        runs.add(keys(ids))
-    assert [len(level) for level in runs.levels] == [1, 1]
-    assert sorted(r["h1"] for r in runs.new_lines(keys([1, 3, 4, 5])).collect()) == [4, 5]
-    assert sorted((r["h1"], r["n_docs"]) for r in runs.frequent(2).collect()) == [(2, 2), (3, 2)]
+
+@pytest.mark.parametrize("min_docs", [1, 2, 5])
+def test_line_runs(spark, min_docs):
+    """Batches of keys with repeats: what is settled is what a plain count says, each key in one run only."""
+    rng = random.Random(min_docs)
+    runs, counts = line_dedup.LineRuns(spark, min_docs, fanout=2), Counter()
+    for _ in range(5):
+        batch = [(i, -i, rng.randint(1, 2)) for i in [*rng.sample(range(40), 15), 3]]
+        before = {h for h, n in counts.items() if n >= min_docs}
+        keys = spark.createDataFrame(batch, line_dedup.RUN)
+        assert {r["h1"] for r in runs.new_lines(keys).collect()} == {h for h, _, _ in batch} - before
+        runs.add(keys)
+        for h, _, n in batch:
+            counts[h] += n
+        assert all(len(level) < 2 for level in runs.settled + runs.open)
+        assert sorted(r["h1"] for r in runs.frequent().collect()) == sorted(h for h, n in counts.items() if n >= min_docs)
+
+
+def test_line_runs_meet_without_a_shuffle(spark, capsys):
+    docs = spark.createDataFrame([(f"a\nb{n % 7}\nc{n}",) for n in range(50)], "text string")
+    runs = line_dedup.LineRuns(spark, 3)
+    batches = line_dedup.batch_keys(docs, "text", 1, 2)
+    runs.add(batches[0])
+    runs.new_lines(batches[1]).explain()
+    assert "SortMergeJoin" in (plan := capsys.readouterr().out) and "Exchange" not in plan
 
 
 # --- 7 -----------------------------------------------------------------------------------------------------------
@@ -287,6 +332,39 @@ def test_mixing(spark):
         assert target <= 3 * size and abs(taken - target) <= 40
 
 
+def test_mixing_odds_differ_by_size_and_follow_the_measure(spark):
+    docs = [(n, "s" if n % 2 else "t", " ".join(["w"] * (4 if n % 4 < 2 else 300))) for n in range(4000)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    rows = mixing.mix(df, spark.createDataFrame([("s", 1), ("t", 3)], "source string, weight long")).collect()
+    taken: dict = {}
+    for r in rows:
+        taken.setdefault((r["source"], r["size"]), []).append(r["copies"])
+    mean = {key: sum(v) / len(v) for key, v in taken.items()}
+    # 4 has three binary digits and 300 has nine, so long texts are expected three times as often
+    assert mean["s", 300] == pytest.approx(3 * mean["s", 4], rel=0.25)
+    plain = mixing.mix(df, spark.createDataFrame([("s", 1), ("t", 3)], "source string, weight long"), measure=F.lit(1)).collect()
+    few = [r["copies"] for r in plain if r["source"] == "s" and r["size"] == 4]
+    assert sum(few) / len(few) == pytest.approx(0.5, abs=0.1)
+
+
+def test_mixing_of_null_ids_and_repeated_rows(spark):
+    same = [(None, "s", "a b c d e")] * 300 + [(7, "s", "x y z")] * 300 + [(None, "s", f"t{n} u v") for n in range(300)] + [(1, "u", "w " * 900)]
+    df = spark.createDataFrame(same, "doc_id long, source string, text string")
+    weights = spark.createDataFrame([("s", 1), ("u", 1)], "source string, weight long")
+    found = [Counter((r["doc_id"], r["size"], r["copies"]) for r in mixing.mix(d, weights).collect()) for d in (df, df.repartition(5))]
+    assert found[0] == found[1] and sum(found[0].values()) == len(same)
+    for source, size in (("s", 3300), ("u", 900)):
+        rows = [r for r in mixing.mix(df, weights).collect() if r["source"] == source]
+        assert abs(sum(r["copies"] * r["size"] for r in rows) - rows[0]["target"]) <= size / 2
+        assert max(r["copies"] for r in rows) <= 3
+
+
+def test_cyclic_weights(spark):
+    sources = [None, "b", "a", "é", "Z", "z", "", "a"]
+    got = {r["source"]: r["weight"] for r in mixing.cyclic_weights(spark.createDataFrame([(x,) for x in sources], "source string")).collect()}
+    assert got == {"": 5, "Z": 2, "a": 1, "b": 5, "z": 2, "é": 1, None: 5}
+
+
 def test_targets_stop_at_three_times(spark):
     sources = spark.createDataFrame([("a", 1, 5), ("b", 10, 2), ("c", 100, 1), (None, 0, 5)], "source string, source_size long, weight long")
     got = {r["source"]: r["target"] for r in mixing.targets(sources).collect()}
@@ -321,6 +399,33 @@ def test_topk_of_large_components(spark):
     assert sorted(tuple(r) for r in got) == brute_topk(rows, 3, lambda i: i % 20 == 0)
 
 
+def test_topk_of_mixed_components(spark):
+    """A few components of any size among usual ones: only their pairs are compared as whole numbers."""
+    rng = random.Random(6)
+    rows = [(n, [rng.gauss(0, 1) for _ in range(8)]) for n in range(150)]
+    rows += [(n, [rng.choice((1e30, -1e30, 1e12, 1.0)) for _ in range(8)]) for n in range(150, 165)]
+    got = sorted(tuple(r) for r in topk.topk(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=5).collect())
+    held = lambda x: math.floor(max(-(2.0**62), min(2.0**62, 64 * x)))
+    whole = [(n, [held(x) for x in v]) for n, v in rows]
+    want = []
+    for n, v in whole:
+        if n % 20 == 0:
+            scores = sorted((-max(-(2**63) + 2, min(2**63 - 1, sum(a * b for a, b in zip(v, w, strict=True)))), m) for m, w in whole if m != n)[:5]
+            want += [(n, r + 1, m, -s) for r, (s, m) in enumerate(scores)]
+    assert got == sorted(want)
+
+
+def test_topk_bounds_drop_pairs_and_lose_none():
+    rng = np.random.default_rng(2)
+    x = np.floor(64 * (rng.normal(size=(40, 32))[rng.integers(0, 40, 3000)] + 0.2 * rng.normal(size=(3000, 32))))
+    rows, counts = np.arange(len(x)), np.zeros(len(topk.RESOLVED) + 1, np.int64)
+    scores, ids, _ = topk.search_block(x[:100], rows[:100], x, rows, rows, 10, None, counts)
+    exact = np.where(rows[:100, None] == rows[None], -np.inf, x[:100] @ x.T)
+    order = np.lexsort((np.broadcast_to(rows, exact.shape), -exact), axis=-1)[:, :10]
+    assert (ids == order).all() and (scores == np.take_along_axis(exact, order, 1)).all()
+    assert counts[-1] < 0.4 * counts[0]
+
+
 # --- 9 -----------------------------------------------------------------------------------------------------------
 
 PIECES = [("▁", -2.0), ("▁a", -2.0), ("a", -1.0), ("b", -1.0), ("ab", -2.0), ("ba", -2.5), ("aba", -3.0), ("▁ab", -3.0), ("▁▁", -3.5), ("é", -4.0)]
@@ -365,6 +470,67 @@ def test_token_counts_with_a_public_vocabulary(spark):
     assert [r["n_tokens"] for r in token_counts.count_tokens(nulls, pieces, fallback).collect()] == [0, 0]
 
 
+def brute_tokens(text, scores, longest, lowest):
+    """Tokens of a whole text by the plain recurrence over all its substrings: of equal scores the longer last piece; an
+    unknown character has the lowest score less 10 and counts its bytes."""
+    if not text:
+        return 0
+    t = "▁" + text.replace(" ", "▁")
+    best, count = [0.0] + [-math.inf] * len(t), [0] * (len(t) + 1)
+    for end in range(1, len(t) + 1):
+        for start in range(max(0, end - longest), end):
+            score = scores.get(t[start:end])
+            if score is not None and best[start] + score > best[end]:
+                best[end], count[end] = best[start] + score, count[start] + 1
+        if t[end - 1] not in scores and best[end - 1] + lowest - 10 > best[end]:
+            best[end], count[end] = best[end - 1] + lowest - 10, count[end - 1] + len(t[end - 1].encode())
+    return count[-1]
+
+
+def test_registered_token_counts_by_brute_force(spark):
+    """What op9_token_counts returns, of whole texts, by a recurrence that neither cuts texts into words nor has an
+    automaton; sums are of the same doubles in another order, so a tie of two paths may go either way."""
+    from papyra.llm.registry import TOKENIZER, op9_token_counts
+
+    pieces, fallback = token_counts.read_vocabulary(TOKENIZER)
+    assert fallback
+    scores = dict(pieces)
+    got = {r["doc_id"]: r["n_tokens"] for r in op9_token_counts(spark, DATA).collect()}
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    assert got.keys() == texts.keys()
+    longest, lowest = max(map(len, scores)), min(scores.values())
+    wrong = {n for n, t in texts.items() if len(t or "") < 20_000 and brute_tokens(t, scores, longest, lowest) != got[n]}
+    assert not wrong
+
+
+def test_byte_fallback_as_in_a_public_library(spark):
+    from tokenizers import Tokenizer, models
+
+    from papyra.llm.registry import TOKENIZER
+
+    pieces, _ = token_counts.read_vocabulary(TOKENIZER)
+    # the pieces of bytes have the highest score, so they don't lower that of unknown characters
+    full = [*pieces, *((f"<0x{b:02X}>", 0.0) for b in range(256)), ("\ue000", 0.0)]
+    reference = Tokenizer(models.Unigram(full, unk_id=len(full) - 1, byte_fallback=True))
+    counter = token_counts.Counter(pieces, True)
+    rng = random.Random(12)
+    for _ in range(200):
+        text = "".join(rng.choice(["the ", "une ", "é", "漢", "\n", "😀", "x", " ", "Straße", "\t"]) for _ in range(rng.randint(1, 30)))
+        assert counter.tokens(text) == len(reference.encode("▁" + text.replace(" ", "▁")).ids)
+
+
+def test_token_counts_of_very_long_texts(spark):
+    from papyra.llm.registry import TOKENIZER
+
+    pieces, fallback = token_counts.read_vocabulary(TOKENIZER)
+    texts = ["word " * 200_000, "a" * 100_000, "\n" * 100_000]
+    rows = token_counts.count_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), pieces, fallback).orderBy("doc_id").collect()
+    counter = token_counts.Counter(pieces, fallback)
+    # the space at the end is a word of its own
+    assert rows[0]["n_tokens"] == 200_000 * counter.viterbi("▁word") + counter.viterbi("▁")
+    assert rows[1]["n_tokens"] == counter.viterbi("▁" + texts[1]) and rows[2]["n_tokens"] >= 100_000
+
+
 # --- 10 ----------------------------------------------------------------------------------------------------------
 
 
@@ -398,21 +564,83 @@ def test_toxicity_on_held_out_rows(spark):
     assert {r["toxicity"] for r in toxicity.score_toxicity(docs, nothing).collect()} == {0.0}
 
 
-def test_nearest_examples_are_exact(spark):
+def brute_vector(words, df, n_docs, known, telling):
+    """A text's vector by the docstring's words: {word or term: weight}, length 1."""
+    if not words:
+        return {}
+    counts = Counter(words)
+    full = {w: (1 + math.log(n)) * math.log(1 + n_docs / ((df[w] if w in known else 1) + 0.5)) for w, n in counts.items()}
+    found: Counter = Counter()
+    shared: Counter = Counter()
+    for w, n in counts.items():
+        before = toxicity.prefixes_of(w)
+        found.update({t: n for t in before if t in telling})
+        shared.update(before)
+    found.update({t: 1 for p, m in shared.items() for k in toxicity.REPEATS if m >= k and (t := b"%d" % k + p) in telling})
+    length = toxicity.REST_WEIGHT * (max(1, len(words) // toxicity.REST_WORDS).bit_length() if found else 1)
+    norm = math.sqrt(sum(x * x for x in full.values()))
+    v = {("w", w): x * length / norm for w, x in full.items()}
+    v.update({("t", t): (1 + math.log(n)) * telling[t] for t, n in found.items()})
+    norm = math.sqrt(sum(x * x for x in v.values()))
+    return {k: x / norm for k, x in v.items()}
+
+
+def test_toxicity_by_brute_force(spark):
+    """Every score, vote and piece of evidence: all cosines with all examples, the calibration, the threshold."""
     docs, labels, _ = labelled(spark)
     model = toxicity.fit(docs, labels)
-    vectors = [{} for _ in model.names]
-    for t, (at, weights, _) in model.postings.items():
-        for n, w in zip(at, weights, strict=True):
-            vectors[n][t] = w
-    rng = random.Random(1)
-    for _ in range(50):
-        found = Counter({t: rng.randint(1, 3) for t in rng.sample(sorted(model.idf), rng.randint(0, min(4, len(model.idf))))})
-        v = model.vector(found)
-        brute = sorted((-round(sum(w * x.get(t, 0.0) for t, w in v.items()), 9), n) for n, x in enumerate(vectors))
-        want = [(-s, n) for s, n in brute if s < 0][: model.k]
-        got = model.nearest(v)
-        assert [s for s, _ in got] == pytest.approx([s for s, _ in want], abs=2e-9)
+    texts = {r["doc_id"]: toxicity.words_of((r["text"] or "").encode()) for r in docs.collect()}
+    df = Counter(w for ws in texts.values() for w in set(ws))
+    of_label: dict = {}
+    for r in labels.where("toxic IN (0, 1)").collect():
+        if r["doc_id"] in texts:
+            of_label[r["doc_id"]] = max(r["toxic"], of_label.get(r["doc_id"], 0))
+    hashes = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    examples = {(hashes[n], y): n for n, y in sorted(of_label.items(), reverse=True) if hashes[n] % 3}
+    assert sorted(examples.values()) == sorted(model.names)
+    assert [of_label[n] for n in model.names] == model.labels.tolist()
+    known = {w for n in model.names for w in texts[n]}
+    vectors = {n: brute_vector(ws, df, len(texts), known, model.telling) for n, ws in texts.items()}
+
+    def vote(n):
+        v = vectors[n]
+        cosines = [(-round(sum(x * vectors[e].get(k, 0.0) for k, x in v.items()), 6), i) for i, e in enumerate(model.names)]
+        near = [(-s, i) for s, i in sorted(cosines) if s < 0][: model.k]
+        total = sum(s**toxicity.STEEPNESS for s, _ in near)
+        return (sum(s**toxicity.STEEPNESS * model.labels[i] for s, i in near) / total if total else 0.0), near
+
+    bins = Counter((min(int(vote(n)[0] * toxicity.VOTE_BINS), toxicity.VOTE_BINS - 1), y) for n, y in of_label.items() if hashes[n] % 3 == 0)
+    share = sum(of_label.values()) / len(of_label)
+    values = toxicity.monotone([(bins[b, 0], bins[b, 1]) for b in range(toxicity.VOTE_BINS)], share)
+    for r in toxicity.score_toxicity(docs, model).collect():
+        want, near = vote(r["doc_id"])
+        assert r["toxicity"] == pytest.approx(values[min(int(want * toxicity.VOTE_BINS + 1e-9), toxicity.VOTE_BINS - 1)])
+        assert [e["cosine"] for e in r["evidence"]] == pytest.approx([s for s, _ in near[:3]], abs=5e-6)
+
+
+def test_copies_of_toxic_examples_without_telling_terms(spark):
+    """A copy has the cosine 1 to its example, whatever its words."""
+    docs, labels, _ = labelled(spark)
+    rng = random.Random(10)
+    odd = [(5000 + n, " ".join(f"r{rng.randint(0, 10**6)}" for _ in range(30)), "own") for n in range(12)]
+    more = spark.createDataFrame(odd + [(6000 + n, t, "own") for n, (_, t, _) in enumerate(odd)], docs.schema)
+    model = toxicity.fit(docs.union(more), labels.union(spark.createDataFrame([(n, 1) for n, _, _ in odd], labels.schema)))
+    rows = {r["doc_id"]: r for r in toxicity.score_toxicity(more, model).collect()}
+    held = [n for n in range(12) if 5000 + n in model.names]
+    assert len(held) > 4
+    for n in held:
+        assert rows[6000 + n]["evidence"][0]["cosine"] == 1.0 and rows[6000 + n]["toxicity"] >= toxicity.REJECT
+
+
+def test_toxicity_of_repeated_and_string_ids_and_long_texts(spark):
+    docs, labels, truth = labelled(spark)
+    named = docs.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    named = named.union(spark.createDataFrame([("d2", "twice " * n, "own") for n in range(1, 200)], named.schema)).union(spark.createDataFrame([("long", "c1 " * 400_000 + "vilenessa grubble", "own"), (None, "c5 snark", "own")], named.schema))
+    model = toxicity.fit(named, labels.withColumn("doc_id", F.concat(F.lit("d"), "doc_id")), max_postings=3000)
+    assert len(model.names) == len(set(model.names)) and sum(map(len, [model.vocabulary])) <= 3000
+    rows = toxicity.score_toxicity(named, model).collect()
+    assert len(rows) == named.count() and all(0 <= r["toxicity"] <= 1 for r in rows)
+    assert all(isinstance(e["doc_id"], str) for r in rows for e in r["evidence"])
 
 
 # --- the pipeline --------------------------------------------------------------------------------------------------
@@ -447,9 +675,85 @@ def test_pipeline_stages(spark, tmp_path):
             sizes = {len(w) for w in windows}
             bad = {r["doc_id"] for r in before for w in [words(r["text"])] if any(tuple(w[k : k + s]) in windows for s in sizes for k in range(len(w) - s + 1))}
             assert kept == {r["doc_id"] for r in before} - bad
+        if name == "toxicity":
+            # the operator's scores are compared with brute force above; here by its model, text by text
+            labels = spark.read.parquet(f"{DATA}/labels.parquet").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
+            model = toxicity.fit(spark.createDataFrame(before), labels)
+            assert kept == {r["doc_id"] for r in before if model.score(model.vote(toxicity.words_of(r["text"].encode()))[0]) < 0.7}
+            assert {r["doc_id"]: r["text"] for r in after} == {r["doc_id"]: r["text"] for r in before if r["doc_id"] in kept}
         if name == "mixing":
-            assert kept == {r["doc_id"] for r in before}
+            want = brute_mix([(r["doc_id"], r["source"], r["text"]) for r in before])
+            assert {r["doc_id"]: (r["size"], r["taken"]) for r in after} == {n: (w[0], w[1]) for n, w in want.items()}
+            assert {r["doc_id"]: r["target"] for r in after} == pytest.approx({n: w[2] for n, w in want.items()})
+
+
+def brute_mix(docs, top=3):
+    """{id: (size, taken, target)} by the docstring of mixing, one document at a time."""
+    size = {n: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for n, _, t in docs}
+    source = {n: s for n, s, _ in docs}
+    names = sorted(set(source.values()), key=lambda s: (s is None, (s or "").encode()))
+    total = {s: sum(size[n] for n in size if source[n] == s) for s in names}
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    held: set = set()
+    while True:
+        left = sum(total.values()) - sum(top * total[s] for s in held)
+        free = sum(weight[s] for s in names if s not in held)
+        target = {s: float(top * total[s]) if s in held else left * weight[s] / free for s in names}
+        new = {s for s in names if target[s] > top * total[s]}
+        if not new:
+            break
+        held |= new
+    out = {}
+    for s in names:
+        own = [(n, t) for n, x, t in docs if x == s]
+        measure = {n: len(bin(size[n])) - 2 for n, _ in own}
+        full = set(measure.values()) if target[s] >= top * total[s] else set()
+        while True:
+            words = sum(measure[n] * size[n] for n in measure if measure[n] not in full)
+            factor = (target[s] - top * sum(size[n] for n in measure if measure[n] in full)) / words if words else 0.0
+            new = {m for m in measure.values() if m not in full and factor * m >= top}
+            if not new:
+                break
+            full |= new
+        copies = {n: 0.0 if not size[n] else float(top) if measure[n] in full else factor * measure[n] for n in measure}
+        rest = target[s] - sum(math.floor(copies[n]) * size[n] for n in copies)
+        ranked = []
+        for n, t in own:
+            p, u = copies[n] - math.floor(copies[n]), (int(hashlib.md5(f"mix{n}:{t or ''}".encode()).hexdigest()[:13], 16) + 0.5) / 16**13
+            if p > 0:
+                ranked.append((u * (1 - p) / (u * (1 - p) + (1 - u) * p), n))
+        ranked.sort()
+        taken, reach = set(), 0
+        for _, n in ranked:
+            reach += size[n]
+            if reach > rest:
+                break
+            taken.add(n)
+        for _ in range(mixing.FILLS):
+            gap = rest - sum(size[n] for n in taken)
+            fits = [n for _, n in ranked if n not in taken and gap / 2 < size[n] <= gap]
+            taken |= set(fits[:1])
+        out.update({n: (size[n], int(math.floor(copies[n]) + (n in taken)) * size[n], target[s]) for n in copies})
+    return out
+
+
+def test_pipeline_stages_of_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty and repeated rows, clashing columns, and empty tables, through every stage."""
+    import corpus_pipeline as P
 
+    own = "doc_id long, text string, lang string, source string, n_chars long, toxicity string, kept_text string, n_hit string, _drop string, part string"
+    rows = [(None, None, None, None, None)] * 3 + [(1, "", None, "a", 0), (1, "", None, "a", 0), (None, "x y z " * 9, "en", None, 54), (4, "one two three four five six", "en", "a", 27), (4, "one two three four five six", "en", "a", 27), (5, "one two three four five six", "en", "b", None)]
+    for n, data in enumerate((rows, [])):
+        docs = spark.createDataFrame([(*r, "1", "2", "3", "4", "5") for r in data], own)
+        for name, stage in P.STAGES[:-1]:
+            stage(spark, docs, DATA).write.parquet(str(tmp_path / f"{n}-{name}"))
+            after = spark.read.parquet(str(tmp_path / f"{n}-{name}"))
+            assert after.columns == docs.columns
+            assert {tuple(r[-5:]) for r in after.collect()} <= {("1", "2", "3", "4", "5")}
+            docs = after
+        # the three texts that are the same stay once; those without words all stay
+        assert sorted(r["text"] or "" for r in docs.collect()) == ([""] * 5 + ["one two three four five six", "x y z " * 9] if data else [])
+        assert P.mixing(spark, docs, DATA).count() == docs.count()
 
 
 
