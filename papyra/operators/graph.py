@@ -174,13 +174,26 @@ def with_perspective(contexts: DataFrame, communities: DataFrame, most: int = 5)
     return contexts.crossJoin(F.broadcast(head)).withColumn("context", text).drop("_head")  # one row
 
 
-def containing(rows: DataFrame, column: str, keywords: DataFrame) -> DataFrame:
-    """rows joined with the keywords (query_id, keyword) that their column has, in whatever case. Each different
-    keyword is looked for once, in texts lower-cased once; then it finds its queries by an equi-join."""
-    asked = keywords.withColumn("_kw", F.lower("keyword"))
+#: Up to so many different keywords each text is searched for each of them; beyond, texts and keywords meet by grams.
+FEW_KEYWORDS = 1000
+GRAM = 3
+
+
+def containing(rows: DataFrame, column: str, keywords: DataFrame, few_keywords: int = FEW_KEYWORDS) -> DataFrame:
+    """rows joined with the keywords (query_id, keyword) that their column has, in whatever case. Blank keywords are in
+    no text. Each different keyword is looked for once, in texts lower-cased once; then it finds its queries by an
+    equi-join. Many keywords meet the texts by an equi-join of their first GRAM characters (all, if they are fewer)
+    with the texts' grams, and what meets is confirmed."""
+    asked = keywords.withColumn("_kw", F.lower("keyword")).where(F.trim("_kw") != "")
     few = asked.select("_kw").distinct()
-    found = rows.withColumn("_text", F.lower(column)).join(few, F.contains("_text", "_kw")).drop("_text")
-    return found.join(asked, "_kw").drop("_kw")
+    texts = rows.withColumn("_text", F.lower(column))
+    if few.count() <= few_keywords:
+        found = texts.join(F.broadcast(few), F.contains("_text", "_kw"))
+    else:
+        grams = [F.transform(F.sequence(F.lit(1), F.greatest(F.length("_text") - (n - 1), F.lit(1))), lambda i, n=n: F.substring("_text", i, F.lit(n))) for n in range(1, GRAM + 1)]
+        met = texts.withColumn("_gram", F.explode(F.array_distinct(F.concat(*grams))))
+        found = met.join(few.withColumn("_gram", F.substring("_kw", 1, GRAM)), "_gram").where(F.contains("_text", "_kw")).drop("_gram")
+    return found.drop("_text").join(asked, "_kw").drop("_kw")
 
 
 def matching_chunks(keywords: DataFrame, entities: DataFrame, mentions: DataFrame, k: int) -> DataFrame:

@@ -8,15 +8,25 @@ doesn't decide ties.
 from __future__ import annotations
 
 from functools import reduce
+from math import isqrt
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+from papyra.operators.hooks import embed
 from papyra.sources.scratch import cut
 
 K1, B, NEGATIVE_IDF = 1.5, 0.75, 0.25
 RRF_K = 60
 SCORE_PLACES = 6
+#: Terms that queries ask for are broadcast up to so many.
+BROADCAST_TERMS = 100_000
+#: Rows of a block of vectors and of queries, and queries that are compared at once.
+BLOCK_ROWS, BLOCK_QUERIES, TILE = 65_536, 16_384, 256
 
 
 def top_k(scored: DataFrame, k: int | Column, *order: Column) -> DataFrame:
@@ -38,50 +48,126 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\W+"), lambda t: t != "")
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(term, key, tf, length) of every document; a document without words has none."""
-    words = docs.select(F.col(key).alias("key"), tokens(F.col(text)).alias("words")).withColumn("length", F.size("words"))
-    return words.select("key", "length", F.explode("words").alias("term")).groupBy("term", "key", "length").agg(F.count("*").alias("tf"))
-
-
-def bm25(docs: DataFrame, queries: DataFrame, k: int, key: str = "key", text: str = "text") -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, k: int, key: str = "key", text: str = "text", broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
     """BM25 Okapi. queries: (query_id, text). A query's term counts as often as it occurs; scores of 0 or less go
-    after the cut. Terms found in more than half of the documents have NEGATIVE_IDF times the mean idf instead."""
-    index = postings(docs, key, text)
-    # texts are cut into words once: what follows reads the postings, whose shuffle Spark reuses
-    by_term = index.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
-    words = by_term.agg(F.sum("n").alias("words"))
-    totals = docs.agg(F.count("*").alias("n_docs")).crossJoin(words).select("n_docs", (F.col("words") / F.col("n_docs")).alias("avgdl"))
+    after the cut. Terms found in more than half of the documents have NEGATIVE_IDF times the mean idf instead.
+
+    Of the whole corpus only each term's number of documents is counted, summed within tasks first; postings are made
+    for terms that queries ask for. Those are broadcast if they are few, which is counted, and joined if not.
+    """
+    words = docs.select(F.col(key).alias("key"), tokens(F.col(text)).alias("words")).withColumn("length", F.size("words"))
+    # a document's length goes along with its first term, so one pass gives the terms' counts and the words in all
+    distinct = words.select("length", F.posexplode(F.array_distinct("words")).alias("place", "term"))
+    by_term = distinct.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("place") == 0, F.col("length"))).alias("n"))
+    totals = docs.agg(F.count("*").alias("n_docs")).crossJoin(by_term.agg(F.sum("n").alias("words"))).select("n_docs", (F.col("words") / F.col("n_docs")).alias("avgdl"))
     df = by_term.drop("n").crossJoin(F.broadcast(totals))  # totals is one row
     idf = F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     df = df.withColumn("raw", idf)
     mean = df.agg(F.avg("raw").alias("mean_idf"))
-    terms = df.crossJoin(F.broadcast(mean)).select("term", "avgdl", F.when(F.col("raw") < 0, F.lit(NEGATIVE_IDF) * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
-    asked = asked.join(terms, "term")
+    wanted = asked.select("term").distinct()
+    if wanted.count() <= broadcast_terms:
+        wanted = F.broadcast(wanted)
+    terms = df.join(wanted, "term").crossJoin(F.broadcast(mean)).select("term", "avgdl", F.when(F.col("raw") < 0, F.lit(NEGATIVE_IDF) * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
+    postings = words.select("key", "length", F.explode("words").alias("term")).join(wanted, "term").groupBy("key", "term", "length").agg(F.count("*").alias("tf"))
     saturated = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avgdl")))
-    scored = asked.join(index, "term").groupBy("query_id", "key").agg(F.round(F.sum(F.col("qf") * F.col("idf") * saturated), SCORE_PLACES).alias("score"))
+    scored = asked.join(terms, "term").join(postings, "term").groupBy("query_id", "key").agg(F.round(F.sum(F.col("qf") * F.col("idf") * saturated), SCORE_PLACES).alias("score"))
     return top_k(scored, k).where("score > 0").select("query_id", "rank", "key", "score")
 
 
-def squared_distance(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
+def _matrix(column: pa.ChunkedArray, length: int) -> np.ndarray:
+    values = column.combine_chunks()
+    return values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), length)
+
+
+def nearest_pairs(q: np.ndarray, x: np.ndarray, k: int, places: int = SCORE_PLACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, row of x, squared distance) of the k nearest rows of x of each row of q; of distances that are equal
+    to so many places the first rows."""
+    found = []
+    for at in range(0, len(q), TILE):
+        part = q[at : at + TILE]
+        near = np.maximum((part * part).sum(1)[:, None] + (x * x).sum(1)[None] - 2.0 * (part @ x.T), 0.0)
+        near = np.round(near, places)
+        if len(x) > k:
+            last = np.partition(near, k - 1, axis=1)[:, k - 1 : k]
+            below, same = near < last, near == last
+            taken = below | (same & (np.cumsum(same, axis=1) <= k - below.sum(1, keepdims=True)))
+        else:
+            taken = np.ones(near.shape, bool)
+        i, j = np.nonzero(taken)
+        found.append((i + at, j, ((part[i] - x[j]) ** 2).sum(1)))
+    return tuple(np.concatenate(parts) for parts in zip(*found, strict=True))
 
 
-def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, keep: Column | None = None, blocks: int = 8) -> DataFrame:
+def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, keep: Column | None = None, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES, places: int = SCORE_PLACES) -> DataFrame:
     """Exact k nearest by squared Euclidean distance. vectors: (key, embedding, ...), queries: (query_id, vector).
 
-    Queries are dealt over blocks and vectors are sent to each block, so neither side has to fit in one place; each
-    block's tasks keep the k best of their part before the merge (a window limit that Spark applies below the shuffle).
+    Both are counted and dealt over blocks of bounded size; a task compares one block of queries with one of vectors by
+    matrix products and hands on k rows a query, which a window merges. Null vectors, and those that hold nulls, take no
+    part; vectors are compared with those of the same length.
     """
     if keep is not None:
         vectors = vectors.where(keep)
-    asked = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    held = vectors.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    scored = held.join(asked, "_block").withColumn("score", F.round(squared_distance(F.col("embedding"), F.col("vector")), SCORE_PLACES))
+    spark = vectors.sparkSession
+    full = lambda c: F.col(c).isNotNull() & F.forall(c, lambda v: v.isNotNull())
+    vectors = vectors.where(full("embedding")).select("key", "embedding", F.size("embedding").alias("_n"))
+    queries = queries.where(full("vector")).select("query_id", "vector", F.size("vector").alias("_n"))
+    side = isqrt(2 * spark.sparkContext.defaultParallelism - 1) + 1
+    n_rows, n_queries = vectors.count(), queries.count()
+    row_blocks = max(1, -(-n_rows // block_rows), min(side, n_rows // 512))
+    query_blocks = max(1, -(-n_queries // block_queries), min(side, n_queries // 16))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n).cast("long"))
+    asked = queries.withColumn("_qb", dealt("query_id", query_blocks)).withColumn("_rb", each(row_blocks))
+    held = vectors.withColumn("_rb", dealt("key", row_blocks)).withColumn("_qb", each(query_blocks))
+    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("key", vectors.schema["key"].dataType), T.StructField("score", T.DoubleType())])
+    kinds = [to_arrow_type(f.dataType) for f in schema]
+
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            return pa.table([pa.array([], kind) for kind in kinds], names=schema.names)
+        length = left.column("_n")[0].as_py()
+        right = right.sort_by("key")
+        i, j, distance = nearest_pairs(_matrix(left.column("vector"), length), _matrix(right.column("embedding"), length), k, places)
+        return pa.table([left.column("query_id").take(pa.array(i)), right.column("key").take(pa.array(j)), pa.array(distance)], names=schema.names)
+
+    found = asked.groupBy("_n", "_qb", "_rb").cogroup(held.groupBy("_n", "_qb", "_rb")).applyInArrow(search, schema)
+    scored = found.withColumn("score", F.round("score", places))
     return top_k(scored, k, F.asc("score"), F.asc("key")).select("query_id", "rank", "key", "score")
 
 
+def search_text(first: Column, second: Column, question: Column) -> Column:
+    """What a search of vectors asks with: the first keywords if there are any, else the second, else the question."""
+    some = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
+    return F.when(some(first), F.array_join(first, " ")).when(some(second), F.array_join(second, " ")).otherwise(question)
+
+
+def _by_vectors(rows: DataFrame, asked: DataFrame, k: int, call, places: int) -> DataFrame:
+    """The k rows (key, text) nearest to each asked text, by vectors of `call`, or of the library's own without one."""
+    made = {} if call is None else {"call": call}
+    vectors = embed(rows.select("key", "text"), **made).select("key", "embedding")
+    queries = embed(asked.select("query_id", "text"), **made).select("query_id", F.col("embedding").alias("vector"))
+    return vector_top_k(vectors, queries, k, places=places)
+
+
+def entity_vector_search(entities: DataFrame, queries: DataFrame, k: int, call=None, places: int = SCORE_PLACES) -> DataFrame:
+    """entities: (key, text); queries: (query_id, ll, hl, text). Entities near to the names (low level), else the topics,
+    else the question: (query_id, rank, key, score)."""
+    asked = queries.select("query_id", search_text(F.col("ll"), F.col("hl"), F.col("text")).alias("text"))
+    return _by_vectors(entities, asked, k, call, places)
+
+
+def relation_vector_search(relations: DataFrame, queries: DataFrame, k: int, call=None, places: int = SCORE_PLACES) -> DataFrame:
+    """relations: (src, dst, src_name, dst_name, type, description); queries: (query_id, ll, hl, text). Relations near to
+    the topics (high level), else the names, else the question, with the relation and its card."""
+    named = relations.withColumn("key", F.concat_ws("::", "src", "dst")).withColumn("text", F.concat_ws(" ", "type", "description"))
+    asked = queries.select("query_id", search_text(F.col("hl"), F.col("ll"), F.col("text")).alias("text"))
+    hits = _by_vectors(named, asked, k, call, places)
+    lines = [("Relation", F.concat("src_name", F.lit(" -["), "type", F.lit("]-> "), "dst_name")), ("Source", F.col("src_name")), ("Target", F.col("dst_name")), ("Type", F.col("type")), ("Description", F.col("description"))]
+    card = F.concat_ws("\n", *[F.concat(F.lit(f"{name}: "), F.coalesce(value, F.lit(""))) for name, value in lines])
+    return hits.join(named.withColumn("card", card).drop("text"), "key")
+
+
 def fuse(lists: list[DataFrame], k: int) -> DataFrame:
     """Reciprocal rank fusion: the sum of 1 / (RRF_K + rank) over the lists; ties by first appearance."""
     named = [hits.select("query_id", "key", "rank", F.lit(n).alias("list_no")) for n, hits in enumerate(lists)]

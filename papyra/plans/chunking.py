@@ -64,13 +64,16 @@ def section_fill(spark, d):
 
 @register(
     "page_groups",
-    f"""WITH {FILLED}, t AS (SELECT *, section || '!' AS title, CASE WHEN lag(section) OVER w = section THEN 0 ELSE 1 END AS c FROM fi WINDOW w AS (PARTITION BY doc_id ORDER BY page_no)),
-    g AS (SELECT *, sum(c) OVER (PARTITION BY doc_id ORDER BY page_no ROWS UNBOUNDED PRECEDING) AS section_no FROM t)
-    SELECT doc_id, CAST(section_no AS BIGINT) AS section_no, any_value(section) AS section_type, any_value(title) AS title, min(page_no) AS first_page, md5(string_agg(text, chr(10) || chr(10) ORDER BY page_no)) AS text_md5 FROM g GROUP BY doc_id, section_no""",
+    f"""WITH {FILLED}, t AS (SELECT *, nullif(CASE WHEN page_no % 3 = 2 THEN '' ELSE section || page_no // 4 END, '') AS title, CASE WHEN lag(section) OVER w = section THEN 0 ELSE 1 END AS c FROM fi WINDOW w AS (PARTITION BY doc_id ORDER BY page_no)),
+    u AS (SELECT *, sum(c) OVER (PARTITION BY doc_id ORDER BY page_no ROWS UNBOUNDED PRECEDING) AS run FROM t),
+    v AS (SELECT *, last_value(title IGNORE NULLS) OVER (PARTITION BY doc_id, run ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM u),
+    g AS (SELECT *, sum(CASE WHEN c = 1 OR (title IS NOT NULL AND seen IS NOT NULL AND seen <> title) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY page_no ROWS UNBOUNDED PRECEDING) AS section_no FROM v)
+    SELECT doc_id, CAST(section_no AS BIGINT) AS section_no, any_value(section) AS section_type, coalesce(max(title), '') AS title, min(page_no) AS first_page, md5(string_agg(text, chr(10) || chr(10) ORDER BY page_no)) AS text_md5 FROM g GROUP BY doc_id, section_no""",
 )
 def page_groups(spark, d):
-    pages = C.fill_sections(_pages(spark, d)).withColumn("title", F.when(F.col("page_no") % 2 == 0, F.concat("section", F.lit("!"))).otherwise(F.when(F.col("page_no") % 4 == 1, F.concat("section", F.lit("!"))).otherwise("")))
-    pages = pages.withColumn("title", F.concat("section", F.lit("!")))
+    """Every third page has no title, and titles change within a section."""
+    title = F.when(F.col("page_no") % 3 == 2, "").otherwise(F.concat("section", F.floor(F.col("page_no") / 4).cast("string")))
+    pages = C.fill_sections(_pages(spark, d)).withColumn("title", title)
     return C.group_pages(pages).select("doc_id", "section_no", "section_type", "title", "first_page", F.md5("text").alias("text_md5"))
 
 

@@ -256,11 +256,11 @@ def session_delete(spark, d):
     return rows.join(rows.where("conv_id % 4 = 2").select("conv_id").distinct(), "conv_id", "left_anti")
 
 
-@register("session_list", "SELECT conv_id, n, CAST(row_number() OVER (ORDER BY last DESC, conv_id) AS INTEGER) AS place FROM (SELECT conv_id, count(*) AS n, max(turn) AS last FROM conversations GROUP BY conv_id) QUALIFY place <= 50")
+@register("session_list", "SELECT conv_id, n, row_number() OVER (ORDER BY n DESC, conv_id) AS place FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)")
 def session_list(spark, d):
-    """The first page of sessions, newest first."""
-    first = _read(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.max("turn").alias("last")).orderBy(F.desc("last"), "conv_id").limit(50)
-    return first.select("conv_id", "n", F.row_number().over(Window.orderBy(F.desc("last"), "conv_id")).alias("place"))
+    """All sessions, the longest first."""
+    rows = _read(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"))
+    return R.placed(rows, F.desc("n"), "conv_id").select("conv_id", "n", "place")
 
 
 @register("session_list_all", "SELECT conv_id, n, row_number() OVER (ORDER BY last DESC, conv_id) AS place FROM (SELECT conv_id, count(*) AS n, max(turn) AS last FROM conversations GROUP BY conv_id)")

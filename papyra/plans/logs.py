@@ -153,14 +153,14 @@ def catalogue_lookup(spark, d):
     return M.lookup(_catalogue(spark, d), asked).select("query_id", "doc_id", "title", "others")
 
 
-@register("library_sort", "SELECT o_orderkey, CAST(row_number() OVER (ORDER BY coalesce(CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE year(o_orderdate) END, 0) DESC, coalesce(o_orderpriority, ''), o_orderkey) AS INTEGER) AS place FROM orders QUALIFY place <= 100")
+@register("library_sort", "SELECT o_orderkey, row_number() OVER (ORDER BY coalesce(o_orderpriority, ''), coalesce(CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE year(o_orderdate) END, 0) DESC, o_orderkey) AS place FROM orders")
 def library_sort(spark, d):
-    """The first page of the library, newest first; unknown years last."""
-    from pyspark.sql import Window
+    """The whole library by priority, then newest first."""
+    from papyra.operators.retrieval import placed
 
     year = F.coalesce(F.when(F.col("o_orderkey") % 9 != 0, F.year("o_orderdate")), F.lit(0))
-    first = _read(spark, d, "orders").select("o_orderkey", year.alias("y"), F.coalesce("o_orderpriority", F.lit("")).alias("p")).orderBy(F.desc("y"), "p", "o_orderkey").limit(100)
-    return first.select("o_orderkey", F.row_number().over(Window.orderBy(F.desc("y"), "p", "o_orderkey")).alias("place"))
+    rows = _read(spark, d, "orders").select("o_orderkey", year.alias("y"), F.coalesce("o_orderpriority", F.lit("")).alias("p"))
+    return placed(rows, "p", F.desc("y"), "o_orderkey").select("o_orderkey", "place")
 
 
 @register("library_sort_all", "SELECT o_orderkey, row_number() OVER (ORDER BY coalesce(CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE year(o_orderdate) END, 0) DESC, coalesce(o_orderpriority, ''), o_orderkey) AS place FROM orders")

@@ -23,33 +23,39 @@ def _read(spark, d, t):
     return spark.read.parquet(f"{d}/{t}.parquet")
 
 
-def _vector_hits(spark, d, k):
+def _only(rows, of):
+    """The rows of the queries `of`; all, if it is None."""
+    return rows if of is None else rows.join(of.select("query_id"), "query_id", "left_semi")
+
+
+def _vector_hits(spark, d, k, of=None):
     """Each benchmark item asks with the vector of its number."""
     vectors = _read(spark, d, "embeddings").select(F.col("vec_id").alias("key"), "embedding")
     asked = _read(spark, d, "benchmark").select(F.col("item_id").alias("query_id")).join(vectors, F.col("query_id") == F.col("key")).select("query_id", F.col("embedding").alias("vector"))
-    return R.vector_top_k(vectors, asked, k)
+    return R.vector_top_k(vectors, _only(asked, of), k)
 
 
-def _graph_hits(spark, d, k):
+def _graph_hits(spark, d, k, of=None):
     entities = _read(spark, d, "part").select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("name"))
-    mentions = _read(spark, d, "lineitem").select((F.col("l_orderkey") % _read(spark, d, "embeddings").count()).alias("chunk_id"), F.col("l_partkey").alias("entity_id")).distinct()
-    return G.matching_chunks(_keywords(spark, d), entities, mentions, k).select("query_id", "rank", F.col("chunk_id").alias("key"), F.col("hits").alias("score"))
+    chunks = _read(spark, d, "embeddings").agg(F.count("*").alias("chunks"))  # one row
+    mentions = _read(spark, d, "lineitem").crossJoin(F.broadcast(chunks)).select((F.col("l_orderkey") % F.col("chunks")).alias("chunk_id"), F.col("l_partkey").alias("entity_id")).distinct()
+    return G.matching_chunks(_only(_keywords(spark, d), of), entities, mentions, k).select("query_id", "rank", F.col("chunk_id").alias("key"), F.col("hits").alias("score"))
 
 
 def _local(spark, d, k):
     return R.fuse([_graph_hits(spark, d, 2 * k), _vector_hits(spark, d, 2 * k)], k)
 
 
-def _relation_hits(spark, d, k):
+def _relation_hits(spark, d, k, of=None):
     rows = _read(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 1_000_000).alias("dst"), F.col("l_returnflag").alias("type")).distinct()
     rows = rows.withColumn("description", F.concat(F.lit("part "), F.col("src"), F.lit(" from "), F.col("dst")))
-    return G.matching_relations(_keywords(spark, d), rows, k)
+    return G.matching_relations(_only(_keywords(spark, d), of), rows, k)
 
 
-def _entity_hits(spark, d, k):
+def _entity_hits(spark, d, k, of=None):
     """Entities by name: the first of those whose name has a keyword."""
     entities = _read(spark, d, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("name"))
-    hit = G.containing(entities, "name", _keywords(spark, d)).select("query_id", "key", F.lit(1).alias("score")).distinct()
+    hit = G.containing(entities, "name", _only(_keywords(spark, d), of)).select("query_id", "key", F.lit(1).alias("score")).distinct()
     return R.top_k(hit, k).select("query_id", "rank", "key", "score")
 
 
@@ -88,8 +94,8 @@ al AS (SELECT *, 0 AS list_no FROM eh UNION ALL SELECT *, 1 FROM rh UNION ALL SE
 du AS (SELECT query_id, key, list_no, CAST(row_number() OVER (PARTITION BY query_id ORDER BY list_no, rank) AS INTEGER) AS rank FROM on_ QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY list_no, rank) <= 20)"""
 
 
-def _dual(spark, d):
-    return G.dual_level(_entity_hits(spark, d, 6), _relation_hits(spark, d, 6), _edges(spark, d), 20)
+def _dual(spark, d, of=None):
+    return G.dual_level(_entity_hits(spark, d, 6, of), _relation_hits(spark, d, 6, of), _edges(spark, d), 20)
 
 
 @register("dual_level", f"WITH {DUAL} SELECT * FROM du")
@@ -113,10 +119,13 @@ MIX = f"""{DUAL}, {_vector_sql(10)}, {_graph_sql(20).replace(KEYS + ",", "").str
 v2 AS (SELECT * FROM (SELECT query_id, key, rank FROM vh)), {_fused_sql('lo', ['gh', 'v2'], 10)}, lq AS (SELECT query_id, CAST(key AS VARCHAR) AS key, rank FROM lo), {_fused_sql('mx', ['vq', 'lq', 'du'], 5)}"""
 
 
-def _mix(spark, d):
+def _wide_local(spark, d, of=None):
+    return R.fuse([_graph_hits(spark, d, 20, of), _vector_hits(spark, d, 10, of)], 10)
+
+
+def _mix(spark, d, of=None):
     as_text = lambda hits: hits.select("query_id", "rank", F.col("key").cast("string").alias("key"))
-    local = R.fuse([_graph_hits(spark, d, 20), _vector_hits(spark, d, 10)], 10)
-    return R.fuse([as_text(_vector_hits(spark, d, 10)), as_text(local), as_text(_dual(spark, d))], 5)
+    return R.fuse([as_text(_vector_hits(spark, d, 10, of)), as_text(_wide_local(spark, d, of)), as_text(_dual(spark, d, of))], 5)
 
 
 @register("mix_retrieval", f"WITH {MIX} SELECT * FROM mx")
@@ -130,15 +139,16 @@ def mix_retrieval(spark, d):
     SELECT query_id, mode, key, rank FROM (SELECT query_id, 'mix' AS m, key, rank FROM mx UNION ALL SELECT query_id, 'dual', key, rank FROM du WHERE rank <= 5 UNION ALL SELECT query_id, 'local', CAST(key AS VARCHAR), rank FROM lo WHERE rank <= 5 UNION ALL SELECT query_id, 'semantic', CAST(key AS VARCHAR), rank FROM vh WHERE rank <= 5) JOIN md USING (query_id) WHERE m = CASE WHEN mode = 'odd' THEN 'semantic' ELSE mode END""",
 )
 def mode_router(spark, d):
-    """Each query has a mode; unknown ones are semantic. The branches' results are joined with the queries of their mode."""
+    """Each query has a mode; unknown ones are semantic. Each branch gets the queries of its mode only."""
     mode = F.element_at(F.array(*map(F.lit, ("mix", "dual", "local", "odd"))), (F.col("item_id") % 4 + 1).cast("int"))
-    asked = _read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), mode.alias("mode"))
-    local = R.fuse([_graph_hits(spark, d, 20), _vector_hits(spark, d, 10)], 10)
-    branches = {"mix": _mix(spark, d), "dual": _dual(spark, d), "local": local, "semantic": _vector_hits(spark, d, 10)}
+    branches = {"mix": _mix, "dual": _dual, "local": _wide_local, "semantic": lambda spark, d, of: _vector_hits(spark, d, 10, of)}
     known = F.when(F.col("mode").isin(*branches), F.col("mode")).otherwise("semantic")
-    named = [hits.where("rank <= 5").select("query_id", F.lit(m).alias("m"), F.col("key").cast("string").alias("key"), "rank") for m, hits in branches.items()]
-    rows = reduce(lambda a, b: a.unionByName(b), named)
-    return asked.withColumn("m", known).join(rows, ["query_id", "m"]).select("query_id", "mode", "key", "rank")
+    asked = _read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), mode.alias("mode")).withColumn("m", known)
+    named = []
+    for m, branch in branches.items():
+        hits = branch(spark, d, asked.where(F.col("m") == m)).where("rank <= 5")
+        named.append(hits.select("query_id", F.col("key").cast("string").alias("key"), "rank"))
+    return asked.join(reduce(lambda a, b: a.unionByName(b), named), "query_id").select("query_id", "mode", "key", "rank")
 
 
 @register(

@@ -87,7 +87,8 @@ cv AS (SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY quer
 def _coverage(spark, d, k):
     terms = _asked(spark, d).select("query_id", F.explode(F.array_distinct(R.tokens(F.col("text")))).alias("term"))
     size = terms.groupBy("query_id").agg(F.count("*").alias("nq"))
-    index = R.postings(_docs(spark, d), "key", "text").select("term", "key")
+    # a document's words reach the join only if a query has them: the queries' terms are few, or Spark joins by shuffle
+    index = _docs(spark, d).select("key", F.explode(F.array_distinct(R.tokens(F.col("text")))).alias("term"))
     found = terms.join(index, "term").groupBy("query_id", "key").agg(F.count("*").alias("n")).join(size, "query_id")
     return R.top_k(found.withColumn("score", F.round(F.col("n") / F.col("nq"), 6)), k).select("query_id", "rank", "key", "score")
 
