@@ -190,8 +190,10 @@ def containing(rows: DataFrame, column: str, keywords: DataFrame, few_keywords:
     if few.count() <= few_keywords:
         found = texts.join(F.broadcast(few), F.contains("_text", "_kw"))
     else:
-        grams = [F.transform(F.sequence(F.lit(1), F.greatest(F.length("_text") - (n - 1), F.lit(1))), lambda i, n=n: F.substring("_text", i, F.lit(n))) for n in range(1, GRAM + 1)]
-        met = texts.withColumn("_gram", F.explode(F.array_distinct(F.concat(*grams))))
+        def grams(n: int) -> Column:
+            return F.transform(F.sequence(F.lit(1), F.greatest(F.length("_text") - (n - 1), F.lit(1))), lambda i: F.substring("_text", i, F.lit(n)))
+
+        met = texts.withColumn("_gram", F.explode(F.array_distinct(F.concat(*[grams(n) for n in range(1, GRAM + 1)]))))
         found = met.join(few.withColumn("_gram", F.substring("_kw", 1, GRAM)), "_gram").where(F.contains("_text", "_kw")).drop("_gram")
     return found.drop("_text").join(asked, "_kw").drop("_kw")
 

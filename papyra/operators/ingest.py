@@ -9,14 +9,37 @@ from pyspark.sql import functions as F
 
 from papyra.functions import text as X
 from papyra.operators.chunking import recursive_chunks, with_chunk_ids
-from papyra.operators.hooks import embed
+from papyra.operators.entities import entity_id, merged_description, resolve_relations
+from papyra.operators.hooks import complete, embed
 
 #: References that are kept of one document.
 MOST_REFERENCES = 100
 
 
-def ingest(docs: DataFrame, embedder: Callable[[list[tuple]], list] | None = None) -> dict[str, DataFrame]:
-    """Tables documents, chunks, vectors, references and cites. Each content is read once, by the first of its paths;
+#: What an extractor answers about a chunk.
+EXTRACTED = "entities array<struct<name:string,type:string,description:string>>, relations array<struct<source:string,type:string,target:string,description:string>>"
+
+
+def extracted(chunks: DataFrame, extractor: Callable[[list[tuple]], list]) -> dict[str, DataFrame]:
+    """Tables entities, mentions and relations from a model's answers about chunks (chunk_id, content): JSON with
+    entities and relations, whose ends are names of entities of the same chunk. Mentions of one thing in several chunks
+    meet by their key, and its descriptions are merged; a chunk whose call fails has none."""
+    answers = complete(chunks.select("chunk_id", "content"), "content", extractor).select("chunk_id", F.from_json(X.extract_json(F.col("answer")), EXTRACTED).alias("a"))
+    named = answers.select("chunk_id", F.posexplode("a.entities").alias("pos", "e")).select("chunk_id", "pos", "e.*").where("trim(coalesce(name, '')) <> ''")
+    named = named.withColumn("entity_id", entity_id(F.coalesce("type", F.lit("")), F.col("name")))
+    found = answers.select("chunk_id", F.explode("a.relations").alias("r")).select("chunk_id", "r.*")
+    ends = resolve_relations(named, found)
+    merged = lambda: merged_description(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", F.coalesce("description", F.lit("")).alias("d")))), lambda x: x["d"])).alias("description")
+    return {
+        "entities": named.groupBy("entity_id").agg(F.min_by("name", F.struct("chunk_id", "pos")).alias("name"), F.min_by("type", F.struct("chunk_id", "pos")).alias("type"), merged()),
+        "mentions": named.select("chunk_id", "entity_id").distinct(),
+        "relations": ends.groupBy("relation_key", F.col("source_id").alias("src"), F.col("target_id").alias("dst"), "type").agg(merged()),
+    }
+
+
+def ingest(docs: DataFrame, embedder: Callable[[list[tuple]], list] | None = None, extractor: Callable[[list[tuple]], list] | None = None) -> dict[str, DataFrame]:
+    """Tables documents, chunks, vectors, references and cites and, with an extractor, entities, mentions and relations;
+    status has the state of each document: ready, or empty for those without chunks. Each content is read once, by the first of its paths;
     blank texts are documents without chunks. Each table is one lazy plan from docs; write them in this order."""
     text = F.coalesce(F.col("text"), F.lit(""))
     first = docs.select("doc_id", "file_path", text.alias("text")).withColumn("content_id", F.md5("text"))
@@ -29,10 +52,14 @@ def ingest(docs: DataFrame, embedder: Callable[[list[tuple]], list] | None = Non
     found = read.select("doc_id", F.posexplode(X.split_references(X.reference_section(body))).alias("n", "raw_text")).where(F.col("n") < MOST_REFERENCES)
     raw = F.col("raw_text")
     found = found.select("doc_id", F.md5(raw).alias("ref_id"), "raw_text", X.quoted_title(raw).alias("title"), X.reference_year(raw).alias("year"), X.doi(raw).alias("doi"))
+    with_chunks = chunks.select("doc_id").distinct().withColumn("status", F.lit("ready"))
+    status = papers.select("doc_id", "file_path").join(with_chunks, "doc_id", "left").withColumn("status", F.coalesce("status", F.lit("empty")))
     return {
         "documents": papers,
         "chunks": chunks,
         "vectors": vectors,
         "references": found.drop("doc_id").dropDuplicates(["ref_id"]),
         "cites": found.select("doc_id", "ref_id").distinct(),
+        **(extracted(chunks, extractor) if extractor is not None else {}),
+        "status": status,
     }

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: The modules that register queries.
-MODULES = ("retrieval", "texts", "chunking", "graph", "logs", "modes", "details", "records", "vectors")
+MODULES = ("retrieval", "texts", "chunking", "graph", "logs", "modes", "details", "records", "vectors", "tools")
 
 _QUERIES: dict = {}
 _SQL: dict = {}

@@ -10,12 +10,21 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from papyra.sources.scratch import shared_folder
 
 
-def limit_calls_stream(calls: DataFrame, most: int, window_s: float) -> DataFrame:
+def limit_calls_stream(calls: DataFrame, most: int, window_s: float, delay: str | None = None) -> DataFrame:
     """The sliding-window limiter on a stream of calls (session_id, tool, ts, event_id). A key's state is the times of
     its allowed calls in the window, at most `most`. A key's calls of one trigger are taken in order of ts, in however many
-    Arrow batches they come: their times and ids (no other columns) are held together, so triggers should be bounded."""
+    Arrow batches they come: their times and ids (no other columns) are held together, so triggers should be bounded.
+
+    With a `delay`, calls that come later than that are dropped, and the state of a key is let go of when the watermark
+    has passed its last call by the window; without one it is kept for good."""
+    timeout = GroupStateTimeout.NoTimeout if delay is None else GroupStateTimeout.EventTimeTimeout
+    if delay is not None:
+        calls = calls.withWatermark("ts", delay)
 
     def step(key, batches, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         held = list(state.get[0]) if state.exists else []
         pdf = pd.concat([pdf[["ts", "event_id"]] for pdf in batches]).sort_values(["ts", "event_id"])
         out = []
@@ -26,8 +35,11 @@ def limit_calls_stream(calls: DataFrame, most: int, window_s: float) -> DataFram
                 held.append(int(ts))
         yield pd.DataFrame({"session_id": key[0], "tool": key[1], "event_id": pdf["event_id"], "allowed": out})
         state.update((held,))
+        if delay is not None:
+            last = int(pdf["ts"].iloc[-1].timestamp() * 1000)
+            state.setTimeoutTimestamp(max(last + int(window_s * 1000), state.getCurrentWatermarkMs()) + 1)
 
-    return calls.groupBy("session_id", "tool").applyInPandasWithState(step, "session_id long, tool string, event_id long, allowed boolean", "held array<long>", "append", GroupStateTimeout.NoTimeout)
+    return calls.groupBy("session_id", "tool").applyInPandasWithState(step, "session_id long, tool string, event_id long, allowed boolean", "held array<long>", "append", timeout)
 
 
 def usage_stream(events: DataFrame, delay: str = "1 hour", width: str = "1 day") -> DataFrame:

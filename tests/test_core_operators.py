@@ -251,3 +251,109 @@ def test_ingest_tables_fit_together(spark):
     assert t["vectors"].count() == len(chunks) and t["cites"].count() == 2 and t["references"].count() == 2
     empty = ingest(docs.where("doc_id = 'none'"))
     assert all(df.count() == 0 for df in empty.values())
+
+
+def test_vector_search_by_blocks_against_all_pairs(spark):
+    rng = random.Random(3)
+    rows = [(n, [float(rng.randint(0, 2)) for _ in range(4)]) for n in range(300)] + [(900, None), (901, [1.0, None, 0.0, 0.0]), (902, [1.0, 2.0])]
+    vectors = spark.createDataFrame(rows, "key long, embedding array<double>")
+    asked = [(n, rows[n][1]) for n in range(0, 300, 7)] + [(5000, None)]
+    queries = spark.createDataFrame(asked, "query_id long, vector array<double>")
+    whole = [(n, v) for n, v in rows if v is not None and None not in v]
+    want = []
+    for q, v in asked[:-1]:
+        near = sorted((sum((a - b) ** 2 for a, b in zip(v, w, strict=True)), n) for n, w in whole if len(w) == 4)[:6]
+        want += [(q, r + 1, n, s) for r, (s, n) in enumerate(near)]
+    for sizes in ({}, {"block_rows": 40, "block_queries": 9}):
+        assert sorted(tuple(r) for r in R.vector_top_k(vectors, queries, 6, **sizes).collect()) == sorted(want)
+
+
+def test_bm25_broadcasts_or_joins_terms_alike(spark):
+    docs = spark.createDataFrame([(n, t) for n, t in enumerate(["a b c", "a a d", "", None, "e f a", "b b b c"])], "key long, text string")
+    queries = spark.createDataFrame([(1, "a b b"), (2, "zz"), (3, None), (4, "F c")], "query_id long, text string")
+    both = [sorted(tuple(r) for r in R.bm25(docs, queries, 3, broadcast_terms=n).collect()) for n in (100, 0)]
+    assert both[0] == both[1] and {r[0] for r in both[0]} == {1, 4}
+
+
+def test_many_keywords_meet_texts_by_grams(spark):
+    rng = random.Random(4)
+    texts = [(n, "".join(rng.choice("abcAB é") for _ in range(rng.randint(0, 12)))) for n in range(120)] + [(500, None), (501, "")]
+    keys = [(n % 9, "".join(rng.choice("abc é") for _ in range(rng.randint(1, 5)))) for n in range(60)] + [(1, " "), (2, ""), (3, None)]
+    rows, keywords = spark.createDataFrame(texts, "id long, t string"), spark.createDataFrame(keys, "query_id long, keyword string")
+    want = sorted((i, q, k) for i, t in texts for q, k in keys if t and k and k.strip(" ") and k.lower() in t.lower())
+    for limit in (1000, 0):
+        got = G.containing(rows, "t", keywords, few_keywords=limit).select("id", "query_id", "keyword")
+        assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_relation_search_asks_with_topics_then_names_then_the_question(spark):
+    relations = spark.createDataFrame([(1, 2, "clip", "graphs", "BASED_ON", "clip rests on graphs"), (3, 4, "trees", "soil", "IN", "trees stand in soil")], "src long, dst long, src_name string, dst_name string, type string, description string")
+    queries = spark.createDataFrame([(1, ["clip"], ["soil"], "?"), (2, ["clip"], [], "trees"), (3, [], None, "trees stand")], "query_id long, ll array<string>, hl array<string>, text string")
+    got = {r["query_id"]: r for r in R.relation_vector_search(relations, queries, 1).collect()}
+    assert [got[n]["key"] for n in (1, 2, 3)] == ["3::4", "1::2", "3::4"]
+    assert got[2]["card"].split("\n") == ["Relation: clip -[BASED_ON]-> graphs", "Source: clip", "Target: graphs", "Type: BASED_ON", "Description: clip rests on graphs"]
+    assert [r["key"] for r in R.entity_vector_search(spark.createDataFrame([("a", "clip"), ("b", "soil")], "key string, text string"), queries.where("query_id = 1"), 1).collect()] == ["a"]
+
+
+def test_unknown_pages_get_labels_of_the_set_only(spark):
+    from papyra.operators.questions import label_unknown, splits_by_section
+
+    def call(asked):
+        if any(t == "bad" for (t,) in asked):
+            raise ValueError("no")
+        return [" Method " if t == "m" else "poem" for (t,) in asked]
+
+    pages = spark.createDataFrame([(1, "m", "unknown"), (2, "x", None), (3, "bad", "unknown"), (4, "m", "result")], "n int, text string, section string")
+    assert {r["n"]: r["section"] for r in label_unknown(pages, call, ("method", "result")).collect()} == {1: "method", 2: "unknown", 3: "unknown", 4: "result"}
+    docs = spark.createDataFrame([(1, ["a"], ["s"]), (2, ["a", "b"], ["s"]), (3, [], []), (4, None, None)], "n int, pages array<string>, sections array<string>")
+    assert [r["by_section"] for r in splits_by_section(docs).orderBy("n").collect()] == [True, False, False, False]
+
+
+def test_status_lookups(spark):
+    from papyra.operators.questions import statuses
+
+    rows = spark.createDataFrame([("a", "p/a", "ready"), ("b", "p/b", "failed"), ("c", "p/c", "ready")], "doc_id string, file_path string, status string")
+    find = lambda **by: [r["doc_id"] for r in statuses(rows, **by).orderBy("doc_id").collect()]
+    assert find() == ["a", "b", "c"] and find(doc_id="b") == ["b"] and find(file_path="p/c") == ["c"] and find(status="ready") == ["a", "c"]
+
+
+def test_keywords_of_a_model_where_there_are_none(spark):
+    from papyra.operators.keywords import keywords_or_asked
+
+    answers = {"?": '```json\n{"low_level_keywords": ["X", "x", " "], "high_level_keywords": ["topics"]}\n```', "!": "no json"}
+    queries = spark.createDataFrame([(1, "CLIP"), (2, "?"), (3, "!"), (4, None)], "query_id long, text string")
+    found = {r["query_id"]: r for r in keywords_or_asked(queries, lambda asked: [answers[t] for (t,) in asked]).collect()}
+    assert "CLIP" in found[1]["ll"]
+    assert [(found[n]["ll"], found[n]["hl"]) for n in (2, 3, 4)] == [(["X"], ["topics"]), ([], []), ([], [])]
+
+
+def test_ingest_with_an_extractor(spark):
+    def extractor(asked):
+        out = []
+        for (text,) in asked:
+            if "broken" in text:
+                raise ValueError("no answer")
+            out.append(json.dumps({"entities": [{"name": " CLIP", "type": "Model", "description": text[:9]}, {"name": "ImageNet", "type": "Data", "description": ""}], "relations": [{"source": "clip", "type": "USES", "target": "imagenet", "description": "d"}, {"source": "clip", "type": "USES", "target": "nobody", "description": "d"}]}))
+        return out
+
+    docs = spark.createDataFrame([("a", "p/a", "first text"), ("b", "p/b", "second text"), ("c", "p/c", "broken text"), ("d", "p/d", None)], "doc_id string, file_path string, text string")
+    tables = {name: t.collect() for name, t in ingest(docs, extractor=extractor).items()}
+    assert sorted(r["name"].strip() for r in tables["entities"]) == ["CLIP", "ImageNet"]
+    assert len(tables["mentions"]) == 4 and len(tables["relations"]) == 1
+    assert {r["doc_id"]: r["status"] for r in tables["status"]} == {"a": "ready", "b": "ready", "c": "ready", "d": "empty"}
+
+
+def test_streamed_limiter_lets_go_of_idle_keys(spark, tmp_path):
+    """Triggers far apart: the state of a key that has been idle for a window is removed, and what is allowed is the
+    same as in batch."""
+    from papyra.streaming import jobs
+
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(s, "t", start + datetime.timedelta(seconds=60 * day * 1440 + 10 * n), 1000 * day + 10 * s + n) for day in range(3) for s in range(3 if day == 0 else 1) for n in range(4)]
+    schema = "session_id long, tool string, ts timestamp, event_id long"
+    for day in range(3):
+        spark.createDataFrame([r for r in rows if r[3] // 1000 == day], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "calls"))
+    calls = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "calls"))
+    got = {r["event_id"]: r["allowed"] for r in jobs.run_available(jobs.limit_calls_stream(calls, 2, 3600, "10 minutes")).collect()}
+    want = {r["event_id"]: r["allowed"] for r in S.limit_calls(spark.createDataFrame(rows, schema), 2, 3600).collect()}
+    assert got == want
