@@ -4,14 +4,16 @@ The classifier is fitted on a bounded sample of labelled rows: at most MAX_LABEL
 most MAX_EXAMPLES texts of each label with MAX_POSTINGS different words in all. Everything else is counted over all
 documents.
 
-A text's vector has two parts. The first is its full TF-IDF vector over words, tf = 1 + ln(count), idf = ln(1 + n /
+A text's vector has three parts. The first is its full TF-IDF vector over words, tf = 1 + ln(count), idf = ln(1 + n /
 (df + 0.5)), with n and df counted over all documents; a word that no example has counts in the length only, with the
-idf of a word of one document. This part is scaled to REST_WEIGHT times the number of binary digits of the text's
-length in units of REST_WORDS. The second part adds weight to telling terms: short words, prefixes of longer ones
-(inflected forms of one stem then meet) and prefixes that several different words share. How many documents of each
-label have a term is counted; those much more frequent in one label than in the other (a lift of LIFT and a z-score of
-LEAST_Z at least) are telling, at most MAX_TERMS, the highest z first. The whole is scaled to length 1. So a copy of an
-example has the cosine 1 to it whatever its words are, and telling terms count most where there are any.
+idf of a word of one document. This part is scaled to FULL_WEIGHT. The second adds weight to telling terms: short words,
+prefixes of longer ones (inflected forms of one stem then meet) and prefixes that several different words share. How
+many documents of each label have a term is counted; those much more frequent in one label than in the other (a lift of
+LIFT and a z-score of LEAST_Z at least) are telling, at most MAX_TERMS, the highest z first. The third is one term REST
+that all texts have: it weighs REST_WEIGHT times the number of binary digits of the text's length in units of
+REST_WORDS if the text has telling terms, else REST_WEIGHT, so that one telling term in a long text counts less. The
+whole is scaled to length 1. So a copy of an example has the cosine 1 to it whatever its words are, and telling terms
+count most where there are any.
 
 Of two thirds of the labelled rows the index is made; the rest calibrates. An inverted list keeps for each block of
 examples the greatest weight in it; the blocks with the highest bounds are read first, then those whose bound reaches
@@ -64,10 +66,10 @@ DENSE = 0.06
 FIRST_BLOCKS = 2
 K = 15
 #: A neighbour's vote counts as its cosine to this power.
-STEEPNESS = 8
+STEEPNESS = 24
 VOTE_BINS = 20
 FLUSH_TERMS = 300_000
-REST_WEIGHT, REST_WORDS = 0.7, 50
+FULL_WEIGHT, REST_WEIGHT, REST_WORDS = 1.0, 1.4, 50
 WORDS_KEPT = 500_000
 #: What calibration adds to each bin: this much weight of the overall share.
 PRIOR = 1.0
@@ -200,17 +202,14 @@ class Model:
         seen = numbers >= 0
         weights = 1.0 + np.log(times)
         weights *= np.where(seen, self.idf[numbers], self.rarest) if len(self.idf) else self.rarest
-        length = REST_WEIGHT * (max(1, int(times.sum()) // REST_WORDS).bit_length() if telling else 1)
-        weights = weights[seen] * (length / math.sqrt(float(weights @ weights)))
+        weights = weights[seen] * (FULL_WEIGHT / math.sqrt(float(weights @ weights)))
         numbers = numbers[seen]
         order = np.argsort(numbers)
-        numbers, weights = numbers[order], weights[order]
-        if telling:
-            more = sorted((self.place[t], (1.0 + math.log(n)) * self.telling[t]) for t, n in telling.items())
-            numbers = np.concatenate([numbers, np.array([n for n, _ in more], np.int64) + len(self.vocabulary)])
-            weights = np.concatenate([weights, np.array([w for _, w in more])])
-            length = math.sqrt(length * length + sum(w * w for _, w in more))
-        return numbers, weights / length
+        more = sorted((self.place[t], (1.0 + math.log(n)) * self.telling[t]) for t, n in telling.items())
+        more.append((len(self.telling), REST_WEIGHT * (max(1, int(times.sum()) // REST_WORDS).bit_length() if telling else 1)))
+        numbers = np.concatenate([numbers[order], np.array([n for n, _ in more], np.int64) + len(self.vocabulary)])
+        weights = np.concatenate([weights[order], np.array([w for _, w in more])])
+        return numbers, weights / math.sqrt(FULL_WEIGHT * FULL_WEIGHT + sum(w * w for _, w in more))
 
     def index(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
         """Makes the inverted lists of the examples' vectors."""
@@ -219,7 +218,7 @@ class Model:
         weights = np.concatenate([w for _, w in vectors])
         order = np.lexsort((examples, features))
         features, examples, weights = features[order], examples[order], weights[order]
-        n_features, n_blocks = len(self.vocabulary) + len(self.telling), -(-len(vectors) // BLOCK)
+        n_features, n_blocks = len(self.vocabulary) + len(self.telling) + 1, -(-len(vectors) // BLOCK)
         blocks = examples // BLOCK
         new = np.ones(len(features), bool)
         new[1:] = (features[1:] != features[:-1]) | (blocks[1:] != blocks[:-1])

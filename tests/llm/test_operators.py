@@ -577,9 +577,9 @@ def brute_vector(words, df, n_docs, known, telling):
         found.update({t: n for t in before if t in telling})
         shared.update(before)
     found.update({t: 1 for p, m in shared.items() for k in toxicity.REPEATS if m >= k and (t := b"%d" % k + p) in telling})
-    length = toxicity.REST_WEIGHT * (max(1, len(words) // toxicity.REST_WORDS).bit_length() if found else 1)
     norm = math.sqrt(sum(x * x for x in full.values()))
-    v = {("w", w): x * length / norm for w, x in full.items()}
+    v = {("w", w): x * toxicity.FULL_WEIGHT / norm for w, x in full.items()}
+    v["rest"] = toxicity.REST_WEIGHT * (max(1, len(words) // toxicity.REST_WORDS).bit_length() if found else 1)
     v.update({("t", t): (1 + math.log(n)) * telling[t] for t, n in found.items()})
     norm = math.sqrt(sum(x * x for x in v.values()))
     return {k: x / norm for k, x in v.items()}
