@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from papyra.sources.scratch import written
+
 # The order in which labels are shown.
 LABEL_ORDER = {"Document": 0, "Entity": 1, "Community": 2, "Reference": 3}
 
@@ -97,24 +99,33 @@ def _settled(weighted: DataFrame, whole: float, rounds: int | None, cut) -> Data
         return table, whole * row[0] - row[1], row[2]
 
     table, score, n = looked(first)
-    kept, share, round_ = 0, 2, 0
+    kept, share, apart = 0, 2, False
     while n and (rounds is None or kept < rounds):
-        alone = n <= share and kept >= FREE_ROUNDS
-        turn = F.pmod(F.xxhash64("id", F.lit(round_)), F.lit(share)) == 0
-        if alone:
-            turn = F.col("id") == F.lit(table.where("more > 0").orderBy(F.desc("more"), "id").first()["id"])
-        moves = turn & (F.col("more") > 0)
-        tried = looked(table.select("id", F.when(moves, F.col("best")).otherwise(F.col("c")).alias("c"), "k", "loop"))
-        round_ += 1
+        gains = F.col("more") > 0
+        if apart or share > n:
+            moves = table.join(_apart(table.where(gains)).withColumn("_moves", F.lit(True)), "id", "left")
+            moved, apart = F.col("_moves").isNotNull(), True
+        else:
+            moves, moved = table, gains & (F.pmod(F.xxhash64("id", F.lit(kept)), F.lit(share)) == 0)
+        tried = looked(moves.select("id", F.when(moved, F.col("best")).otherwise(F.col("c")).alias("c"), "k", "loop"))
         if tried[1] > score or kept < FREE_ROUNDS:
-            (table, score, n), kept, share = tried, kept + 1, max(2, share // 2)
-        elif alone:
+            (table, score, n), kept, share, apart = tried, kept + 1, max(2, share // 2), False
+        elif apart:
             break  # a gain too small for double precision
         else:
-            share *= 4
+            share, apart = share * 4, True
     return table.select("id", "c") if kept else None
 
 
+def _apart(moves: DataFrame) -> DataFrame:
+    """The ids of moves (id, c, best, more) that are the greatest, by more and then the smallest id, both in the
+    community that they leave and in the one that they join. No two of them touch the same community, so their gains
+    add up exactly; the greatest of all is among them."""
+    ends = moves.select("id", F.explode(F.array("c", "best")).alias("at"), F.struct("more", F.struct(-F.col("id"))).alias("place"))
+    firsts = ends.groupBy("at").agg(F.max_by("id", "place").alias("id"))
+    return firsts.groupBy("id").agg(F.count("*").alias("n")).where("n = 2").select("id")
+
+
 def louvain(pairs: DataFrame, rounds: int | None = None, levels: int | None = None, cut=None) -> DataFrame:
     """(id, community) of the nodes of pairs (a, b), by greedy modularity gains in rounds, then on the graph of
     communities, level by level, until no node gains; `rounds` (in a level) and `levels` may be bounded.
@@ -122,11 +133,12 @@ def louvain(pairs: DataFrame, rounds: int | None = None, levels: int | None = No
     In a round every node looks at the communities of its neighbours and at its own: joining c gains
     w(node, c) - degree(node) * degree(c) / 2m, degree(c) without the node itself; of equal gains the smallest
     community wins. Half of the nodes (by a hash that changes with the round) move at a time. After a level's
-    first FREE_ROUNDS, a round that doesn't raise the modularity is taken back and fewer nodes move in the next, in the
-    end the one that gains most. So modularity rises with each round that is kept, and nodes can't swap for ever.
+    first FREE_ROUNDS, a round that doesn't raise the modularity is taken back; the next moves only nodes that touch no
+    common community, whose gains add up, and later ones fewer nodes, then more again while that works. So modularity rises with each
+    round that is kept, and nodes can't swap for ever.
     The community's id is its smallest node.
     """
-    cut = cut or (lambda df: df.checkpoint())
+    cut = cut or written
     weighted = cut(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(1.0).alias("w")).union(pairs.select("b", "a", F.lit(1.0))))
     whole = weighted.agg(F.sum("w")).first()[0]
     members = cut(weighted.select("src").distinct().select(F.col("src").alias("id"), F.col("src").alias("community")))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from papyra.operators import entities as E
 from papyra.operators import graph as G
 from papyra.plans.registry import register
-from papyra.sources.scratch import cut
 
 
 def _read(spark, d, t):
@@ -203,7 +202,7 @@ def relation_resolution(spark, d):
 @register("louvain_communities")
 def louvain_communities(spark, d):
     """Communities of parts and suppliers over all relations; tested by modularity and planted blocks."""
-    return G.louvain(G.undirected(_relations(spark, d)), cut=cut)
+    return G.louvain(G.undirected(_relations(spark, d)))
 
 
 GIVEN = "mem AS (SELECT p_partkey AS id, p_size % 17 AS community, p_name AS name, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_type END AS description FROM part)"

@@ -25,3 +25,11 @@ def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Writes a table below the shared folder and reads it again. Unlike a checkpoint it takes nothing over from the
+    plan before it (conditions on columns pile up in loops), it is computed once, and its size is known to later joins."""
+    folder = shared_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
