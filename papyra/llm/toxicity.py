@@ -66,7 +66,7 @@ DENSE = 0.06
 FIRST_BLOCKS = 2
 K = 15
 #: A neighbour's vote counts as its cosine to this power.
-STEEPNESS = 24
+STEEPNESS = 12
 VOTE_BINS = 20
 FLUSH_TERMS = 300_000
 FULL_WEIGHT, REST_WEIGHT, REST_WORDS = 1.0, 1.4, 50
