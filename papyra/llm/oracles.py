@@ -161,4 +161,41 @@ SELECT doc_id, size, source_size, target, CAST((floor(copies) + CASE WHEN taken
 """
 
 
-ORACLES = {"op1_decontaminate": OP1, "op2_secrets": OP2, "op3_url_filter": OP3, "op4_chat_format": OP4, "op5_near_duplicates": OP5, "op6_line_dedup": OP6, "op7_mix": _op7(), "op8_topk": OP8}
+def _op11(rounds: int = 6) -> str:
+    """Every round: parts to their nearest entries, entries to the floors of their means."""
+    dealt = """
+a{n} AS MATERIALIZED (SELECT p.r, p.part, p.x, c.entry, c.d FROM p,
+      LATERAL (SELECT entry, list_sum(list_transform(list_zip(p.x, e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM c{n} WHERE c{n}.part = p.part ORDER BY d, entry LIMIT 1) c)"""
+    moved = """
+c{m} AS MATERIALIZED (SELECT c.part, c.entry, coalesce(m.e, c.e) AS e FROM c{n} c LEFT JOIN (
+      SELECT part, entry, list(CAST((s - ((s % k) + k) % k) // k AS BIGINT) ORDER BY place) AS e FROM (
+        SELECT part, entry, place, sum(v) AS s, count(*) AS k FROM (SELECT part, entry, unnest(x) AS v, unnest(range(1, len(x) + 1)) AS place FROM a{n}) GROUP BY ALL) GROUP BY ALL) m USING (part, entry))"""
+    steps = ",".join(dealt.format(n=n) + "," + moved.format(n=n, m=n + 1) for n in range(rounds)) + "," + dealt.format(n=rounds)
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT r, part, x[part * (len(x) // 8) + 1:(part + 1) * (len(x) // 8)] AS x FROM v, range(8) t(part)),
+c0 AS MATERIALIZED (SELECT part, r - 1 AS entry, x AS e FROM p WHERE r <= 16),{steps},
+b AS (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{rounds}),
+f AS (SELECT r, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY r),
+l AS (SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM v JOIN f USING (r) GROUP BY label)
+SELECT vec_id, code, error, label_error, codebooks_sha256 FROM v JOIN f USING (r) JOIN l ON v.label IS NOT DISTINCT FROM l.label, b
+"""
+
+
+_TERMS = WORDS.replace("text", "{0}.text")
+
+OP13 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS.format("documents")} AS w FROM documents),
+i AS (SELECT row_number() OVER () AS item, item_id, list_distinct({_TERMS.format("benchmark")}) AS w FROM benchmark),
+s AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_words FROM d WHERE len(w) > 0),
+asked AS (SELECT item, item_id, unnest(w) AS term FROM i),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+wt AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), s),
+m AS (SELECT r, doc_id, 10 + (90 * len(w) * n_docs) // n_words AS m FROM d, s),
+x AS (SELECT item, item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM asked JOIN tf USING (term) JOIN wt USING (term) JOIN m USING (r) GROUP BY ALL HAVING score > 0)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM x QUALIFY rank <= 10
+"""
+
+
+ORACLES = {"op1_decontaminate": OP1, "op2_secrets": OP2, "op3_url_filter": OP3, "op4_chat_format": OP4, "op5_near_duplicates": OP5, "op6_line_dedup": OP6, "op7_mix": _op7(), "op8_topk": OP8, "op11_vector_codes": _op11(), "op13_lexical_search": OP13}

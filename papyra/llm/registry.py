@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from papyra.llm import chat, decontaminate, line_dedup, mixing, near_duplicates, secrets, token_counts, topk, toxicity, url_filter
+from papyra.llm import chat, decontaminate, lexical, line_dedup, mixing, near_duplicates, secrets, simhash, token_counts, topk, toxicity, url_filter, vector_codes
 from papyra.llm.common import cut
 from papyra.llm.oracles import ORACLES
+from papyra.sources.scratch import written
 
 #: The vocabulary for op9; a parameter, read on the driver only.
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
@@ -105,7 +106,26 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_secrets, op3_url_filter, op4_chat_format, op5_near_duplicates, op6_line_dedup, op7_mix, op8_topk, op9_token_counts, op10_toxicity)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cut(vector_codes.vector_codes(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")))
+    most = F.lit(2**63 - 1).cast("decimal(38,0)")
+    by_label = found.groupBy(F.col("label").alias("_label")).agg(F.least(F.sum(F.col("error").cast("decimal(38,0)")), most).cast("long").alias("label_error"))
+    by_label = written(by_label)  # so that Spark knows its size
+    both = found.join(by_label, F.col("label").eqNullSafe(F.col("_label")))
+    return both.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.col("codebook").alias("codebooks_sha256"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.simhash_components(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "fingerprint", "component_id")
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return lexical.ranked_search(docs, _read(spark, sf_dir, "benchmark").select("item_id", "text"), k=10)
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_secrets, op3_url_filter, op4_chat_format, op5_near_duplicates, op6_line_dedup, op7_mix, op8_topk, op9_token_counts, op10_toxicity, op11_vector_codes, op12_simhash, op13_lexical_search)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 
