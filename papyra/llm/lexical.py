@@ -172,7 +172,7 @@ def _postings(docs: DataFrame, terms: list[bytes]) -> tuple[DataFrame, int, int,
         yield pa.RecordBatch.from_arrays([pa.nulls(1, id_kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([sums], pa.list_(pa.int64()))], schema.names)
 
     rows = cut(docs.mapInArrow(run, schema))
-    pairs = rows.where("counted IS NOT NULL").select(F.explode(F.sequence(F.lit(0), F.size("counted") - 2, F.lit(2))).alias("k"), "counted")
+    pairs = rows.where("size(counted) > 0").select(F.explode(F.sequence(F.lit(0), F.size("counted") - 2, F.lit(2))).alias("k"), "counted")
     sums = pairs.select(F.col("counted")[F.col("k")].alias("what"), F.col("counted")[F.col("k") + 1].alias("n")).groupBy("what").agg(F.sum("n").alias("n"))
     counts = np.zeros(len(terms) + 2, np.int64)
     for r in sums.collect():  # a row an asked term

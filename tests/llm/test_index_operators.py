@@ -222,4 +222,7 @@ def test_ranked_search(spark, monkeypatch, group_terms, block):
 def test_ranked_search_without_items(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id int, text string")
     assert lexical.ranked_search(docs, spark.createDataFrame([], "item_id int, text string")).collect() == []
+    items = spark.createDataFrame([(1, "a")], "item_id int, text string")
+    assert len(lexical.ranked_search(docs.repartition(4), items).collect()) == 1  # tasks without documents
+    assert lexical.ranked_search(spark.createDataFrame([(1, None)], "doc_id int, text string").repartition(4), items).collect() == []
     assert lexical.ranked_search(docs.where(F.lit(False)), spark.createDataFrame([(1, "a")], "item_id int, text string")).collect() == []
