@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from papyra.operators.keyword_match import containing, group_top_k, keyword_top_k, with_words  # noqa: F401
 from papyra.sources.scratch import written
 
 # The order in which labels are shown.
@@ -186,49 +187,49 @@ def with_perspective(contexts: DataFrame, communities: DataFrame, most: int = 5)
     return contexts.crossJoin(F.broadcast(head)).withColumn("context", text).drop("_head")  # one row
 
 
-#: Up to so many different keywords each text is searched for each of them; beyond, texts and keywords meet by grams.
-FEW_KEYWORDS = 1000
-GRAM = 3
-
-
-def containing(rows: DataFrame, column: str, keywords: DataFrame, few_keywords: int = FEW_KEYWORDS) -> DataFrame:
-    """rows joined with the keywords (query_id, keyword) that their column has, in whatever case. Blank keywords are in
-    no text. Each different keyword is looked for once, in texts lower-cased once; then it finds its queries by an
-    equi-join. Many keywords meet the texts by an equi-join of their first GRAM characters (all, if they are fewer)
-    with the texts' grams, and what meets is confirmed."""
-    asked = keywords.withColumn("_kw", F.lower("keyword")).where(F.trim("_kw") != "")
-    few = asked.select("_kw").distinct()
-    texts = rows.withColumn("_text", F.lower(column))
-    if few.count() <= few_keywords:
-        found = texts.join(F.broadcast(few), F.contains("_text", "_kw"))
-    else:
-        def grams(n: int) -> Column:
-            return F.transform(F.sequence(F.lit(1), F.greatest(F.length("_text") - (n - 1), F.lit(1))), lambda i: F.substring("_text", i, F.lit(n)))
-
-        met = texts.withColumn("_gram", F.explode(F.array_distinct(F.concat(*[grams(n) for n in range(1, GRAM + 1)]))))
-        found = met.join(few.withColumn("_gram", F.substring("_kw", 1, GRAM)), "_gram").where(F.contains("_text", "_kw")).drop("_gram")
-    return found.drop("_text").join(asked, "_kw").drop("_kw")
-
-
-def matching_chunks(keywords: DataFrame, entities: DataFrame, mentions: DataFrame, k: int) -> DataFrame:
-    """keywords: (query_id, keyword); entities: (entity_id, name); mentions: (chunk_id, entity_id).
-
-    Chunks that mention an entity whose name has a keyword, in whatever case: the number of such entities and their
-    names, the k best of each query. The keywords of a batch of queries are few; Spark broadcasts them if they are.
-    """
-    hit = containing(entities, "name", keywords).select("query_id", "entity_id", "name").distinct()
-    rows = hit.join(mentions, "entity_id").groupBy("query_id", "chunk_id").agg(F.count("*").alias("hits"), F.array_sort(F.collect_set("name")).alias("names"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("hits"), "chunk_id")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "hits", F.array_join("names", "|").alias("names"))
-
-
-def matching_relations(keywords: DataFrame, relations: DataFrame, k: int, most: int = 8) -> DataFrame:
-    """keywords: (query_id, pos, keyword). Relations (src, dst, type, description) by the number of a query's first
-    `most` keywords that their description has."""
-    few = keywords.where(F.col("pos") < most)
-    scored = containing(relations, "description", few).groupBy("query_id", "src", "dst", "type").agg(F.countDistinct("keyword").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "src", "dst", "type")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+def chunk_hits(keywords: DataFrame, entities: DataFrame, mentions: DataFrame, k: int) -> DataFrame:
+    """keywords: (query_id, keyword); entities: (entity_id, name); mentions: (chunk_id, entity_id), each once.
+
+    (query_id, rank, chunk_id, hits): each query's k chunks that mention the most entities whose name has one of its
+    keywords, in whatever case."""
+    found = with_words(entities, "name", keywords, "entity_id")
+    members = mentions.join(found, "entity_id").select(F.col("chunk_id").alias("group_id"), "words")
+    return group_top_k(members, keywords, k).select("query_id", "rank", F.col("group_id").alias("chunk_id"), F.col("score").alias("hits"))
+
+
+def matching_chunks(keywords: DataFrame, entities: DataFrame, mentions: DataFrame, k: int, years: DataFrame | None = None) -> DataFrame:
+    """chunk_hits with the names and ids of the entities met (each once, sorted, joined by |) and, given years (chunk_id,
+    year), the chunk's year."""
+    hits = written(chunk_hits(keywords, entities, mentions, k))  # k rows a query, so that Spark knows how few they are
+    asked = keywords.select("query_id", F.lower("keyword").alias("_kw")).distinct()
+    near = mentions.join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi").join(entities.select("entity_id", "name"), "entity_id")
+    tags = with_words(near.select("entity_id", "name").distinct(), "name", keywords, "entity_id")
+    met = hits.join(near, "chunk_id").join(tags, "entity_id").withColumn("_kw", F.explode("words")).join(asked, ["query_id", "_kw"], "left_semi")
+    listed = lambda c: F.array_join(F.transform(F.array_sort(F.collect_set(c)), lambda x: x.cast("string")), "|")
+    told = met.groupBy("query_id", "chunk_id").agg(listed("name").alias("names"), listed("entity_id").alias("entity_ids"))
+    out = hits.join(told, ["query_id", "chunk_id"])
+    if years is not None:
+        of_chunk = years.join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi").groupBy("chunk_id").agg(F.max("year").alias("year"))
+        out = out.join(of_chunk, "chunk_id", "left")
+    return out
+
+
+def matching_relations(keywords: DataFrame, relations: DataFrame, k: int, most: int = 8, mentions: DataFrame | None = None, years: DataFrame | None = None) -> DataFrame:
+    """keywords: (query_id, pos, keyword). Each query's k relations (src, dst, type, description) by the number of its
+    first `most` keywords that their description has: (query_id, rank, score, ...). Given mentions (chunk_id, entity_id)
+    and years (chunk_id, year), year is the latest of the chunks that mention src."""
+    hits = keyword_top_k(relations, "description", keywords.where(F.col("pos") < most), k, ["src", "dst", "type"])
+    if mentions is None or years is None:
+        return hits
+    hits = written(hits)
+    about = mentions.join(hits.select(F.col("src").alias("entity_id")).distinct(), "entity_id", "left_semi")
+    latest = about.join(years, "chunk_id").groupBy(F.col("entity_id").alias("src")).agg(F.max("year").alias("year"))
+    return hits.join(latest, "src", "left")
+
+
+def named_hits(keywords: DataFrame, entities: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, key, score): the first k entities (key, name) by key whose name has one of a query's keywords."""
+    return keyword_top_k(entities.select("key", "name"), "name", keywords, k, ["key"], count=False).select("query_id", "rank", "key", "score")
 
 
 def unsupported_relations(relations: DataFrame, mentions: DataFrame) -> DataFrame:

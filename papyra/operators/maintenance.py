@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from papyra.operators.keyword_match import containing
+
 # The stages of an ingest, in order; its end states.
 STAGES = ("parsing", "chunking", "metadata", "indexing", "graph", "citations", "extraction", "finishing")
 STATES = ("pending", "processing", *STAGES, "processed", "failed")
@@ -99,12 +101,15 @@ def catalogue_search(papers: DataFrame, keyword: str, limit: int) -> DataFrame:
 
 
 def lookup(papers: DataFrame, asked: DataFrame) -> DataFrame:
-    """asked: (query_id, q). The paper whose id is q, else the first whose title has it, and how many others match."""
-    rows = papers.join(asked, (F.col("doc_id").cast("string") == F.col("q")) | F.contains(F.lower("title"), F.lower("q")))
-    exact = F.when(F.col("doc_id").cast("string") == F.col("q"), 0).otherwise(1)
-    each = Window.partitionBy("query_id")
-    rows = rows.withColumn("others", F.count("*").over(each) - 1).withColumn("_n", F.row_number().over(each.orderBy(exact, "doc_id")))
-    return rows.where("_n = 1").drop("_n", "q")
+    """asked: (query_id, q). The paper whose id is q, else the first whose title has it, and how many others match. Ids
+    meet by an equi-join, titles by one pass of an automaton; blank questions match nothing."""
+    asked = asked.where(F.trim("q") != "")
+    by_id = papers.withColumn("q", F.col("doc_id").cast("string")).join(asked, "q").withColumn("_exact", F.lit(0)).drop("q")
+    by_title = containing(papers, "title", asked.select("query_id", F.col("q").alias("keyword")))
+    other = (F.col("doc_id").cast("string") != F.col("keyword")) | F.col("doc_id").isNull()
+    rows = by_id.unionByName(by_title.where(other).drop("keyword").withColumn("_exact", F.lit(1)))
+    best = F.min_by(F.struct(*papers.columns), F.struct("_exact", "doc_id")).alias("p")
+    return rows.groupBy("query_id").agg(best, (F.count("*") - 1).alias("others")).select("query_id", "p.*", "others")
 
 
 def facets(status: DataFrame) -> DataFrame:

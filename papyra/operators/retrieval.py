@@ -17,14 +17,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from papyra.operators.bm25 import SCORE_PLACES, build, search
 from papyra.operators.hooks import embed
 from papyra.sources.scratch import cut
 
-K1, B, NEGATIVE_IDF = 1.5, 0.75, 0.25
 RRF_K = 60
-SCORE_PLACES = 6
-#: Terms that queries ask for are broadcast up to so many.
-BROADCAST_TERMS = 100_000
+#: Queries, and numbers of their vectors in all, that are broadcast at most.
+BROADCAST_QUERIES, BROADCAST_NUMBERS = 16_384, 1 << 23
 #: Rows of a block of vectors and of queries, and queries that are compared at once.
 BLOCK_ROWS, BLOCK_QUERIES, TILE = 65_536, 16_384, 256
 
@@ -43,36 +42,10 @@ def filtered_top_k(scored: DataFrame, k: int, keep: Column, overfetch: int | Non
     return top_k(top_k(scored, overfetch * k).drop("rank").where(keep), k)
 
 
-def tokens(text: Column) -> Column:
-    """Lower-cased words: what is left between characters that are no letters, digits or underscores."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\W+"), lambda t: t != "")
-
-
-def bm25(docs: DataFrame, queries: DataFrame, k: int, key: str = "key", text: str = "text", broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
-    """BM25 Okapi. queries: (query_id, text). A query's term counts as often as it occurs; scores of 0 or less go
-    after the cut. Terms found in more than half of the documents have NEGATIVE_IDF times the mean idf instead.
-
-    Of the whole corpus only each term's number of documents is counted, summed within tasks first; postings are made
-    for terms that queries ask for. Those are broadcast if they are few, which is counted, and joined if not.
-    """
-    words = docs.select(F.col(key).alias("key"), tokens(F.col(text)).alias("words")).withColumn("length", F.size("words"))
-    # a document's length goes along with its first term, so one pass gives the terms' counts and the words in all
-    distinct = words.select("length", F.posexplode(F.array_distinct("words")).alias("place", "term"))
-    by_term = distinct.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("place") == 0, F.col("length"))).alias("n"))
-    totals = docs.agg(F.count("*").alias("n_docs")).crossJoin(by_term.agg(F.sum("n").alias("words"))).select("n_docs", (F.col("words") / F.col("n_docs")).alias("avgdl"))
-    df = by_term.drop("n").crossJoin(F.broadcast(totals))  # totals is one row
-    idf = F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    df = df.withColumn("raw", idf)
-    mean = df.agg(F.avg("raw").alias("mean_idf"))
-    asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
-    wanted = asked.select("term").distinct()
-    if wanted.count() <= broadcast_terms:
-        wanted = F.broadcast(wanted)
-    terms = df.join(wanted, "term").crossJoin(F.broadcast(mean)).select("term", "avgdl", F.when(F.col("raw") < 0, F.lit(NEGATIVE_IDF) * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
-    postings = words.select("key", "length", F.explode("words").alias("term")).join(wanted, "term").groupBy("key", "term", "length").agg(F.count("*").alias("tf"))
-    saturated = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avgdl")))
-    scored = asked.join(terms, "term").join(postings, "term").groupBy("query_id", "key").agg(F.round(F.sum(F.col("qf") * F.col("idf") * saturated), SCORE_PLACES).alias("score"))
-    return top_k(scored, k).where("score > 0").select("query_id", "rank", "key", "score")
+def bm25(docs: DataFrame, queries: DataFrame, k: int, key: str = "key", text: str = "text") -> DataFrame:
+    """BM25 Okapi over docs, for queries (query_id, text), by an index made for the purpose; where several searches go
+    over the same documents, make one with `papyra.operators.bm25` and keep it."""
+    return search(build(docs, key, text), queries, k)
 
 
 def _matrix(column: pa.ChunkedArray, length: int) -> np.ndarray:
@@ -80,9 +53,9 @@ def _matrix(column: pa.ChunkedArray, length: int) -> np.ndarray:
     return values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), length)
 
 
-def nearest_pairs(q: np.ndarray, x: np.ndarray, k: int, places: int = SCORE_PLACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def nearest_pairs(q: np.ndarray, x: np.ndarray, k: int, places: int = SCORE_PLACES, reach: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of q, row of x, squared distance) of the k nearest rows of x of each row of q; of distances that are equal
-    to so many places the first rows."""
+    to so many places the first rows. reach: no distance above it is wanted, by row of q."""
     found = []
     for at in range(0, len(q), TILE):
         part = q[at : at + TILE]
@@ -94,25 +67,61 @@ def nearest_pairs(q: np.ndarray, x: np.ndarray, k: int, places: int = SCORE_PLAC
             taken = below | (same & (np.cumsum(same, axis=1) <= k - below.sum(1, keepdims=True)))
         else:
             taken = np.ones(near.shape, bool)
+        if reach is not None:
+            taken &= near <= reach[at : at + TILE, None]
         i, j = np.nonzero(taken)
         found.append((i + at, j, ((part[i] - x[j]) ** 2).sum(1)))
     return tuple(np.concatenate(parts) for parts in zip(*found, strict=True))
 
 
-def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, keep: Column | None = None, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES, places: int = SCORE_PLACES) -> DataFrame:
-    """Exact k nearest by squared Euclidean distance. vectors: (key, embedding, ...), queries: (query_id, vector).
+def _first_of_each(found: pa.Table, k: int) -> pa.Table:
+    """Of rows (q, near, key) the k first of each q."""
+    found = found.sort_by([("q", "ascending"), ("near", "ascending"), ("key", "ascending")])
+    q = found.column("q").to_numpy()
+    heads = np.flatnonzero(np.append(True, q[1:] != q[:-1]))
+    place = np.arange(len(q)) - np.repeat(heads, np.diff(np.append(heads, len(q))))
+    return found.take(pa.array(np.flatnonzero(place < k)))
 
-    Both are counted and dealt over blocks of bounded size; a task compares one block of queries with one of vectors by
-    matrix products and hands on k rows a query, which a window merges. Null vectors, and those that hold nulls, take no
-    part; vectors are compared with those of the same length.
-    """
-    if keep is not None:
-        vectors = vectors.where(keep)
-    spark = vectors.sparkSession
-    full = lambda c: F.col(c).isNotNull() & F.forall(c, lambda v: v.isNotNull())
-    vectors = vectors.where(full("embedding")).select("key", "embedding", F.size("embedding").alias("_n"))
-    queries = queries.where(full("vector")).select("query_id", "vector", F.size("vector").alias("_n"))
-    side = isqrt(2 * spark.sparkContext.defaultParallelism - 1) + 1
+
+def _where_they_lie(vectors: DataFrame, asked: list, schema: T.StructType, k: int, places: int) -> DataFrame:
+    """(query_id, key, score): each task's k nearest vectors of each asked (query_id, vector, length)."""
+    shared = vectors.sparkSession.sparkContext.broadcast(asked)
+    kinds = [to_arrow_type(f.dataType) for f in schema]
+
+    def run(batches):
+        by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        lengths = np.array([n for _, _, n in shared.value])
+        for n in np.unique(lengths).tolist():
+            rows = np.flatnonzero(lengths == n)
+            by_length[n] = rows, np.array([shared.value[r][1] for r in rows], np.float64).reshape(len(rows), n)
+        held, reach = None, np.full(len(lengths), np.inf)
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            sizes = table.column("_n").to_numpy()
+            for n in np.unique(sizes).tolist():
+                if n not in by_length:
+                    continue
+                rows, q = by_length[n]
+                part = table.take(pa.array(np.flatnonzero(sizes == n))).sort_by("key")
+                i, j, distance = nearest_pairs(q, _matrix(part.column("embedding"), n), k, places, reach[rows])
+                new = pa.table({"q": rows[i], "near": np.round(distance, places), "key": part.column("key").take(pa.array(j)).combine_chunks(), "score": distance})
+                held = _first_of_each(new if held is None else pa.concat_tables([held, new]), k)
+                found, near = held.column("q").to_numpy(), held.column("near").to_numpy()
+                full = np.bincount(found, minlength=len(lengths)) >= k
+                last = np.full(len(lengths), -np.inf)
+                np.maximum.at(last, found, near)
+                reach = np.where(full, last + 10.0**-places, np.inf)
+        if held is not None:
+            ids = pa.array([r[0] for r in shared.value], kinds[0])
+            yield from pa.Table.from_arrays([ids.take(held.column("q").combine_chunks()), held.column("key").cast(kinds[1]), held.column("score")], names=schema.names).to_batches()
+
+    return vectors.mapInArrow(run, schema)
+
+
+def _dealt_blocks(vectors: DataFrame, queries: DataFrame, schema: T.StructType, k: int, places: int, block_rows: int, block_queries: int) -> DataFrame:
+    """The same for any number of queries: both are dealt over blocks of bounded size; a task compares one block of
+    each."""
+    side = isqrt(2 * vectors.sparkSession.sparkContext.defaultParallelism - 1) + 1
     n_rows, n_queries = vectors.count(), queries.count()
     row_blocks = max(1, -(-n_rows // block_rows), min(side, n_rows // 512))
     query_blocks = max(1, -(-n_queries // block_queries), min(side, n_queries // 16))
@@ -120,7 +129,6 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, keep: Column |
     dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n).cast("long"))
     asked = queries.withColumn("_qb", dealt("query_id", query_blocks)).withColumn("_rb", each(row_blocks))
     held = vectors.withColumn("_rb", dealt("key", row_blocks)).withColumn("_qb", each(query_blocks))
-    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("key", vectors.schema["key"].dataType), T.StructField("score", T.DoubleType())])
     kinds = [to_arrow_type(f.dataType) for f in schema]
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -131,7 +139,28 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, keep: Column |
         i, j, distance = nearest_pairs(_matrix(left.column("vector"), length), _matrix(right.column("embedding"), length), k, places)
         return pa.table([left.column("query_id").take(pa.array(i)), right.column("key").take(pa.array(j)), pa.array(distance)], names=schema.names)
 
-    found = asked.groupBy("_n", "_qb", "_rb").cogroup(held.groupBy("_n", "_qb", "_rb")).applyInArrow(search, schema)
+    return asked.groupBy("_n", "_qb", "_rb").cogroup(held.groupBy("_n", "_qb", "_rb")).applyInArrow(search, schema)
+
+
+def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, keep: Column | None = None, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES, places: int = SCORE_PLACES, broadcast_queries: int = BROADCAST_QUERIES) -> DataFrame:
+    """Exact k nearest by squared Euclidean distance. vectors: (key, embedding, ...), queries: (query_id, vector).
+
+    The queries are read first. If they are no more than may be broadcast, every task compares them with the vectors that
+    it holds, by matrix products, and hands on its k nearest of each; no vector moves. More queries are dealt with the
+    vectors over blocks. Either way a window merges. Null vectors, and those that hold nulls, take no part; vectors are
+    compared with those of the same length.
+    """
+    if keep is not None:
+        vectors = vectors.where(keep)
+    full = lambda c: F.col(c).isNotNull() & F.forall(c, lambda v: v.isNotNull())
+    vectors = vectors.where(full("embedding")).select("key", "embedding", F.size("embedding").alias("_n"))
+    queries = queries.where(full("vector")).select("query_id", "vector", F.size("vector").alias("_n"))
+    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("key", vectors.schema["key"].dataType), T.StructField("score", T.DoubleType())])
+    n, numbers = queries.agg(F.count("*"), F.sum("_n")).first()
+    if n <= broadcast_queries and (numbers or 0) <= BROADCAST_NUMBERS:
+        found = _where_they_lie(vectors, [tuple(r) for r in queries.collect()], schema, k, places)
+    else:
+        found = _dealt_blocks(vectors, queries, schema, k, places, block_rows, block_queries)
     scored = found.withColumn("score", F.round("score", places))
     return top_k(scored, k, F.asc("score"), F.asc("key")).select("query_id", "rank", "key", "score")
 
@@ -159,8 +188,10 @@ def entity_vector_search(entities: DataFrame, queries: DataFrame, k: int, call=N
 
 def relation_vector_search(relations: DataFrame, queries: DataFrame, k: int, call=None, places: int = SCORE_PLACES) -> DataFrame:
     """relations: (src, dst, src_name, dst_name, type, description); queries: (query_id, ll, hl, text). Relations near to
-    the topics (high level), else the names, else the question, with the relation and its card."""
-    named = relations.withColumn("key", F.concat_ws("::", "src", "dst")).withColumn("text", F.concat_ws(" ", "type", "description"))
+    the topics (high level), else the names, else the question, with the relation and its card. A relation's text is its
+    ends' names with the type between them, then the description; blanks are left out."""
+    told = F.filter(F.transform(F.array("src_name", "type", "dst_name", "description"), lambda p: F.trim(F.coalesce(p, F.lit("")))), lambda p: p != "")
+    named = relations.withColumn("key", F.concat_ws("::", "src", "dst")).withColumn("text", F.array_join(told, " "))
     asked = queries.select("query_id", search_text(F.col("hl"), F.col("ll"), F.col("text")).alias("text"))
     hits = _by_vectors(named, asked, k, call, places)
     lines = [("Relation", F.concat("src_name", F.lit(" -["), "type", F.lit("]-> "), "dst_name")), ("Source", F.col("src_name")), ("Target", F.col("dst_name")), ("Type", F.col("type")), ("Description", F.col("description"))]

@@ -12,6 +12,7 @@ from papyra.operators.keywords import extract_keywords, naive_keywords
 from papyra.plans.chunking import STRIDE
 from papyra.plans.graph import RELS
 from papyra.plans.registry import register
+from papyra.sources.scratch import spread
 from papyra.plans.retrieval import BM25_CTE
 
 
@@ -194,7 +195,7 @@ def history_override(spark, d):
 def hit_tags(spark, d):
     """Hits as lines; unknown years and sections have no tag."""
     docs = _read(spark, d, "documents").select(F.col("doc_id").alias("key"), "text")
-    hits = R.bm25(docs, _read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 3)
+    hits = R.bm25(spread(docs), _read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 3)
     year = F.when(F.col("key") % 4 != 0, F.concat(F.lit(" ("), 2000 + F.col("key") % 20, F.lit(")"))).otherwise("")
     section = F.when(F.col("key") % 3 != 0, F.lit(" [method]")).otherwise("")
     return hits.select("query_id", "rank", F.concat(F.lit("["), "rank", F.lit("] lib/"), "key", year, section).alias("line"))

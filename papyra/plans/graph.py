@@ -116,25 +116,33 @@ KEYS = f"keys AS (SELECT item_id AS query_id, unnest([{list(NAMES)!r}[item_id %
     "graph_retrieval",
     f"""WITH {KEYS}, h AS (SELECT DISTINCT query_id, p_partkey, p_name FROM part JOIN keys ON contains(lower(p_name), lower(keyword))),
     m AS (SELECT DISTINCT l_orderkey AS chunk_id, l_partkey FROM lineitem),
-    r AS (SELECT query_id, chunk_id, count(*) AS hits, array_to_string(list_sort(list_distinct(list(p_name))), '|') AS names FROM h JOIN m ON l_partkey = p_partkey GROUP BY ALL)
-    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, chunk_id) AS INTEGER) AS rank, chunk_id, hits, names FROM r QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, chunk_id) <= 10""",
+    r AS (SELECT query_id, chunk_id, count(*) AS hits, array_to_string(list_sort(list_distinct(list(p_name))), '|') AS names, array_to_string(list_sort(list(p_partkey)), '|') AS entity_ids FROM h JOIN m ON l_partkey = p_partkey GROUP BY ALL)
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, chunk_id) AS INTEGER) AS rank, chunk_id, hits, names, entity_ids, CAST(year(o_orderdate) AS INTEGER) AS year FROM r LEFT JOIN orders ON o_orderkey = chunk_id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, chunk_id) <= 10""",
 )
 def graph_retrieval(spark, d):
     entities = _read(spark, d, "part").select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("name"))
     mentions = _read(spark, d, "lineitem").select(F.col("l_orderkey").alias("chunk_id"), F.col("l_partkey").alias("entity_id")).distinct()
-    return G.matching_chunks(_keywords(spark, d), entities, mentions, 10)
+    found = G.matching_chunks(_keywords(spark, d), entities, mentions, 10, _years(spark, d))
+    return found.select("query_id", "rank", "chunk_id", "hits", "names", "entity_ids", "year")
+
+
+def _years(spark, d):
+    """(chunk_id, year): the order's year."""
+    return _read(spark, d, "orders").select(F.col("o_orderkey").alias("chunk_id"), F.year("o_orderdate").alias("year"))
 
 
 @register(
     "relation_retrieval",
     f"""WITH {KEYS}, r AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst, l_returnflag AS type, 'part ' || l_partkey || ' from ' || l_suppkey AS description FROM lineitem),
-    s AS (SELECT query_id, src, dst, type, count(DISTINCT keyword) AS score FROM r JOIN keys ON contains(description, keyword) GROUP BY ALL)
-    SELECT query_id, src, dst, type, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, src, dst, type) AS INTEGER) AS rank FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, src, dst, type) <= 10""",
+    s AS (SELECT query_id, src, dst, type, count(DISTINCT keyword) AS score FROM r JOIN keys ON contains(description, keyword) GROUP BY ALL), y AS (SELECT l_partkey AS src, CAST(max(year(o_orderdate)) AS INTEGER) AS year FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL)
+    SELECT query_id, src, dst, type, score, year, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, src, dst, type) AS INTEGER) AS rank FROM s LEFT JOIN y USING (src) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, src, dst, type) <= 10""",
 )
 def relation_retrieval(spark, d):
     rows = _read(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), F.col("l_returnflag").alias("type")).distinct()
     rows = rows.withColumn("description", F.concat(F.lit("part "), F.col("src"), F.lit(" from "), F.col("dst")))
-    return G.matching_relations(_keywords(spark, d), rows, 10)
+    mentions = _read(spark, d, "lineitem").select(F.col("l_orderkey").alias("chunk_id"), F.col("l_partkey").alias("entity_id"))
+    found = G.matching_relations(_keywords(spark, d), rows, 10, mentions=mentions, years=_years(spark, d))
+    return found.select("query_id", "src", "dst", "type", "score", "year", "rank")
 
 
 @register(

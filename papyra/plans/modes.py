@@ -39,7 +39,7 @@ def _graph_hits(spark, d, k, of=None):
     entities = _read(spark, d, "part").select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("name"))
     chunks = _read(spark, d, "embeddings").agg(F.count("*").alias("chunks"))  # one row
     mentions = _read(spark, d, "lineitem").crossJoin(F.broadcast(chunks)).select((F.col("l_orderkey") % F.col("chunks")).alias("chunk_id"), F.col("l_partkey").alias("entity_id")).distinct()
-    return G.matching_chunks(_only(_keywords(spark, d), of), entities, mentions, k).select("query_id", "rank", F.col("chunk_id").alias("key"), F.col("hits").alias("score"))
+    return G.chunk_hits(_only(_keywords(spark, d), of), entities, mentions, k).select("query_id", "rank", F.col("chunk_id").alias("key"), F.col("hits").alias("score"))
 
 
 def _local(spark, d, k):
@@ -55,8 +55,7 @@ def _relation_hits(spark, d, k, of=None):
 def _entity_hits(spark, d, k, of=None):
     """Entities by name: the first of those whose name has a keyword."""
     entities = _read(spark, d, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("name"))
-    hit = G.containing(entities, "name", _only(_keywords(spark, d), of)).select("query_id", "key", F.lit(1).alias("score")).distinct()
-    return R.top_k(hit, k).select("query_id", "rank", "key", "score")
+    return G.named_hits(_only(_keywords(spark, d), of), entities, k)
 
 
 def _edges(spark, d):

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from papyra.operators import bm25 as B
 from papyra.operators import retrieval as R
 from papyra.plans.registry import register
+from papyra.sources.scratch import spread
 
 TOKENS = r"list_filter(regexp_split_to_array(lower(coalesce({}, '')), '[^\p{{{{L}}}}\p{{{{N}}}}\p{{{{M}}}}_]+'), lambda t: t <> '')"
 
@@ -34,9 +36,14 @@ bm AS (SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY quer
 """
 
 
+def _index(spark, d):
+    """The documents' index, for all searches of a query."""
+    return B.build(spread(_docs(spark, d)))
+
+
 @register("bm25_topk", f"WITH {BM25_CTE.format(k=10)} SELECT * FROM bm")
 def bm25_topk(spark, d):
-    return R.bm25(_docs(spark, d), _asked(spark, d), 10)
+    return B.search(_index(spark, d), _asked(spark, d), 10)
 
 
 def _vectors(spark, d):
@@ -84,15 +91,6 @@ cv AS (SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY quer
 """
 
 
-def _coverage(spark, d, k):
-    terms = _asked(spark, d).select("query_id", F.explode(F.array_distinct(R.tokens(F.col("text")))).alias("term"))
-    size = terms.groupBy("query_id").agg(F.count("*").alias("nq"))
-    # a document's words reach the join only if a query has them: the queries' terms are few, or Spark joins by shuffle
-    index = _docs(spark, d).select("key", F.explode(F.array_distinct(R.tokens(F.col("text")))).alias("term"))
-    found = terms.join(index, "term").groupBy("query_id", "key").agg(F.count("*").alias("n")).join(size, "query_id")
-    return R.top_k(found.withColumn("score", F.round(F.col("n") / F.col("nq"), 6)), k).select("query_id", "rank", "key", "score")
-
-
 RRF_CTE = """
 u AS (SELECT query_id, key, rank, 0 AS l FROM bm UNION ALL SELECT query_id, key, rank, 1 FROM cv),
 f0 AS (SELECT query_id, key, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min(l * 1000000 + rank) AS first FROM u GROUP BY ALL),
@@ -102,7 +100,8 @@ fu AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s
 
 @register("hybrid_rrf", f"WITH {BM25_CTE.format(k=10)}, {COVER_CTE.format(k=10)}, {RRF_CTE} SELECT * FROM fu WHERE rank <= 5")
 def hybrid_rrf(spark, d):
-    return R.fuse([R.bm25(_docs(spark, d), _asked(spark, d), 10), _coverage(spark, d, 10)], 5)
+    index = _index(spark, d)
+    return R.fuse([B.search(index, _asked(spark, d), 10), B.coverage(index, _asked(spark, d), 10)], 5)
 
 
 @register(
@@ -112,12 +111,13 @@ def hybrid_rrf(spark, d):
     SELECT query_id, key, l AS list_no, CAST(row_number() OVER (PARTITION BY query_id ORDER BY l, rank) AS INTEGER) AS rank FROM o QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY l, rank) <= 7""",
 )
 def first_wins_merge(spark, d):
-    merged = R.first_wins([R.bm25(_docs(spark, d), _asked(spark, d), 5), _coverage(spark, d, 5)], 7, "key")
+    index = _index(spark, d)
+    merged = R.first_wins([B.search(index, _asked(spark, d), 5), B.coverage(index, _asked(spark, d), 5)], 7, "key")
     return merged.select("query_id", "key", "list_no", "rank")
 
 
 def _ranked_with_length(spark, d):
-    return R.bm25(_docs(spark, d), _asked(spark, d), 20).join(_docs(spark, d).select("key", F.length("text").alias("n")), "key")
+    return B.search(_index(spark, d), _asked(spark, d), 20).join(_docs(spark, d).select("key", F.length("text").alias("n")), "key")
 
 
 @register(
@@ -153,7 +153,7 @@ DATED = f"""y AS (SELECT query_id, key, rank, {YEAR.format("key")} AS year, CASE
 
 @register("year_filter", f"WITH {BM25_CTE.format(k=20)}, {DATED} SELECT query_id, key, year FROM y WHERE year IS NULL OR ((year_from IS NULL OR year >= year_from) AND (year_to IS NULL OR year <= year_to))")
 def year_filter(spark, d):
-    return R.keep_years(_dated(R.bm25(_docs(spark, d), _asked(spark, d), 20)), F.col("year_from"), F.col("year_to")).select("query_id", "key", "year")
+    return R.keep_years(_dated(B.search(_index(spark, d), _asked(spark, d), 20)), F.col("year_from"), F.col("year_to")).select("query_id", "key", "year")
 
 
 @register(
@@ -163,7 +163,7 @@ def year_filter(spark, d):
     SELECT query_id, key, rank, year FROM n WHERE CASE WHEN n1 >= 3 THEN s WHEN n2 >= 3 THEN w ELSE TRUE END""",
 )
 def progressive_relaxation(spark, d):
-    return R.relaxed_years(_dated(R.bm25(_docs(spark, d), _asked(spark, d), 12))).select("query_id", "key", "rank", "year")
+    return R.relaxed_years(_dated(B.search(_index(spark, d), _asked(spark, d), 12))).select("query_id", "key", "rank", "year")
 
 
 @register(
@@ -172,7 +172,7 @@ def progressive_relaxation(spark, d):
     string_agg('lib/' || bm.key || '.txt', ';' ORDER BY rank) AS sources FROM bm JOIN documents ON doc_id = bm.key GROUP BY query_id""",
 )
 def context_assembly(spark, d):
-    hits = R.bm25(_docs(spark, d), _asked(spark, d), 4).join(_docs(spark, d), "key")
+    hits = B.search(_index(spark, d), _asked(spark, d), 4).join(_docs(spark, d), "key")
     hits = hits.withColumn("file_path", F.concat(F.lit("lib/"), F.col("key"), F.lit(".txt"))).withColumn("chunk_index", F.col("key") % 7).withColumn("content", F.col("text"))
     return R.context(hits)
 
@@ -185,7 +185,7 @@ def context_assembly(spark, d):
 )
 def multi_question_fanout(spark, d):
     """Sub-questions are rows with a parent; each parent gets its sources once, in order of first appearance."""
-    hits = R.bm25(_docs(spark, d), _asked(spark, d), 3).withColumn("parent_id", F.col("query_id") % 10)
+    hits = B.search(_index(spark, d), _asked(spark, d), 3).withColumn("parent_id", F.col("query_id") % 10)
     once = hits.groupBy("parent_id", "key").agg(F.min(F.struct("query_id", "rank")).alias("first"))
     whole = once.groupBy("parent_id").agg(F.array_sort(F.collect_list(F.struct("first", "key"))).alias("s"))
     return whole.select("parent_id", F.size("s").cast("long").alias("n_sources"), F.array_join(F.transform("s.key", lambda x: x.cast("string")), ",").alias("sources"))

@@ -10,6 +10,7 @@ from papyra.operators import sessions as S
 from papyra.operators import tools
 from papyra.plans.logs import STATS, _strategies
 from papyra.plans.registry import register
+from papyra.sources.scratch import spread
 from papyra.plans.retrieval import BM25_CTE, _asked, _docs
 
 
@@ -43,7 +44,7 @@ def research_contexts(spark, d):
     questions = items.select(F.floor(F.col("item_id") / 5).alias("parent_id"), F.col("item_id").alias("query_id"), F.concat(F.lit("Question "), "item_id").alias("question"))
     usage = items.select(F.col("item_id").alias("query_id"), F.length("text").alias("prompt"), F.lit(7).alias("completion"))
     docs = _docs(spark, d).select("key", F.substring(F.replace("text", F.lit("\n"), F.lit(" ")), 1, 60).alias("content"))
-    hits = R.bm25(_docs(spark, d), _asked(spark, d), 3).join(docs, "key").withColumn("source", F.concat(F.lit("doc-"), "key"))
+    hits = R.bm25(spread(_docs(spark, d)), _asked(spark, d), 3).join(docs, "key").withColumn("source", F.concat(F.lit("doc-"), "key"))
     done = Q.researched(questions, hits, usage)
     return done.select("parent_id", "n_questions", F.md5("context").alias("context_md5"), F.array_join("sources", ",").alias("sources"), "prompt_tokens", "completion_tokens", "total_tokens")
 

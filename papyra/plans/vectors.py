@@ -35,8 +35,8 @@ def _entities(spark, d):
 def _relations(spark, d):
     nations = _read(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
     rows = _read(spark, d, "supplier").join(F.broadcast(nations), "s_nationkey")  # 25 nations
-    rows = rows.select(F.col("s_suppkey").alias("src"), F.col("s_nationkey").alias("dst"), F.col("s_name").alias("src_name"), F.col("n_name").alias("dst_name"), F.lit("LOCATED_IN").alias("type"))
-    return rows.withColumn("description", F.concat_ws(" ", "src_name", F.lit("is located in"), "dst_name"))
+    rows = rows.select(F.col("s_suppkey").alias("src"), F.col("s_nationkey").alias("dst"), F.col("s_name").alias("src_name"), F.col("n_name").alias("dst_name"), F.lit("LOCATED_IN").alias("type"), F.concat(F.lit("branch "), F.col("s_suppkey") % 50).alias("description"))
+    return rows
 
 
 def _unit(rows: str, key: str) -> str:
@@ -54,7 +54,7 @@ def _near(name: str, asked: str, rows: str, k: int) -> str:
 QUESTIONS = """qs AS (SELECT item_id AS query_id, CASE WHEN item_id % 3 = 0 THEN 'located in NATION' || item_id % 25 END AS hl, CASE WHEN item_id % 3 <= 1 THEN 'Part TYPE' || item_id % 7 END AS ll, text AS question FROM benchmark),
 eq AS MATERIALIZED (SELECT query_id, coalesce(ll, hl, question) AS text FROM qs), rq AS MATERIALIZED (SELECT query_id, coalesce(hl, ll, question) AS text FROM qs),
 en AS MATERIALIZED (SELECT p_partkey AS key, concat_ws(' ', p_name, p_type, p_brand) AS text FROM part),
-re AS MATERIALIZED (SELECT s_suppkey || '::' || s_nationkey AS key, s_suppkey AS src, s_nationkey AS dst, s_name, n_name, 'LOCATED_IN ' || s_name || ' is located in ' || n_name AS text FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
+re AS MATERIALIZED (SELECT s_suppkey || '::' || s_nationkey AS key, s_suppkey AS src, s_nationkey AS dst, s_name, n_name, s_name || ' LOCATED_IN ' || n_name || ' branch ' || s_suppkey % 50 AS text FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
 
 
 @register("entity_vector_search", f"WITH {QUESTIONS}, {_near('ev', 'eq', 'en', 5)} SELECT query_id, key, rank FROM ev")
@@ -64,7 +64,7 @@ def entity_vector_search(spark, d):
 
 @register(
     "relation_vector_search",
-    f"""WITH {QUESTIONS}, {_near('rv', 'rq', 're', 5)} SELECT query_id, key, rank, 'Relation: ' || s_name || ' -[LOCATED_IN]-> ' || n_name || chr(10) || 'Source: ' || s_name || chr(10) || 'Target: ' || n_name || chr(10) || 'Type: LOCATED_IN' || chr(10) || 'Description: ' || s_name || ' is located in ' || n_name AS card FROM rv JOIN re USING (key)""",
+    f"""WITH {QUESTIONS}, {_near('rv', 'rq', 're', 5)} SELECT query_id, key, rank, 'Relation: ' || s_name || ' -[LOCATED_IN]-> ' || n_name || chr(10) || 'Source: ' || s_name || chr(10) || 'Target: ' || n_name || chr(10) || 'Type: LOCATED_IN' || chr(10) || 'Description: branch ' || src % 50 AS card FROM rv JOIN re USING (key)""",
 )
 def relation_vector_search(spark, d):
     return R.relation_vector_search(_relations(spark, d), _questions(spark, d), 5, places=5).select("query_id", "key", "rank", "card")

@@ -33,3 +33,10 @@ def written(df: DataFrame) -> DataFrame:
     folder = shared_folder(df.sparkSession)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """The rows of a plain scan over all cores, where the files are in fewer pieces than there are cores (small or
+    unsplittable ones). Larger tables are left where they are."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

@@ -5,12 +5,20 @@ from __future__ import annotations
 import datetime
 import io
 import json
+import math
 import random
+import re
 import zipfile
+from collections import Counter
 
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from papyra.functions import text as X
+from papyra.operators import bm25, keyword_match
 from papyra.operators import chunking as C
 from papyra.operators import graph as G
 from papyra.operators import hooks as H
@@ -264,26 +272,103 @@ def test_vector_search_by_blocks_against_all_pairs(spark):
     for q, v in asked[:-1]:
         near = sorted((sum((a - b) ** 2 for a, b in zip(v, w, strict=True)), n) for n, w in whole if len(w) == 4)[:6]
         want += [(q, r + 1, n, s) for r, (s, n) in enumerate(near)]
-    for sizes in ({}, {"block_rows": 40, "block_queries": 9}):
+    for sizes in ({}, {"broadcast_queries": 0, "block_rows": 40, "block_queries": 9}):
         assert sorted(tuple(r) for r in R.vector_top_k(vectors, queries, 6, **sizes).collect()) == sorted(want)
 
 
-def test_bm25_broadcasts_or_joins_terms_alike(spark):
-    docs = spark.createDataFrame([(n, t) for n, t in enumerate(["a b c", "a a d", "", None, "e f a", "b b b c"])], "key long, text string")
-    queries = spark.createDataFrame([(1, "a b b"), (2, "zz"), (3, None), (4, "F c")], "query_id long, text string")
-    both = [sorted(tuple(r) for r in R.bm25(docs, queries, 3, broadcast_terms=n).collect()) for n in (100, 0)]
-    assert both[0] == both[1] and {r[0] for r in both[0]} == {1, 4}
-
-
-def test_many_keywords_meet_texts_by_grams(spark):
+def brute_bm25(docs, queries, k):
+    words = {key: re.findall(r"\w+", (t or "").lower()) for key, t in docs}
+    n, mean = len(docs), sum(map(len, words.values())) / len(docs)
+    df = Counter(w for own in words.values() for w in set(own))
+    idf = {w: math.log(n - c + 0.5) - math.log(c + 0.5) for w, c in df.items()}
+    low = 0.25 * sum(idf.values()) / len(idf)
+    idf = {w: v if v >= 0 else low for w, v in idf.items()}
+    out = []
+    for q, text in queries:
+        scores = {}
+        for key, own in words.items():
+            s = sum(idf.get(w, 0) * own.count(w) * 2.5 / (own.count(w) + 1.5 * (0.25 + 0.75 * len(own) / mean)) for w in re.findall(r"\w+", (text or "").lower()) if w in own)
+            if round(s, 6) > 0:
+                scores[key] = round(s, 6)
+        out += [(q, r + 1, key, s) for r, (key, s) in enumerate(sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("shard", "rows"), [(4096, 200_000), (7, 200_000), (3, 5)])
+def test_bm25_index_against_all_pairs(spark, tmp_path, monkeypatch, shard, rows):
+    monkeypatch.setattr(bm25, "SHARD_DOCS", shard)
+    monkeypatch.setattr(bm25, "BLOCK", 4)
+    monkeypatch.setattr(bm25, "BROADCAST_ROWS", rows)
+    rng = random.Random(8)
+    vocabulary = [f"w{n}" for n in range(40)] + ["Ünder_score", "é2"]
+    docs = [(n, " ".join(rng.choices(vocabulary, weights=[3 / (i + 1) for i in range(42)], k=rng.randint(1, 25)))) for n in range(90)] + [(100, None), (101, ""), (102, "w1 " * 500), (103, "w39 w38"), (104, "w39 w38")]
+    queries = [(1, "w1 w2, W2 w39"), (2, " ".join(vocabulary)), (3, None), (4, "nothing"), (5, "w39"), (6, "ünder_score é2 w0"), (7, "w0 w0 w0")]
+    index = bm25.build(spark.createDataFrame(docs, "key long, text string").repartition(2))
+    index.save(f"{tmp_path}/index")
+    asked = spark.createDataFrame(queries, "query_id long, text string")
+    want = brute_bm25(docs, queries, 6)
+    for use in (index, bm25.Index.load(spark, f"{tmp_path}/index")):
+        got = sorted(tuple(r) for r in bm25.search(use, asked, 6).collect())
+        assert [r[:3] for r in got] == [r[:3] for r in want]
+        assert all(abs(a[3] - b[3]) < 2e-6 for a, b in zip(got, want, strict=True))
+    share = lambda q, t: len(set(re.findall(r"\w+", q.lower())) & set(re.findall(r"\w+", (t or "").lower()))) / len(set(re.findall(r"\w+", q.lower())))
+    covered = []
+    for q, text in queries:
+        near = sorted((-round(share(text, t), 6), key) for key, t in docs if text and share(text, t) > 0)[:4]
+        covered += [(q, r + 1, key, -s) for r, (s, key) in enumerate(near)]
+    assert sorted(tuple(r) for r in bm25.coverage(index, asked, 4).collect()) == sorted(covered)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.integers(0, 2**32 - 1), st.integers(1, 400), st.integers(1, 12), st.integers(1, 20))
+def test_pruning_keeps_the_best_documents(seed, n_docs, n_terms, k):
+    rng = np.random.default_rng(seed)
+    terms, whole = [], np.zeros(n_docs)
+    for _ in range(n_terms):
+        docs = rng.permutation(n_docs)[: rng.integers(1, n_docs + 1)]
+        parts, weight = -np.sort(-rng.random(len(docs)) * 2), float(rng.choice([-0.2, 0.1, 1.0, 5.0]))
+        terms.append((weight, docs, parts))
+        whole[docs] += weight * parts
+    found, scores = bm25.best_documents(terms, n_docs, k, 0.0)
+    best = np.flatnonzero(whole > max(0.0, np.sort(whole)[-min(k, n_docs)] - 1e-9))
+    assert set(best) <= set(found.tolist())
+    assert np.allclose(scores, whole[found])
+
+
+def test_bm25_without_documents(spark):
+    none = spark.createDataFrame([], "key long, text string")
+    asked = spark.createDataFrame([(1, "a")], "query_id long, text string")
+    assert R.bm25(none, asked, 3).collect() == []
+    assert R.bm25(asked.withColumnRenamed("query_id", "key"), none.withColumnRenamed("key", "query_id"), 3).collect() == []
+
+
+def test_many_keywords_in_many_texts(spark, monkeypatch):
     rng = random.Random(4)
     texts = [(n, "".join(rng.choice("abcAB é") for _ in range(rng.randint(0, 12)))) for n in range(120)] + [(500, None), (501, "")]
     keys = [(n % 9, "".join(rng.choice("abc é") for _ in range(rng.randint(1, 5)))) for n in range(60)] + [(1, " "), (2, ""), (3, None)]
     rows, keywords = spark.createDataFrame(texts, "id long, t string"), spark.createDataFrame(keys, "query_id long, keyword string")
     want = sorted((i, q, k) for i, t in texts for q, k in keys if t and k and k.strip(" ") and k.lower() in t.lower())
-    for limit in (1000, 0):
-        got = G.containing(rows, "t", keywords, few_keywords=limit).select("id", "query_id", "keyword")
+    members = [(g, i) for i in range(120) for g in {i % 7, i % 5, 0} if i % 11]
+    for limit in (2_000_000, 20):
+        monkeypatch.setattr(keyword_match, "AUTOMATON_CHARS", limit)
+        got = G.containing(rows, "t", keywords).select("id", "query_id", "keyword")
         assert sorted(tuple(r) for r in got.collect()) == want
+        for count in (True, False):
+            top = keyword_match.keyword_top_k(rows, "t", keywords, 4, ["id"], count=count).select("query_id", "rank", "id", "score").collect()
+            best = []
+            for q in {q for _, q, _ in want}:
+                n = Counter(i for i, x in {(i, k.lower()) for i, p, k in want if p == q})
+                first = sorted((-(c if count else 1), i) for i, c in n.items())[:4]
+                best += [(q, r + 1, i, -c) for r, (c, i) in enumerate(first)]
+            assert sorted(tuple(r) for r in top) == sorted(best)
+        mentions = spark.createDataFrame(members, "chunk_id long, entity_id long")
+        hits = G.chunk_hits(keywords, rows.withColumnsRenamed({"id": "entity_id", "t": "name"}), mentions, 3).collect()
+        best = []
+        for q in {q for _, q, _ in want}:
+            mine = {i for i, p, _ in want if p == q}
+            n = Counter(g for g, i in members if i in mine)
+            best += [(q, r + 1, g, -c) for r, (c, g) in enumerate(sorted((-c, g) for g, c in n.items())[:3])]
+        assert sorted(tuple(r) for r in hits) == sorted(best)
 
 
 def test_relation_search_asks_with_topics_then_names_then_the_question(spark):
