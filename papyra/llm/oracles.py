@@ -47,15 +47,16 @@ base AS (
   UNION ALL SELECT 2, * FROM ({_found("hex", HEX)})),
 b AS (SELECT r, o, kind, CAST(s0 AS BIGINT) AS s0, CAST(s0 + length(s) AS BIGINT) AS e0 FROM base),
 c0 AS (SELECT r, CAST(s0 AS BIGINT) AS s0, CAST(s0 + length(s) AS BIGINT) AS e0, s FROM ({_found("entropy", CANDIDATE)})),
-c AS (SELECT *, CASE WHEN regexp_matches(s, '^[0-9a-fA-F]+$') THEN {LEAST_HEX} ELSE {LEAST_BASE64} END AS least FROM c0
-      WHERE regexp_matches(s, '[0-9]')
-        AND (regexp_matches(s, '^[0-9a-fA-F]+$') OR regexp_matches(s, '[A-Z]') OR regexp_matches(s, '[a-z]'))
-        AND NOT regexp_matches(s, '^[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{12}}$|^(sha1|sha256|sha384|sha512|md5)-|(?i:example|placeholder|changeme|dummy|sample)|0123456789|abcdefghij')
+c1 AS (SELECT r, s0, e0, unnest(string_split(regexp_replace(s, '[^/=_-]{{0,64}}(?:(?i:example|placeholder|changeme|dummy|sample)|0123456789|abcdefghij)[^/=_-]{{0,64}}', ' ', 'g'), ' ')) AS s FROM c0
+      WHERE NOT regexp_matches(s, '^[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{12}}$|^(sha1|sha256|sha384|sha512|md5)-')
         AND length(replace(s, s[1], '')) > 0
         AND NOT EXISTS (SELECT 1 FROM b WHERE b.r = c0.r AND b.s0 < c0.e0 AND c0.s0 < b.e0)),
-w AS (SELECT r, s0, e0, least, k, unnest(string_split(s[k:k + {WINDOW - 1}], '')) AS ch FROM (SELECT *, unnest(range(1, length(s) - {WINDOW} + 2)) AS k FROM c)),
-n AS (SELECT r, s0, e0, least, k, ch, count(*) AS n FROM w GROUP BY ALL),
-e AS (SELECT r, s0, e0 FROM (SELECT r, s0, e0, least, k, round(log2({WINDOW}) - sum(n * log2(n)) / {WINDOW}, 9) AS h FROM n GROUP BY ALL) GROUP BY r, s0, e0, least HAVING max(h) >= least),
+c AS (SELECT *, row_number() OVER () AS piece, CASE WHEN regexp_matches(s, '^[0-9a-fA-F]+$') THEN {LEAST_HEX} ELSE {LEAST_BASE64} END AS least FROM c1
+      WHERE regexp_matches(s, '[0-9]') AND length(s) >= {WINDOW}
+        AND (regexp_matches(s, '^[0-9a-fA-F]+$') OR regexp_matches(s, '[A-Z]') OR regexp_matches(s, '[a-z]'))),
+w AS (SELECT r, s0, e0, piece, least, k, unnest(string_split(s[k:k + {WINDOW - 1}], '')) AS ch FROM (SELECT *, unnest(range(1, length(s) - {WINDOW} + 2)) AS k FROM c)),
+n AS (SELECT r, s0, e0, piece, least, k, ch, count(*) AS n FROM w GROUP BY ALL),
+e AS (SELECT DISTINCT r, s0, e0 FROM (SELECT r, s0, e0, piece, least, k, round(log2({WINDOW}) - sum(n * log2(n)) / {WINDOW}, 9) AS h FROM n GROUP BY ALL) GROUP BY r, s0, e0, piece, least HAVING max(h) >= least),
 a AS (SELECT r, o, kind, s0, e0 FROM b UNION ALL SELECT r, 3, 'entropy', s0, e0 FROM e),
 g AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
         string_agg(kind || ':' || s0 || ':' || e0, ',' ORDER BY s0, o) FILTER (o < 3) AS base, string_agg(kind || ':' || s0 || ':' || e0, ',' ORDER BY s0, o) AS spans FROM a GROUP BY r)

@@ -6,7 +6,7 @@ candidate strings (runs of [A-Za-z0-9+/_=-]) are scanned by a window of WINDOW c
 Shannon entropy of the window, per character class, is kept up from the counts of the one character that enters and
 the one that leaves. A candidate of a class (hex, or base64 with characters of two of: capitals, small letters,
 digits) is a secret if a window reaches the class's threshold, unless an allow-list pattern matches it or it overlaps
-a known format; it is reported as kind `entropy`.
+a known format; windows near a word of the allow-list, in its segment, don't count. It is reported as kind `entropy`.
 
 Spans are code points, end exclusive. Null and empty texts have none. Rows that repeat are scanned one by one.
 """
@@ -39,14 +39,16 @@ WINDOW = 20
 CANDIDATE = f"[A-Za-z0-9+/_=-]{{{WINDOW},}}"
 #: The greatest entropy of a window is log2(20) = 4.32 bits. Random hex has 3.3 on average, random base64 4.0.
 THRESHOLDS = {"hex": 2.9, "base64": 3.7}
-#: Strings that look random and are no secrets.
+#: Candidates that look random and are no secrets, as a whole.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",  # UUIDs
     r"^(sha1|sha256|sha384|sha512|md5)-",  # integrity attributes
-    r"(?i)example|placeholder|changeme|dummy|sample",
     r"^(.)\1+$",
-    r"0123456789|abcdefghij",
 )
+#: Words that mark what is around them as no secret: their segment (between the characters / = _ -), as far as
+#: NEAR characters on either side. What is left of the candidate is scanned all the same.
+NEAR = 64
+ALLOWED_WORDS = rf"[^/=_-]{{0,{NEAR}}}(?:(?i:example|placeholder|changeme|dummy|sample)|0123456789|abcdefghij)[^/=_-]{{0,{NEAR}}}"
 KINDS = ("assign", "access", "hex", "entropy")
 
 
@@ -143,15 +145,21 @@ def best_entropy(s: Column, window: int = WINDOW) -> Column:
     return F.when(F.length(s) >= window, F.lit(math.log2(window)) - least.cast("double") / F.lit(UNIT * window))
 
 
-def is_secret(s: Column) -> Column:
-    """Whether a candidate's class reaches its threshold and no allow-list pattern matches."""
+def is_random(s: Column) -> Column:
+    """Whether a string's class reaches its threshold."""
     kinds = sum(F.rlike(s, F.lit(p)).cast("int") for p in ("[A-Z]", "[a-z]", "[0-9]"))
     least = F.when(F.rlike(s, F.lit("^[0-9a-fA-F]+$")) & F.rlike(s, F.lit("[0-9]")), F.lit(THRESHOLDS["hex"])).when(kinds >= 2, F.lit(THRESHOLDS["base64"]))
+    digits = F.rlike(s, F.lit("[0-9]"))  # words joined by hyphens or slashes have none
+    return least.isNotNull() & digits & (F.round(best_entropy(s), 9) >= least)
+
+
+def is_secret(s: Column) -> Column:
+    """Whether a candidate that no allow-list pattern matches is random in a part that no allowed word covers."""
     allowed = F.lit(False)
     for p in ALLOWED:
         allowed = allowed | F.rlike(s, F.lit(p))
-    digits = F.rlike(s, F.lit("[0-9]"))  # words joined by hyphens or slashes have none
-    return least.isNotNull() & digits & ~allowed & (F.round(best_entropy(s), 9) >= least)
+    parts = F.split(F.regexp_replace(s, F.lit(ALLOWED_WORDS), F.lit(" ")), " ")
+    return ~allowed & F.exists(F.filter(parts, lambda p: F.length(p) >= WINDOW), is_random)
 
 
 def _named(n: int, kind: str):
