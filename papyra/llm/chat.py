@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from papyra.llm.common import bound_batches, cut
 
@@ -63,7 +64,7 @@ NODES = T.ArrayType(
         ]
     )
 )
-PACKED = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("tree", T.StringType()), T.StructField("path", T.ArrayType(T.LongType())), T.StructField("nodes", NODES)])
+PACKED = [T.StructField("tree", T.StringType()), T.StructField("path", T.ArrayType(T.LongType())), T.StructField("nodes", NODES)]
 
 
 def digest(text: str) -> str:
@@ -121,7 +122,7 @@ SUMMARY = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("f
 def conversations_sorted(rows: DataFrame) -> DataFrame:
     """One row a conversation: conv_id, tree (hash of its first turn), turns; sorted by path, over the partitions too."""
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    turns = rows.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.array_sort(F.collect_list(F.struct("turn", role.alias("role"), text.alias("words")))).alias("turns"))
+    turns = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", role.alias("role"), text.alias("words")))).alias("turns"))
     turns = turns.select("conv_id", F.transform("turns", lambda t: F.struct(format_turn(t["role"], t["words"]).alias("text"), (t["role"] == ASSISTANT).alias("loss"))).alias("turns"))
     hashed = turns.withColumn("hashes", F.transform("turns", lambda t: F.xxhash64(t["text"])))
     hashed = hashed.withColumn("tree", F.sha2(F.element_at("turns", 1)["text"], 256))
@@ -134,6 +135,8 @@ def pack(rows: DataFrame) -> DataFrame:
     path: the packed starts of all the conversation's nodes in its tree; nodes: those that no earlier one has.
     """
     bound_batches(rows.sparkSession)
+    packed = T.StructType([rows.schema["conv_id"], *PACKED])
+    arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in packed])
     ordered = cut(conversations_sorted(rows).withColumn("part", F.spark_partition_id()))
 
     def summarise(batches):
@@ -167,19 +170,9 @@ def pack(rows: DataFrame) -> DataFrame:
                     packer = Packer(shared.value.get(row["part"]))
                 tree, path, nodes = packer.add(row["turns"], row["tree"])
                 out.append({"conv_id": row["conv_id"], "tree": tree, "path": path, "nodes": nodes})
-            yield pa.RecordBatch.from_pylist(out, schema=ARROW_PACKED)
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
-    return ordered.mapInArrow(emit, PACKED)
-
-
-ARROW_PACKED = pa.schema(
-    [
-        ("conv_id", pa.int64()),
-        ("tree", pa.string()),
-        ("path", pa.list_(pa.int64())),
-        ("nodes", pa.list_(pa.struct([("packed_start", pa.int64()), ("position", pa.int64()), ("text", pa.string()), ("loss_start", pa.int64()), ("loss_end", pa.int64()), ("attends", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]))),
-    ]
-)
+    return ordered.mapInArrow(emit, packed)
 
 
 def carried_state(before: dict | None, first: dict, last: dict) -> dict:

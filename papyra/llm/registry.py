@@ -50,8 +50,9 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
-    rows = rows.unionByName(spark.createDataFrame(MARKED, "conv_id long, turn long, role string, text string"))
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long"), "role", "text")
+    marked = spark.createDataFrame(MARKED, "conv_id long, turn long, role string, text string")
+    rows = rows.unionByName(marked.withColumn("conv_id", F.col("conv_id").cast(rows.schema["conv_id"].dataType)))
     turns = chat.parse_turns(chat.read_back(cut(chat.pack(rows))))
     loss = chat.unescape(F.expr("substring(text, cast(loss_start as int) + 1, cast(loss_end - loss_start as int))"))
     turns = turns.select("conv_id", F.struct("turn_no", F.concat("role", F.lit("\n"), "words", F.lit("\n")).alias("said"), loss.alias("loss"), F.length("text").alias("n")).alias("t"))
