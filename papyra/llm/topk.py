@@ -14,7 +14,7 @@ reaches it. Queries and candidates are dealt over blocks of bounded size; a task
 merged with those of the other blocks by a window per query.
 
 Vectors that are null or hold null or non-finite components take no part; vectors are compared with those of the
-same length only. Scaled components are held to +-2^62, scores to the range of a long; vectors whose products doubles
+same length only. Ids may be of any type. Scaled components are held to +-2^62, scores to the range of a long; vectors whose products doubles
 don't hold exactly are compared as whole numbers of any size, a small tile at a time. Rows that repeat are candidates
 and queries of their own. Ties go to the smaller id, null ids last. Queries without candidates have no rows.
 """
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from papyra.llm.common import bound_batches, cut
+from papyra.llm.common import bound_batches, cut, free_names, placed
 
 #: The share of a vector's components that is resolved at each level, and the segments of the rest.
 RESOLVED = (0.0, 0.5, 0.75)
@@ -182,6 +182,14 @@ def topk(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id_
     Components are floor(scale * x), x as a double; the score is their integer inner product.
     """
     spark = vectors.sparkSession
+    if not isinstance(vectors.schema[id_col].dataType, T.IntegralType):  # by the ids' places in their order
+        place, asks = free_names(vectors, "id_place", "id_asks")
+        numbered = placed(vectors.withColumn(asks, F.coalesce(is_query, F.lit(False))), F.asc_nulls_last(id_col), place)
+        numbered = cut(numbered)
+        found = topk(numbered, F.col(asks), k, scale, place, vector_col)
+        named = lambda name: numbered.select(F.col(place).alias(f"{name}_place"), F.col(id_col).alias(name))
+        found = found.withColumnsRenamed({"query_id": "query_id_place", "vec_id": "vec_id_place"})
+        return found.join(named("query_id"), "query_id_place").join(named("vec_id"), "vec_id_place").select("query_id", "rank", "vec_id", "score")
     bound_batches(spark)
     parallel = spark.sparkContext.defaultParallelism
     finite = F.forall(vector_col, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
