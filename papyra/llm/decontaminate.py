@@ -21,14 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from papyra.llm.common import WORD_BYTES, append_columns, cut, raw_texts, words_of
+from papyra.llm.common import WORD_BYTES, append_columns, cut, free_names, raw_texts, words_of
 
 #: An automaton is built over at most about so many characters of items; larger sets are scanned in blocks, one
 #: after the other, so that what is broadcast and what a worker holds stay bounded.
 BLOCK_CHARS = 2_000_000
 
 #: The column that carries hits from block to block.
-CARRIED = "_hits_so_far"
 HITS = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType()), T.StructField("item", T.StringType())]))
 HITS_ARROW = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("item", pa.string())]))
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
@@ -102,9 +101,9 @@ def _automaton(key: str, items, window: int):
     return _KEPT[key]
 
 
-def _scan(docs: DataFrame, items, window: int, text_col: str, carried: bool, last: bool) -> DataFrame:
+def _scan(docs: DataFrame, items, window: int, text_col: str, name: str, carried: bool, last: bool) -> DataFrame:
     key = uuid.uuid4().hex
-    hits_field = T.StructField(CARRIED, HITS)
+    hits_field = T.StructField(name, HITS)
     added = [
         T.StructField("n_words", T.LongType()),
         T.StructField("n_hit", T.LongType()),
@@ -117,7 +116,7 @@ def _scan(docs: DataFrame, items, window: int, text_col: str, carried: bool, las
 
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
             raws = raw_texts(batch.column(text_col))
-            before = batch.column(CARRIED).to_pylist() if carried else [None] * len(raws)
+            before = batch.column(name).to_pylist() if carried else [None] * len(raws)
             out: list[list] = [[], [], [], [], []]
             for raw, old in zip(raws, before, strict=True):
                 words = words_of(raw)
@@ -137,7 +136,7 @@ def _scan(docs: DataFrame, items, window: int, text_col: str, carried: bool, las
         return work
 
     done = append_columns(docs, T.StructType(added if last else [hits_field]), start)
-    return done.drop(CARRIED) if last and carried else done
+    return done.drop(name) if last and carried else done
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -149,11 +148,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, text_col:
     items = items.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
     total = items.agg(F.sum(F.length("text") + 16)).first()[0] or 0
     n_blocks = max(1, -(-int(total) // block_chars))
-    docs = docs.drop(CARRIED)
+    name = free_names(docs, "hits_so_far")[0]
     for k in range(n_blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k) if n_blocks > 1 else items
         shared = spark.sparkContext.broadcast([(r[0], r[1]) for r in block.collect()])
-        docs = _scan(docs, shared, window, text_col, carried=k > 0, last=k == n_blocks - 1)
+        docs = _scan(docs, shared, window, text_col, name, carried=k > 0, last=k == n_blocks - 1)
         if k < n_blocks - 1:
             docs = cut(docs)
     return docs
