@@ -34,15 +34,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from papyra.llm.common import append_columns, bound_batches, cut, raw_texts, words_of
+from papyra.llm.common import append_columns, bound_batches, cut, free_names, raw_texts, words_of
 
 SHINGLE, THRESHOLD = 5, 0.8
 HASHES, ROWS, BANDS, STEP = 128, 4, 20, 16
 TOLERANCE = 1e-5
 #: Members of a block of a bucket, and of a candidate group (there also bounded by the shingles that they hold).
 BUCKET_BLOCK, GROUP_BLOCK, GROUP_SHINGLES = 2048, 512, 1_000_000
-#: Bits of the filter by which the second scan passes over texts that are in no candidate group: of fixed size.
-FILTER_BITS = 1 << 22
+#: The second scan passes over texts that are in no candidate group by a filter of FILTER_SHARE bits a candidate, at
+#: least 2^FILTER_LEAST and at most 2^FILTER_MOST; for more candidates texts and candidates meet by a semi-join first.
+FILTER_SHARE, FILTER_LEAST, FILTER_MOST = 16, 22, 25
 MIX = np.uint64(0x9E3779B97F4A7C15)
 _random = np.random.default_rng(20240229)
 _FACTORS = (_random.integers(0, 2**32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -234,20 +235,24 @@ def components(edges: DataFrame) -> DataFrame:
             return roots
 
 
-def _filter_words(ids: DataFrame, column: str) -> dict[int, int]:
-    """A filter of FILTER_BITS bits by hashes of ids; at most FILTER_BITS / 32 numbers, whatever the table's size."""
-    bit = ids.select(F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)).alias("bit")).distinct()
+def _filter_words(ids: DataFrame, column: str, n_bits: int) -> np.ndarray:
+    """A filter of n_bits bits by hashes of ids, as longs of 32 bits each."""
+    bit = ids.select(F.pmod(F.xxhash64(column), F.lit(n_bits)).alias("bit")).distinct()
     words = bit.groupBy(F.expr("cast(bit div 32 as int)").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 32 as int))")).alias("bits"))
-    return {r["w"]: r["bits"] for r in words.collect()}
+    found = words.toArrow()  # n_bits / 32 rows at most
+    bits = np.zeros(n_bits // 32, np.int64)
+    bits[found.column("w").to_numpy()] = found.column("bits").to_numpy()
+    return bits
 
 
 def _shingled(docs: DataFrame, ids: DataFrame, text_col: str, id_col: str) -> DataFrame:
     """(doc_id, sid, shingles) of the texts whose ids may be among `ids`."""
-    words = _filter_words(ids, "doc_id")
-    bits = np.zeros(FILTER_BITS // 32, np.int64)
-    for w, b in words.items():
-        bits[w] = b
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    n = ids.count()
+    size = max(FILTER_LEAST, (FILTER_SHARE * n).bit_length())
+    if size > FILTER_MOST:
+        docs = docs.join(ids.select(F.col("doc_id").alias("_candidate")), F.col(id_col).eqNullSafe(F.col("_candidate")), "left_semi")
+    n_bits = 1 << min(size, FILTER_MOST)
+    shared = docs.sparkSession.sparkContext.broadcast(_filter_words(ids, "doc_id", n_bits))
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("sid", T.BinaryType()), T.StructField("shingles", T.BinaryType())])
     bound_batches(docs.sparkSession)
 
@@ -262,7 +267,7 @@ def _shingled(docs: DataFrame, ids: DataFrame, text_col: str, id_col: str) -> Da
                 ids = [hashlib.blake2b(s, digest_size=16).digest() for s in found]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary()), pa.array(found, pa.binary())], ["doc_id", "sid", "shingles"])
 
-    bit = F.pmod(F.xxhash64(id_col), F.lit(FILTER_BITS)).alias("bit")
+    bit = F.pmod(F.xxhash64(id_col), F.lit(n_bits)).alias("bit")
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), bit).mapInArrow(run, schema)
 
 
@@ -348,14 +353,15 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, text_col: str = "tex
     same = found.where("class_sid IS NOT NULL").groupBy("class_sid", "doc_id", "text_hash").agg(F.count("*").alias("n"))
     judged = same.join(best, F.col("class_sid") == F.col("_class"))
     stays = (F.col("best.doc_id").eqNullSafe(F.col("doc_id"))) & (F.col("best.text_hash") == F.col("text_hash"))
-    gone = judged.where(~stays).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    again = judged.where(stays & (F.col("n") > 1)).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    keyed = docs.withColumn("_text_hash", F.xxhash64(text_col))
-    same_row = lambda other: F.col(id_col).eqNullSafe(other["_id"]) & (F.col("_text_hash") == other["_hash"])
+    gone = judged.where(~stays).select(F.col("doc_id").alias("_id_gone"), F.col("text_hash").alias("_hash_gone"))
+    again = judged.where(stays & (F.col("n") > 1)).select(F.col("doc_id").alias("_id_gone"), F.col("text_hash").alias("_hash_gone"))
+    own = free_names(docs, "text_hash_")[0]
+    keyed = docs.withColumn(own, F.xxhash64(text_col))
+    same_row = lambda other: F.col(id_col).eqNullSafe(other["_id_gone"]) & (F.col(own) == other["_hash_gone"])
     gone = cut(gone)
     left = keyed.join(gone, same_row(gone), "left_anti")
     again = cut(again)
     if again.head(1):
-        once = left.join(again, same_row(again), "left_semi").dropDuplicates([id_col, "_text_hash"])
+        once = left.join(again, same_row(again), "left_semi").dropDuplicates([id_col, own])
         left = left.join(again, same_row(again), "left_anti").unionByName(once)
-    return left.drop("_text_hash")
+    return left.drop(own)
