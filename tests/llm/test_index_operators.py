@@ -16,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from papyra.llm import lexical, registry, simhash, vector_codes
+from papyra.llm import chat, decontaminate, lexical, near_duplicates, registry, secrets, simhash, topk, vector_codes
 
 # --- 11 ----------------------------------------------------------------------------------------------------------
 
@@ -226,3 +226,64 @@ def test_ranked_search_without_items(spark):
     assert len(lexical.ranked_search(docs.repartition(4), items).collect()) == 1  # tasks without documents
     assert lexical.ranked_search(spark.createDataFrame([(1, None)], "doc_id int, text string").repartition(4), items).collect() == []
     assert lexical.ranked_search(docs.where(F.lit(False)), spark.createDataFrame([(1, "a")], "item_id int, text string")).collect() == []
+
+
+# --- ids of any type, columns of any name, what the allow-list leaves ---------------------------------------------
+
+KEY = "9fK2xQ7zLm4Rt8WvBn3Yp6HdQ1"
+
+
+@pytest.mark.parametrize(
+    ("text", "spans"),
+    [
+        (KEY, 1),
+        (f"s3/example/{KEY}", 1),
+        (f"sample_{KEY}-dummy", 1),
+        (f"see {KEY}=placeholder or {KEY}/x", 2),
+        (f"example{KEY}", 0),
+        ("Q7zLm4Rt8WvBn3Yp6HdQ" * 10 + "duMmY" + "9fK2xQ7zLm4Rt8WvBn3Yp6" * 10, 1),
+        ("example/" * 30, 0),
+        ("123e4567-e89b-12d3-a456-426614174000", 0),
+    ],
+)
+def test_allowed_words_cover_their_segment_only(spark, text, spans):
+    found = secrets.scan_secrets(spark.createDataFrame([(1, text)], "doc_id int, text string")).first()["secrets"]
+    assert [f["kind"] for f in found] == ["entropy"] * spans
+
+
+def test_conversations_with_ids_that_are_no_numbers(spark):
+    rows = [("c-b", 0, "user", "Hi"), ("c-b", 1, "assistant", "there"), ("c-a", 0, "user", "Hi"), ("c-a", 1, "assistant", None), (None, 0, "user", "x")]
+    turns = chat.parse_turns(chat.read_back(chat.pack(spark.createDataFrame(rows, "conv_id string, turn int, role string, text string")))).collect()
+    assert sorted(((t["conv_id"], t["turn_no"], t["role"], t["words"]) for t in turns), key=repr) == sorted(((c, n, r, t or "") for c, n, r, t in rows), key=repr)
+
+
+def test_top_k_of_ids_that_are_no_numbers(spark):
+    vectors = [(f"v{n:02}", [float(n % 5), float(n % 3)]) for n in range(30)] + [(None, [4.0, 2.0]), ("v01", [9.0, 9.0])]
+    df = spark.createDataFrame([(i, v, 0) for i, v in vectors], "vec_id string, embedding array<double>, id_place int")
+    found = topk.topk(df, F.col("vec_id").endswith("0"), k=4, scale=1).collect()
+    want = []
+    for n, (q, v) in enumerate(vectors):
+        if q and q.endswith("0"):
+            near = sorted((-int(v[0] * w[0] + v[1] * w[1]), i is None, i or "", m) for m, (i, w) in enumerate(vectors) if m != n)[:4]
+            want += [(q, r + 1, i or None, -s) for r, (s, _, i, _) in enumerate(near)]
+    assert sorted(map(tuple, found), key=repr) == sorted(want, key=repr)
+
+
+def test_columns_with_the_operators_own_names_stay(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", "x", "y", "z"), (2, "a b c d e f", "x", "y", "z"), (3, "other words here", "x", "y", "z")], "doc_id int, text string, _hits_so_far string, hits_so_far string, _text_hash string")
+    items = spark.createDataFrame([("1", "b c d"), ("2", "words here")], "item_id string, text string")
+    for chars in (10**6, 1):
+        rows = decontaminate.decontaminate(docs, items, 3, block_chars=chars).orderBy("doc_id").collect()
+        assert [(r["n_hit"], r["_hits_so_far"], r["hits_so_far"]) for r in rows] == [(3, "x", "y"), (3, "x", "y"), (2, "x", "y")]
+    kept = near_duplicates.keep_one(docs).orderBy("doc_id").collect()
+    assert [(r["doc_id"], r["_text_hash"]) for r in kept] == [(1, "z"), (3, "z")]
+
+
+def test_candidates_meet_texts_beyond_the_filter(spark, monkeypatch):
+    words = [f"w{n}" for n in range(40)]
+    texts = [(n, " ".join([*words[:39], f"x{n % 6}"])) for n in range(12)] + [(20, "a b"), (21, None)]
+    docs = spark.createDataFrame(texts, "doc_id int, text string")
+    want = sorted(map(tuple, near_duplicates.near_duplicates(docs).select("doc_id", "class_id", "n_links").collect()))
+    monkeypatch.setattr(near_duplicates, "FILTER_MOST", 5)
+    monkeypatch.setattr(near_duplicates, "FILTER_LEAST", 5)
+    assert sorted(map(tuple, near_duplicates.near_duplicates(docs).select("doc_id", "class_id", "n_links").collect())) == want
