@@ -4,29 +4,28 @@ The classifier is fitted on a bounded sample of labelled rows: at most MAX_LABEL
 most MAX_EXAMPLES texts of each label with MAX_POSTINGS different words in all. Everything else is counted over all
 documents.
 
-A text's vector has three parts. The first is its full TF-IDF vector over words, tf = 1 + ln(count), idf = ln(1 + n /
-(df + 0.5)), with n and df counted over all documents; a word that no example has counts in the length only, with the
-idf of a word of one document. This part is scaled to FULL_WEIGHT. The second adds weight to telling terms: short words,
-prefixes of longer ones (inflected forms of one stem then meet) and prefixes that several different words share. How
-many documents of each label have a term is counted; those much more frequent in one label than in the other (a lift of
-LIFT and a z-score of LEAST_Z at least) are telling, at most MAX_TERMS, the highest z first. The third is one term REST
-that all texts have: it weighs REST_WEIGHT times the number of binary digits of the text's length in units of
-REST_WORDS if the text has telling terms, else REST_WEIGHT, so that one telling term in a long text counts less. The
-whole is scaled to length 1. So a copy of an example has the cosine 1 to it whatever its words are, and telling terms
-count most where there are any.
-
-Of two thirds of the labelled rows the index is made; the rest calibrates. An inverted list keeps for each block of
-examples the greatest weight in it; the blocks with the highest bounds are read first, then those whose bound reaches
-the k-th best, so the k nearest are exact. Ties go to the example with the smaller number, which follows from its text
-and label.
-
-The raw vote is the share of label 1 in the k nearest examples, each weighted by a power of its cosine. Calibration
-maps it to the share of label 1 that the calibration rows with such a vote have, made monotone; a text without words
-has the score of the lowest vote. A score depends on the text only.
+A text's vector is its TF-IDF vector over words, tf = 1 + ln(count), idf = ln(1 + n / (df + 0.5)), with n and df counted
+over all documents, scaled to length 1; a word that no example has counts in the length only, with the idf of a word of
+one document. Its neighbours are the k examples with the greatest cosine, exactly. An inverted list keeps for each block
+of examples the greatest weight in it; the blocks with the highest bounds are read first, then those whose bound reaches
+the k-th best. Ties go to the example with the smaller number, which follows from its text and label. The vote is the
+share of label 1 among the neighbours, each weighted by a power of its cosine.
+
+Two texts that differ in one toxic passage are near neighbours, so the vote alone can't tell them apart. Beside it stands
+the evidence of telling terms: short words, prefixes of longer ones (inflected forms of one stem then meet) and prefixes
+that several different words share. How many labelled documents of each label have a term is counted; those much more
+frequent in one label than in the other (a lift of LIFT and a z-score of LEAST_Z at least) and found in LEAST_SHARE of its
+texts at least, so that no group of copies makes its own, are telling. A text's evidence
+is the sum of the log odds of its telling terms, as a whole and in relation to the text's length.
+
+Of two thirds of the labelled rows the index is made; the rest calibrates: a logistic regression (RIDGE keeps its weights
+small) of the label on the vote and the evidence gives the score. A text with the same vector as some of its neighbours
+(cosine 1 to six places) has their share of label 1 instead. A score depends on the text only.
 
 Null texts are empty. Labels other than 0 and 1 and labels of unknown documents are left out; a document with
 several labels counts as 1 if any is 1; of rows that bear the same id one text is learned from. Ids may be of any type.
-Without labels of both kinds all scores are the share of label 1, or 0. Rows that repeat are scored one by one; other
+Without labels of both kinds nothing can be told apart: all scores are 0, or 0.5
+if only label 1 is known. A text without words has no neighbours and no evidence. Rows that repeat are scored one by one; other
 columns stay, except those that have the name of an added column.
 """
 
@@ -50,12 +49,11 @@ from papyra.llm.common import append_columns, bound_batches, cut, raw_texts, wor
 PREFIXES = (4, 5, 7)
 #: A prefix that so many different words of a text share is a term of its own.
 REPEATS = (2, 3)
-LIFT, LEAST_Z = 3.0, 5.0
+LIFT, LEAST_Z, LEAST_SHARE = 3.0, 5.0, 0.05
 #: Documents with this score or more are rejected.
 REJECT = 0.7
 #: The classifier is fitted on at most so many labelled rows, those with the smallest hashes of their ids.
 MAX_LABELLED = 24_000
-MAX_TERMS = 4096
 MAX_EXAMPLES = 1024
 #: Different words of all examples together; an example that would exceed it is passed over.
 MAX_POSTINGS = 1_000_000
@@ -64,15 +62,16 @@ BLOCK = 64
 DENSE = 0.06
 #: So many blocks are read first.
 FIRST_BLOCKS = 2
-K = 15
+K = 31
 #: A neighbour's vote counts as its cosine to this power.
-STEEPNESS = 12
-VOTE_BINS = 20
+STEEPNESS = 8
 FLUSH_TERMS = 300_000
-FULL_WEIGHT, REST_WEIGHT, REST_WORDS = 1.0, 1.4, 50
+#: A text's length counts in units of so many words.
+LENGTH_UNIT = 50
 WORDS_KEPT = 500_000
-#: What calibration adds to each bin: this much weight of the overall share.
-PRIOR = 1.0
+#: The penalty of the calibration's weights, and its steps.
+RIDGE, STEPS = 1.0, 30
+FEATURES = 5
 
 
 def fold(id_col: str = "doc_id") -> Column:
@@ -156,9 +155,9 @@ class WordNumbers(dict):
 
 @dataclass
 class Model:
-    """The index and what scoring needs; bounded by MAX_TERMS, MAX_EXAMPLES and MAX_POSTINGS.
+    """The index and what scoring needs; bounded by MAX_LABELLED, MAX_EXAMPLES and MAX_POSTINGS.
 
-    Features are numbered: words first, in order of their keys, then telling terms. An entry is a feature in a block of
+    Features are words, numbered in order of their keys. telling has each telling term's log odds. An entry is a feature in a block of
     examples: `starts` has the place of each feature's first entry, `blocks` and `most` the block and the greatest
     weight of each entry, `at` the place of its first posting; `examples` and `weights` are the postings. Features that
     occur in many examples have a row in `dense` instead of postings (`row` has its number, or -1).
@@ -170,8 +169,7 @@ class Model:
     id_type: T.DataType = field(default_factory=T.LongType)
     names: list = field(default_factory=list)
     labels: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    cuts: list[float] = field(default_factory=list)
-    values: list[float] = field(default_factory=list)
+    weights: np.ndarray | None = None
     vocabulary: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     idf: np.ndarray = field(default_factory=lambda: np.zeros(0))
     rarest: float = 1.0
@@ -180,36 +178,26 @@ class Model:
     def ready(self) -> Model:
         """Makes what isn't sent with the model: a worker does it once."""
         self.numbers = WordNumbers(self.vocabulary, self.telling)
-        self.place = {t: n for n, t in enumerate(sorted(self.telling))}
         return self
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("numbers", "place")}
+        return {k: v for k, v in self.__dict__.items() if k != "numbers"}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
         self.ready()
 
-    def features(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(numbers, weights) of the text's vector, in order of numbers, without the words that no example has."""
-        counts = Counter(words)
-        numbers, telling = self.numbers.of(counts)
-        return self.vector(numbers, np.fromiter(counts.values(), np.float64, len(counts)), telling)
-
-    def vector(self, numbers: np.ndarray, times: np.ndarray, telling: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    def vector(self, numbers: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers, weights) of a text's vector, in order of numbers, without the words that no example has (-1)."""
         if not len(numbers):
             return np.zeros(0, np.int64), np.zeros(0)
         seen = numbers >= 0
         weights = 1.0 + np.log(times)
         weights *= np.where(seen, self.idf[numbers], self.rarest) if len(self.idf) else self.rarest
-        weights = weights[seen] * (FULL_WEIGHT / math.sqrt(float(weights @ weights)))
+        weights = weights[seen] / math.sqrt(float(weights @ weights))
         numbers = numbers[seen]
         order = np.argsort(numbers)
-        more = sorted((self.place[t], (1.0 + math.log(n)) * self.telling[t]) for t, n in telling.items())
-        more.append((len(self.telling), REST_WEIGHT * (max(1, int(times.sum()) // REST_WORDS).bit_length() if telling else 1)))
-        numbers = np.concatenate([numbers[order], np.array([n for n, _ in more], np.int64) + len(self.vocabulary)])
-        weights = np.concatenate([weights[order], np.array([w for _, w in more])])
-        return numbers, weights / math.sqrt(FULL_WEIGHT * FULL_WEIGHT + sum(w * w for _, w in more))
+        return numbers[order], weights[order]
 
     def index(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
         """Makes the inverted lists of the examples' vectors."""
@@ -218,7 +206,7 @@ class Model:
         weights = np.concatenate([w for _, w in vectors])
         order = np.lexsort((examples, features))
         features, examples, weights = features[order], examples[order], weights[order]
-        n_features, n_blocks = len(self.vocabulary) + len(self.telling) + 1, -(-len(vectors) // BLOCK)
+        n_features, n_blocks = len(self.vocabulary), -(-len(vectors) // BLOCK)
         blocks = examples // BLOCK
         new = np.ones(len(features), bool)
         new[1:] = (features[1:] != features[:-1]) | (blocks[1:] != blocks[:-1])
@@ -279,14 +267,33 @@ class Model:
         best = there[np.lexsort((there, -rounded[there]))][: self.k]
         return [(float(rounded[i]), int(i)) for i in best]
 
-    def vote(self, words: list[bytes]) -> tuple[float, list[tuple[float, int]]]:
-        near = self.nearest(*self.features(words))
-        weights = [s**STEEPNESS for s, _ in near]
-        total = sum(weights)
-        return (sum(w * self.labels[n] for w, (_, n) in zip(weights, near, strict=True)) / total if total else 0.0, near)
+    def look(self, words: list[bytes]) -> tuple[list[float], list[tuple[float, int]]]:
+        """The features of calibration (the vote first) and the nearest examples."""
+        counts = Counter(words)
+        numbers, telling = self.numbers.of(counts)
+        near = self.nearest(*self.vector(numbers, np.fromiter(counts.values(), np.float64, len(counts))))
+        return [vote_of(near, self.labels), *evidence_of([self.telling[t] for t in sorted(telling)], len(words))], near
+
+    def score(self, features: list[float], near: list[tuple[float, int]]) -> float:
+        if self.weights is None:
+            return min(self.share, 0.5)
+        copies = [self.labels[n] for s, n in near if s >= 1.0]
+        if copies:
+            return float(sum(copies) / len(copies))
+        return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, float(np.append(features, 1.0) @ self.weights)))))
+
 
-    def score(self, vote: float) -> float:
-        return float(self.values[int(np.searchsorted(self.cuts, vote, side="right"))]) if self.values else self.share
+def vote_of(near: list[tuple[float, int]], labels: np.ndarray) -> float:
+    weights = [s**STEEPNESS for s, _ in near]
+    total = sum(weights)
+    return sum(w * labels[n] for w, (_, n) in zip(weights, near, strict=True)) / total if total else 0.0
+
+
+def evidence_of(odds: list[float], n_words: int) -> list[float]:
+    """Of telling terms' log odds: what speaks for label 1 and for label 0, damped, and both in relation to the length."""
+    most, least = math.log1p(math.fsum(x for x in odds if x > 0)), math.log1p(math.fsum(-x for x in odds if x < 0))
+    length = max(1, n_words // LENGTH_UNIT).bit_length()
+    return [most, most / length, least, least / length]
 
 
 def count_terms(labelled: DataFrame, text_col: str) -> DataFrame:
@@ -314,25 +321,29 @@ def count_terms(labelled: DataFrame, text_col: str) -> DataFrame:
     return labelled.select(F.col(text_col), "toxic").mapInArrow(run, schema).groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-def telling_terms(counts: DataFrame, n0: int, n1: int, max_terms: int = MAX_TERMS) -> dict[bytes, int]:
-    """At most max_terms terms that tell the labels apart, with the number of documents of label 0 that have them."""
+def telling_terms(counts: DataFrame, n0: int, n1: int) -> dict[bytes, float]:
+    """The terms that tell the labels apart, with the logarithms of their odds ratios. There are at most 1 / LEAST_SHARE
+    times as many as a labelled text has terms on average."""
     p0, p1 = (F.col("n0") + 0.5) / (n0 + 1.0), (F.col("n1") + 0.5) / (n1 + 1.0)
     p = (F.col("n0") + F.col("n1") + 1.0) / (n0 + n1 + 2.0)
     z = F.abs(p1 - p0) / F.sqrt(p * (1.0 - p) * (1.0 / (n0 + 1.0) + 1.0 / (n1 + 1.0)))
     lift = F.greatest(p1 / p0, p0 / p1)
-    best = counts.where((F.col("n0") + F.col("n1")) > 1).withColumn("z", z).where((z >= LEAST_Z) & (lift >= LIFT)).orderBy(F.desc("z"), "term").limit(max_terms)
-    return {bytes(r["term"]): r["n0"] for r in best.collect()}
+    best = counts.where((z >= LEAST_Z) & (lift >= LIFT) & (F.greatest(p0, p1) >= LEAST_SHARE)).select("term", F.log(p1 / p0).alias("odds"))
+    return {bytes(r["term"]): r["odds"] for r in best.orderBy("term").collect()}
 
 
-def monotone(counts: list[tuple[int, int]], share: float) -> list[float]:
-    """The share of label 1 of each bin (n0, n1), smoothed, pooled until it never falls."""
-    blocks: list[list[float]] = []  # ones, all, bins
-    for n0, n1 in counts:
-        blocks.append([n1 + PRIOR * share / len(counts), n0 + n1 + PRIOR / len(counts), 1])
-        while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
-            last = blocks.pop()
-            blocks[-1] = [a + b for a, b in zip(blocks[-1], last, strict=True)]
-    return [b[0] / b[1] for b in blocks for _ in range(int(b[2]))]
+def regression(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The weights of a logistic regression of y on x, the last that of the constant, by Newton's steps."""
+    x = np.hstack([x, np.ones((len(x), 1))])
+    penalty = RIDGE * np.append(np.ones(x.shape[1] - 1), 1e-3)
+    w = np.zeros(x.shape[1])
+    for _ in range(STEPS):
+        p = 1.0 / (1.0 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
+        w += np.clip(step, -5, 5)
+        if np.abs(step).max() < 1e-9:
+            break
+    return w
 
 
 _KEPT: dict[str, WordNumbers] = {}
@@ -365,19 +376,17 @@ def document_frequencies(docs: DataFrame, vocabulary: np.ndarray, text_col: str)
     return int(n[words < 0].sum()), df
 
 
-BAG = T.StructType([T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("times", T.ArrayType(T.LongType())), T.StructField("terms", T.ArrayType(T.BinaryType())), T.StructField("term_times", T.ArrayType(T.LongType()))])
+BAG = T.StructType([T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("times", T.ArrayType(T.LongType()))])
 
 
-def choose(labelled: DataFrame, model: Model, max_examples: int, max_postings: int) -> list[dict]:
-    """The examples (toxic, h, doc_id, keys and times of words, terms and times of telling terms): two rows in three by
-    hash, texts that are the same once a label, at most max_examples of each label in order of hash, and at most
+def choose(labelled: DataFrame, max_examples: int, max_postings: int) -> list[dict]:
+    """The examples (toxic, h, doc_id, keys and times of words): two rows in three by hash, texts that are the same once a label, at most max_examples of each label in order of hash, and at most
     max_postings different words in all."""
-    shared = labelled.sparkSession.sparkContext.broadcast(model)
     picks = []
     for label in (1, 0):
         one = labelled.where((F.col("toxic") == label) & (F.pmod("h", F.lit(3)) > 0)).dropDuplicates(["h"])
         picks.append(one.orderBy("h", "doc_id").limit(max_examples))
-    examples = cut(append_columns(picks[0].unionByName(picks[1]), BAG, lambda: _bags(shared.value)).drop("text"))
+    examples = cut(append_columns(picks[0].unionByName(picks[1]), BAG, lambda: _bags).drop("text"))
     left, chosen = max_postings, []
     # labels take turns, so that neither uses up what there is
     ranked: dict[int, list] = {1: [], 0: []}
@@ -397,28 +406,19 @@ def choose(labelled: DataFrame, model: Model, max_examples: int, max_postings: i
     for n in range(len(table)):
         row = {name: table.column(name)[n] for name in ("toxic", "h", *BAG.names)}
         array = lambda x, kind: np.asarray(x.values.to_numpy(zero_copy_only=False), kind)
-        rows.append({"toxic": row["toxic"].as_py(), "h": row["h"].as_py(), "doc_id": ids[n], "keys": array(row["keys"], np.int64).view(np.uint64), "times": array(row["times"], np.float64), "telling": dict(zip(row["terms"].as_py(), row["term_times"].as_py(), strict=True))})
+        rows.append({"toxic": row["toxic"].as_py(), "h": row["h"].as_py(), "doc_id": ids[n], "keys": array(row["keys"], np.int64).view(np.uint64), "times": array(row["times"], np.float64)})
     # texts with the same most frequent word lie together, so that a block's greatest weights tell something about it
     top = lambda r: int(r["keys"][np.lexsort((r["keys"], -r["times"]))[0]]) if len(r["keys"]) else 0
     return sorted(rows, key=lambda r: (top(r), r["toxic"], r["h"]))
 
 
-def _bags(model: Model):
-    def work(batch: pa.RecordBatch) -> list[pa.Array]:
-        out: list[list] = [[], [], [], []]
-        for raw in raw_texts(batch.column("text")):
-            counts = Counter(words_of(raw))
-            telling = model.numbers.of(counts)[1]
-            out[0].append(np.fromiter(map(word_key, counts), np.uint64, len(counts)).view(np.int64))
-            out[1].append(list(counts.values()))
-            out[2].append(list(telling))
-            out[3].append(list(telling.values()))
-        return [pa.array(x, pa.list_(kind)) for x, kind in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.int64()), strict=True)]
+def _bags(batch: pa.RecordBatch) -> list[pa.Array]:
+    counted = [Counter(words_of(raw)) for raw in raw_texts(batch.column("text"))]
+    keys = [np.fromiter(map(word_key, counts), np.uint64, len(counts)).view(np.int64) for counts in counted]
+    return [pa.array(keys, pa.list_(pa.int64())), pa.array([list(counts.values()) for counts in counted], pa.list_(pa.int64()))]
 
-    return work
 
-
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS, max_postings: int = MAX_POSTINGS, k: int = K, text_col: str = "text", id_col: str = "doc_id") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_examples: int = MAX_EXAMPLES, max_postings: int = MAX_POSTINGS, k: int = K, text_col: str = "text", id_col: str = "doc_id") -> Model:
     """The model from labels (doc_id, toxic) and the texts of their documents, at most max_labelled of them, and from
     the words of all documents."""
     spark = docs.sparkSession
@@ -433,29 +433,24 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     model = Model(k=k, share=n1 / (n0 + n1) if n0 + n1 else 0.0, id_type=labelled.schema["doc_id"].dataType).ready()
     if not n0 or not n1:
         return model
-    found = telling_terms(count_terms(labelled, "text"), n0, n1, max_terms)
-    model.telling = {t: math.log(1.0 + n0 / (n + 0.5)) for t, n in found.items()}
-    model.ready()
-
-    examples = choose(labelled, model, max_examples, max_postings)
+    model.telling = telling_terms(count_terms(labelled, "text"), n0, n1)
+    examples = choose(labelled, max_examples, max_postings)
     if examples:
         model.vocabulary = np.unique(np.concatenate([r["keys"] for r in examples]))
         n_docs, df = document_frequencies(docs, model.vocabulary, text_col)
         model.idf, model.rarest = np.log(1.0 + n_docs / (df + 0.5)), math.log(1.0 + n_docs / 1.5)
         model.names, model.labels = [r["doc_id"] for r in examples], np.array([r["toxic"] for r in examples], float)
-        model.ready().index([model.vector(np.searchsorted(model.vocabulary, r["keys"]), r["times"], r["telling"]) for r in examples])
-
+        model.index([model.vector(np.searchsorted(model.vocabulary, r["keys"]), r["times"]) for r in examples])
+    model.ready()
     shared = spark.sparkContext.broadcast(model)
-    votes = append_columns(labelled.where(F.pmod("h", F.lit(3)) == 0).select("text", "toxic"), T.StructType([T.StructField("vote", T.DoubleType())]), lambda: _votes(shared.value))
-    bins = F.least(F.floor(F.col("vote") * VOTE_BINS), F.lit(VOTE_BINS - 1)).cast("int")
-    table = {(r["bin"], r["toxic"]): r["n"] for r in votes.groupBy(bins.alias("bin"), "toxic").agg(F.count("*").alias("n")).collect()}
-    model.cuts = [(b + 1) / VOTE_BINS for b in range(VOTE_BINS - 1)]
-    model.values = monotone([(table.get((b, 0), 0), table.get((b, 1), 0)) for b in range(VOTE_BINS)], model.share)
+    looked = append_columns(labelled.where(F.pmod("h", F.lit(3)) == 0).select("text", "toxic", "h"), T.StructType([T.StructField("features", T.ArrayType(T.DoubleType()))]), lambda: _features(shared.value))
+    rows = looked.select("h", "toxic", "features").orderBy("h", "toxic").collect()  # MAX_LABELLED / 3 or so
+    model.weights = regression(np.array([r["features"] for r in rows]).reshape(len(rows), FEATURES), np.array([r["toxic"] for r in rows], float))
     return model
 
 
-def _votes(model: Model):
-    return lambda batch: [pa.array([model.vote(words_of(raw))[0] for raw in raw_texts(batch.column("text"))], pa.float64())]
+def _features(model: Model):
+    return lambda batch: [pa.array([model.look(words_of(raw))[0] for raw in raw_texts(batch.column("text"))], pa.list_(pa.float64()))]
 
 
 def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", n_evidence: int = 3) -> DataFrame:
@@ -471,8 +466,8 @@ def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", n_evid
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
             scores, evidence = [], []
             for raw in raw_texts(batch.column(text_col)):
-                vote, near = own.vote(words_of(raw))
-                scores.append(own.score(vote))
+                features, near = own.look(words_of(raw))
+                scores.append(own.score(features, near))
                 evidence.append([{"doc_id": own.names[n], "toxic": int(own.labels[n]), "cosine": s} for s, n in near[:n_evidence]])
             return [pa.array(scores, pa.float64()), pa.array(evidence, kind)]
 
