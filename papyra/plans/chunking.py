@@ -87,17 +87,45 @@ def chunk_ids(spark, d):
 
 @register("recursive_chunks")
 def recursive_chunks(spark, d):
-    """Tested by properties: sizes, order, and that no word is lost."""
+    """Tested by properties: sizes, order, places, and that no word is lost; offsets of one separator by chunk_offsets."""
     return C.with_chunk_ids(C.recursive_chunks(_docs(spark, d)))
 
 
+@register(
+    "chunk_offsets",
+    """WITH l AS (SELECT doc_id, k, ls[k] AS line, CAST(coalesce(list_sum(list_transform(ls[1:k - 1], lambda x: length(x) + 1)), 0) AS INTEGER) AS a FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))),
+    t AS (SELECT doc_id, k, rtrim(ltrim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)), ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS c, a + length(line) - length(ltrim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13))) AS s FROM l)
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INTEGER) AS chunk_index, CAST(s AS INTEGER) AS "start", CAST(s + length(c) AS INTEGER) AS "end", c AS content FROM t WHERE c <> ''""",
+)
+def chunk_offsets(spark, d):
+    """Chunks of single lines: the places of the pieces between one fixed separator, in their documents."""
+    return C.recursive_chunks(_docs(spark, d), 1, 0, ("\n",))
+
+
 @register("section_chunks")
 def section_chunks(spark, d):
-    """Tested by properties: sizes by section and overlaps."""
+    """Tested by properties: sizes by section, places and overlaps."""
     pages = C.fill_sections(_pages(spark, d)).withColumn("title", F.lit(""))
     return C.section_chunks(C.group_pages(pages))
 
 
+@register(
+    "chunk_pages",
+    f"""WITH {OFFSETS}, txt AS (SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY page_no) AS text FROM kept GROUP BY doc_id), o AS (SELECT doc_id, page_no, "start", lead("start") OVER (PARTITION BY doc_id ORDER BY page_no) AS "end" FROM off)
+    SELECT doc_id, page_no, "start", CAST("start" + length(text) AS BIGINT) AS "end" FROM off JOIN kept USING (doc_id, page_no) WHERE length(text) <= 300 AND NOT regexp_matches(text, '^\\s|\\s$')""",
+)
+def chunk_pages(spark, d):
+    """The pages of one piece each (short ones, here each a section of its own): sectioned chunks with their page and place."""
+    rows = _docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("page_no", "text"))
+    kept = rows.where(F.btrim("text", F.lit(" \n\t\r")) != "")
+    alone = kept.where((F.length("text") <= 300) & ~F.rlike("text", F.lit(r"^\s|\s$")))
+    sections = alone.select("doc_id", F.col("page_no").alias("section_no"), F.lit("abstract").alias("section_type"), "text")
+    first = C.page_offsets(kept).select("doc_id", F.col("page_no").alias("section_no"), F.col("start").alias("from"))
+    chunks = C.section_chunks(sections).join(first, ["doc_id", "section_no"])
+    placed = chunks.select("doc_id", (F.col("from") + F.col("start")).alias("offset"), (F.col("from") + F.col("end")).alias("to"))
+    return C.page_of_offset(placed, C.page_offsets(kept)).select("doc_id", "page_no", F.col("offset").alias("start"), F.col("to").alias("end"))
+
+
 @register("modal_chunks", """SELECT page_id, '[TABLE] ' || url || chr(10) || html AS content, (SELECT count(*) FROM documents d WHERE d.doc_id = page_id) + row_number() OVER (PARTITION BY page_id ORDER BY url) - 1 AS chunk_index FROM pages WHERE trim(html) <> ''""")
 def modal_chunks(spark, d):
     """Modal items are numbered after the document's text chunks (one here); blank ones are left out."""

@@ -371,6 +371,6 @@ def usage_stream(spark, d):
 def ingest_stream(spark, d):
     """A stream of documents into one table, each content once; the same rows as in batch."""
     source = _stream(spark, d, "documents").withColumn("content_id", F.md5("text"))
-    done = jobs.ingest_stream(spark, source, "content_id", lambda rows: rows.select("content_id", F.length("text").alias("n")))
+    done = jobs.append_new_stream(spark, source, "content_id", lambda rows: rows.select("content_id", F.length("text").alias("n")))
     docs = _read(spark, d, "documents").select("doc_id", F.md5("text").alias("content_id")).groupBy("content_id").agg(F.min("doc_id").alias("doc_id"))
     return done.join(docs, "content_id").select("doc_id", "content_id", "n")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from papyra.operators.ingest import ingest_to
 from papyra.sources.scratch import shared_folder
 
 
@@ -56,16 +57,31 @@ def run_available(df: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{folder}/out")
 
 
-def ingest_stream(spark: SparkSession, source: DataFrame, key: str, build) -> DataFrame:
-    """Streaming ingest: each trigger's rows not yet known by key are built by `build` and appended to one table."""
+def ingest_stream(source: DataFrame, folder: str | None = None, **hooks) -> str:
+    """Streaming ingest of documents (doc_id, file_path, text) into all tables of the staged ingest; returns the folder, which
+    `papyra.operators.ingest.tables` reads. A trigger is a batch with Spark's number: one that is run again after a
+    failure replaces its own rows. Calling it again with the same folder goes on where it stopped."""
+    folder = folder or shared_folder(source.sparkSession)
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        ingest_to(folder, batch_id, batch.dropDuplicates(["doc_id"]), **hooks)
+
+    query = source.writeStream.foreachBatch(add).option("checkpointLocation", f"{folder}/_state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return folder
+
+
+def append_new_stream(spark: SparkSession, source: DataFrame, key: str, build) -> DataFrame:
+    """Each trigger's rows not yet known by key are built by `build` and kept in one table, a directory a trigger, which a
+    repeated trigger replaces."""
     folder = shared_folder(spark)
     schema = build(spark.createDataFrame([], source.schema)).schema
-    spark.createDataFrame([], schema).write.parquet(f"{folder}/out")
+    spark.createDataFrame([], schema).write.parquet(f"{folder}/out/batch=-1")
 
-    def add(batch: DataFrame, _: int) -> None:
-        known = batch.sparkSession.read.schema(schema).parquet(f"{folder}/out").select(key)
-        build(batch.dropDuplicates([key]).join(known, key, "left_anti")).write.mode("append").parquet(f"{folder}/out")
+    def add(batch: DataFrame, batch_id: int) -> None:
+        known = batch.sparkSession.read.parquet(f"{folder}/out").where(F.col("batch") < batch_id).select(key)
+        build(batch.dropDuplicates([key]).join(known, key, "left_anti")).write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
 
     query = source.writeStream.foreachBatch(add).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(schema).parquet(f"{folder}/out")
+    return spark.read.schema(schema).parquet(f"{folder}/out").select(schema.names)

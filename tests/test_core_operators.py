@@ -6,8 +6,10 @@ import datetime
 import io
 import json
 import math
+import os
 import random
 import re
+import uuid
 import zipfile
 from collections import Counter
 
@@ -24,8 +26,10 @@ from papyra.operators import graph as G
 from papyra.operators import hooks as H
 from papyra.operators import retrieval as R
 from papyra.operators import sessions as S
-from papyra.operators.ingest import ingest
+from papyra.operators import ingest as ingest_module
+from papyra.operators.ingest import ingest, totals
 from papyra.sources import files
+from papyra.streaming import jobs
 from papyra.sources.scratch import cut
 
 
@@ -412,20 +416,119 @@ def test_keywords_of_a_model_where_there_are_none(spark):
     assert [(found[n]["ll"], found[n]["hl"]) for n in (2, 3, 4)] == [(["X"], ["topics"]), ([], []), ([], [])]
 
 
-def test_ingest_with_an_extractor(spark):
+def answered(folder, spelling=0):
+    """An extractor that leaves a file a call, so that calls of all workers are counted."""
+
     def extractor(asked):
         out = []
         for (text,) in asked:
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+                f.write(text)
             if "broken" in text:
                 raise ValueError("no answer")
-            out.append(json.dumps({"entities": [{"name": " CLIP", "type": "Model", "description": text[:9]}, {"name": "ImageNet", "type": "Data", "description": ""}], "relations": [{"source": "clip", "type": "USES", "target": "imagenet", "description": "d"}, {"source": "clip", "type": "USES", "target": "nobody", "description": "d"}]}))
+            entities = [{"name": " CLIP", ("type", "entity_type")[spelling]: "Model", "description": text[:9]}, {"name": "ImageNet", "type": "Data", "description": ""}]
+            names = (("source", "type", "target"), ("source_name", "relation", "target_name"))[spelling]
+            relations = [dict(zip(names, r, strict=True), description="d") for r in (("clip", "USES", "imagenet"), ("clip", "USES", "nobody"))]
+            out.append(json.dumps(entities if "list" in text else {"entities": entities, "relations": relations}))
         return out
 
-    docs = spark.createDataFrame([("a", "p/a", "first text"), ("b", "p/b", "second text"), ("c", "p/c", "broken text"), ("d", "p/d", None)], "doc_id string, file_path string, text string")
-    tables = {name: t.collect() for name, t in ingest(docs, extractor=extractor).items()}
+    return extractor
+
+
+@pytest.mark.parametrize("spelling", [0, 1])
+def test_ingest_asks_once_a_chunk(spark, tmp_path, spelling):
+    texts = ["first text", "second text", "broken text", None, "a list", "first text "] + [f"words {n} and more" for n in range(6)]
+    docs = spark.createDataFrame([(f"d{n:02}", f"p/{n:02}", t) for n, t in enumerate(texts)], "doc_id string, file_path string, text string")
+    made = ingest(docs, extractor=answered(tmp_path, spelling))
+    tables = {name: t.collect() for name, t in made.items()}
+    chunks = tables["chunks"]
+    # "first text" is the content of two chunks and asked about once; a failed batch is gone through row by row
+    assert len(chunks) == 11 and len({c["content"] for c in chunks}) == 10
+    calls = [open(f"{tmp_path}/{f}").read() for f in os.listdir(tmp_path)]
+    assert set(calls) == {c["content"] for c in chunks} and all(calls.count(c) <= 2 for c in set(calls))
     assert sorted(r["name"].strip() for r in tables["entities"]) == ["CLIP", "ImageNet"]
-    assert len(tables["mentions"]) == 4 and len(tables["relations"]) == 1
-    assert {r["doc_id"]: r["status"] for r in tables["status"]} == {"a": "ready", "b": "ready", "c": "ready", "d": "empty"}
+    assert len(tables["mentions"]) == 20 and [(r["type"], r["description"]) for r in tables["relations"]] == [("USES", "d")]
+    assert {r["doc_id"]: r["status"] for r in tables["status"]} == {f"d{n:02}": "empty" if n == 3 else "ready" for n in range(12)}
+    again = ingest(docs, extractor=answered(tmp_path, spelling), known=made["answers"])
+    assert sorted(map(tuple, again["mentions"].collect())) == sorted(map(tuple, tables["mentions"]))
+    new = [open(f"{tmp_path}/{f}").read() for f in os.listdir(tmp_path)][len(calls) :]
+    assert len(os.listdir(tmp_path)) - len(calls) <= 2 and set(new) <= set(calls)  # only the failed one is asked again
+
+
+def test_ingest_of_bad_files_and_pages(spark):
+    pages = [("p", 0, "Abstract\nWe look at pages. They are short."), ("p", 1, " "), ("p", 2, "more of it\n\nand " + "some words. " * 60), ("p", 3, "Method\nwe do it"), ("q", 0, "no heading here")]
+    docs = spark.createDataFrame([("p", "f/p", None, None), ("q", "f/q", None, None), ("r", "f/r", "a bad vector", None), ("s", "f/s", None, "cannot read"), ("t", "f/t", "fine text", None)], "doc_id string, file_path string, text string, error string")
+
+    def embedder(asked):
+        if any("bad" in t for (t,) in asked):
+            raise ValueError("no vector")
+        return [[float(len(t))] for (t,) in asked]
+
+    made = {n: t.collect() for n, t in ingest(docs, embedder, pages=spark.createDataFrame(pages, "doc_id string, page_no int, text string")).items()}
+    assert {r["doc_id"]: (r["status"], r["step"]) for r in made["status"]} == {"p": ("ready", None), "q": ("ready", None), "r": ("failed", "indexing"), "s": ("failed", "parsing"), "t": ("ready", None)}
+    assert {r["doc_id"] for r in made["vectors"]} == {"p", "q", "t"}
+    texts = {d: "\n\n".join(t for p, _, t in pages if p == d and t.strip()) for d in "pq"} | {"r": "a bad vector", "t": "fine text"}
+    ends = {"p": {}, "q": {}}
+    for d in ends:
+        at = 0
+        for p, n, t in pages:
+            if p == d and t.strip():
+                ends[d][n], at = (at, at + len(t)), at + len(t) + 2
+    tidy = lambda x: " ".join(x.split())
+    for c in made["chunks"]:
+        own = tidy(texts[c["doc_id"]][c["start"] : c["end"]])
+        assert own and tidy(c["content"]).endswith(own)
+        if c["doc_id"] in ends:
+            low, high = ends[c["doc_id"]][c["page_no"]]
+            assert low <= c["start"] < high + 2
+        else:
+            assert c["page_no"] is None
+    of_p = sorted((c["chunk_index"], c["section"], c["page_no"]) for c in made["chunks"] if c["doc_id"] == "p")
+    assert [s for _, s, _ in of_p][0] == "abstract" and of_p[-1][1:] == ("method", 3) and [k for k, _, _ in of_p] == list(range(len(of_p)))
+    counted = totals(ingest(docs, embedder)["status"]).first()
+    assert (counted["files"], counted["failed"]) == (4, 2)  # p and q have the same content without pages
+
+
+def test_streamed_ingest_equals_the_batch(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    texts = [f"text {n} of {2000 + n}. " * (n + 1) + ("\nReferences\n[1] A name, \"A title of some length\", 2019." if n % 2 else "") for n in range(9)]
+    rows = [(f"d{n}", f"p/{n}", t) for n, t in enumerate(texts)] + [("d9", "p/9", texts[0]), ("e", "p/e", "")]
+    schema = "doc_id string, file_path string, text string"
+    for k in range(3):
+        spark.createDataFrame(rows[4 * k : 4 * k + 4], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    source = lambda: spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    folder, fails = f"{tmp_path}/out", []
+    write = ingest_module.KEPT
+
+    class Stops(dict):
+        """The tables; the second batch fails half way, once."""
+
+        def __iter__(self):
+            for n, name in enumerate(write):
+                if n == 4 and len(fails) == 0 and os.path.exists(f"{folder}/chunks/batch=1"):
+                    fails.append(name)
+                    raise RuntimeError("stopped half way")
+                yield name
+
+    ingest_module.KEPT = Stops(write)
+    try:
+        with pytest.raises(Exception, match="stopped half way"):
+            jobs.ingest_stream(source(), folder, extractor=answered(calls))
+        assert os.path.exists(f"{folder}/chunks/batch=1") and not os.path.exists(f"{folder}/status/batch=1")
+        jobs.ingest_stream(source(), folder, extractor=answered(calls))
+        jobs.ingest_stream(source(), folder, extractor=answered(calls))
+    finally:
+        ingest_module.KEPT = write
+    docs = spark.createDataFrame(rows, schema)
+    # the stream keeps the first that came of equal contents, which are those of the first paths here
+    names = ("documents", "chunks", "references", "cites", "entities", "mentions", "relations", "status")
+    plain = lambda t: sorted((tuple(r) for r in t.select(sorted(t.columns)).collect()), key=repr)
+    want, got = ({n: plain(t[n]) for n in names} for t in (ingest(docs, extractor=answered(calls)), ingest_module.tables(spark, folder)))
+    ingest_module.ingest_to(folder, 1, spark.createDataFrame(rows[4:8], schema), extractor=answered(calls))
+    again = ingest_module.tables(spark, folder)
+    for name in names:
+        assert got[name] == want[name] == plain(again[name]), name
 
 
 def test_streamed_limiter_lets_go_of_idle_keys(spark, tmp_path):
