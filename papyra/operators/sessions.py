@@ -55,6 +55,29 @@ def to_compact(turns: DataFrame, most_tokens: int = 8000, keep: int = 3) -> Data
     return rows.where((F.col("total") > most_tokens) & (F.col("back") > keep)).drop("back")
 
 
+def compactions(turns: DataFrame, most_tokens: int = 8000, keep: int = 3, summary_tokens: int = 0) -> DataFrame:
+    """(session_id, covers, total) for turns (session_id, turn, tokens, ts) in order of ts: each time a session's tokens pass
+    most_tokens while more than `keep` (1 at least) turns are in no summary, all of these but the last `keep` are to be
+    summarised; the tokens start anew with the turns kept and the summary's own."""
+    turn = F.struct(F.col("ts"), F.col("turn").cast("long").alias("turn"), F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"))
+    whole = turns.groupBy("session_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    kind = "array<struct<turn:bigint,tokens:bigint>>"
+    start = F.struct(F.array().cast(kind).alias("held"), F.lit(0).cast("long").alias("total"), F.array().cast("array<struct<covers:array<bigint>,total:bigint>>").alias("out"))
+
+    def add(acc: Column, x: Column) -> Column:
+        held = F.concat(acc["held"], F.array(F.struct(x["turn"].alias("turn"), x["tokens"].alias("tokens"))))
+        total = acc["total"] + x["tokens"]
+        due = (total > most_tokens) & (F.size(held) > keep)
+        kept = F.slice(held, F.size(held) - (keep - 1), F.lit(keep))
+        old = F.transform(F.slice(held, F.lit(1), F.size(held) - keep), lambda t: t["turn"])
+        anew = F.aggregate(kept, F.lit(summary_tokens).cast("long"), lambda n, t: n + t["tokens"])
+        out = F.concat(acc["out"], F.array(F.struct(old.alias("covers"), total.alias("total"))))
+        return F.struct(F.when(due, kept).otherwise(held).alias("held"), F.when(due, anew).otherwise(total).alias("total"), F.when(due, out).otherwise(acc["out"]).alias("out"))
+
+    found = whole.select("session_id", F.explode(F.aggregate("turns", start, add, lambda acc: acc["out"])).alias("c"))
+    return found.select("session_id", "c.covers", "c.total")
+
+
 def dialogue(turns: DataFrame) -> DataFrame:
     """One text a session: `role: content` lines in order."""
     line = F.concat("role", F.lit(": "), "content")

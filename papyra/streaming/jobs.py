@@ -9,6 +9,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from papyra.operators.ingest import ingest_to
 from papyra.sources.scratch import shared_folder
+from papyra.streaming.ordered import state_store
 
 
 def limit_calls_stream(calls: DataFrame, most: int, window_s: float, delay: str | None = None) -> DataFrame:
@@ -48,11 +49,13 @@ def usage_stream(events: DataFrame, delay: str = "1 hour", width: str = "1 day")
     return events.withWatermark("ts", delay).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-def run_available(df: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a streaming DataFrame over what is there now, into Parquet in the shared folder, and returns its rows."""
+def run_available(df: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
+    """Runs a streaming DataFrame over what is there now, into Parquet in the shared folder, and returns its rows. With
+    a folder from before it goes on where it stopped."""
     spark = df.sparkSession
-    folder = shared_folder(spark)
-    query = df.writeStream.outputMode(mode).format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    folder = folder or shared_folder(spark)
+    with state_store(spark):
+        query = df.writeStream.outputMode(mode).format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{folder}/out")
 

@@ -9,6 +9,7 @@ import math
 import os
 import random
 import re
+import time
 import uuid
 import zipfile
 from collections import Counter
@@ -29,7 +30,7 @@ from papyra.operators import sessions as S
 from papyra.operators import ingest as ingest_module
 from papyra.operators.ingest import ingest, totals
 from papyra.sources import files
-from papyra.streaming import jobs
+from papyra.streaming import jobs, ordered
 from papyra.sources.scratch import cut
 
 
@@ -534,7 +535,7 @@ def test_streamed_ingest_equals_the_batch(spark, tmp_path):
 def test_streamed_limiter_lets_go_of_idle_keys(spark, tmp_path):
     """Triggers far apart: the state of a key that has been idle for a window is removed, and what is allowed is the
     same as in batch."""
-    from papyra.streaming import jobs
+    from papyra.streaming import jobs, ordered
 
     start = datetime.datetime(2024, 1, 1)
     rows = [(s, "t", start + datetime.timedelta(seconds=60 * day * 1440 + 10 * n), 1000 * day + 10 * s + n) for day in range(3) for s in range(3 if day == 0 else 1) for n in range(4)]
@@ -545,3 +546,57 @@ def test_streamed_limiter_lets_go_of_idle_keys(spark, tmp_path):
     got = {r["event_id"]: r["allowed"] for r in jobs.run_available(jobs.limit_calls_stream(calls, 2, 3600, "10 minutes")).collect()}
     want = {r["event_id"]: r["allowed"] for r in S.limit_calls(spark.createDataFrame(rows, schema), 2, 3600).collect()}
     assert got == want
+
+
+def _fed(spark, folder, rows, schema, order, per_file):
+    """Files of the rows in the given order, one a trigger."""
+    for k in range(0, len(order), per_file):
+        part = [rows[i] for i in order[k : k + per_file]]
+        path = f"{folder}/{len(os.listdir(folder)) if os.path.exists(folder) else 0:03}"
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(path)
+        time.sleep(0.02)
+
+
+def test_streams_in_order_equal_their_batch_twins(spark, tmp_path):
+    rng, day = random.Random(6), datetime.datetime(2024, 1, 1)
+    at = lambda s: day + datetime.timedelta(seconds=s)
+    calls = [(rng.randint(1, 4), rng.choice(["a", "b"]), at(rng.randint(0, 400)), n) for n in range(160)]
+    resets = [(None, None, at(150)), (1, None, at(90)), (2, "a", at(200)), (3, None, at(calls[0][2].second))]
+    turns = [(n % 5, n, 40 + n % 7 * 30, at(n * 3)) for n in range(130)]
+    shapes = {"calls": (calls, "session_id long, tool string, ts timestamp, event_id long"), "resets": (resets, "session_id long, tool string, ts timestamp"), "turns": (turns, "session_id long, turn long, tokens long, ts timestamp")}
+    frames = {n: spark.createDataFrame(r, s) for n, (r, s) in shapes.items()}
+    source = lambda n: spark.readStream.schema(shapes[n][1]).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 2).parquet(f"{tmp_path}/{n}")
+    late = {"calls": (9, "z", at(10**6), 10**6), "turns": (99, 0, 0, at(10**6))}
+    want = sorted(map(tuple, S.limit_calls_with_resets(frames["calls"], frames["resets"], 2, 60).select("session_id", "tool", "event_id", "allowed").collect()))
+    told = sorted((r["session_id"], list(r["covers"]), r["total"]) for r in S.compactions(frames["turns"], 300, 3, 50).collect())
+    assert len({w[3] for w in want}) == 2 and len(told) > 5
+    # in halves with a restart between, in any order; one late row lets the watermark pass all others
+    for half in (0, 1):
+        for n, (rows, schema) in shapes.items():
+            order = list(range(half, len(rows), 2))
+            rng.shuffle(order)
+            _fed(spark, f"{tmp_path}/{n}", rows, schema, order, 15)
+            if half and n in late:
+                for _ in range(2):
+                    _fed(spark, f"{tmp_path}/{n}", [late[n]], schema, [0], 1)
+        limited = jobs.run_available(ordered.limit_calls_in_order(source("calls"), source("resets"), 2, 60, "1 hour", groups=3), folder=f"{tmp_path}/limited")
+        compacted = jobs.run_available(ordered.compactions_in_order(source("turns"), 300, 3, "1 hour", 50), folder=f"{tmp_path}/compacted")
+    assert sorted(map(tuple, limited.where("event_id < 1000000").select("session_id", "tool", "event_id", "allowed").collect())) == want
+    assert sorted((r["session_id"], list(r["covers"]), r["total"]) for r in compacted.collect()) == told
+
+
+def test_compactions_by_brute_force(spark):
+    rng = random.Random(2)
+    turns = [(rng.randint(0, 6), n, rng.choice([None, 10, 200, 500]), datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=n)) for n in range(150)]
+    want = []
+    for session in range(7):
+        held, total = [], 0
+        for _, n, tokens, _ in (t for t in turns if t[0] == session):
+            held.append((n, tokens or 0))
+            total += tokens or 0
+            if total > 800 and len(held) > 2:
+                want.append((session, [t for t, _ in held[:-2]], total))
+                held = held[-2:]
+                total = sum(x for _, x in held) + 7
+    got = S.compactions(spark.createDataFrame(turns, "session_id long, turn long, tokens long, ts timestamp"), 800, 2, 7).collect()
+    assert sorted((r["session_id"], list(r["covers"]), r["total"]) for r in got) == sorted(want)
