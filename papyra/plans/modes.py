@@ -6,13 +6,14 @@ modulo the number of vectors.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from papyra.operators import graph as G
 from papyra.operators import retrieval as R
+from papyra.operators import router
+from papyra.operators import sessions as S
 from papyra.plans.graph import KEYS, _keywords
+from papyra.plans.logs import STATS, _strategies
 from papyra.plans.registry import register
 
 #: In SQL, the number of chunks.
@@ -132,22 +133,74 @@ def mix_retrieval(spark, d):
     return _mix(spark, d)
 
 
-@register(
-    "mode_router",
-    f"""WITH {MIX}, md AS (SELECT item_id AS query_id, ['mix', 'dual', 'local', 'odd'][item_id % 4 + 1] AS mode FROM benchmark)
-    SELECT query_id, mode, key, rank FROM (SELECT query_id, 'mix' AS m, key, rank FROM mx UNION ALL SELECT query_id, 'dual', key, rank FROM du WHERE rank <= 5 UNION ALL SELECT query_id, 'local', CAST(key AS VARCHAR), rank FROM lo WHERE rank <= 5 UNION ALL SELECT query_id, 'semantic', CAST(key AS VARCHAR), rank FROM vh WHERE rank <= 5) JOIN md USING (query_id) WHERE m = CASE WHEN mode = 'odd' THEN 'semantic' ELSE mode END""",
-)
+def _asked_questions(spark, d):
+    """The items as questions: long words are topics, capitalised ones names, by which alone their modes are chosen; some
+    ask for times in their text, for years or for a section."""
+    text = F.when(F.length("text") % 5 == 0, F.concat(F.lit("2010年以来 "), "text")).otherwise(F.col("text"))
+    words = F.split("text", r"\W+")
+    rows = _read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), text.alias("text"), F.length("text").alias("n"), words.alias("w"))
+    hl = F.filter("w", lambda x: F.length(x) >= 12)
+    ll = F.filter("w", lambda x: F.rlike(x, F.lit("^[A-Z][a-z]{7,}$")))
+    year = F.when(F.col("n") % 7 == 2, 2008)
+    section = F.when(F.col("n") % 4 == 1, "label-3").otherwise("")
+    return rows.select("query_id", "text", F.lit("auto").alias("mode"), ll.alias("ll"), hl.alias("hl"), section.alias("section"), year.alias("year_from"), F.lit(0).alias("year_to"))
+
+
+def _finders(spark, d):
+    chunk = lambda hits: hits.select("query_id", "rank", F.concat(F.lit("c"), "key").alias("key"))
+    return {
+        "vectors": lambda asked, k: chunk(_vector_hits(spark, d, k, asked)),
+        "words": lambda asked, k: chunk(R.bm25(_read(spark, d, "documents").select(F.col("doc_id").alias("key"), "text"), asked, k)),
+        "chunks": lambda asked, k: chunk(_graph_hits(spark, d, k, asked)),
+        "entities": lambda asked, k: _entity_hits(spark, d, k, asked),
+        "relations": lambda asked, k: _relation_hits(spark, d, k, asked).withColumn("key", F.concat_ws("::", "src", "dst")),
+    }
+
+
+def _router_sql() -> str:
+    """Every mode for every question at its own depth, then the questions' own modes."""
+    def ranked(name: str, rows: str, order: str) -> str:
+        return f"{name} AS (SELECT query_id, key, rank FROM (SELECT query_id, key, row_number() OVER (PARTITION BY query_id ORDER BY {order}) AS rank FROM {rows}) WHERE rank <= 80)"
+
+    def fused(name: str, lists: list[str], most: str) -> str:
+        union = " UNION ALL ".join(f"SELECT query_id, key, rank, {n} AS l FROM {x}" for n, x in enumerate(lists))
+        return f"""{name}0 AS (SELECT query_id, key, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min(l * 1000000 + rank) AS first FROM ({union}) GROUP BY ALL),
+{name} AS (SELECT query_id, key, rank FROM (SELECT query_id, key, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, key) AS rank FROM {name}0) JOIN pl USING (query_id) WHERE rank <= {most})"""
+
+    vectors = _vector_sql(80).replace("SELECT * FROM (SELECT query_id, key,", "SELECT query_id, 'c' || key AS key, rank FROM (SELECT query_id, key,", 1)
+    return f"""WITH {STATS}, {KEYS}, be AS (SELECT question_type, mode AS best FROM ss WHERE samples >= 5 AND mode <> 'odd' QUALIFY row_number() OVER (PARTITION BY question_type ORDER BY successes::DOUBLE / samples DESC, mode) = 1),
+q0 AS (SELECT item_id AS query_id, length(text) AS n, list_filter(regexp_split_to_array(text, '\\W+'), lambda x: length(x) >= 12) AS hl, list_filter(regexp_split_to_array(text, '\\W+'), lambda x: regexp_matches(x, '^[A-Z][a-z]{{7,}}$')) AS ll FROM benchmark),
+q1 AS (SELECT *, n % 5 = 0 AS timed, n % 7 = 2 AS explicit, CASE WHEN n % 4 = 1 THEN 'label-3' END AS section, CASE WHEN n % 5 = 0 THEN 'temporal' WHEN len(ll) > 0 AND len(hl) > 0 THEN 'mixed' WHEN len(ll) > 0 THEN 'specific' WHEN len(hl) > 0 THEN 'abstract' ELSE 'general' END AS question_type FROM q0),
+q2 AS (SELECT *, CASE question_type WHEN 'temporal' THEN 'mix' WHEN 'mixed' THEN coalesce(best, 'dual') WHEN 'specific' THEN coalesce(best, 'local') WHEN 'abstract' THEN coalesce(best, 'global') ELSE coalesce(best, 'mix') END AS mode FROM q1 LEFT JOIN be USING (question_type)),
+pl AS MATERIALIZED (SELECT query_id, mode, section, explicit, timed, CASE WHEN section IS NOT NULL OR explicit OR timed THEN 20 ELSE 5 END AS depth, CASE WHEN section IS NOT NULL OR explicit OR timed THEN 20 ELSE 5 END * CASE WHEN mode = 'mix' THEN 2 ELSE 1 END AS wide, CASE WHEN explicit THEN 2008 WHEN timed THEN 2010 END AS low FROM q2),
+{vectors},
+hit AS (SELECT DISTINCT query_id, p_partkey FROM part JOIN keys ON contains(lower(p_name), lower(keyword))), gm AS (SELECT DISTINCT l_orderkey % {CHUNKS} AS k, l_partkey FROM lineitem), g0 AS (SELECT query_id, k, count(*) AS n FROM hit JOIN gm ON l_partkey = p_partkey GROUP BY ALL),
+gh AS (SELECT query_id, 'c' || k AS key, rank FROM (SELECT query_id, k, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, k) AS rank FROM g0) WHERE rank <= 80),
+eh AS (SELECT query_id, CAST(p_partkey AS VARCHAR) AS key, rank FROM (SELECT query_id, p_partkey, row_number() OVER (PARTITION BY query_id ORDER BY p_partkey) AS rank FROM hit) JOIN pl USING (query_id) WHERE rank <= wide),
+rl AS (SELECT DISTINCT l_partkey AS src, l_suppkey + 1000000 AS dst, l_returnflag AS type FROM lineitem),
+rh AS (SELECT query_id, src || '::' || dst AS key, rank FROM (SELECT query_id, src, dst, row_number() OVER (PARTITION BY query_id ORDER BY count(DISTINCT keyword) DESC, src, dst, type) AS rank FROM rl JOIN keys ON contains(lower('part ' || src || ' from ' || dst), lower(keyword)) GROUP BY query_id, src, dst, type) JOIN pl USING (query_id) WHERE rank <= wide),
+sd AS (SELECT DISTINCT query_id, CAST(unnest(string_split(key, '::')) AS BIGINT) AS id FROM (SELECT query_id, key FROM eh UNION ALL SELECT query_id, key FROM rh)),
+bw AS (SELECT src, dst FROM rl UNION SELECT dst, src FROM rl), nb AS (SELECT DISTINCT query_id, dst AS near FROM bw JOIN sd ON src = id),
+wd AS (SELECT query_id, CAST(near AS VARCHAR) AS key, rank FROM (SELECT query_id, near, row_number() OVER (PARTITION BY query_id ORDER BY near) AS rank FROM nb WHERE NOT EXISTS (SELECT 1 FROM sd WHERE sd.query_id = nb.query_id AND sd.id = near)) WHERE rank <= 50),
+al AS (SELECT *, 0 AS list_no FROM eh UNION ALL SELECT *, 1 FROM rh UNION ALL SELECT *, 2 FROM wd), on_ AS (SELECT * FROM al QUALIFY row_number() OVER (PARTITION BY query_id, key ORDER BY list_no, rank) = 1),
+du AS (SELECT query_id, key, r AS rank FROM (SELECT query_id, key, row_number() OVER (PARTITION BY query_id ORDER BY list_no, rank) AS r FROM on_) JOIN pl USING (query_id) WHERE r <= wide),
+g2 AS (SELECT gh.* FROM gh JOIN pl USING (query_id) WHERE rank <= 2 * wide), v2 AS (SELECT vh.* FROM vh JOIN pl USING (query_id) WHERE rank <= 2 * wide), v1 AS (SELECT vh.* FROM vh JOIN pl USING (query_id) WHERE rank <= wide), g1 AS (SELECT gh.* FROM gh JOIN pl USING (query_id) WHERE rank <= wide),
+{fused('lo', ['g2', 'v2'], 'wide')}, {fused('ei', ['rh', 'g1'], 'wide')}, gl AS (SELECT * FROM du UNION ALL SELECT * FROM ei WHERE query_id NOT IN (SELECT query_id FROM du)), {fused('mx', ['v1', 'lo', 'gl'], '80')},
+hits AS (SELECT query_id, key, rank, mode, section, explicit, low FROM (SELECT 'semantic' AS m, * FROM v1 UNION ALL SELECT 'local', * FROM lo UNION ALL SELECT 'dual', * FROM du UNION ALL SELECT 'global', * FROM gl UNION ALL SELECT 'mix', * FROM mx) JOIN pl USING (query_id) WHERE m = mode AND rank <= depth),
+fa AS (SELECT 'c' || vec_id AS key, 'label-' || label AS sec, 2000 + 2 * label AS year FROM embeddings),
+kn AS (SELECT h.*, year FROM hits h LEFT JOIN fa USING (key) WHERE section IS NULL OR coalesce(sec = section, FALSE)),
+st AS (SELECT *, year IS NULL OR low IS NULL OR year >= low AS s, year IS NULL OR low IS NULL OR year >= low - 2 AS w FROM kn),
+nn AS (SELECT *, sum(s::INT) OVER (PARTITION BY query_id) AS n1, sum(w::INT) OVER (PARTITION BY query_id) AS n2 FROM st),
+ke AS (SELECT * FROM nn WHERE CASE WHEN explicit OR n1 >= 3 THEN s WHEN n2 >= 3 THEN w ELSE TRUE END)
+SELECT query_id, mode, key, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank, key) AS INTEGER) AS rank FROM ke QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank, key) <= 5"""
+
+
+@register("mode_router", _router_sql())
 def mode_router(spark, d):
-    """Each query has a mode; unknown ones are semantic. Each branch gets the queries of its mode only."""
-    mode = F.element_at(F.array(*map(F.lit, ("mix", "dual", "local", "odd"))), (F.col("item_id") % 4 + 1).cast("int"))
-    branches = {"mix": _mix, "dual": _dual, "local": _wide_local, "semantic": lambda spark, d, of: _vector_hits(spark, d, 10, of)}
-    known = F.when(F.col("mode").isin(*branches), F.col("mode")).otherwise("semantic")
-    asked = _read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), mode.alias("mode")).withColumn("m", known)
-    named = []
-    for m, branch in branches.items():
-        hits = branch(spark, d, asked.where(F.col("m") == m)).where("rank <= 5")
-        named.append(hits.select("query_id", F.col("key").cast("string").alias("key"), "rank"))
-    return asked.join(reduce(lambda a, b: a.unionByName(b), named), "query_id").select("query_id", "mode", "key", "rank")
+    """Each item is routed by what its text asks for and by the history of its kind."""
+    plan = router.planned(_asked_questions(spark, d), S.best_mode(_strategies(spark, d)), 2024)
+    facts = _read(spark, d, "embeddings").select(F.concat(F.lit("c"), "vec_id").alias("key"), F.concat(F.lit("label-"), "label").alias("section"), (2000 + 2 * F.col("label")).alias("year"))
+    return router.answered(plan, _finders(spark, d), _edges(spark, d), facts)
 
 
 @register(
