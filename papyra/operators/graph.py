@@ -55,12 +55,17 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 
 def one_hop(edges: DataFrame, seeds: DataFrame, limit: int = 50) -> DataFrame:
-    """seeds: (query_id, id). Each query's neighbours in either direction that aren't seeds of it, the first by id."""
-    near = both_ways(edges).join(seeds, F.col("src") == F.col("id")).select("query_id", F.col("dst").alias("near"))
+    """seeds: (query_id, id). Each query's neighbours in either direction that aren't seeds of it, the first by id.
+
+    Edges meet the seeds where they lie, once by either end: seeds are written first, so Spark knows their size and
+    broadcasts them if they are few; only neighbours of seeds are dealt out and made distinct."""
+    seeds = written(seeds.select("query_id", "id").distinct())
+    of_src = edges.join(seeds, F.col("src") == F.col("id")).select("query_id", F.col("dst").alias("near"))
+    of_dst = edges.join(seeds, F.col("dst") == F.col("id")).select("query_id", F.col("src").alias("near"))
     mine = seeds.select(F.col("query_id").alias("_q"), F.col("id").alias("_id"))
-    new = near.distinct().join(mine, (F.col("query_id") == F.col("_q")) & (F.col("near") == F.col("_id")), "left_anti")
+    near = of_src.unionByName(of_dst).join(mine, (F.col("query_id") == F.col("_q")) & (F.col("near") == F.col("_id")), "left_anti")
     order = Window.partitionBy("query_id").orderBy("near")
-    return new.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    return near.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
 def undirected(edges: DataFrame) -> DataFrame:

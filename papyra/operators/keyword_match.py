@@ -248,3 +248,64 @@ def group_top_k(members: DataFrame, keywords: DataFrame, k: int) -> DataFrame:
         return dealt.mapInArrow(run, schema)
 
     return _ranked([search(g) for g in _in_groups(written(_asked(keywords)), "query_id", F.length("_kw"), AUTOMATON_CHARS)], k, ["group_id"])
+
+
+def shared_words_top_k(rows: DataFrame, queries: DataFrame, k: int, key: str, kind: str, bonus: int) -> DataFrame:
+    """(query_id, key, score, rank): rows (key, kind, words), queries (query_id, kind, words), words different from each
+    other. A pair's score is the number of words that both have, and the bonus if both are of one kind; each query's k best
+    with a score above 0, then by key.
+
+    Every task goes over its rows batch by batch, keeps the k best of each query and hands on only these. A query is passed
+    over in a batch whose words it can't reach its k-th best score with."""
+    flat = queries.select("query_id", F.col(kind).alias("kind"), F.explode_outer("words").alias("_kw"))
+
+    def search(asked: DataFrame) -> DataFrame:
+        held: dict = {}
+        for r in asked.distinct().collect():  # AUTOMATON_CHARS characters at most
+            held.setdefault(r["query_id"], (r["kind"], []))[1].extend([r["_kw"]] if r["_kw"] is not None else [])
+        words = sorted({w for _, own in held.values() for w in own})
+        number = {w: n for n, w in enumerate(words)}
+        asks = [(own_kind, np.array(sorted(number[w] for w in own), np.int64)) for own_kind, own in held.values()]
+        shared = rows.sparkSession.sparkContext.broadcast((words, list(held), asks))
+        schema = T.StructType([queries.schema["query_id"], rows.schema[key], T.StructField("score", T.LongType())])
+        id_kind = to_arrow_type(queries.schema["query_id"].dataType)
+
+        def run(batches):
+            words, ids, asks = shared.value
+            known, best = pa.array(words, pa.string()), Best(len(ids), k, [key])
+            for batch in batches:
+                table = pa.Table.from_batches([batch])
+                table = table.take(pc.sort_indices(table, sort_keys=[(key, "ascending")]))
+                lists = table.column("words").combine_chunks()
+                found = pc.index_in(lists.flatten(), value_set=known).fill_null(-1).to_numpy()
+                owner = np.repeat(np.arange(len(table)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+                order = np.argsort(found, kind="stable")[np.count_nonzero(found < 0) :]
+                owner, times = owner[order], np.bincount(found[order], minlength=len(words))
+                ends, kinds = np.cumsum(times), table.column("kind").combine_chunks()
+                which, picked, scores = [], [], []
+                for q, (own_kind, own) in enumerate(asks):
+                    own = own[times[own] > 0]
+                    if len(own) + bonus < best.least[q]:
+                        continue
+                    met = [owner[ends[w] - times[w] : ends[w]] for w in own]
+                    n = np.bincount(np.concatenate(met), minlength=len(table)) if met else np.zeros(len(table), np.int64)
+                    if own_kind is not None:
+                        n = n + bonus * pc.fill_null(pc.equal(kinds, own_kind), False).to_numpy(zero_copy_only=False)
+                    at = np.flatnonzero(n >= max(1, best.least[q]))
+                    if len(at) > k:
+                        last = np.partition(n[at], len(at) - k)[len(at) - k]
+                        at = np.concatenate([at[n[at] > last], at[n[at] == last]])[:k]
+                    if len(at):
+                        which.append(np.full(len(at), q))
+                        picked.append(at)
+                        scores.append(n[at])
+                if which:
+                    best.add(np.concatenate(which), np.concatenate(scores).astype(np.int64), table.select([key]).take(pa.array(np.concatenate(picked))))
+            if best.held is not None:
+                held = best.held.combine_chunks()
+                yield from pa.Table.from_arrays([pa.array(ids, id_kind).take(held.column("_q").combine_chunks()), held.column(key), held.column("_s")], names=schema.names).to_batches()
+
+        return rows.select(key, F.col(kind).alias("kind"), "words").mapInArrow(run, schema)
+
+    groups = _in_groups(written(flat), "query_id", F.coalesce(F.length("_kw"), F.lit(1)), AUTOMATON_CHARS)
+    return _ranked([search(g) for g in groups], k, [key])

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections import deque
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from papyra.operators.keyword_match import shared_words_top_k
+
 # Retrieval modes, and how many samples a mode needs before it is recommended.
 MODES = ("dual", "local", "global", "mix", "hybrid", "semantic")
 LEAST_SAMPLES = 5
@@ -146,18 +148,9 @@ def relevant_memories(memories: DataFrame, queries: DataFrame, k: int = 5) -> Da
     """memories: (slug, question_type, text); queries: (query_id, question_type, text). Three points for the question's
     type, one for each shared word; the k best, ties to the smaller slug.
 
-    Pairs meet by their words. Of the memories that share nothing but the type, only the first k of the type by slug
-    can be among the k best, so no query meets all memories of its type."""
-    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != ""))
-    tokens = lambda df, key, kind: df.select(key, F.col("question_type").alias(kind), F.explode(words).alias("w"))
-    bonus = F.when(F.col("_asked") == F.col("_own"), 3).otherwise(0)
-    shared = tokens(queries, "query_id", "_asked").join(tokens(memories, "slug", "_own"), "w").groupBy("query_id", "slug").agg((F.count("*") + F.max(bonus)).alias("score"))
-    by_type = Window.partitionBy("question_type").orderBy("slug")
-    first = memories.select("slug", "question_type").withColumn("_n", F.row_number().over(by_type)).where(F.col("_n") <= k)
-    typed = queries.select("query_id", "question_type").join(first, "question_type").select("query_id", "slug", F.lit(3).cast("long").alias("score"))
-    scored = shared.unionByName(typed).groupBy("query_id", "slug").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "slug")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    Memories are compared where they lie; tasks hand on k a query."""
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")).alias("words")
+    return shared_words_top_k(memories.select("slug", "question_type", words), queries.select("query_id", "question_type", words), k, "slug", "question_type", 3)
 
 
 def _word_sets(rows: DataFrame, *kept: str) -> DataFrame:

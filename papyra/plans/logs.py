@@ -9,6 +9,8 @@ from papyra.functions import text as X
 from papyra.operators import maintenance as M
 from papyra.operators import sessions as S
 from papyra.plans.registry import register
+from papyra.sources import dealt
+from papyra.sources.scratch import shared_folder
 from papyra.streaming import jobs
 
 
@@ -97,6 +99,26 @@ def delete_cascade(spark, d):
     return M.delete_cascade(_tables(spark, d), ids)[1]
 
 
+def _delete_sql() -> str:
+    from papyra.plans import registry
+
+    return registry._SQL["delete_cascade"]
+
+
+@register("delete_in_place", _delete_sql())
+def delete_in_place(spark, d):
+    """The same deletes in tables on disk that are dealt by key: the counts, and what is left has to agree with them."""
+    folder = shared_folder(spark)
+    tables = _tables(spark, d)
+    keys = dealt.KEYS | {"relations": ["src", "dst"]}
+    for name, rows in tables.items():
+        dealt.deal(rows, f"{folder}/{name}", keys[name], parts=8)
+    before = {name: dealt.load(spark, f"{folder}/{name}").count() for name in tables}
+    ids = _read(spark, d, "orders").where("o_orderkey % 4 = 1").select(F.col("o_orderkey").alias("doc_id"))
+    dealt.remove_documents(spark, folder, ids)
+    return spark.createDataFrame([(name, before[name] - dealt.load(spark, f"{folder}/{name}").count()) for name in tables], "table string, deleted long")
+
+
 @register("vector_delete", "SELECT vec_id, label FROM embeddings WHERE label NOT IN (SELECT DISTINCT item_id % 5 FROM benchmark WHERE item_id % 5 < 2)")
 def vector_delete(spark, d):
     gone = _read(spark, d, "benchmark").where("item_id % 5 < 2").select((F.col("item_id") % 5).cast("int").alias("label")).distinct()

@@ -33,7 +33,7 @@ def modes_by_history(spark, d):
 
 @register(
     "research_contexts",
-    f"""WITH {BM25_CTE.format(k=3)}, h AS (SELECT bm.query_id, string_agg('[' || rank || '] ' || left(replace(text, chr(10), ' '), 60), chr(10) ORDER BY rank) AS lines, list('doc-' || key) AS s FROM bm JOIN documents ON doc_id = key GROUP BY 1),
+    f"""WITH {BM25_CTE.format(k=3)}, h AS (SELECT bm.query_id, string_agg('[' || rank || '] ' || text, chr(10) ORDER BY rank) AS lines, list('doc-' || key) AS s FROM bm JOIN documents ON doc_id = key GROUP BY 1),
     q AS (SELECT item_id AS query_id, item_id // 5 AS parent_id, 'Question ' || item_id AS question, length(text) AS prompt FROM benchmark)
     SELECT parent_id, count(*) AS n_questions, md5(string_agg('## ' || question || chr(10) || coalesce(lines, ''), chr(10) || chr(10) ORDER BY query_id)) AS context_md5,
       array_to_string(list_sort(list_distinct(flatten(list(coalesce(s, []))))), ',') AS sources, CAST(sum(prompt) AS BIGINT) AS prompt_tokens, CAST(7 * count(*) AS BIGINT) AS completion_tokens, CAST(sum(prompt) + 7 * count(*) AS BIGINT) AS total_tokens FROM q LEFT JOIN h USING (query_id) GROUP BY parent_id""",
@@ -43,7 +43,7 @@ def research_contexts(spark, d):
     items = _read(spark, d, "benchmark")
     questions = items.select(F.floor(F.col("item_id") / 5).alias("parent_id"), F.col("item_id").alias("query_id"), F.concat(F.lit("Question "), "item_id").alias("question"))
     usage = items.select(F.col("item_id").alias("query_id"), F.length("text").alias("prompt"), F.lit(7).alias("completion"))
-    docs = _docs(spark, d).select("key", F.substring(F.replace("text", F.lit("\n"), F.lit(" ")), 1, 60).alias("content"))
+    docs = _docs(spark, d).select("key", F.col("text").alias("content"))
     hits = R.bm25(spread(_docs(spark, d)), _asked(spark, d), 3).join(docs, "key").withColumn("source", F.concat(F.lit("doc-"), "key"))
     done = Q.researched(questions, hits, usage)
     return done.select("parent_id", "n_questions", F.md5("context").alias("context_md5"), F.array_join("sources", ",").alias("sources"), "prompt_tokens", "completion_tokens", "total_tokens")
