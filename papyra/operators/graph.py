@@ -5,8 +5,12 @@ nodes: (id, label, name, ...); edges: (src, dst, type, ...); relations between e
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from papyra.operators.keyword_match import containing, group_top_k, keyword_top_k, with_words  # noqa: F401
 from papyra.sources.scratch import written
@@ -73,76 +77,102 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
 
 
-#: So many rounds of a level are kept whatever they bring; single nodes' first moves cross each other.
-FREE_ROUNDS = 6
+#: Edges of a part of the nodes; beyond so many tries with fewer nodes a level ends.
+PART_EDGES, LEAST_SHARE = 4_000_000, 64
+#: Passes over the nodes of a part.
+PASSES = 30
+
+
+def local_moves(src, dst, w, c_src, k_src, c_dst, tot_src, tot_dst, whole: float) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, communities) of the nodes src after greedy moves, one node at a time in order of id, until no node gains.
+    Nodes that are only dst stay where they are; communities' degrees follow the moves."""
+    order = np.argsort(src, kind="stable")
+    src, dst, w, c_dst = src[order], dst[order], w[order], c_dst[order]
+    nodes, first = np.unique(src, return_index=True)
+    names = np.unique(np.concatenate([c_src, c_dst]))
+    total = np.zeros(len(names))
+    total[np.searchsorted(names, c_src)], total[np.searchsorted(names, c_dst)] = tot_src, tot_dst[order]
+    own, degree = np.searchsorted(names, c_src[order][first]), k_src[order][first]
+    loops = src == dst
+    at = np.searchsorted(nodes, dst)
+    at = np.where(nodes[np.minimum(at, len(nodes) - 1)] == dst, at, -1)  # -1: a node of another part
+    frozen, w = np.searchsorted(names, c_dst), np.where(loops, 0.0, w)
+    ends = np.append(first[1:], len(src))
+    for _ in range(PASSES):
+        moved = False
+        for n in range(len(nodes)):
+            part = slice(first[n], ends[n])
+            near = np.where(at[part] >= 0, own[at[part]], frozen[part])
+            here, k = own[n], degree[n]
+            to, which = np.unique(np.append(near, here), return_inverse=True)
+            gain = np.bincount(which, np.append(w[part], 0.0)) - k * (total[to] - np.where(to == here, k, 0.0)) / whole
+            best = int(np.argmax(np.round(gain, 9)))  # the first of equal ones is the smallest community
+            if to[best] != here and gain[best] > gain[np.searchsorted(to, here)] + 1e-9:
+                total[here] -= k
+                total[to[best]] += k
+                own[n], moved = to[best], True
+        if not moved:
+            break
+    return nodes, names[own]
 
 
-def _options(weighted: DataFrame, place: DataFrame, whole: float) -> DataFrame:
-    """place: (id, c, k, loop), each node's community, degree and own loop. Adds inside (the weight that stays in the
-    community), best (the community that it would gain most by) and more (how much that is above staying, or 0)."""
-    total = place.groupBy(F.col("c").alias("to")).agg(F.sum("k").alias("tot"))
-    of_dst = place.select(F.col("id").alias("dst"), F.col("c").alias("to"))
-    links = weighted.where("src <> dst").join(of_dst, "dst").select(F.col("src").alias("id"), "to", "w")
-    own = place.select("id", F.col("c").alias("to"), F.lit(0.0).alias("w"))
-    options = links.union(own).groupBy("id", "to").agg(F.sum("w").alias("w_in")).join(place, "id").join(total, "to")
-    here = F.col("to") == F.col("c")
-    rest = F.col("tot") - F.when(here, F.col("k")).otherwise(0.0)
-    options = options.withColumn("gain", F.round(F.col("w_in") - F.col("k") * rest / F.lit(whole), 9))
-    best = options.groupBy("id", "c", "k", "loop").agg(F.max_by("to", F.struct("gain", F.struct(-F.col("to")))).alias("best"), F.max("gain").alias("top"), F.max(F.when(here, F.col("gain"))).alias("now"), F.max(F.when(here, F.col("w_in"))).alias("w_in"))
-    gains = (F.col("top") > F.col("now") + 1e-9) & (F.col("best") != F.col("c"))
-    return best.select("id", "c", "k", "loop", (F.col("w_in") + F.col("loop")).alias("inside"), "best", F.when(gains, F.col("top") - F.col("now")).otherwise(0.0).alias("more"))
+def _score(weighted: DataFrame, place: DataFrame, whole: float) -> float:
+    """Modularity times whole squared."""
+    ends = weighted.join(place.select(F.col("id").alias("src"), F.col("c").alias("cs")), "src").join(place.select(F.col("id").alias("dst"), F.col("c").alias("cd")), "dst")
+    inside = ends.agg(F.sum(F.when(F.col("cs") == F.col("cd"), F.col("w")))).first()[0] or 0.0
+    squares = place.groupBy("c").agg(F.sum("k").alias("t")).agg(F.sum(F.col("t") * F.col("t"))).first()[0]
+    return whole * inside - squares
 
 
-def _settled(weighted: DataFrame, whole: float, rounds: int | None, cut) -> DataFrame | None:
-    """(id, c) when no node gains by a move, or after `rounds` rounds that were kept; None if no node has moved."""
-    loop = F.sum(F.when(F.col("src") == F.col("dst"), F.col("w")).otherwise(0.0))
-    first = cut(weighted.groupBy(F.col("src").alias("id")).agg(F.first("src").alias("c"), F.sum("w").alias("k"), loop.alias("loop")))
-
-    def looked(place):
-        table = cut(_options(weighted, place, whole))
-        by_c = table.groupBy("c").agg(F.sum("k").alias("tot"), F.sum("inside").alias("inside"), F.count_if(F.col("more") > 0).alias("n"))
-        row = by_c.agg(F.sum("inside"), F.sum(F.col("tot") * F.col("tot")), F.sum("n")).first()
-        return table, whole * row[0] - row[1], row[2]
-
-    table, score, n = looked(first)
-    kept, share, apart = 0, 2, False
-    while n and (rounds is None or kept < rounds):
-        gains = F.col("more") > 0
-        if apart or share > n:
-            moves = table.join(_apart(table.where(gains)).withColumn("_moves", F.lit(True)), "id", "left")
-            moved, apart = F.col("_moves").isNotNull(), True
-        else:
-            moves, moved = table, gains & (F.pmod(F.xxhash64("id", F.lit(kept)), F.lit(share)) == 0)
-        tried = looked(moves.select("id", F.when(moved, F.col("best")).otherwise(F.col("c")).alias("c"), "k", "loop"))
-        if tried[1] > score or kept < FREE_ROUNDS:
-            (table, score, n), kept, share, apart = tried, kept + 1, max(2, share // 2), False
-        elif apart:
-            break  # a gain too small for double precision
-        else:
-            share, apart = share * 4, True
-    return table.select("id", "c") if kept else None
+def _round(weighted: DataFrame, place: DataFrame, whole: float, parts: int, seed: int, share: int) -> DataFrame:
+    """place after one round: nodes are dealt into parts by a hash that changes with the round; each part moves its own
+    nodes, those of other parts stay as they are. With a share, only one node in so many may move."""
+    total = place.groupBy("c").agg(F.sum("k").alias("tot"))
+    full = place.join(total, "c")
+    of_src = full.select(F.col("id").alias("src"), F.col("c").alias("c_src"), F.col("k").alias("k_src"), F.col("tot").alias("tot_src"))
+    of_dst = full.select(F.col("id").alias("dst"), F.col("c").alias("c_dst"), F.col("tot").alias("tot_dst"))
+    rows = weighted.join(of_src, "src").join(of_dst, "dst").withColumn("_part", F.pmod(F.xxhash64("src", F.lit(seed)), F.lit(parts)))
+    if share > 1:
+        rows = rows.where(F.pmod(F.xxhash64("src", F.lit(seed + 1)), F.lit(share)) == 0)
+    columns = ("src", "dst", "w", "c_src", "k_src", "c_dst", "tot_src", "tot_dst")
+    kind = to_arrow_type(place.schema["id"].dataType)
 
+    def move(table: pa.Table) -> pa.Table:
+        nodes, to = local_moves(*(table.column(c).to_numpy() for c in columns), whole)
+        return pa.table([pa.array(nodes, kind), pa.array(to, kind)], names=["id", "to"])
 
-def _apart(moves: DataFrame) -> DataFrame:
-    """The ids of moves (id, c, best, more) that are the greatest, by more and then the smallest id, both in the
-    community that they leave and in the one that they join. No two of them touch the same community, so their gains
-    add up exactly; the greatest of all is among them."""
-    ends = moves.select("id", F.explode(F.array("c", "best")).alias("at"), F.struct("more", F.struct(-F.col("id"))).alias("place"))
-    firsts = ends.groupBy("at").agg(F.max_by("id", "place").alias("id"))
-    return firsts.groupBy("id").agg(F.count("*").alias("n")).where("n = 2").select("id")
+    schema = T.StructType([place.schema["id"], T.StructField("to", place.schema["id"].dataType)])
+    moves = rows.groupBy("_part").applyInArrow(move, schema)
+    return place.join(moves, "id", "left").select("id", F.coalesce("to", "c").alias("c"), "k")
+
+
+def _settled(weighted: DataFrame, whole: float, rounds: int | None, cut) -> DataFrame | None:
+    """(id, c) when rounds gain no more, or after `rounds` that were kept; None if no node has moved."""
+    place = cut(weighted.groupBy(F.col("src").alias("id")).agg(F.first("src").alias("c"), F.sum("w").alias("k")))
+    parts = max(1, -(-weighted.count() // PART_EDGES))
+    score, kept, share, seed = _score(weighted, place, whole), 0, 1, 0
+    while (rounds is None or kept < rounds) and share <= LEAST_SHARE:
+        seed += 1
+        tried = cut(_round(weighted, place, whole, parts, seed, share))
+        new = _score(weighted, tried, whole)
+        if new > score * (1 + 1e-12):
+            place, score, kept, share = tried, new, kept + 1, max(1, share // 2)
+            if parts == 1 and share == 1:
+                break  # all nodes were in one part, and none gains any more
+        else:
+            share = share * 4 if parts > 1 else LEAST_SHARE + 1
+    return place.select("id", "c") if kept else None
 
 
 def louvain(pairs: DataFrame, rounds: int | None = None, levels: int | None = None, cut=None) -> DataFrame:
-    """(id, community) of the nodes of pairs (a, b), by greedy modularity gains in rounds, then on the graph of
-    communities, level by level, until no node gains; `rounds` (in a level) and `levels` may be bounded.
-
-    In a round every node looks at the communities of its neighbours and at its own: joining c gains
-    w(node, c) - degree(node) * degree(c) / 2m, degree(c) without the node itself; of equal gains the smallest
-    community wins. Half of the nodes (by a hash that changes with the round) move at a time. After a level's
-    first FREE_ROUNDS, a round that doesn't raise the modularity is taken back; the next moves only nodes that touch no
-    common community, whose gains add up, and later ones fewer nodes, then more again while that works. So modularity rises with each
-    round that is kept, and nodes can't swap for ever.
-    The community's id is its smallest node.
+    """(id, community) of the nodes of pairs (a, b), by greedy modularity gains, then on the graph of communities, level by
+    level, until no node gains; `rounds` (in a level) and `levels` may be bounded.
+
+    In a round nodes are dealt by hash into parts of PART_EDGES edges or so, with their neighbours' communities and these
+    communities' degrees. A part moves its nodes one after another, each to the community that it gains most by: joining c
+    gains w(node, c) - degree(node) * degree(c) / 2m, degree(c) without the node itself; of equal gains the smallest community
+    wins. Nodes of other parts stay as they are meanwhile, so a round is kept only if the modularity of the whole has risen;
+    else the next one lets fewer nodes move. Then communities become nodes. The community's id is its smallest node.
     """
     cut = cut or written
     weighted = cut(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(1.0).alias("w")).union(pairs.select("b", "a", F.lit(1.0))))

@@ -41,6 +41,19 @@ def test_louvain_finds_planted_blocks(spark):
     assert {frozenset(k for k in members if members[k] == c) for c in set(members.values())} == {frozenset(range(b * 10, b * 10 + 6)) for b in range(3)}
 
 
+@pytest.mark.parametrize("part_edges", [10**6, 120])
+def test_louvain_in_parts_is_as_good_as_in_one(spark, monkeypatch, part_edges):
+    """On a graph with planted blocks the modularity is that of the blocks, or near it, however many parts there are."""
+    monkeypatch.setattr(G, "PART_EDGES", part_edges)
+    rng = random.Random(5)
+    pairs = {(a, b) for a in range(120) for b in range(a + 1, 120) if rng.random() < (0.5 if a // 12 == b // 12 else 0.01)}
+    edges = spark.createDataFrame(sorted(pairs), "a long, b long")
+    members = G.louvain(edges)
+    found = G.modularity(edges, members).first()[0]
+    planted = G.modularity(edges, spark.createDataFrame([(n, n // 12) for n in range(120)], "id long, community long")).first()[0]
+    assert found >= planted - 0.02
+
+
 def test_louvain_of_no_edges(spark):
     assert G.louvain(spark.createDataFrame([], "a long, b long"), cut=cut).collect() == []
 
@@ -48,9 +61,15 @@ def test_louvain_of_no_edges(spark):
 def test_louvain_moves_until_no_node_gains(spark):
     edges = spark.createDataFrame([(n, n + 1) for n in range(39)], "src long, dst long")
     both = cut(G.both_ways(edges).withColumn("w", F.lit(1.0)))
-    place = G._settled(both, 78.0, None, cut)
-    degree = both.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k")).withColumn("loop", F.lit(0.0))
-    assert G._options(both, place.join(degree, "id"), 78.0).where("more > 0").count() == 0
+    place = {r["id"]: r["c"] for r in G._settled(both, 78.0, None, cut).collect()}
+    near: dict = {}
+    for r in both.collect():
+        near.setdefault(r["src"], []).append(r["dst"])
+    total = Counter()
+    for n, own in near.items():
+        total[place[n]] += len(own)
+    gain = lambda n, c: sum(place[m] == c for m in near[n]) - len(near[n]) * (total[c] - (len(near[n]) if place[n] == c else 0)) / 78.0
+    assert all(gain(n, place[m]) <= gain(n, place[n]) + 1e-9 for n in near for m in near[n])
 
 
 def test_louvain_communities_reads_all_relations(spark, monkeypatch):
