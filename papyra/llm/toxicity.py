@@ -8,7 +8,7 @@ A text's vector is its TF-IDF vector over words, tf = 1 + ln(count), idf = ln(1
 over all documents, scaled to length 1; a word that no example has counts in the length only, with the idf of a word of
 one document. Its neighbours are the k examples with the greatest cosine, exactly. An inverted list keeps for each block
 of examples the greatest weight in it; the blocks with the highest bounds are read first, then those whose bound reaches
-the k-th best. Ties go to the example with the smaller number, which follows from its text and label. The vote is the
+the k-th best. (Features of many examples have rows instead, whose sums are known before.) Ties go to the example with the smaller number, which follows from its text and label. The vote is the
 share of label 1 among the neighbours, each weighted by a power of its cosine.
 
 Two texts that differ in one toxic passage are near neighbours, so the vote alone can't tell them apart. Beside it stands
@@ -58,8 +58,9 @@ MAX_EXAMPLES = 1024
 #: Different words of all examples together; an example that would exceed it is passed over.
 MAX_POSTINGS = 1_000_000
 BLOCK = 64
-#: Features of at least this share of the examples are held as rows, not as lists.
-DENSE = 0.06
+#: Features of at least this share of the examples are held as rows, not as lists; texts that are multiplied with them at
+#: once.
+DENSE, TOGETHER = 0.06, 64
 #: So many blocks are read first.
 FIRST_BLOCKS = 2
 K = 31
@@ -215,7 +216,7 @@ class Model:
         often = np.flatnonzero(found >= max(BLOCK, DENSE * len(vectors)))
         row = np.full(n_features, -1)
         row[often] = np.arange(len(often))
-        dense = np.zeros((len(often), n_blocks * BLOCK), np.float32)
+        dense = np.zeros((len(often), n_blocks * BLOCK))
         held = row[features] >= 0
         dense[row[features[held]], examples[held]] = weights[held]
         self.lists = {
@@ -226,29 +227,35 @@ class Model:
             "examples": examples,
             "weights": weights,
             "row": row,
-            "dense": dense.reshape(len(often), n_blocks, BLOCK),
+            "dense": dense,
         }
 
-    def nearest(self, numbers: np.ndarray, weights: np.ndarray) -> list[tuple[float, int]]:
-        """The k examples of the highest cosine, exactly; (cosine to 6 places, number), best first."""
+    def known(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the features that are held as rows add to the cosines of texts (rows) and examples, by one product."""
+        rows = self.lists["row"]
+        mine = np.zeros((len(vectors), len(self.lists["dense"])))
+        for n, (numbers, weights) in enumerate(vectors):
+            at = rows[numbers]
+            mine[n, at[at >= 0]] = weights[at >= 0]
+        return mine @ self.lists["dense"]
+
+    def nearest(self, numbers: np.ndarray, weights: np.ndarray, scores: np.ndarray | None = None) -> list[tuple[float, int]]:
+        """The k examples of the highest cosine, exactly; (cosine to 6 places, number), best first. scores: a row of what
+        `known` gives, which is changed."""
         if not self.lists or not len(numbers):
             return []
         lists = self.lists
-        n, n_blocks = len(self.labels), lists["dense"].shape[1]
+        scores = self.known([(numbers, weights)])[0] if scores is None else scores
+        n, n_blocks = len(self.labels), len(scores) // BLOCK
+        listed = lists["row"][numbers] < 0
+        numbers, weights = numbers[listed], weights[listed]
         entries, owner = ragged(lists["starts"][numbers], lists["starts"][numbers + 1])
         of_block, entry_weights = lists["blocks"][entries], weights[owner]
-        bounds = np.bincount(of_block, entry_weights * lists["most"][entries], n_blocks)
-        rows = lists["row"][numbers]
-        often = rows >= 0
-        rows, row_weights, sparse = rows[often], weights[often].astype(np.float32), ~often[owner]
-        scores = np.zeros(n_blocks * BLOCK)
+        # of rows the sums are known, of lists the greatest weights
+        bounds = scores.reshape(n_blocks, BLOCK).max(1) + np.bincount(of_block, entry_weights * lists["most"][entries], n_blocks)
 
         def read(chosen: np.ndarray) -> None:
-            if len(rows):
-                where = np.flatnonzero(chosen)
-                part = lists["dense"][rows[:, None], where[None]].reshape(len(rows), -1)
-                scores.reshape(n_blocks, BLOCK)[where] += (row_weights @ part).reshape(len(where), BLOCK)
-            which = sparse & chosen[of_block]
+            which = chosen[of_block]
             at = entries[which]
             places, entry = ragged(lists["at"][at], lists["at"][at + 1])
             if len(places):
@@ -267,12 +274,19 @@ class Model:
         best = there[np.lexsort((there, -rounded[there]))][: self.k]
         return [(float(rounded[i]), int(i)) for i in best]
 
-    def look(self, words: list[bytes]) -> tuple[list[float], list[tuple[float, int]]]:
-        """The features of calibration (the vote first) and the nearest examples."""
-        counts = Counter(words)
-        numbers, telling = self.numbers.of(counts)
-        near = self.nearest(*self.vector(numbers, np.fromiter(counts.values(), np.float64, len(counts))))
-        return [vote_of(near, self.labels), *evidence_of([self.telling[t] for t in sorted(telling)], len(words))], near
+    def look(self, texts: list[list[bytes]]) -> list[tuple[list[float], list[tuple[float, int]]]]:
+        """Of each text's words the features of calibration (the vote first) and the nearest examples."""
+        out = []
+        for at in range(0, len(texts), TOGETHER):
+            part = texts[at : at + TOGETHER]
+            counted = [Counter(words) for words in part]
+            read = [self.numbers.of(counts) for counts in counted]
+            vectors = [self.vector(numbers, np.fromiter(counts.values(), np.float64, len(counts))) for counts, (numbers, _) in zip(counted, read, strict=True)]
+            known = self.known(vectors) if self.lists else [None] * len(part)
+            for words, (_, telling), vector, scores in zip(part, read, vectors, known, strict=True):
+                near = self.nearest(*vector, scores)
+                out.append(([vote_of(near, self.labels), *evidence_of([self.telling[t] for t in sorted(telling)], len(words))], near))
+        return out
 
     def score(self, features: list[float], near: list[tuple[float, int]]) -> float:
         if self.weights is None:
@@ -450,7 +464,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
 
 
 def _features(model: Model):
-    return lambda batch: [pa.array([model.look(words_of(raw))[0] for raw in raw_texts(batch.column("text"))], pa.list_(pa.float64()))]
+    return lambda batch: [pa.array([features for features, _ in model.look([words_of(raw) for raw in raw_texts(batch.column("text"))])], pa.list_(pa.float64()))]
 
 
 def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", n_evidence: int = 3) -> DataFrame:
@@ -465,8 +479,8 @@ def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", n_evid
 
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
             scores, evidence = [], []
-            for raw in raw_texts(batch.column(text_col)):
-                features, near = own.look(words_of(raw))
+            raws = raw_texts(batch.column(text_col))
+            for features, near in (found for at in range(0, len(raws), TOGETHER) for found in own.look([words_of(raw) for raw in raws[at : at + TOGETHER]])):
                 scores.append(own.score(features, near))
                 evidence.append([{"doc_id": own.names[n], "toxic": int(own.labels[n]), "cosine": s} for s, n in near[:n_evidence]])
             return [pa.array(scores, pa.float64()), pa.array(evidence, kind)]

@@ -764,7 +764,7 @@ def test_pipeline_stages(spark, tmp_path):
             # the operator's scores are compared with brute force above; here by its model, text by text
             labels = spark.read.parquet(f"{DATA}/labels.parquet").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
             model = toxicity.fit(spark.createDataFrame(before), labels)
-            assert kept == {r["doc_id"] for r in before if model.score(*model.look(toxicity.words_of(r["text"].encode()))) < 0.7}
+            assert kept == {r["doc_id"] for r in before if model.score(*model.look([toxicity.words_of(r["text"].encode())])[0]) < 0.7}
             assert {r["doc_id"]: r["text"] for r in after} == {r["doc_id"]: r["text"] for r in before if r["doc_id"] in kept}
         if name == "mixing":
             want = brute_mix([(r["doc_id"], r["source"], r["text"]) for r in before])
