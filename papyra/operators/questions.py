@@ -56,6 +56,22 @@ def turn_blocks(messages: DataFrame, session: str = "session_id", ask_role: str
     return said.select(session, F.aggregate("m", start, add, lambda acc: F.array_join(acc["lines"], "")).alias("history"))
 
 
+def turn_dialogue(turns: DataFrame, messages: DataFrame, head: int = 250, tail: int = 150, labels: tuple[str, str] = ("用户", "助手")) -> DataFrame:
+    """(session_id, dialogue): a numbered block for each of the turns (session_id, turn, user_input), in order, with the
+    turn's last answer: of its messages (session_id, turn, pos, role, content, tool_calls) the last of an assistant that calls
+    no tool and isn't blank. Longer answers keep their first `head` and last `tail` characters."""
+    blank = " \t\r\n"
+    said = messages.where(F.col("role").isin("assistant", "ai") & ~F.coalesce("tool_calls", F.lit(False)))
+    said = said.withColumn("content", F.btrim(F.coalesce("content", F.lit("")), F.lit(blank))).where("content <> ''")
+    last = said.groupBy("session_id", "turn").agg(F.max_by("content", "pos").alias("answer"))
+    short = F.when(F.length("answer") <= head + tail, F.col("answer")).otherwise(F.concat(F.left("answer", F.lit(head)), F.lit("…"), F.right("answer", F.lit(tail))))
+    rows = turns.join(last, ["session_id", "turn"], "left")
+    line = F.concat(F.lit(f"{labels[0]}："), F.btrim(F.coalesce("user_input", F.lit("")), F.lit(blank)), F.coalesce(F.concat(F.lit(f"\n{labels[1]}："), short), F.lit("")))
+    whole = rows.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("t"))
+    blocks = F.transform("t", lambda x, i: F.concat(F.lit("[第 "), (i + 1).cast("string"), F.lit(" 轮]\n"), x["line"]))
+    return whole.select("session_id", F.array_join(blocks, "\n\n").alias("dialogue"))
+
+
 def priced(usage: DataFrame, prices: DataFrame) -> DataFrame:
     """usage (model, prompt, completion, total) with total, where it is null, as their sum, and cost by the models'
     prices a thousand tokens (model, prompt_price, completion_price); models without a price cost nothing."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from papyra.operators import questions as Q
@@ -69,6 +70,26 @@ def turn_blocks(spark, d):
     return Q.turn_blocks(_messages(spark, d)).select("session_id", F.md5("history").alias("history_md5"))
 
 
+TRIMMED = "trim(coalesce({}, ''), ' ' || chr(9) || chr(10) || chr(13))"
+
+
+@register(
+    "turn_dialogue",
+    f"""WITH c AS (SELECT conv_id, turn, role, {TRIMMED.format('text')} AS t, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS n FROM conversations),
+    a AS (SELECT conv_id, n, arg_max(t, turn) AS answer FROM c WHERE role = 'assistant' AND t <> '' AND length(t) % 5 <> 0 GROUP BY ALL),
+    b AS (SELECT c.conv_id, c.n, '用户：' || t || CASE WHEN answer IS NULL THEN '' WHEN length(answer) <= 400 THEN chr(10) || '助手：' || answer ELSE chr(10) || '助手：' || left(answer, 250) || '…' || right(answer, 150) END AS line FROM c LEFT JOIN a USING (conv_id, n) WHERE role = 'user')
+    SELECT conv_id AS session_id, md5(string_agg('[第 ' || CAST(n AS BIGINT) || ' 轮]' || chr(10) || line, chr(10) || chr(10) ORDER BY n)) AS dialogue_md5 FROM b GROUP BY conv_id""",
+)
+def turn_dialogue(spark, d):
+    """Turns of conversations with their last answers; messages of some lengths stand for those that call tools."""
+    order = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = _read(spark, d, "conversations").withColumn("n", F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).over(order))
+    turns = rows.where("role = 'user'").select(F.col("conv_id").alias("session_id"), F.col("n").alias("turn"), F.col("text").alias("user_input"))
+    calls = F.length(F.btrim("text", F.lit(" \t\r\n"))) % 5 == 0
+    messages = rows.where("role <> 'user'").select(F.col("conv_id").alias("session_id"), F.col("n").alias("turn"), F.col("turn").alias("pos"), "role", F.col("text").alias("content"), calls.alias("tool_calls"))
+    return Q.turn_dialogue(turns, messages).select("session_id", F.md5("dialogue").alias("dialogue_md5"))
+
+
 @register(
     "priced_usage",
     "WITH u AS (SELECT event_id, event_type AS model, user_id AS prompt, event_id % 50 AS completion FROM events), p AS (SELECT event_type AS model, length(event_type) / 10.0::DOUBLE AS pp, length(event_type) / 5.0::DOUBLE AS cp FROM (SELECT DISTINCT event_type FROM events) WHERE event_type <> 'click') SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 9 ELSE prompt + completion END AS total, round((prompt * coalesce(pp, 0) + completion * coalesce(cp, 0)) / 1000, 9) AS cost FROM u LEFT JOIN p USING (model)",
