@@ -143,7 +143,8 @@ def linked(values: np.ndarray, group: np.ndarray, radius: int, between: tuple[in
     tops = np.arange(len(levels[-1][0]))
     a, b = (tops, tops) if between is None else (np.array([between[0]]), np.array([between[1]]))
     apart = np.bitwise_count((levels[-1][1][a] ^ levels[-1][1][b]) & levels[-1][0][a] & levels[-1][0][b]).astype(np.int64)
-    todo = [(len(levels) - 1, a, b, apart)]
+    near = apart <= radius
+    todo = [(len(levels) - 1, a[near], b[near], apart[near])]
     while todo:
         level, a, b, apart = todo.pop()
         if len(a) > PAIRS // FAN**2:
