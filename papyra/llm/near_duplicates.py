@@ -217,19 +217,21 @@ def candidate_edges(sets: DataFrame, threshold: float, tolerance: float, bucket_
     return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, schema).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, files: int | None = None) -> DataFrame:
     """(sid, root) for every end of an edge: root is the smallest sid of its connected component.
 
     Each round every node takes the smallest root among its neighbours' and then its root's root, until none changes.
+    files: in how many files at most a round is written (else one for each partition).
     """
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    write = cut if files is None else lambda df: cut(df.coalesce(files))
+    both = write(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     roots = both.groupBy("a").agg(F.min("b").alias("b"))
-    roots = cut(roots.select(F.col("a").alias("sid"), F.least("a", "b").alias("root")))
+    roots = write(roots.select(F.col("a").alias("sid"), F.least("a", "b").alias("root")))
     while True:
         near = both.join(roots, both["b"] == roots["sid"]).groupBy("a").agg(F.min("root").alias("near"))
         own = roots.join(near, roots["sid"] == near["a"]).select("sid", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         up = own.select(F.col("sid").alias("up"), F.col("root").alias("up_root"))
-        new = cut(own.join(up, own["root"] == up["up"]).select("sid", "old", F.least("root", "up_root").alias("root")))
+        new = write(own.join(up, own["root"] == up["up"]).select("sid", "old", F.least("root", "up_root").alias("root")))
         roots = new.select("sid", "root")
         if not new.where("old <> root").head(1):
             return roots

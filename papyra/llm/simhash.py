@@ -22,6 +22,10 @@ range is searched there. Others become blocks of BLOCK fingerprints: pairs of bl
 block shares, before any fingerprint moves, and each pair left is one unit of work. Tasks hand on a forest of links, not
 the pairs.
 
+What is written between the steps goes into as few files as its rows need (the fingerprints: as the documents came in;
+the rounds of the components: ROWS in each; one for each core at least), not into one for each partition of a shuffle:
+each file costs an executor a commit, and on a local file system processes that it starts for the file's rights.
+
 Null and empty texts have fingerprint zero. Rows that repeat are documents of their own. Ids may be of any type; the
 component's id is its smallest one (null only if all are).
 """
@@ -44,8 +48,8 @@ from papyra.llm.near_duplicates import components
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Members of a top node to aim at, and of a block; nodes below one node; pairs of nodes that are held at once.
 NODE, BLOCK, FAN, PAIRS = 256, 2048, 8, 1 << 18
-#: Rows that a task searches at once.
-CHUNK = 1 << 15
+#: Rows that a task searches at once; rows in a file of those between the rounds of the components.
+CHUNK, ROWS = 1 << 15, 1 << 17
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 ALL = np.uint64(2**64 - 1)
 
@@ -261,8 +265,7 @@ def _searched(prints: DataFrame, radius: int, segments: int, block: int) -> Data
 
 
 def _across(blocks: DataFrame, radius: int) -> DataFrame:
-    """(a, b): links between blocks of one top node."""
-    blocks = cut(blocks.withColumn("block_id", F.monotonically_increasing_id()))
+    """(a, b): links between blocks of one top node; block_id is theirs alone, and the rows are written."""
     slim = blocks.select("order_no", "top", "block_id", "every", "some")
     other = slim.select("order_no", "top", F.col("block_id").alias("other_id"), F.col("every").alias("every2"), F.col("some").alias("some2"))
     shared = F.bitwise_not(F.col("every").bitwiseXOR(F.col("some"))).bitwiseAND(F.bitwise_not(F.col("every2").bitwiseXOR(F.col("some2"))))
@@ -287,7 +290,7 @@ def links(prints: DataFrame, radius: int = RADIUS, segments: int | None = None,
     """(a, b): links between the different fingerprints fp (longs) that join all that is linked."""
     if segments is None:
         segments = segments_for(prints.count(), radius)
-    found = cut(_searched(prints, radius, segments, block))
+    found = cut(_searched(prints, radius, segments, block).withColumn("block_id", F.monotonically_increasing_id()))
     within = found.where("members IS NULL").select("a", "b")
     return within.unionByName(_across(found.where("members IS NOT NULL").drop("a", "b"), radius)).distinct()
 
@@ -298,8 +301,13 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS, text_col: str = "t
     kept = [c for c in docs.columns if c.lower() not in ("fingerprint", "component_id")]
     fp, node, root = free_names(docs, "fp", "fp_node", "fp_root")
     signed = cut(fingerprints(docs.select(kept), text_col, fp))
-    prints = cut(signed.groupBy(F.col(fp).alias("fp")).agg(F.min(id_col).alias("least")))
-    found = components(links(prints.select("fp"), radius, segments, block)).withColumnRenamed("sid", node).withColumnRenamed("root", root)
+    prints = signed.groupBy(F.col(fp).alias("fp")).agg(F.min(id_col).alias("least"))
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    prints = cut(prints.coalesce(max(cores, signed.rdd.getNumPartitions())))
+    n = prints.count()
+    files = max(cores, -(-n // ROWS))
+    linked_prints = links(prints.select("fp"), radius, segments or segments_for(n, radius), block)
+    found = components(linked_prints, files).withColumnRenamed("sid", node).withColumnRenamed("root", root)
     of_print = prints.join(found, F.col("fp") == F.col(node), "left").withColumn(root, F.coalesce(root, "fp")).drop(node)
     least = of_print.groupBy(F.col(root).alias(node)).agg(F.min("least").alias("component_id"))
     of_print = of_print.join(least, F.col(root) == F.col(node)).select(F.col("fp").alias(node), "component_id")

@@ -6,6 +6,8 @@ import hashlib
 import math
 import random
 import re
+from pathlib import Path
+from urllib.parse import urlparse
 
 import duckdb
 import numpy as np
@@ -17,6 +19,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from papyra.llm import chat, decontaminate, lexical, near_duplicates, registry, secrets, simhash, topk, vector_codes
+from papyra.llm.common import checkpoint_dir
 
 # --- 11 ----------------------------------------------------------------------------------------------------------
 
@@ -135,6 +138,29 @@ def test_simhash_of_odd_rows(spark):
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
 
 
+def test_simhash_writes_few_files(spark):
+    words = [[f"w{g * n * n % 9973}" for n in range(400)] for g in range(1, 13)]
+    texts = [" ".join([*words[k % 12], f"end{k // 12}"]) for k in range(120)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    confs = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in confs}
+    written = lambda: {str(p) for p in Path(urlparse(checkpoint_dir(spark)).path).rglob("part-*")}
+    before = written()
+    try:
+        for k, v in confs.items():
+            spark.conf.set(k, v)
+        got = sorted(map(tuple, simhash.simhash_components(df).select("doc_id", "fingerprint", "component_id").collect()))
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    prints = [brute_fingerprint(t) for t in texts]
+    want = [(k, f"{p:016x}", c) for k, (p, c) in enumerate(zip(prints, least_ids(range(len(texts)), brute_components(prints)), strict=True))]
+    assert got == want
+    assert len(set(prints)) > len({c for _, _, c in want}) > 1
+    # only the search has a file for each of the shuffle's partitions; it was one for each in every step
+    assert len(written() - before) <= 40 + 3 + 10 * spark.sparkContext.defaultParallelism
+
+
 def clustered(seed, n):
     """Fingerprints of which many are some bits apart, in chains and around hubs."""
     rng, out = random.Random(seed), set()
