@@ -28,7 +28,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from papyra.llm.common import cut, placed
+from papyra.llm.common import cut, files_for, placed
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bins of a level; two levels leave a millionth of a source.
@@ -60,7 +60,7 @@ def targets(sources: DataFrame, max_copies: int = 3) -> DataFrame:
         sums = held.agg(F.sum("source_size"), F.sum(F.when(F.col("held"), F.col("limit")).otherwise(0)), F.sum(F.when(F.col("held"), 0).otherwise(F.col("weight")))).first()
         left, weights = (sums[0] or 0) - (sums[1] or 0), sums[2] or 0
         share = (F.lit(left).cast("long") * F.col("weight")).cast("double") / F.lit(float(weights)) if weights else F.lit(0.0)
-        held = cut(held.withColumn("share", share).withColumn("new", ~F.col("held") & (F.col("share") > F.col("limit"))))
+        held = cut(held.withColumn("share", share).withColumn("new", ~F.col("held") & (F.col("share") > F.col("limit"))), files_for(sources.sparkSession))
         if not held.where("new").head(1):
             break
         held = held.withColumn("held", F.col("held") | F.col("new"))
@@ -79,7 +79,7 @@ def expected_copies(sizes: DataFrame, max_copies: int = 3) -> DataFrame:
         free = F.sum(F.when(F.col("full"), 0).otherwise(F.col("measure") * F.col("words"))).over(of_source)
         full = F.sum(F.when(F.col("full"), F.col("words")).otherwise(0)).over(of_source)
         factor = F.when(free > 0, (F.col("target") - (full * max_copies).cast("double")) / free.cast("double")).otherwise(F.lit(0.0))
-        sizes = cut(sizes.withColumn("factor", factor).withColumn("new", ~F.col("full") & (F.col("factor") * F.col("measure") >= max_copies)))
+        sizes = cut(sizes.withColumn("factor", factor).withColumn("new", ~F.col("full") & (F.col("factor") * F.col("measure") >= max_copies)), files_for(sizes.sparkSession))
         if not sizes.where("new").head(1):
             break
         sizes = sizes.withColumn("full", F.col("full") | F.col("new"))
@@ -89,7 +89,7 @@ def expected_copies(sizes: DataFrame, max_copies: int = 3) -> DataFrame:
 
 def _small(df: DataFrame):
     """A table of a few rows a source, materialised; broadcast if it is small."""
-    df = cut(df)
+    df = cut(df, files_for(df.sparkSession))
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
@@ -98,11 +98,12 @@ def _same(left: str, right: str) -> Column:
 
 
 def _cut_bins(rows: DataFrame) -> DataFrame:
-    """(_source, cut_bin, before): for each source the bin in which the sizes, summed in order of bins, pass `rest`."""
-    sums = rows.groupBy("source", "bin", "rest").agg(F.sum("size").alias("s"))
+    """(_source, cut_bin, before, n): for each source the bin in which the sizes, summed in order of bins, pass `rest`,
+    and the number of its rows."""
+    sums = rows.groupBy("source", "bin", "rest").agg(F.sum("size").alias("s"), F.count("*").alias("rows"))
     by_bin = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = sums.withColumn("after", F.sum("s").over(by_bin)).where(F.col("rest") < F.col("after"))
-    return sums.groupBy(F.col("source").alias("_source")).agg(F.min("bin").alias("cut_bin"), F.min_by(F.col("after") - F.col("s"), "bin").alias("before"))
+    return sums.groupBy(F.col("source").alias("_source")).agg(F.min("bin").alias("cut_bin"), F.min_by(F.col("after") - F.col("s"), "bin").alias("before"), F.min_by("rows", "bin").alias("n"))
 
 
 def pareto_sample(rows: DataFrame) -> DataFrame:
@@ -113,11 +114,13 @@ def pareto_sample(rows: DataFrame) -> DataFrame:
     done, columns = [], [*rows.columns, "state"]
     for level in (first, second, F.col("value"), F.pmod("salt", F.lit(BINS)), F.col("salt")):
         rows = rows.withColumn("bin", level)
-        joined = rows.join(_small(_cut_bins(rows)), _same("source", "_source"), "left")
+        bins = _small(_cut_bins(rows))
+        files = files_for(rows.sparkSession, bins.agg(F.sum("n")).first()[0] or 0)
+        joined = rows.join(bins.drop("n"), _same("source", "_source"), "left")
         # a source without a cut takes all
         below = F.col("cut_bin").isNull() | (F.col("bin") < F.col("cut_bin"))
         done.append(joined.where(F.col("cut_bin").isNull() | (F.col("bin") != F.col("cut_bin"))).withColumn("state", below.cast("int")).select(columns))
-        rows = cut(joined.where(F.col("bin") == F.col("cut_bin")).withColumn("rest", F.col("rest") - F.col("before")).drop("_source", "cut_bin", "before", "bin"))
+        rows = cut(joined.where(F.col("bin") == F.col("cut_bin")).withColumn("rest", F.col("rest") - F.col("before")).drop("_source", "cut_bin", "before", "bin"), files)
     return reduce(DataFrame.unionByName, [*done, rows.withColumn("state", F.lit(0)).select(columns)])
 
 
@@ -147,6 +150,7 @@ def mix(docs: DataFrame, weights: DataFrame, id_col: str = "doc_id", source_col:
     # salt differs for all rows and is written with them, so it doesn't change afterwards
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), uniform(key, seed).alias("u"), F.xxhash64(F.monotonically_increasing_id()).alias("salt"), *([measure.cast("long").alias("measure")] if measure is not None else []))
     rows = cut(rows if measure is not None else rows.withColumn("measure", F.length(F.bin("size")).cast("long")))
+    as_came = max(files_for(docs.sparkSession), rows.rdd.getNumPartitions())
 
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     weighed = sources.join(weights.select(F.col("source").alias("_w"), "weight"), _same("source", "_w"), "left").drop("_w")
@@ -160,7 +164,7 @@ def mix(docs: DataFrame, weights: DataFrame, id_col: str = "doc_id", source_col:
     rows = rows.withColumn("whole", F.floor("copies")).withColumn("p", F.col("copies") - F.col("whole"))
     may = (F.col("p") > 0) & (F.col("size") > 0)
     ranked = rows.where(may).withColumn("value", rank_value(F.col("u"), F.col("p"))).withColumn("rest", F.col("left"))
-    sampled = cut(pareto_sample(ranked.drop("u", "p", "copies")))
+    sampled = cut(pareto_sample(ranked.drop("u", "p", "copies")), as_came)
     more = sampled.join(_small(fills(sampled)), (F.col("salt") == F.col("_salt")) & _same("source", "_source"), "left")
     some = more.withColumn("copies", F.col("whole") + F.when(F.col("_salt").isNotNull(), 1).otherwise(F.col("state")))
     none = rows.where(~may).withColumn("copies", F.when(F.col("size") > 0, F.col("whole")).otherwise(F.lit(0)))

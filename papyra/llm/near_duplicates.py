@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from papyra.llm.common import append_columns, bound_batches, cut, free_names, raw_texts, words_of
+from papyra.llm.common import append_columns, bound_batches, cut, files_for, free_names, raw_texts, words_of
 
 SHINGLE, THRESHOLD = 5, 0.8
 HASHES, ROWS, BANDS, STEP = 128, 4, 20, 16
@@ -223,15 +223,14 @@ def components(edges: DataFrame, files: int | None = None) -> DataFrame:
     Each round every node takes the smallest root among its neighbours' and then its root's root, until none changes.
     files: in how many files at most a round is written (else one for each partition).
     """
-    write = cut if files is None else lambda df: cut(df.coalesce(files))
-    both = write(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct(), files)
     roots = both.groupBy("a").agg(F.min("b").alias("b"))
-    roots = write(roots.select(F.col("a").alias("sid"), F.least("a", "b").alias("root")))
+    roots = cut(roots.select(F.col("a").alias("sid"), F.least("a", "b").alias("root")), files)
     while True:
         near = both.join(roots, both["b"] == roots["sid"]).groupBy("a").agg(F.min("root").alias("near"))
         own = roots.join(near, roots["sid"] == near["a"]).select("sid", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         up = own.select(F.col("sid").alias("up"), F.col("root").alias("up_root"))
-        new = write(own.join(up, own["root"] == up["up"]).select("sid", "old", F.least("root", "up_root").alias("root")))
+        new = cut(own.join(up, own["root"] == up["up"]).select("sid", "old", F.least("root", "up_root").alias("root")), files)
         roots = new.select("sid", "root")
         if not new.where("old <> root").head(1):
             return roots
@@ -326,21 +325,23 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     signed = cut(signatures(slim.withColumn("text_hash", F.xxhash64("text"))).drop("text"))
     sets = signed.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.max("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
-    sets = cut(sets)
-    grouped = components(candidate_edges(sets, threshold, tolerance, bucket_block))
-    members = cut(grouped.join(sets.drop("sig"), "sid"))
+    as_came = max(files_for(docs.sparkSession), signed.rdd.getNumPartitions())
+    sets = cut(sets, as_came)
+    files = files_for(docs.sparkSession, sets.count())
+    grouped = components(candidate_edges(sets, threshold, tolerance, bucket_block), files)
+    members = cut(grouped.join(sets.drop("sig"), "sid"), files)
     sizes = members.groupBy(F.col("root").alias("_root")).agg(F.greatest(F.ceil(F.count("*") / group_block), F.ceil(F.sum("n_shingles") / GROUP_SHINGLES)).cast("int").alias("blocks"))
     members = members.join(sizes, F.col("root") == F.col("_root")).drop("_root")
     texts = _shingled(docs, members.select(F.col("first_id").alias("doc_id")), text_col, id_col).withColumnRenamed("sid", "_sid")
     held = members.join(texts, (F.col("sid") == F.col("_sid")) & F.col("first_id").eqNullSafe(F.col("doc_id"))).select("root", "sid", "copies", "blocks", "shingles")
     links = cut(verified(held, threshold))
-    classes = components(links.where("sid <> first").select(F.col("first").alias("a"), F.col("sid").alias("b")))
+    classes = components(links.where("sid <> first").select(F.col("first").alias("a"), F.col("sid").alias("b")), files)
     counts = links.groupBy("sid").agg(F.sum("links").alias("links"))
     of_set = sets.select("sid", "first_id", "copies").join(counts, "sid", "left").join(classes, "sid", "left")
     of_set = of_set.withColumn("class_sid", F.coalesce("root", "sid"))
     least = of_set.groupBy(F.col("class_sid").alias("_class")).agg(F.min("first_id").alias("class_id"))
     of_set = of_set.join(least, F.col("class_sid") == F.col("_class")).select(F.col("sid").alias("_sid"), "class_sid", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    out = signed.join(of_set, F.col("sid") == F.col("_sid"), "left")
+    out = signed.join(of_set, F.col("sid") == F.col("_sid"), "left").coalesce(as_came)
     return out.select("doc_id", "text_hash", "sid", "class_sid", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
 
 
@@ -350,6 +351,7 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, text_col: str = "tex
     Rows that are the same in id and text stay once; texts without words all stay.
     """
     found = cut(near_duplicates(docs, threshold, text_col=text_col, id_col=id_col))
+    files = files_for(docs.sparkSession, found.count())
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")
     best = found.where("class_sid IS NOT NULL").groupBy(F.col("class_sid").alias("_class")).agg(F.min(order).alias("best"))
     same = found.where("class_sid IS NOT NULL").groupBy("class_sid", "doc_id", "text_hash").agg(F.count("*").alias("n"))
@@ -360,9 +362,9 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, text_col: str = "tex
     own = free_names(docs, "text_hash_")[0]
     keyed = docs.withColumn(own, F.xxhash64(text_col))
     same_row = lambda other: F.col(id_col).eqNullSafe(other["_id_gone"]) & (F.col(own) == other["_hash_gone"])
-    gone = cut(gone)
+    gone = cut(gone, files)
     left = keyed.join(gone, same_row(gone), "left_anti")
-    again = cut(again)
+    again = cut(again, files)
     if again.head(1):
         once = left.join(again, same_row(again), "left_semi").dropDuplicates([id_col, own])
         left = left.join(again, same_row(again), "left_anti").unionByName(once)

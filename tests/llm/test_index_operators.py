@@ -18,7 +18,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from papyra.llm import chat, decontaminate, lexical, near_duplicates, registry, secrets, simhash, topk, vector_codes
+from papyra.llm import chat, decontaminate, lexical, mixing, near_duplicates, registry, secrets, simhash, topk, vector_codes
 from papyra.llm.common import checkpoint_dir
 
 # --- 11 ----------------------------------------------------------------------------------------------------------
@@ -161,6 +161,33 @@ def test_simhash_writes_few_files(spark):
     assert len(written() - before) <= 40 + 3 + 10 * spark.sparkContext.defaultParallelism
 
 
+def test_the_pipelines_last_stages_write_few_files(spark):
+    texts = [" ".join(f"w{(k % 30 + 1) * n * n % 9973}" for n in range(1, 40 + k % 30)) + " last" * (k // 30) for k in range(60)] + ["", "one word"]
+    df = spark.createDataFrame([(k, t, "abc"[k % 3]) for k, t in enumerate(texts)], "doc_id long, text string, source string").repartition(3)
+    weights = mixing.cyclic_weights(df)
+    want = sorted(map(tuple, mixing.mix(df, weights).collect()))
+    assert any(r[5] for r in want)
+    confs = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in confs}
+    written = lambda: {str(p) for p in Path(urlparse(checkpoint_dir(spark)).path).rglob("part-*")}
+    files = []
+    try:
+        for k, v in confs.items():
+            spark.conf.set(k, v)
+        for stage in (lambda: near_duplicates.keep_one(df).select("doc_id"), lambda: mixing.mix(df, weights)):
+            before = written()
+            got = sorted(map(tuple, stage().collect()))
+            assert got == (want if files else [(k,) for k in (*range(30), 60, 61)])
+            files.append(len(written() - before))
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    # only the verified links have a file for each of the shuffle's partitions; it was one for each in most steps
+    cores = spark.sparkContext.defaultParallelism
+    assert files[0] <= 60 + 3 + 20 * cores
+    assert files[1] <= 3 + 30 * cores
+
+
 def clustered(seed, n):
     """Fingerprints of which many are some bits apart, in chains and around hubs."""
     rng, out = random.Random(seed), set()
