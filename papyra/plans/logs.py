@@ -372,8 +372,13 @@ def call_limiter(spark, d):
 
 
 def _stream(spark, d, table):
-    schema = _read(spark, d, table).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(d)
+    """The table as a stream, be it one file or a folder of files (Spark's streams take folders only)."""
+    path = f"{d}/{table}.parquet"
+    rows = spark.readStream.schema(_read(spark, d, table).schema)
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if there.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(there).isDirectory():
+        return rows.parquet(path)
+    return rows.option("pathGlobFilter", f"{table}.parquet").parquet(d)
 
 
 @register("call_limiter_stream", LIMITED)
@@ -394,5 +399,5 @@ def ingest_stream(spark, d):
     """A stream of documents into one table, each content once; the same rows as in batch."""
     source = _stream(spark, d, "documents").withColumn("content_id", F.md5("text"))
     done = jobs.append_new_stream(spark, source, "content_id", lambda rows: rows.select("content_id", F.length("text").alias("n")))
-    docs = _read(spark, d, "documents").select("doc_id", F.md5("text").alias("content_id")).groupBy("content_id").agg(F.min("doc_id").alias("doc_id"))
-    return done.join(docs, "content_id").select("doc_id", "content_id", "n")
+    docs = _read(spark, d, "documents").select("doc_id", F.md5("text").alias("_content")).groupBy("_content").agg(F.min("doc_id").alias("doc_id"))
+    return done.join(docs, done["content_id"].eqNullSafe(docs["_content"])).select("doc_id", "content_id", "n")

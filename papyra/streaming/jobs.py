@@ -76,14 +76,14 @@ def ingest_stream(source: DataFrame, folder: str | None = None, **hooks) -> str:
 
 def append_new_stream(spark: SparkSession, source: DataFrame, key: str, build) -> DataFrame:
     """Each trigger's rows not yet known by key are built by `build` and kept in one table, a directory a trigger, which a
-    repeated trigger replaces."""
+    repeated trigger replaces. A null key is a key like others."""
     folder = shared_folder(spark)
     schema = build(spark.createDataFrame([], source.schema)).schema
     spark.createDataFrame([], schema).write.parquet(f"{folder}/out/batch=-1")
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        known = batch.sparkSession.read.parquet(f"{folder}/out").where(F.col("batch") < batch_id).select(key)
-        build(batch.dropDuplicates([key]).join(known, key, "left_anti")).write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+        known = batch.sparkSession.read.parquet(f"{folder}/out").where(F.col("batch") < batch_id).select(F.col(key).alias("_known"))
+        build(batch.dropDuplicates([key]).join(known, F.col(key).eqNullSafe(F.col("_known")), "left_anti")).write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
 
     query = source.writeStream.foreachBatch(add).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
