@@ -51,11 +51,11 @@ def spaces_collapsed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-def slug(title: Column, longest: int = 60) -> Column:
-    """Lower-case letters, digits, underscores and hyphens only; `memory` if nothing is left."""
+def slug(title: Column, longest: int = 60, empty: str = "memory") -> Column:
+    """Lower-case letters, digits, underscores and hyphens only; `empty` if nothing is left."""
     s = F.regexp_replace(F.regexp_replace(F.lower(title), "[^a-z0-9_-]", "_"), "_+", "_")
     s = F.btrim(s, F.lit("_"))
-    return F.when(s == "", F.lit("memory")).otherwise(F.substring(s, 1, longest))
+    return F.when(s == "", F.lit(empty)).otherwise(F.substring(s, 1, longest))
 
 
 def words(text: Column) -> Column:

@@ -31,3 +31,10 @@ def test_streams_read_folders_of_files_and_null_texts(spark, tmp_path):
     """ingest_stream returned no rows for a table of several files, and lost the null text."""
     _documents(spark, tmp_path, ["a b", None, "c", "a b", None, "", "d" * 70])
     assert len(_same(spark, tmp_path, "ingest_stream", ["documents"])) == 5
+
+
+def test_slugs_of_odd_texts(spark, tmp_path):
+    """A text of which nothing is left was called memory; a dotted capital I became i_."""
+    odd = ["", "???", "__", None, "\u0130stanbul", "memory", "x" * 59 + "?y", " a  B-c_ ", "\u00c9\u00e9"]
+    _documents(spark, tmp_path, odd)
+    _same(spark, tmp_path, "slug", ["documents"])
