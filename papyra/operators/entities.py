@@ -48,8 +48,9 @@ def upsert_merged(existing: DataFrame, new: DataFrame, keys: list[str], latest:
 
 def resolve_relations(entities: DataFrame, relations: DataFrame) -> DataFrame:
     """Relations (chunk_id, source, type, target) with the ids of their ends, looked up by name among the entities
-    (chunk_id, pos, name, entity_id) of the same chunk; of equal names the last one counts. Unresolved ones go."""
-    last = Window.partitionBy("chunk_id", "norm").orderBy(F.desc("pos"))
+    (chunk_id, pos, name, entity_id) of the same chunk; of equal names the last one counts, of equal places the one that
+    is first by seq, if there is such a column, and by entity_id. Unresolved ones go."""
+    last = Window.partitionBy("chunk_id", "norm").orderBy(F.desc("pos"), *[c for c in ("seq", "entity_id") if c in entities.columns])
     named = entities.withColumn("norm", normal_name(F.col("name"))).withColumn("_n", F.row_number().over(last)).where("_n = 1")
     ends = lambda side: named.select("chunk_id", F.col("norm").alias(f"_{side}"), F.col("entity_id").alias(f"{side}_id"))
     rows = relations.withColumn("_source", normal_name(F.col("source"))).withColumn("_target", normal_name(F.col("target")))

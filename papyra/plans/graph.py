@@ -199,9 +199,11 @@ def entity_upsert(spark, d):
     SELECT r.c AS chunk_id, x.id AS source_id, y.id AS target_id, x.id || '::NEXT::' || y.id AS relation_key FROM r JOIN u x ON x.c = r.c AND x.n = r.s JOIN u y ON y.c = r.c AND y.n = r.t""",
 )
 def relation_resolution(spark, d):
-    """Entities of a chunk are its parts, named by their brands; a relation leads from each to the next."""
+    """Entities of a chunk are its parts, named by their brands; a relation leads from each to the next. SQL leaves open
+    which of the lines of one number counts; here it's the first one in the order of the files."""
     parts = _read(spark, d, "part").select(F.col("p_partkey").alias("entity_id"), F.col("p_brand").alias("name"))
-    found = _read(spark, d, "lineitem").select(F.col("l_orderkey").alias("chunk_id"), F.col("l_linenumber").alias("pos"), F.col("l_partkey").alias("entity_id")).join(parts, "entity_id")
+    place = F.struct("_metadata.file_path", "_metadata.row_index").alias("seq")
+    found = _read(spark, d, "lineitem").select(F.col("l_orderkey").alias("chunk_id"), F.col("l_linenumber").alias("pos"), F.col("l_partkey").alias("entity_id"), place).join(parts, "entity_id")
     after = found.select("chunk_id", (F.col("pos") - 1).alias("pos"), F.upper("name").alias("target"))
     relations = found.select("chunk_id", "pos", F.col("name").alias("source")).join(after, ["chunk_id", "pos"]).select("chunk_id", "source", F.lit("NEXT").alias("type"), "target")
     return E.resolve_relations(found, relations).select("chunk_id", "source_id", "target_id", "relation_key")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from conftest import rows_of
 
+from papyra.operators import entities as E
 from papyra.plans import registry
 
 
@@ -38,3 +39,13 @@ def test_slugs_of_odd_texts(spark, tmp_path):
     odd = ["", "???", "__", None, "\u0130stanbul", "memory", "x" * 59 + "?y", " a  B-c_ ", "\u00c9\u00e9"]
     _documents(spark, tmp_path, odd)
     _same(spark, tmp_path, "slug", ["documents"])
+
+
+def test_relations_of_entities_at_one_place(spark):
+    """Of entities of one name at one place, whichever came first out of the shuffle was taken."""
+    rows = [(1, 1, "a", 7, 3), (1, 2, "b", 9, 0), (1, 2, "B", 5, 1), (1, 2, "b", 8, 2)]
+    relations = spark.createDataFrame([(1, "a", "NEXT", "b")], "chunk_id long, source string, type string, target string")
+    for order in (rows, rows[::-1]):
+        found = spark.createDataFrame(order, "chunk_id long, pos int, name string, entity_id long, seq long")
+        assert [r.target_id for r in E.resolve_relations(found, relations).collect()] == [9]
+        assert [r.target_id for r in E.resolve_relations(found.drop("seq"), relations).collect()] == [5]
