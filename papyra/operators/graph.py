@@ -275,6 +275,42 @@ def unsupported_relations(relations: DataFrame, mentions: DataFrame) -> DataFram
     return relations.join(together, ["src", "dst"], "left_anti")
 
 
+#: Chunks with more mentions than this give no pairs; relations are looked up in them.
+PAIRED = 64
+
+
+def lost_support(relations: DataFrame, mentions: DataFrame, gone: DataFrame) -> tuple[int, DataFrame, DataFrame]:
+    """What the chunks in gone (chunk_id) alone support: how many mentions (chunk_id, entity_id) they have, the distinct
+    (src, dst) of the relations that they, but no other chunk, mention both ends of, and the entities (entity_id) that
+    nothing else mentions.
+
+    Mentions are dealt by chunk once and written as arrays of at most PAIRED entities. A chunk's own pairs are counted by
+    relation, so work grows with the mentions, not with relations x mentions of an end; larger chunks, whose pairs would
+    grow with the square, are met from the relations' side."""
+    marked = mentions.select("chunk_id", "entity_id").join(gone.select("chunk_id").distinct().withColumn("_gone", F.lit(True)), "chunk_id", "left")
+    own = Window.partitionBy("chunk_id")
+    block = F.floor((F.row_number().over(own.orderBy("entity_id")) - 1) / PAIRED).alias("_block")
+    rows = marked.select("chunk_id", "entity_id", F.coalesce("_gone", F.lit(False)).alias("gone"), F.count("*").over(own).alias("_n"), block)
+    rows = rows.groupBy("chunk_id", "_block").agg(F.first("gone").alias("gone"), F.first("_n").alias("_n"), F.count("*").alias("n"), F.collect_list("entity_id").alias("e"))
+    large = F.col("_n") > PAIRED
+    dealt = written(rows.select(F.when(large, F.col("chunk_id")).alias("chunk_id"), (F.col("chunk_id").isNotNull() & ~large).alias("paired"), "gone", "n", "e"))
+    mark = F.when(F.col("gone"), 1).otherwise(2).alias("by")  # 1: a chunk that goes, 2: one that stays
+    pairs = dealt.where("paired").select("e", mark).select("e", "by", F.explode("e").alias("src")).select("src", F.explode("e").alias("dst"), "by").where("src <> dst")
+    ends = relations.select("src", "dst").distinct()
+    loops = ends.where("src = dst")
+    if not loops.isEmpty():
+        pairs = pairs.unionByName(dealt.where("paired").select(F.explode("e").alias("src"), mark).join(loops.select("src"), "src", "left_semi").select("src", F.col("src").alias("dst"), "by"))
+    big = dealt.where("chunk_id IS NOT NULL").select("chunk_id", F.explode("e").alias("entity_id"), mark)
+    if not big.isEmpty():
+        of_src = ends.join(big.select(F.col("entity_id").alias("src"), "chunk_id", "by"), "src")
+        pairs = pairs.unionByName(of_src.join(big.select(F.col("entity_id").alias("dst"), "chunk_id"), ["dst", "chunk_id"]).select("src", "dst", "by"))
+    only_gone = pairs.groupBy("src", "dst").agg(F.bit_or("by").alias("by")).where("by = 1").drop("by")
+    dead = written(ends.join(only_gone, ["src", "dst"], "left_semi"))
+    met = dealt.select(F.explode("e").alias("entity_id"), mark).groupBy("entity_id").agg(F.bit_or("by").alias("by"))
+    n = dealt.where("gone").agg(F.sum("n")).first()[0] or 0
+    return n, dead, written(met.where("by = 1 AND entity_id IS NOT NULL").select("entity_id"))
+
+
 def entity_cards(entities: DataFrame, edges: DataFrame, hits: DataFrame, names: int = 10) -> DataFrame:
     """Hits (query_id, rank, key) on entities (entity_id, name, description) as cards with their first neighbours' names."""
     near = both_ways(edges).join(entities.select(F.col("entity_id").alias("dst"), F.col("name").alias("near")), "dst").select("src", "near").distinct()

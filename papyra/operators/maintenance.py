@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyra.operators.keyword_match import containing
+from papyra.sources.scratch import written
 
 # The stages of an ingest, in order; its end states.
 STAGES = ("parsing", "chunking", "metadata", "indexing", "graph", "citations", "extraction", "finishing")
@@ -54,21 +55,21 @@ def without(rows: DataFrame, ids: DataFrame, on: str) -> DataFrame:
 
 def delete_cascade(tables: dict[str, DataFrame], doc_ids: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
     """Tables documents, chunks, cites (doc_id), mentions (chunk_id, entity_id), relations (src, dst), entities
-    (entity_id) without the documents and what only they support; and (table, deleted) counts."""
-    from papyra.operators.graph import unsupported_relations
+    (entity_id) without the documents and what only they support; and (table, deleted) counts. What goes is written once;
+    the tables that are left are not computed for the counts."""
+    from papyra.operators.graph import lost_support
 
     out = {name: without(tables[name], doc_ids, "doc_id") for name in ("documents", "chunks", "cites")}
-    gone = tables["chunks"].join(doc_ids, "doc_id", "left_semi").select("chunk_id")
+    gone = written(tables["chunks"].join(doc_ids, "doc_id", "left_semi").select("chunk_id"))
+    n_mentions, dead, orphans = lost_support(tables["relations"], tables["mentions"], gone)
     out["mentions"] = without(tables["mentions"], gone, "chunk_id")
-    stale = unsupported_relations(tables["relations"], out["mentions"])
-    # a relation goes only if the deleted chunks had supported it
-    lost = unsupported_relations(stale, tables["mentions"])
-    out["relations"] = tables["relations"].join(stale.select("src", "dst").exceptAll(lost.select("src", "dst")).distinct(), ["src", "dst"], "left_anti")
-    touched = tables["mentions"].join(gone, "chunk_id", "left_semi").select("entity_id").distinct()
-    orphans = touched.join(out["mentions"], "entity_id", "left_anti")
+    out["relations"] = tables["relations"].join(dead, ["src", "dst"], "left_anti")
     out["entities"] = without(tables["entities"], orphans, "entity_id")
-    count = lambda name: tables[name].agg(F.count("*").alias("a")).crossJoin(out[name].agg(F.count("*").alias("b"))).select(F.lit(name).alias("table"), (F.col("a") - F.col("b")).alias("deleted"))  # noqa: E731  two rows of one
-    return out, reduce(DataFrame.unionByName, map(count, out))
+    spark = doc_ids.sparkSession
+    known = spark.createDataFrame([("chunks", gone.count()), ("mentions", n_mentions)], "table string, deleted long")
+    lost = {"documents": (doc_ids, ["doc_id"]), "cites": (doc_ids, ["doc_id"]), "relations": (dead, ["src", "dst"]), "entities": (orphans, ["entity_id"])}
+    counts = [tables[name].join(ids, on, "left_semi").agg(F.count("*").alias("deleted")).select(F.lit(name).alias("table"), "deleted") for name, (ids, on) in lost.items()]
+    return out, reduce(DataFrame.unionByName, counts, known)
 
 
 def clean_old_versions(tables: dict[str, DataFrame], doc_ids: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:

@@ -73,6 +73,7 @@ def changed_files(spark, d):
 
 
 def _tables(spark, d):
+    """Suppliers have negative numbers, so that no part has the same."""
     lines = _read(spark, d, "lineitem")
     orders = _read(spark, d, "orders")
     chunk = F.concat_ws("-", "l_orderkey", "l_linenumber")
@@ -80,8 +81,8 @@ def _tables(spark, d):
         "documents": orders.select(F.col("o_orderkey").alias("doc_id")),
         "chunks": lines.select(F.col("l_orderkey").alias("doc_id"), chunk.alias("chunk_id")),
         "cites": orders.select(F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").alias("ref_id")),
-        "mentions": lines.select(chunk.alias("chunk_id"), F.col("l_partkey").alias("entity_id")).union(lines.select(chunk.alias("chunk_id"), (F.col("l_suppkey") + 1_000_000).alias("entity_id"))),
-        "relations": lines.select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 1_000_000).alias("dst")).distinct(),
+        "mentions": lines.select(chunk.alias("chunk_id"), F.col("l_partkey").alias("entity_id")).union(lines.select(chunk.alias("chunk_id"), (-1 - F.col("l_suppkey")).alias("entity_id"))),
+        "relations": lines.select(F.col("l_partkey").alias("src"), (-1 - F.col("l_suppkey")).alias("dst")).distinct(),
         "entities": _read(spark, d, "part").select(F.col("p_partkey").alias("entity_id")),
     }
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
+import pytest
 from conftest import rows_of
 
 from papyra.operators import entities as E
+from papyra.operators import graph as G
 from papyra.plans import registry
 
 
@@ -49,3 +53,39 @@ def test_relations_of_entities_at_one_place(spark):
         found = spark.createDataFrame(order, "chunk_id long, pos int, name string, entity_id long, seq long")
         assert [r.target_id for r in E.resolve_relations(found, relations).collect()] == [9]
         assert [r.target_id for r in E.resolve_relations(found.drop("seq"), relations).collect()] == [5]
+
+
+def _star(spark, folder):
+    """Orders, lines and parts; some parts have the number of a supplier after a million."""
+    rng = random.Random(3)
+    parts = [*range(5), *range(1_000_000, 1_000_005)]
+    spark.createDataFrame([(o, o % 4, "FOP"[o % 3]) for o in range(40)], "o_orderkey long, o_custkey long, o_orderstatus string").write.parquet(f"{folder}/orders.parquet")
+    lines = [(rng.randrange(40), rng.choice(parts), rng.randrange(5), rng.randrange(1, 4)) for _ in range(60)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").repartition(3).write.parquet(f"{folder}/lineitem.parquet")
+    spark.createDataFrame([(p,) for p in parts], "p_partkey long").write.parquet(f"{folder}/part.parquet")
+
+
+@pytest.mark.parametrize("name", ["delete_cascade", "old_version_cleanup", "delete_in_place"])
+def test_deletes_with_many_parts(name, spark, tmp_path):
+    """Beyond a million parts, a part and a supplier were one entity."""
+    _star(spark, tmp_path)
+    _same(spark, tmp_path, name, ["orders", "lineitem", "part"])
+
+
+@pytest.mark.parametrize("paired", [0, 3, 64])
+def test_lost_support_against_all_pairs(spark, monkeypatch, paired):
+    """Each chunk's mentions are dealt once; relations x mentions of an end is not made for small chunks."""
+    monkeypatch.setattr(G, "PAIRED", max(1, paired))
+    rng = random.Random(paired)
+    mentions = [(rng.choice([None, *range(12)]), rng.choice([None, *range(8)])) for _ in range(50)]
+    relations = sorted({(rng.randrange(8), rng.randrange(8)) for _ in range(40)})
+    gone = {0, 1, 2, 3, 4, 5, 99}
+    frames = spark.createDataFrame(relations, "src long, dst long"), spark.createDataFrame(mentions, "chunk_id long, entity_id long"), spark.createDataFrame([(c,) for c in gone], "chunk_id long")
+    n, dead, orphans = G.lost_support(*frames)
+    of = {}
+    for c, e in mentions:
+        of.setdefault(c, set()).add(e)
+    by = lambda s, d: {c in gone for c in of if c is not None and {s, d} <= of[c]}
+    assert n == sum(c in gone for c, _ in mentions)
+    assert {tuple(r) for r in dead.collect()} == {r for r in relations if by(*r) == {True}}
+    assert {r[0] for r in orphans.collect()} == {e for e in range(8) if {c in gone for c in of if e in of[c]} == {True}}
