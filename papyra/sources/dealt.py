@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.operators.graph import unsupported_relations
+from papyra.operators.graph import lost_support
 from papyra.sources.scratch import written
 
 PARTS = 64
@@ -93,18 +93,10 @@ def remove_documents(spark: SparkSession, folder: str, doc_ids: DataFrame, keep_
     ids = written(doc_ids.select("doc_id").distinct())
     chunks = load(spark, at("chunks"))
     gone = written(chunks.join(ids, "doc_id", "left_semi").select("chunk_id").distinct())
-    mentions = load(spark, at("mentions"))
-    lost = written(mentions.join(gone, "chunk_id", "left_semi").select("chunk_id", "entity_id"))
-    left = mentions.join(gone, "chunk_id", "left_anti")
-    orphans = written(lost.select("entity_id").distinct().join(left, "entity_id", "left_anti"))
+    relations = load(spark, at("relations")).select("src", "dst") if "relations" in there else spark.createDataFrame([], "src long, dst long")
+    _, stale, orphans = lost_support(relations, load(spark, at("mentions")), gone)
     out = {}
     if "relations" in there:
-        relations = load(spark, at("relations"))
-        ends = lost.select("entity_id").distinct()
-        # only relations that the deleted chunks had supported are looked at
-        about = relations.join(ends.withColumnRenamed("entity_id", "src"), "src", "left_semi").join(ends.withColumnRenamed("entity_id", "dst"), "dst", "left_semi")
-        before = about.join(unsupported_relations(about, mentions).select("src", "dst").distinct(), ["src", "dst"], "left_anti")
-        stale = written(unsupported_relations(before, left).select("src", "dst").distinct())
         out["relations"] = remove(spark, at("relations"), stale, ["src", "dst"])
     plans = {"entities": (orphans, "entity_id"), "mentions": (gone, "chunk_id"), "vectors": (gone, "chunk_id"), "chunks": (ids, "doc_id"), "cites": (ids, "doc_id")}
     if not keep_documents:
