@@ -7,9 +7,12 @@ import random
 import pytest
 from conftest import rows_of
 
+from papyra.operators import bm25 as B
 from papyra.operators import entities as E
 from papyra.operators import graph as G
+from papyra.operators import hooks as H
 from papyra.plans import registry
+from papyra.sources import batches
 
 
 def _same(spark, folder, name, tables):
@@ -89,3 +92,15 @@ def test_lost_support_against_all_pairs(spark, monkeypatch, paired):
     assert n == sum(c in gone for c, _ in mentions)
     assert {tuple(r) for r in dead.collect()} == {r for r in relations if by(*r) == {True}}
     assert {r[0] for r in orphans.collect()} == {e for e in range(8) if {c in gone for c in of if e in of[c]} == {True}}
+
+
+def test_batches_to_python_are_bounded_by_bytes(spark):
+    """The BM25 index and the hooks took batches of 10,000 rows, however long the texts were."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(100).selectExpr("id AS key", "repeat('word ', 20000) AS text").coalesce(1)
+    spark.conf.unset(key)
+    sizes = H.apply_hook(docs, lambda rows: [len(rows)] * len(rows), ["text"], "n", "long").select("n").collect()
+    assert max(r.n for r in sizes) * 100_000 <= batches.BATCH_BYTES + 100_000
+    spark.conf.unset(key)
+    assert B.build(docs).n_words == 2_000_000
+    assert int(spark.conf.get(key)) <= batches.BATCH_BYTES
