@@ -11,6 +11,7 @@ from papyra.operators import bm25 as B
 from papyra.operators import entities as E
 from papyra.operators import graph as G
 from papyra.operators import hooks as H
+from papyra.operators import sessions as S
 from papyra.plans import registry
 from papyra.sources import batches
 
@@ -104,3 +105,14 @@ def test_batches_to_python_are_bounded_by_bytes(spark):
     spark.conf.unset(key)
     assert B.build(docs).n_words == 2_000_000
     assert int(spark.conf.get(key)) <= batches.BATCH_BYTES
+
+
+def test_word_sets_meet_as_numbers(spark):
+    """Each word of each memory, with its set's digest, went through two shuffles before any two sets met."""
+    sets = spark.createDataFrame([("s1", "t", ["a", "b", "c"]), ("s2", "t", ["a", "b", "d"])], "_set string, _type string, w array<string>")
+    (coded,) = S._coded([sets])
+    assert dict(coded.dtypes)["o"] == "array<bigint>"
+    rows = {r["_set"]: r for r in coded.collect()}
+    assert [len(r.o) for r in rows.values()] == [3, 3] and [r["_few"] for r in rows.values()] == [1, 1]
+    assert rows["s1"].o[1:] == rows["s2"].o[1:]
+    assert {tuple(r) for r in S._similar_sets(sets, sets, 0.4, own=True).collect()} in ({("s1", "s2")}, {("s2", "s1")})
